@@ -9,7 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 from moneta import params as P
+from moneta.functions.common import rnd
 from moneta.functions.timecols import hour_risk_multiplier, is_night_guard
 
 
@@ -136,7 +138,7 @@ def user_risk_summary(checked: DataFrame, keys: Sequence[str] = ("user_id",)) ->
     return checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_tx"),
         F.sum(F.when(hr, 1).otherwise(0)).alias("n_high_risk"),
-        F.bround(F.sum(F.when(hr, F.col("amount")).otherwise(0.0)), 2).alias("high_risk_value"),
+        rnd(F.sum(F.when(hr, F.col("amount")).otherwise(0.0)), 2).alias("high_risk_value"),
         F.sum(F.when(~F.col("allowed"), 1).otherwise(0)).alias("n_blocked"),
         F.max("checked_score").alias("max_score"),
         F.sum(F.when(F.col("alert_type") == "night", 1).otherwise(0)).alias("n_night_alerts"),

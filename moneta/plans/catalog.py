@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moneta.functions.common import rnd
+
 from moneta.functions.timecols import hour_risk_multiplier, is_night_guard, is_night_hour
 from moneta.operators import risk
 from moneta.sources import testdata as td
@@ -77,3 +79,105 @@ def q_protection_status(spark, sf):
     at = F.lit("2024-01-10 03:30:00").cast("timestamp_ntz")
     return risk.protection_status(td.load_settings(spark, sf), at).select(
         "user_id", "enabled", "bypass_active", "is_night_period", "current_hour_risk")
+
+
+# -------------------------------------------------------------------- spend
+from moneta.operators import spend  # noqa: E402
+
+
+def _tx(spark, sf):
+    return td.load_transactions(spark, sf)
+
+
+@register("spend_summary")
+def q_spend_summary(spark, sf):
+    return spend.spend_summary(_tx(spark, sf))
+
+
+@register("tx_summary")
+def q_tx_summary(spark, sf):
+    return spend.tx_summary(_tx(spark, sf))
+
+
+@register("tx_summary_by_category")
+def q_tx_summary_by_category(spark, sf):
+    return spend.tx_summary_by_category(_tx(spark, sf))
+
+
+@register("by_category")
+def q_by_category(spark, sf):
+    return spend.by_category(_tx(spark, sf))
+
+
+@register("by_weekday")
+def q_by_weekday(spark, sf):
+    return spend.by_weekday(_tx(spark, sf))
+
+
+@register("by_period")
+def q_by_period(spark, sf):
+    return spend.by_period(_tx(spark, sf))
+
+
+@register("by_week_of_month")
+def q_by_week_of_month(spark, sf):
+    return spend.by_week_of_month(_tx(spark, sf))
+
+
+@register("daily_spend")
+def q_daily_spend(spark, sf):
+    return spend.daily_spend(_tx(spark, sf)).withColumn("amount", rnd("amount", 2))
+
+
+@register("fill_calendar")
+def q_fill_calendar(spark, sf):
+    # date-only transactions (orders): sparse days per customer, many gaps to fill
+    d = spend.daily_spend(td.load_order_transactions(spark, sf))
+    return spend.fill_calendar(d).withColumn("amount", rnd("amount", 2))
+
+
+@register("rolling_mean_7")
+def q_rolling_mean_7(spark, sf):
+    d = spend.rolling_mean_7(spend.daily_spend(_tx(spark, sf)))
+    return d.select("user_id", "date", rnd("amount", 2).alias("amount"),
+                    rnd("rolling_mean_7", 6).alias("rolling_mean_7"))
+
+
+@register("trend")
+def q_trend(spark, sf):
+    return spend.trend(spend.daily_spend(_tx(spark, sf)))
+
+
+@register("trend_orders")
+def q_trend_orders(spark, sf):
+    return spend.trend(spend.daily_spend(td.load_order_transactions(spark, sf)))
+
+
+@register("kpis")
+def q_kpis(spark, sf):
+    return spend.kpis(spend.tx_summary(_tx(spark, sf)))
+
+
+@register("category_share")
+def q_category_share(spark, sf):
+    return spend.category_share(_tx(spark, sf))
+
+
+@register("running_balance")
+def q_running_balance(spark, sf):
+    return spend.running_balance(_tx(spark, sf))
+
+
+@register("forecast_simple")
+def q_forecast_simple(spark, sf):
+    return spend.forecast_simple(_tx(spark, sf))
+
+
+@register("by_decade")
+def q_by_decade(spark, sf):
+    return spend.by_decade(_tx(spark, sf))
+
+
+@register("by_decade_orders")
+def q_by_decade_orders(spark, sf):
+    return spend.by_decade(td.load_order_transactions(spark, sf))

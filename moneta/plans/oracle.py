@@ -131,3 +131,160 @@ SELECT user_id, coalesce(protection_enabled, true) AS enabled,
        coalesce(TIMESTAMP '2024-01-10 03:30:00' < bypass_until, false) AS bypass_active,
        true AS is_night_period, 2.0::DOUBLE AS current_hour_risk
 FROM settings"""
+
+# -------------------------------------------------------------------- spend
+SQL["spend_summary"] = with_(TX) + """
+SELECT user_id, count(*) AS total_transactions, round_even(sum(amount), 2) AS total_spent,
+       round_even(avg(amount), 6) AS average_transaction, round_even(median(amount), 6) AS median_transaction,
+       round_even(stddev_samp(amount), 6) AS std_transaction
+FROM tx GROUP BY user_id"""
+
+_TXS = """txs AS (
+  SELECT user_id,
+         round_even(sum(CASE WHEN transaction_type = 'credito' THEN amount ELSE 0.0 END), 2) AS total_credito,
+         round_even(sum(CASE WHEN transaction_type = 'debito' THEN amount ELSE 0.0 END), 2) AS total_debito,
+         count(*) AS count
+  FROM tx GROUP BY user_id)"""
+
+SQL["tx_summary"] = with_(TX, _TXS) + """
+SELECT *, round_even(total_credito - total_debito, 2) AS saldo FROM txs"""
+
+SQL["tx_summary_by_category"] = with_(TX) + """
+SELECT user_id, coalesce(nullif(category, ''), 'outros') AS category, round_even(sum(amount), 2) AS total
+FROM tx GROUP BY ALL"""
+
+SQL["by_category"] = with_(TX) + """, g AS (SELECT user_id, sum(amount) AS grand FROM tx GROUP BY user_id),
+p AS (SELECT user_id, category, round_even(sum(amount), 2) AS total, round_even(avg(amount), 2) AS media,
+             count(*) AS count, round_even(stddev_samp(amount), 2) AS desvio
+      FROM tx WHERE category IS NOT NULL GROUP BY user_id, category)
+SELECT p.*, round_even(p.total / g.grand * 100, 1) AS percentual FROM p LEFT JOIN g USING (user_id)"""
+
+SQL["by_weekday"] = with_(TX) + """
+SELECT user_id, isodow(date) - 1 AS day_of_week, round_even(sum(amount), 2) AS sum,
+       round_even(avg(amount), 6) AS mean, count(*) AS count,
+       (['Seg','Ter','Qua','Qui','Sex','Sáb','Dom'])[isodow(date)] AS day_name
+FROM tx GROUP BY user_id, isodow(date)"""
+
+SQL["by_period"] = with_(TX) + """, a AS (
+  SELECT user_id, CASE WHEN hour("timestamp") <= 6 THEN 'Madrugada' WHEN hour("timestamp") <= 12 THEN 'Manhã'
+                       WHEN hour("timestamp") <= 18 THEN 'Tarde' ELSE 'Noite' END AS period,
+         sum(amount) AS s, count(*) AS c
+  FROM tx GROUP BY ALL),
+sk AS (SELECT DISTINCT user_id, unnest(['Madrugada','Manhã','Tarde','Noite']) AS period FROM tx)
+SELECT sk.user_id, sk.period, round_even(coalesce(a.s, 0.0), 2) AS sum, coalesce(a.c, 0) AS count
+FROM sk LEFT JOIN a USING (user_id, period)"""
+
+SQL["by_week_of_month"] = with_(TX) + """
+SELECT user_id, CAST((day(date) - 1) // 7 + 1 AS INTEGER) AS week_of_month, round_even(sum(amount), 2) AS total
+FROM tx GROUP BY ALL"""
+
+SQL["daily_spend"] = with_(TX) + """
+SELECT user_id, date, round_even(sum(amount), 2) AS amount FROM tx GROUP BY user_id, date"""
+
+SQL["fill_calendar"] = with_(OTX) + """, d AS (SELECT user_id, date, sum(amount) AS amount FROM otx GROUP BY ALL),
+sp AS (SELECT user_id, min(date) AS d0, max(date) AS d1 FROM d GROUP BY user_id),
+cal AS (SELECT user_id, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM sp)
+SELECT cal.user_id, cal.date, round_even(coalesce(d.amount, 0.0), 2) AS amount
+FROM cal LEFT JOIN d USING (user_id, date)"""
+
+SQL["rolling_mean_7"] = with_(TX) + """, d AS (SELECT user_id, date, sum(amount) AS amount FROM tx GROUP BY ALL)
+SELECT user_id, date, round_even(amount, 2) AS amount,
+       round_even(CASE WHEN row_number() OVER w >= 7
+                       THEN avg(amount) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END, 6) AS rolling_mean_7
+FROM d WINDOW w AS (PARTITION BY user_id ORDER BY date)"""
+
+
+def _trend_sql(src: str, cte: str) -> str:
+    return with_(cte) + f""", d AS (SELECT user_id, date, sum(amount) AS amount FROM {src} GROUP BY ALL),
+x AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS DOUBLE) AS x FROM d),
+g AS (SELECT user_id, count(*) AS n_days, regr_slope(amount, x) AS slope_, corr(x, amount) AS r0,
+             avg(amount) AS mean_ FROM x GROUP BY user_id),
+h AS (SELECT *, CASE WHEN r0 IS NULL OR isnan(r0) THEN 0.0 ELSE r0 END AS r FROM g)
+SELECT user_id, n_days,
+  CASE WHEN n_days >= 7 THEN CASE WHEN slope_ > 0 THEN 'crescente' ELSE 'decrescente' END END AS direction,
+  CASE WHEN n_days >= 7 THEN round_even(slope_, 2) END AS slope,
+  CASE WHEN n_days >= 7 THEN round_even(r * r, 3) END AS r_squared,
+  CASE WHEN n_days >= 7 THEN CASE WHEN abs(r) > 0.7 THEN 'forte' WHEN abs(r) > 0.4 THEN 'moderada' ELSE 'fraca' END END AS strength,
+  CASE WHEN n_days >= 7 THEN round_even(mean_, 2) END AS daily_average,
+  CASE WHEN n_days >= 7 THEN round_even(mean_ * 30, 2) END AS projection_30_days,
+  CASE WHEN n_days < 7 THEN 'Dados insuficientes para análise de tendência' END AS message
+FROM h"""
+
+
+SQL["trend"] = _trend_sql("tx", TX)
+SQL["trend_orders"] = _trend_sql("otx", OTX)
+
+SQL["kpis"] = with_(TX, _TXS) + """, s AS (SELECT *, round_even(total_credito - total_debito, 2) AS saldo FROM txs)
+SELECT user_id, total_credito AS receipts, total_debito AS payments, saldo AS net,
+       CASE WHEN total_credito > 0 THEN round_even(saldo / total_credito * 100, 1) ELSE 0.0 END AS savings_rate,
+       CASE WHEN total_credito > 0 THEN round_even(total_debito / total_credito * 100, 1) END AS payments_pct
+FROM s"""
+
+SQL["category_share"] = with_(TX) + """, deb AS (SELECT * FROM tx WHERE transaction_type = 'debito'),
+per AS (SELECT user_id, coalesce(nullif(category, ''), 'outros') AS category, sum(amount) AS t FROM deb GROUP BY ALL),
+tot AS (SELECT user_id, sum(amount) AS p FROM deb GROUP BY user_id)
+SELECT per.user_id, category, round_even(t, 2) AS total, round_even(t / p * 100, 1) AS share_pct
+FROM per LEFT JOIN tot USING (user_id)"""
+
+SQL["running_balance"] = with_(TX) + """, f AS (
+  SELECT user_id, date, sum(CASE WHEN transaction_type = 'credito' THEN amount
+                                 WHEN transaction_type = 'debito' THEN -amount ELSE 0.0 END) AS amount
+  FROM tx GROUP BY ALL),
+sp AS (SELECT user_id, min(date) AS d0, max(date) AS d1 FROM f GROUP BY user_id),
+cal AS (SELECT user_id, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
+full_ AS (SELECT cal.user_id, cal.date, coalesce(f.amount, 0.0) AS amount FROM cal LEFT JOIN f USING (user_id, date))
+SELECT user_id, date, round_even(amount, 2) AS net_flow,
+       round_even(0.0 + sum(amount) OVER (PARTITION BY user_id ORDER BY date
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS balance
+FROM full_"""
+
+SQL["forecast_simple"] = with_(TX) + """, g AS (
+  SELECT user_id, sum(amount) AS s, greatest(count(DISTINCT date), 1) AS d, stddev_samp(amount) AS sd
+  FROM tx GROUP BY user_id)
+SELECT user_id, 'Média histórica' AS method, round_even(s / d * 30, 2) AS total_predicted,
+       round_even(s / d, 2) AS average_daily,
+       round_even(s / d * 30 - 1.96 * sd * sqrt(30), 2) AS lower,
+       round_even(s / d * 30 + 1.96 * sd * sqrt(30), 2) AS upper
+FROM g"""
+
+
+def _decade_sql(src: str, cte: str) -> str:
+    return with_(cte) + f""", b AS (
+  SELECT user_id, strftime(date, '%Y-%m') AS year_month,
+         CASE WHEN day(date) <= 10 THEN '1_10' WHEN day(date) <= 20 THEN '11_20' ELSE '21_31' END AS decade,
+         round_even(sum(CASE WHEN transaction_type = 'credito' THEN amount ELSE 0.0 END), 2) AS receipts,
+         round_even(sum(CASE WHEN transaction_type = 'debito' THEN amount ELSE 0.0 END), 2) AS payments
+  FROM {src} GROUP BY ALL)
+SELECT *, round_even(receipts - payments, 2) AS difference FROM b"""
+
+
+SQL["by_decade"] = _decade_sql("tx", TX)
+SQL["by_decade_orders"] = _decade_sql("otx", OTX)
+
+
+def _fix_round(sql: str) -> str:
+    """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
+    out, i, tok = [], 0, "round_even("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth, comma = j + len(tok), 1, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        arg = _fix_round(sql[j + len(tok):comma])
+        digits = sql[comma + 1:k - 1].strip()
+        out.append(f"CAST(round_even(CAST({arg} AS DECIMAL(38,6)), {digits}) AS DOUBLE)")
+        i = k
+
+
+SQL = {k: _fix_round(v) for k, v in SQL.items()}
