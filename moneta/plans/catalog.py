@@ -181,3 +181,66 @@ def q_by_decade(spark, sf):
 @register("by_decade_orders")
 def q_by_decade_orders(spark, sf):
     return spend.by_decade(td.load_order_transactions(spark, sf))
+
+
+# ------------------------------------------------------ profile, savings, goals
+from moneta.operators import goals as goalops  # noqa: E402
+from moneta.operators import profile, savings  # noqa: E402
+
+
+@register("behavior_indicators")
+def q_behavior_indicators(spark, sf):
+    ind = profile.behavior_indicators(_tx(spark, sf))
+    return ind.select("user_id", "n", *[rnd(c, 6).alias(c) for c in ("night_ratio", "tx_per_day",
+                                                                       "social_ratio", "cv")])
+
+
+@register("behavior_profile")
+def q_behavior_profile(spark, sf):
+    return profile.behavior_profile(profile.behavior_indicators(_tx(spark, sf)))
+
+
+@register("recurring_merchants")
+def q_recurring_merchants(spark, sf):
+    return savings.recurring_merchants(_tx(spark, sf))
+
+
+@register("recurring_merchants_suppliers")
+def q_recurring_merchants_suppliers(spark, sf):
+    return savings.recurring_merchants(td.supplier_transactions(spark, sf))
+
+
+@register("savings_suggestions")
+def q_savings_suggestions(spark, sf):
+    return savings.savings_suggestions(_tx(spark, sf)).select(
+        "user_id", "type", "name", "current_spending", "potential_savings", "priority", "rank", "action")
+
+
+@register("savings_totals")
+def q_savings_totals(spark, sf):
+    return savings.savings_totals(_tx(spark, sf))
+
+
+@register("goal_progress")
+def q_goal_progress(spark, sf):
+    return goalops.goal_progress(td.load_goals(spark, sf))
+
+
+@register("goals_by_status")
+def q_goals_by_status(spark, sf):
+    return goalops.goals_by_status(td.load_goals(spark, sf), "active")
+
+
+@register("goal_compare")
+def q_goal_compare(spark, sf):
+    return goalops.goal_compare(_tx(spark, sf), td.load_goals(spark, sf))
+
+
+@register("goal_impact")
+def q_goal_impact(spark, sf):
+    return goalops.goal_impact(_tx(spark, sf), td.load_goals(spark, sf))
+
+
+@register("months_to_goal")
+def q_months_to_goal(spark, sf):
+    return goalops.months_to_goal(td.load_goals(spark, sf), savings.savings_totals(_tx(spark, sf)))

@@ -262,6 +262,131 @@ SQL["by_decade"] = _decade_sql("tx", TX)
 SQL["by_decade_orders"] = _decade_sql("otx", OTX)
 
 
+# ------------------------------------------------------ profile, savings, goals
+_IND = """ind AS (
+  SELECT user_id, count(*) AS n,
+         avg(CASE WHEN hour("timestamp") BETWEEN 0 AND 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS night_ratio,
+         count(*) / greatest(count(DISTINCT date), 1) AS tx_per_day,
+         avg(CASE WHEN coalesce(lower(category) IN ('lazer','delivery','restaurante','bar'), false)
+                  THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS social_ratio,
+         CASE WHEN count(*) > 7 THEN stddev_samp(amount) / avg(amount) END AS cv
+  FROM tx GROUP BY user_id)"""
+
+SQL["behavior_indicators"] = with_(TX, _IND) + """
+SELECT user_id, n, round_even(night_ratio, 6) AS night_ratio, round_even(tx_per_day, 6) AS tx_per_day,
+       round_even(social_ratio, 6) AS social_ratio, round_even(cv, 6) AS cv FROM ind"""
+
+SQL["behavior_profile"] = with_(TX, _IND) + """, sc AS (
+  SELECT user_id,
+         CASE WHEN night_ratio > 0.15 THEN night_ratio * 100 END AS s0,
+         CASE WHEN tx_per_day > 3 THEN least(tx_per_day * 10, 50.0::DOUBLE) END AS s1,
+         CASE WHEN social_ratio > 0.3 THEN social_ratio * 100 END AS s2,
+         CASE WHEN cv > 1.5 THEN cv * 20 END AS s3,
+         CASE WHEN cv < 0.5 THEN (1 - cv) * 100 END AS s4
+  FROM ind),
+u AS (SELECT user_id, 0 AS o, 'notívago' AS nm, s0 AS s FROM sc UNION ALL
+      SELECT user_id, 1, 'impulsivo', s1 FROM sc UNION ALL
+      SELECT user_id, 2, 'social', s2 FROM sc UNION ALL
+      SELECT user_id, 3, 'sazonal', s3 FROM sc UNION ALL
+      SELECT user_id, 4, 'controlado', s4 FROM sc),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, o) AS rn FROM u WHERE s IS NOT NULL),
+agg AS (SELECT user_id, max(CASE WHEN rn = 1 THEN nm END) AS top_nm, max(CASE WHEN rn = 1 THEN s END) AS top_s,
+               string_agg(CASE WHEN rn IN (2, 3) AND s > 20 THEN nm END, ',' ORDER BY rn) AS sec
+        FROM r GROUP BY user_id)
+SELECT sc.user_id, coalesce(agg.top_nm, 'controlado') AS profile,
+       CASE WHEN agg.top_nm IS NULL THEN 50.0::DOUBLE ELSE round_even(least(agg.top_s, 100.0::DOUBLE), 1) END AS confidence,
+       coalesce(agg.sec, '') AS secondary_profiles,
+       round_even(s0, 6) AS score_0, round_even(s1, 6) AS score_1, round_even(s2, 6) AS score_2,
+       round_even(s3, 6) AS score_3, round_even(s4, 6) AS score_4
+FROM sc LEFT JOIN agg USING (user_id)"""
+
+
+def _recurring(src: str) -> str:
+    return f"""rg AS (
+  SELECT user_id, merchant, count(*) AS frequency, sum(amount) AS total FROM {src}
+  WHERE merchant IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+rec AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, merchant) AS rank FROM rg
+        QUALIFY rank <= 5),
+recx AS (SELECT user_id, merchant, frequency, rank, round_even(total, 2) AS total_spent,
+                round_even(total / frequency, 2) AS avg_transaction, round_even(total * 0.2, 2) AS potential_savings
+         FROM rec)"""
+
+
+SUPTX = """suptx AS (
+  SELECT l_orderkey * 8 + l_linenumber AS id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS date,
+         s_name AS merchant, l_extendedprice AS amount
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+SQL["recurring_merchants"] = with_(TX, _recurring("tx")) + "SELECT * FROM recx"
+SQL["recurring_merchants_suppliers"] = with_(SUPTX, _recurring("suptx")) + "SELECT * FROM recx"
+
+_BRANCHES = """tot AS (SELECT user_id, sum(amount) AS all_ FROM tx GROUP BY user_id),
+cat AS (SELECT user_id, category, sum(amount) AS cur FROM tx
+        WHERE category IN ('delivery','lazer','assinaturas','jogos','compras') GROUP BY ALL),
+b0 AS (SELECT c.user_id, 'category_reduction' AS type, category AS name, round_even(cur, 2) AS current_spending,
+              round_even(cur * 0.3, 2) AS potential_savings,
+              CASE WHEN cur * 0.3 > all_ * 0.1::DOUBLE * 0.2::DOUBLE THEN 'alta' ELSE 'média' END AS priority,
+              0 AS b, list_position(['delivery','lazer','assinaturas','jogos','compras'], category) - 1 AS i
+       FROM cat c JOIN tot USING (user_id)),
+b1 AS (SELECT user_id, 'recurring_expense' AS type, merchant AS name, total_spent AS current_spending,
+              potential_savings, 'média' AS priority, 1 AS b, rank AS i FROM recx),
+ni AS (SELECT user_id, sum(CASE WHEN hour("timestamp") BETWEEN 0 AND 6 THEN amount ELSE 0.0 END) AS n,
+              sum(amount) AS t FROM tx GROUP BY user_id),
+b2 AS (SELECT user_id, 'behavioral' AS type, 'gastos_noturnos' AS name, round_even(n, 2) AS current_spending,
+              round_even(n * 0.5, 2) AS potential_savings, 'alta' AS priority, 2 AS b, 0 AS i
+       FROM ni WHERE n > t * 0.1::DOUBLE),
+allb AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2)"""
+
+SQL["savings_suggestions"] = with_(TX, _recurring("tx"), _BRANCHES) + """, r AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY potential_savings DESC, b, i) AS rank2 FROM allb)
+SELECT user_id, type, name, current_spending, potential_savings, priority, rank2 AS rank,
+       CASE WHEN type = 'category_reduction' THEN CASE name
+            WHEN 'delivery' THEN 'Cozinhe mais em casa. Prepare marmitas no fim de semana.'
+            WHEN 'lazer' THEN 'Busque alternativas gratuitas: parques, eventos públicos.'
+            WHEN 'assinaturas' THEN 'Revise todas as assinaturas. Cancele as não utilizadas.'
+            WHEN 'jogos' THEN 'Defina um orçamento mensal fixo para jogos.'
+            WHEN 'compras' THEN 'Use a regra das 48h antes de comprar algo não essencial.'
+            WHEN 'transporte' THEN 'Considere carona, transporte público ou bicicleta.'
+            WHEN 'alimentação' THEN 'Faça lista de compras e evite ir ao mercado com fome.'
+            ELSE 'Analise se este gasto é realmente necessário.' END END AS action
+FROM r WHERE rank2 <= 10"""
+
+_TOTALS = """pt AS (SELECT user_id, sum(potential_savings) AS p FROM allb GROUP BY user_id),
+tg AS (SELECT user_id, sum(amount) * 0.1::DOUBLE AS target FROM tx GROUP BY user_id),
+totals AS (SELECT tg.user_id, round_even(coalesce(pt.p, 0.0), 2) AS total_potential_savings,
+                  round_even(tg.target, 2) AS target_savings, coalesce(pt.p, 0.0) >= tg.target AS achievable
+           FROM tg LEFT JOIN pt USING (user_id))"""
+
+SQL["savings_totals"] = with_(TX, _recurring("tx"), _BRANCHES, _TOTALS) + "SELECT * FROM totals"
+
+SQL["goal_progress"] = with_(GOALS) + """
+SELECT *, CASE WHEN target_amount > 0 THEN round_even(current_amount / target_amount * 100, 2) ELSE 0.0 END AS progress
+FROM goals"""
+
+SQL["goals_by_status"] = with_(GOALS) + "SELECT * FROM goals WHERE status = 'active'"
+
+SQL["goal_compare"] = with_(TX, GOALS) + """, act AS (SELECT * FROM goals WHERE status = 'active'),
+na AS (SELECT user_id, count(*) AS active_goals FROM act GROUP BY user_id),
+op AS (SELECT user_id, goal_id, name AS goal_name, target_amount - current_amount AS remaining FROM act
+       WHERE target_amount - current_amount > 0)
+SELECT tx.id, tx.user_id, op.goal_id, op.goal_name, round_even(op.remaining, 2) AS remaining,
+       round_even(tx.amount / op.remaining * 100, 1) AS this_purchase_percent, na.active_goals
+FROM tx JOIN op USING (user_id) JOIN na USING (user_id)"""
+
+SQL["goal_impact"] = with_(TX, GOALS) + """, f AS (
+  SELECT user_id, arg_min(name, goal_id) AS goal_name, arg_min(target_amount, goal_id) AS target
+  FROM goals WHERE status = 'active' GROUP BY user_id)
+SELECT tx.id, tx.user_id, f.goal_name, round_even(tx.amount / f.target * 100, 1) AS goal_percent
+FROM tx JOIN f USING (user_id)"""
+
+SQL["months_to_goal"] = with_(TX, GOALS, _recurring("tx"), _BRANCHES, _TOTALS) + """
+SELECT g.goal_id, g.user_id, round_even(g.target_amount - g.current_amount, 2) AS remaining,
+       t.total_potential_savings AS monthly_savings,
+       CASE WHEN t.total_potential_savings > 0
+            THEN round_even((g.target_amount - g.current_amount) / t.total_potential_savings, 1) END AS months_to_goal
+FROM goals g LEFT JOIN totals t USING (user_id)"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
