@@ -244,3 +244,88 @@ def q_goal_impact(spark, sf):
 @register("months_to_goal")
 def q_months_to_goal(spark, sf):
     return goalops.months_to_goal(td.load_goals(spark, sf), savings.savings_totals(_tx(spark, sf)))
+
+
+# ------------------------------------------------------------ categorisation
+from moneta.functions.text import normalize_text  # noqa: E402
+from moneta.operators import categorize as cz  # noqa: E402
+
+
+def _docs(spark, sf):
+    return td.table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+
+
+@register("normalize_text")
+def q_normalize_text(spark, sf):
+    n = normalize_text("text")
+    return td.table(spark, sf, "documents").select(
+        "doc_id", F.md5(n).alias("norm_md5"), F.char_length(n).alias("norm_len"))
+
+
+@register("categorize_rules")
+def q_categorize_rules(spark, sf):
+    d = td.table(spark, sf, "documents").select("doc_id", "text")
+    return cz.categorize_rules(d, "text").select(
+        "doc_id", "rule_category", rnd("rule_confidence", 6).alias("rule_confidence"), "rule_matches")
+
+
+@register("categorize_rules_tx")
+def q_categorize_rules_tx(spark, sf):
+    tx = _tx(spark, sf).select("id", "description", "merchant")
+    return cz.categorize_rules(tx, "description", "merchant").select(
+        "id", "rule_category", rnd("rule_confidence", 6).alias("rule_confidence"), "rule_matches")
+
+
+@register("suggest_categories")
+def q_suggest_categories(spark, sf):
+    d = td.table(spark, sf, "documents").select("doc_id", "text")
+    return cz.category_suggestions(d, "text").select(
+        "doc_id", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@register("suggest_categories_merchants")
+def q_suggest_categories_merchants(spark, sf):
+    # partial texts typed by a user: short merchant names (both containment directions matter)
+    s = td.table(spark, sf, "supplier").select("s_suppkey", F.lower(F.split("s_name", "#")[0]).alias("text"))
+    return cz.category_suggestions(s, "text").select(
+        "s_suppkey", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+def _nb_model(spark, sf):
+    return cz.nb_train(_docs(spark, sf))
+
+
+@register("nb_vocabulary")
+def q_nb_vocabulary(spark, sf):
+    return _nb_model(spark, sf).vocab.select("term", "df", "tf_total", rnd("idf", 6).alias("idf"))
+
+
+@register("nb_log_probs")
+def q_nb_log_probs(spark, sf):
+    return _nb_model(spark, sf).log_probs.select("label", "term", rnd("log_prob", 6).alias("log_prob"))
+
+
+@register("nb_priors")
+def q_nb_priors(spark, sf):
+    return _nb_model(spark, sf).priors.select("label", "n_docs", rnd("log_prior", 6).alias("log_prior"))
+
+
+@register("nb_predict")
+def q_nb_predict(spark, sf):
+    d = _docs(spark, sf)
+    return cz.nb_predict(_nb_model(spark, sf), d).select(
+        "doc_id", "predicted", rnd("confidence", 6).alias("confidence"))
+
+
+@register("nb_train_accuracy")
+def q_nb_train_accuracy(spark, sf):
+    d = _docs(spark, sf)
+    return cz.nb_accuracy(cz.nb_predict(_nb_model(spark, sf), d), d).select(
+        rnd("accuracy", 6).alias("accuracy"), "n_docs")
+
+
+@register("categorize")
+def q_categorize(spark, sf):
+    d = _docs(spark, sf)
+    return cz.categorize(d, _nb_model(spark, sf)).select(
+        "doc_id", "category", rnd("confidence", 6).alias("confidence"), "method")

@@ -387,6 +387,100 @@ SELECT g.goal_id, g.user_id, round_even(g.target_amount - g.current_amount, 2) A
 FROM goals g LEFT JOIN totals t USING (user_id)"""
 
 
+# ------------------------------------------------------------ categorisation
+from moneta.functions.text import KEYWORD_RULES  # noqa: E402
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _norm(col: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({col}), "
+            f"'[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\p{{Nd}}+', ' ', 'g'), '\\s+', ' ', 'g'))")
+
+
+def _rules_sql(src: str, idc: str, text_expr: str) -> str:
+    counts = ",\n         ".join(
+        "(" + " + ".join(f"CASE WHEN contains(t, {_q(k)}) THEN 1 ELSE 0 END" for k in kws) + f") AS c{i}"
+        for i, kws in enumerate(KEYWORD_RULES.values()))
+    cols = ", ".join(f"c{i}" for i in range(len(KEYWORD_RULES)))
+    pick = " ".join(f"WHEN c{i} = best THEN {_q(n)}" for i, n in enumerate(KEYWORD_RULES))
+    return f"""nt AS (SELECT {idc}, {_norm(text_expr)} AS t FROM {src}),
+kc AS (SELECT {idc}, {counts} FROM nt),
+kb AS (SELECT *, greatest({cols}) AS best FROM kc),
+rules AS (SELECT {idc}, CASE WHEN best > 0 THEN CASE {pick} END ELSE 'outros' END AS rule_category,
+                 CASE WHEN best > 0 THEN least(best / 3.0, 1.0) ELSE 0.3 END::DOUBLE AS rule_confidence,
+                 best AS rule_matches FROM kb)"""
+
+
+def _suggest_sql(src: str, idc: str, text_expr: str) -> str:
+    hits = ", ".join(
+        "CASE WHEN " + " OR ".join(f"(contains({_q(k)}, t) OR contains(t, {_q(k)}))" for k in kws)
+        + f" THEN {_q(n)} END" for n, kws in KEYWORD_RULES.items())
+    return f"""st AS (SELECT {idc}, lower({text_expr}) AS t FROM {src}),
+sg AS (SELECT {idc}, list_filter([{hits}], lambda x: x IS NOT NULL) AS found FROM st)"""
+
+
+SQL["normalize_text"] = f"""
+SELECT doc_id, md5({_norm('text')}) AS norm_md5, length({_norm('text')}) AS norm_len FROM documents"""
+
+SQL["categorize_rules"] = with_(_rules_sql("documents", "doc_id", "text")) + "SELECT * FROM rules"
+SQL["categorize_rules_tx"] = with_(TX, _rules_sql("tx", "id", "concat_ws(' ', coalesce(description, ''), coalesce(merchant, ''))")) + "SELECT * FROM rules"
+
+SQL["suggest_categories"] = with_(_suggest_sql("documents", "doc_id", "text")) + """
+SELECT doc_id, CASE WHEN len(found) > 0 THEN array_to_string(found[1:5], ',') ELSE 'outros' END AS suggestions
+FROM sg"""
+
+SQL["suggest_categories_merchants"] = with_(_suggest_sql(
+    "(SELECT s_suppkey, lower(split_part(s_name, '#', 1)) AS nm FROM supplier)", "s_suppkey", "nm")) + """
+SELECT s_suppkey, CASE WHEN len(found) > 0 THEN array_to_string(found[1:5], ',') ELSE 'outros' END AS suggestions
+FROM sg"""
+
+_NB = f"""docs AS (SELECT doc_id, text, lang AS label FROM documents WHERE lang IS NOT NULL),
+wd AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda w: length(w) >= 2) AS w FROM docs),
+tm AS (SELECT doc_id, unnest(w || CASE WHEN len(w) >= 2
+                                  THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                  ELSE []::VARCHAR[] END) AS term FROM wd),
+tf AS (SELECT doc_id, term, count(*) AS n FROM tm GROUP BY ALL),
+nn AS (SELECT count(*) AS N FROM docs),
+stats AS (SELECT term, count(*) AS df, sum(n) AS tf_total FROM tf GROUP BY term),
+top_ AS (SELECT * FROM stats WHERE df >= 2 ORDER BY tf_total DESC, term LIMIT 1000),
+vocab AS (SELECT term, df, tf_total, ln((1.0 + N) / (1.0 + df)) + 1.0 AS idf FROM top_, nn),
+raw AS (SELECT tf.doc_id, tf.term, tf.n * v.idf AS r FROM tf JOIN vocab v USING (term)),
+l2 AS (SELECT doc_id, sqrt(sum(r * r)) AS l FROM raw GROUP BY doc_id),
+wts AS (SELECT raw.doc_id, term, r / l AS w FROM raw JOIN l2 USING (doc_id)),
+cls AS (SELECT label, count(*) AS n_docs FROM docs GROUP BY label),
+sct AS (SELECT d.label, w.term, sum(w.w) AS s FROM wts w JOIN docs d USING (doc_id) GROUP BY ALL),
+grid AS (SELECT cls.label, vocab.term, coalesce(sct.s, 0.0) AS s_ct
+         FROM cls, vocab LEFT JOIN sct ON sct.label = cls.label AND sct.term = vocab.term),
+sc AS (SELECT label, sum(s_ct) AS s_c FROM grid GROUP BY label),
+vv AS (SELECT count(*) AS V FROM vocab),
+lp AS (SELECT g.label, g.term, ln((g.s_ct + 0.1) / (sc.s_c + 0.1 * V)) AS log_prob FROM grid g JOIN sc USING (label), vv),
+pri AS (SELECT label, n_docs, ln(n_docs / N) AS log_prior FROM cls, nn),
+dot AS (SELECT w.doc_id, lp.label, sum(w.w * lp.log_prob) AS d FROM wts w JOIN lp USING (term) GROUP BY ALL),
+jll AS (SELECT a.doc_id, p.label, p.log_prior + coalesce(dot.d, 0.0) AS j
+        FROM (SELECT doc_id FROM documents) a CROSS JOIN pri p
+        LEFT JOIN dot ON dot.doc_id = a.doc_id AND dot.label = p.label),
+mx AS (SELECT doc_id, max(j) AS m, arg_min(label, (-j, label)) AS predicted FROM jll GROUP BY doc_id),
+pred AS (SELECT mx.doc_id, mx.predicted, exp(mx.m - (mx.m + ln(sum(exp(jll.j - mx.m))))) AS confidence
+         FROM mx JOIN jll USING (doc_id) GROUP BY mx.doc_id, mx.predicted, mx.m)"""
+
+SQL["nb_vocabulary"] = with_(_NB) + "SELECT term, df, tf_total, round_even(idf, 6) AS idf FROM vocab"
+SQL["nb_log_probs"] = with_(_NB) + "SELECT label, term, round_even(log_prob, 6) AS log_prob FROM lp"
+SQL["nb_priors"] = with_(_NB) + "SELECT label, n_docs, round_even(log_prior, 6) AS log_prior FROM pri"
+SQL["nb_predict"] = with_(_NB) + "SELECT doc_id, predicted, round_even(confidence, 6) AS confidence FROM pred"
+SQL["nb_train_accuracy"] = with_(_NB) + """
+SELECT round_even(avg(CASE WHEN p.predicted = d.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n_docs
+FROM pred p JOIN docs d USING (doc_id)"""
+SQL["categorize"] = with_(_NB, _rules_sql("documents", "doc_id", "text")) + """
+SELECT r.doc_id,
+       CASE WHEN r.rule_confidence < 0.7 AND p.confidence > r.rule_confidence THEN p.predicted ELSE r.rule_category END AS category,
+       round_even(CASE WHEN r.rule_confidence < 0.7 AND p.confidence > r.rule_confidence THEN p.confidence ELSE r.rule_confidence END, 6) AS confidence,
+       CASE WHEN r.rule_confidence < 0.7 AND p.confidence > r.rule_confidence THEN 'ml' ELSE 'rules' END AS method
+FROM rules r LEFT JOIN pred p USING (doc_id)"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
