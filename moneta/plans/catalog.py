@@ -329,3 +329,74 @@ def q_categorize(spark, sf):
     d = _docs(spark, sf)
     return cz.categorize(d, _nb_model(spark, sf)).select(
         "doc_id", "category", rnd("confidence", 6).alias("confidence"), "method")
+
+
+# ------------------------------------------------------------------ anomaly
+from moneta.operators import anomaly as an  # noqa: E402
+
+
+def _feats(spark, sf):
+    return an.anomaly_features(_tx(spark, sf))
+
+
+def _heur(spark, sf):
+    return an.anomaly_heuristic(_tx(spark, sf))
+
+
+@register("anomaly_features")
+def q_anomaly_features(spark, sf):
+    return _feats(spark, sf).select("id", "user_id", F.col("f_amount").alias("amount"), *an.FEATURES[1:])
+
+
+@register("label_encode")
+def q_label_encode(spark, sf):
+    return an.label_encoder(_tx(spark, sf))
+
+
+@register("standardize")
+def q_standardize(spark, sf):
+    z = an.standardize(_feats(spark, sf))
+    return z.select("id", "user_id", *[rnd(f"z_{c}", 6).alias(f"z_{c}") for c in an.FEATURES])
+
+
+@register("anomaly_heuristic")
+def q_anomaly_heuristic(spark, sf):
+    return _heur(spark, sf).select("id", "user_id", rnd("anomaly_score", 6).alias("anomaly_score"), "is_anomaly",
+                                   F.array_join("anomaly_reasons", "|").alias("reasons"))
+
+
+@register("anomaly_reasons")
+def q_anomaly_reasons(spark, sf):
+    feats = _feats(spark, sf)
+    ref = an.feature_stats(feats, sample=True)
+    h = _heur(spark, sf).select("id", "anomaly_score", "is_anomaly")
+    flagged = feats.select("id", "user_id", "amount", "category", "hour", "is_weekend").join(h, "id")
+    r = an.anomaly_reasons(flagged, ref)
+    return r.filter("is_anomaly").select("id", "user_id", F.array_join("anomaly_reasons", "|").alias("reasons"))
+
+
+@register("normalize_scores")
+def q_normalize_scores(spark, sf):
+    n = an.normalize_scores(_heur(spark, sf), "anomaly_score")
+    return n.select("id", "user_id", rnd("score_normalized", 6).alias("score_normalized"))
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, sf):
+    return an.anomaly_summary(_heur(spark, sf))
+
+
+@register("anomaly_by_category")
+def q_anomaly_by_category(spark, sf):
+    return an.anomaly_by_category(_heur(spark, sf))
+
+
+@register("anomaly_by_hour")
+def q_anomaly_by_hour(spark, sf):
+    return an.anomaly_by_hour(_heur(spark, sf))
+
+
+@register("top_anomalies")
+def q_top_anomalies(spark, sf):
+    t = an.top_anomalies(_heur(spark, sf))
+    return t.select("user_id", "rank", "id", rnd("anomaly_score", 6).alias("anomaly_score"))

@@ -481,6 +481,97 @@ SELECT r.doc_id,
 FROM rules r LEFT JOIN pred p USING (doc_id)"""
 
 
+# ------------------------------------------------------------------ anomaly
+_FEATS = """enc AS (SELECT v AS value, dense_rank() OVER (ORDER BY v) - 1 AS code
+               FROM (SELECT DISTINCT coalesce(category, 'outros') AS v FROM tx)),
+f0 AS (SELECT tx.*, coalesce(amount, 0.0) AS f_amount, hour("timestamp") AS hour,
+              isodow("timestamp") - 1 AS day_of_week, day("timestamp") AS day_of_month,
+              coalesce(enc.code, -1) AS category_encoded
+       FROM tx LEFT JOIN enc ON coalesce(tx.category, 'outros') = enc.value),
+q9 AS (SELECT user_id, quantile_cont(f_amount, 0.9) AS q90 FROM f0 GROUP BY user_id),
+feats AS (SELECT f0.*, CAST(f_amount > q90 AS INTEGER) AS is_high_amount,
+                 CAST(hour BETWEEN 0 AND 6 AS INTEGER) AS is_night, CAST(day_of_week >= 5 AS INTEGER) AS is_weekend
+          FROM f0 JOIN q9 USING (user_id))"""
+
+_FCOLS = ["amount", "hour", "day_of_week", "day_of_month", "category_encoded",
+          "is_high_amount", "is_night", "is_weekend"]
+
+
+def _src(c: str) -> str:
+    return "f_amount" if c == "amount" else c
+
+
+SQL["anomaly_features"] = with_(TX, _FEATS) + """
+SELECT id, user_id, f_amount AS amount, hour, day_of_week, day_of_month, category_encoded,
+       is_high_amount, is_night, is_weekend FROM feats"""
+
+SQL["label_encode"] = with_(TX, _FEATS) + "SELECT value, code FROM enc"
+
+SQL["standardize"] = with_(TX, _FEATS) + ", fs AS (SELECT user_id, " + ", ".join(
+    f"avg(CAST({_src(c)} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({_src(c)} AS DOUBLE)) AS s_{c}" for c in _FCOLS
+) + " FROM feats GROUP BY user_id)\nSELECT id, user_id, " + ", ".join(
+    f"round_even((CAST({_src(c)} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS z_{c}"
+    for c in _FCOLS) + " FROM feats JOIN fs USING (user_id)"
+
+_HEUR = """hst AS (SELECT user_id, avg(coalesce(amount, 0.0)) AS m,
+                CASE WHEN count(*) > 1 THEN stddev_pop(coalesce(amount, 0.0))
+                     ELSE avg(coalesce(amount, 0.0)) * 0.5 END AS sd
+         FROM tx GROUP BY user_id),
+h0 AS (SELECT tx.*, CASE WHEN sd > 0 THEN abs(coalesce(amount, 0.0) - m) / sd END AS z,
+              hour("timestamp") AS h, lower(coalesce(category, '')) AS lc
+       FROM tx JOIN hst USING (user_id)),
+h1 AS (SELECT *, CASE WHEN z > 2 THEN least(z * 20, 50.0::DOUBLE) END AS zs,
+              CASE WHEN h BETWEEN 0 AND 6 THEN 25.0::DOUBLE END AS hs,
+              CASE WHEN lc IN ('jogos','apostas','cassino','bet') THEN 30.0::DOUBLE END AS cs FROM h0),
+heur AS (SELECT *, 0.0::DOUBLE + coalesce(zs, 0.0) + coalesce(hs, 0.0) + coalesce(cs, 0.0) AS score0 FROM h1),
+res AS (SELECT *, score0 >= 50 AS is_anomaly, least(score0, 100.0::DOUBLE) AS anomaly_score FROM heur)"""
+
+SQL["anomaly_heuristic"] = with_(TX, _HEUR) + """
+SELECT id, user_id, round_even(anomaly_score, 6) AS anomaly_score, is_anomaly,
+       concat_ws('|', CASE WHEN zs IS NOT NULL THEN printf('Valor atípico: %.1f desvios da média', round_even(z, 1)) END,
+                      CASE WHEN hs IS NOT NULL THEN printf('Horário noturno: %dh', h) END,
+                      CASE WHEN cs IS NOT NULL THEN 'Categoria de risco: ' || lc END) AS reasons
+FROM res"""
+
+SQL["anomaly_reasons"] = with_(TX, _FEATS, _HEUR) + """, ref AS (
+  SELECT user_id, avg(f_amount) AS mean_amount, stddev_samp(f_amount) AS std_amount FROM feats GROUP BY user_id),
+j AS (SELECT f.id, f.user_id, coalesce(f.amount, 0.0) AS a, f.category, f.hour, f.is_weekend, r.anomaly_score,
+             ref.mean_amount, ref.std_amount
+      FROM feats f JOIN res r USING (id) JOIN ref ON ref.user_id = f.user_id WHERE r.is_anomaly),
+k AS (SELECT *, concat_ws('|',
+        CASE WHEN std_amount > 0 AND a > mean_amount + 2 * std_amount
+             THEN printf('Valor muito acima da média (R$ %.2f vs média R$ %.2f)', round_even(a, 2), round_even(mean_amount, 2)) END,
+        CASE WHEN hour BETWEEN 0 AND 6 THEN printf('Transação em horário incomum (%.1fh)', CAST(hour AS DOUBLE)) END,
+        CASE WHEN is_weekend = 1 THEN 'Transação no fim de semana' END,
+        CASE WHEN category IN ('jogos','apostas','cassino') THEN 'Categoria de alto risco: ' || category END) AS r0
+      FROM j)
+SELECT id, user_id, CASE WHEN r0 = '' THEN printf('Padrão incomum detectado (score: %d)', CAST(round_even(anomaly_score, 0) AS BIGINT))
+                         ELSE r0 END AS reasons FROM k"""
+
+SQL["normalize_scores"] = with_(TX, _HEUR) + """, mm AS (SELECT user_id, min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM res GROUP BY user_id)
+SELECT id, user_id, round_even(CASE WHEN hi = lo THEN 50.0 ELSE 100.0 * (1.0 - (anomaly_score - lo) / (hi - lo)) END, 6) AS score_normalized
+FROM res JOIN mm USING (user_id)"""
+
+SQL["anomaly_summary"] = with_(TX, _HEUR) + """
+SELECT user_id, sum(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS total_anomalies,
+       round_even(sum(CASE WHEN is_anomaly THEN 1 ELSE 0 END) / count(*) * 100, 6) AS percentage,
+       round_even(sum(CASE WHEN is_anomaly THEN coalesce(amount, 0.0) ELSE 0.0 END), 2) AS total_value,
+       round_even(avg(CASE WHEN is_anomaly THEN anomaly_score END), 6) AS average_score
+FROM res GROUP BY user_id"""
+
+SQL["anomaly_by_category"] = with_(TX, _HEUR) + """
+SELECT user_id, category, count(*) AS count, round_even(sum(amount), 2) AS total FROM res WHERE is_anomaly GROUP BY ALL"""
+
+SQL["anomaly_by_hour"] = with_(TX, _HEUR) + """
+SELECT user_id, printf('%02dh', hour("timestamp")) AS hour, count(*) AS count
+FROM res WHERE is_anomaly AND "timestamp" IS NOT NULL GROUP BY ALL"""
+
+SQL["top_anomalies"] = with_(TX, _HEUR) + """
+SELECT user_id, rank, id, round_even(anomaly_score, 6) AS anomaly_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY anomaly_score DESC, id) AS rank FROM res WHERE is_anomaly)
+WHERE rank <= 5"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
