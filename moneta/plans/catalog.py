@@ -400,3 +400,26 @@ def q_anomaly_by_hour(spark, sf):
 def q_top_anomalies(spark, sf):
     t = an.top_anomalies(_heur(spark, sf))
     return t.select("user_id", "rank", "id", rnd("anomaly_score", 6).alias("anomaly_score"))
+
+
+# ----------------------------------------------------------- isolation forest
+from moneta.plans import anomaly_report as ar  # noqa: E402
+
+
+@register("isolation_forest_score")
+def q_isolation_forest_score(spark, sf):
+    d = ar.detect_anomalies(_tx(spark, sf), keys=())
+    return d.select("id", "user_id", "is_anomaly", rnd("anomaly_score", 6).alias("anomaly_score"),
+                    rnd("decision", 9).alias("decision"), F.array_join("anomaly_reasons", "|").alias("reasons"))
+
+
+@register("isolation_forest_by_user")
+def q_isolation_forest_by_user(spark, sf):
+    d = ar.detect_anomalies(_tx(spark, sf), keys=("user_id",))
+    return d.select("id", "user_id", "is_anomaly", rnd("anomaly_score", 6).alias("anomaly_score"),
+                    F.array_join("anomaly_reasons", "|").alias("reasons"))
+
+
+@register("anomaly_report")
+def q_anomaly_report(spark, sf):
+    return ar.anomaly_report(_tx(spark, sf), keys=())
