@@ -39,3 +39,14 @@ def rnd(c, digits: int) -> Column:
     to 9 decimals (as DECIMAL), then rounded; the result is a double again."""
     c = F.col(c) if isinstance(c, str) else c
     return F.bround(c.cast("decimal(38,6)"), digits).cast("double")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition before CPU-heavy per-row work (whole-text scans,
+    Python batches) when the input has fewer partitions than the cluster has
+    cores — e.g. one unsplittable file.  At scale the scan already yields many
+    splits and this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

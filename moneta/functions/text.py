@@ -110,10 +110,12 @@ def rules_category(text: Column) -> tuple[Column, Column]:
     return category, confidence
 
 
-def suggest_categories(partial: Column, limit: int = 5) -> Column:
-    """Categories with a keyword containing the text or contained in it (text
-    only lower-cased), in dictionary order, first ``limit``; none -> [outros]."""
-    t = F.lower(partial)
+def suggest_categories(t: Column, limit: int = 5) -> Column:
+    """Categories with a keyword containing the text or contained in it, in
+    dictionary order, first ``limit``; none -> [outros].  ``t`` must already be
+    lower-cased (pass a column computed once, not an expression: the tests below
+    reference it hundreds of times).  Built from codegen-friendly string
+    functions only (no lambda)."""
     names = []
     for name, kws in KEYWORD_RULES.items():
         hit = None
@@ -121,5 +123,5 @@ def suggest_categories(partial: Column, limit: int = 5) -> Column:
             h = F.lit(kw).contains(t) | t.contains(kw)
             hit = h if hit is None else hit | h
         names.append(F.when(hit, F.lit(name)))
-    found = F.filter(F.array(*names), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, F.slice(found, 1, limit)).otherwise(F.array(F.lit("outros")))
+    found = F.concat_ws(",", *names)
+    return F.when(found == "", F.array(F.lit("outros"))).otherwise(F.slice(F.split(found, ","), 1, limit))

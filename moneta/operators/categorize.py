@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
+from moneta.session import checkpoint_dir
+from moneta.functions.common import spread
 from moneta.functions.text import KEYWORD_RULES, keyword_counts, normalize_text, suggest_categories
 
 # ----------------------------------------------------------------- rules
@@ -28,7 +30,7 @@ def categorize_rules(df: DataFrame, text: Column | str = "description", merchant
         t = F.concat_ws(" ", F.coalesce(t, F.lit("")), F.coalesce(m, F.lit("")))
     norm = normalize_text(F.coalesce(t, F.lit("")))
     names = list(KEYWORD_RULES)
-    tmp = df.withColumn("_norm", norm)
+    tmp = spread(df).withColumn("_norm", norm)
     counts = keyword_counts(F.col("_norm"))
     for i, c in enumerate(counts):
         tmp = tmp.withColumn(f"_kc{i}", c)
@@ -45,7 +47,11 @@ def categorize_rules(df: DataFrame, text: Column | str = "description", merchant
 
 
 def category_suggestions(df: DataFrame, text: str = "text", limit: int = 5) -> DataFrame:
-    return df.withColumn("suggestions", suggest_categories(F.col(text), limit))
+    """Suggestions for a partial text (lower-cased only, no other cleaning).  The
+    lowered text is its own projection: Catalyst keeps it (it is referenced many
+    times and not cheap), so it is computed once per row."""
+    return (spread(df).withColumn("_lt", F.lower(F.col(text)))
+            .withColumn("suggestions", suggest_categories(F.col("_lt"), limit)).drop("_lt"))
 
 
 # ----------------------------------------------------------- naive Bayes
@@ -62,7 +68,7 @@ def doc_terms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         F.sequence(F.lit(1), F.size("_w") - 1),
         lambda i: F.concat(F.element_at("_w", i), F.lit(" "), F.element_at("_w", i + 1)),
     )).otherwise(F.array().cast("array<string>"))
-    return (docs.select(id_col, words.alias("_w"))
+    return (spread(docs.select(id_col, text)).select(id_col, words.alias("_w"))
             .select(id_col, F.explode(F.concat(F.col("_w"), bigrams)).alias("term"))
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")))
 
@@ -100,6 +106,7 @@ class NBModel:
     vocab: DataFrame      # term, df, tf_total, idf
     priors: DataFrame     # label, n_docs, log_prior
     log_probs: DataFrame  # label, term, log_prob
+    doc_terms: DataFrame | None = None  # (id, term, n) of the documents given to nb_train
 
     def persist(self, path: str, mode: str = "overwrite") -> None:
         """Model tables as Parquet (no pickled objects)."""
@@ -117,8 +124,12 @@ def nb_train(docs: DataFrame, label: str = "label", id_col: str = "doc_id", text
              alpha: float = P.NB_ALPHA) -> NBModel:
     """Multinomial naive Bayes: prior ln(n_c/N); ln P(t|c) = ln((S_ct + a) / (S_c + a V)),
     S = summed tf-idf weights of class c."""
-    labelled = docs.filter(F.col(label).isNotNull()).select(id_col, text, label)
-    terms = doc_terms(labelled, id_col, text)
+    # tokenise every given document once; the checkpoint (in spark.checkpoint.dir)
+    # is read by the training aggregates and by predictions on the same documents
+    checkpoint_dir(docs.sparkSession)
+    all_terms = doc_terms(docs, id_col, text).checkpoint(eager=True)
+    labelled = docs.filter(F.col(label).isNotNull()).select(id_col, label)
+    terms = all_terms.join(labelled.select(id_col), id_col, "left_semi")
     counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
     n_total = labelled.agg(F.count(F.lit(1)).alias("_N"))
     vocab = fit_vocabulary(terms, n_total)
@@ -141,15 +152,17 @@ def nb_train(docs: DataFrame, label: str = "label", id_col: str = "doc_id", text
                          F.log((F.col("s_ct") + alpha) / (F.col("s_c") + alpha * F.col("_V"))).alias("log_prob")))
     priors = (_one_row(counts, n_total)
               .select(F.col(label).alias(label), "n_docs", F.log(F.col("n_docs") / F.col("_N")).alias("log_prior")))
-    return NBModel(vocab, priors, log_probs)
+    return NBModel(vocab, priors, log_probs, all_terms)
 
 
 def nb_predict(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-               label: str = "label") -> DataFrame:
+               label: str = "label", reuse_terms: bool = False) -> DataFrame:
     """(id, predicted, confidence): argmax of prior + sum w * ln P(t|c), ties to
     the smaller class name; confidence = its softmax probability.  Documents
     without any vocabulary term get the prior alone."""
-    terms = doc_terms(docs.select(id_col, text), id_col, text)
+    # reuse_terms: ``docs`` are the documents the model was trained on
+    terms = (model.doc_terms if reuse_terms and model.doc_terms is not None
+             else doc_terms(docs.select(id_col, text), id_col, text))
     w = tfidf(terms, model.vocab, id_col)
     lp = F.broadcast(model.log_probs)  # bounded: max_features x classes
     partial = (w.join(lp, "term").groupBy(id_col, label)
@@ -175,14 +188,15 @@ def nb_accuracy(pred: DataFrame, docs: DataFrame, id_col: str = "doc_id", label:
                  F.count(F.lit(1)).alias("n_docs"))
 
 
-def categorize(df: DataFrame, model: NBModel | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def categorize(df: DataFrame, model: NBModel | None, id_col: str = "doc_id", text: str = "text",
+               reuse_terms: bool = False) -> DataFrame:
     """Rules first when their confidence reaches 0.7; else the model when it is
     strictly more confident; else the rules."""
     r = categorize_rules(df.select(id_col, text), F.col(text))
     if model is None:
         return r.select(id_col, F.col("rule_category").alias("category"),
                         F.col("rule_confidence").alias("confidence"), F.lit("rules").alias("method"))
-    m = nb_predict(model, df, id_col, text)
+    m = nb_predict(model, df, id_col, text, reuse_terms=reuse_terms)
     j = r.join(m, id_col, "left")
     use_rules = F.col("rule_confidence") >= P.RULES_HIGH_CONFIDENCE
     use_ml = ~use_rules & F.col("confidence").isNotNull() & (F.col("confidence") > F.col("rule_confidence"))

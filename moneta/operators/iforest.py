@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moneta import params as P
+from moneta.functions.common import spread
 from moneta.session import checkpoint_dir
 
 EULER = 0.5772156649015329
@@ -278,7 +279,7 @@ def score_global(feats: DataFrame, model: ForestModel, id_col: str = "id") -> Da
             d = s - offset
             yield pdf.assign(score_samples=s, decision=d, is_anomaly=d < 0)
 
-    return feats.mapInPandas(run, schema)
+    return spread(feats).mapInPandas(run, schema)
 
 
 def _fit_score_group(pdf: pd.DataFrame, zcols, keys, id_col, n_trees, psi, seed, contamination):

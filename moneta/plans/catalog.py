@@ -313,21 +313,21 @@ def q_nb_priors(spark, sf):
 @register("nb_predict")
 def q_nb_predict(spark, sf):
     d = _docs(spark, sf)
-    return cz.nb_predict(_nb_model(spark, sf), d).select(
+    return cz.nb_predict(_nb_model(spark, sf), d, reuse_terms=True).select(
         "doc_id", "predicted", rnd("confidence", 6).alias("confidence"))
 
 
 @register("nb_train_accuracy")
 def q_nb_train_accuracy(spark, sf):
     d = _docs(spark, sf)
-    return cz.nb_accuracy(cz.nb_predict(_nb_model(spark, sf), d), d).select(
+    return cz.nb_accuracy(cz.nb_predict(_nb_model(spark, sf), d, reuse_terms=True), d).select(
         rnd("accuracy", 6).alias("accuracy"), "n_docs")
 
 
 @register("categorize")
 def q_categorize(spark, sf):
     d = _docs(spark, sf)
-    return cz.categorize(d, _nb_model(spark, sf)).select(
+    return cz.categorize(d, _nb_model(spark, sf), reuse_terms=True).select(
         "doc_id", "category", rnd("confidence", 6).alias("confidence"), "method")
 
 
