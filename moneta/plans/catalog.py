@@ -423,3 +423,56 @@ def q_isolation_forest_by_user(spark, sf):
 @register("anomaly_report")
 def q_anomaly_report(spark, sf):
     return ar.anomaly_report(_tx(spark, sf), keys=())
+
+
+# ------------------------------------------------------------- interventions
+from moneta.operators import interventions as iv  # noqa: E402
+
+
+def _iv(spark, sf):
+    return iv.generate_intervention(_scored(spark, sf), td.load_goals(spark, sf))
+
+
+@register("intervention_level")
+def q_intervention_level(spark, sf):
+    return _scored(spark, sf).select("id", "risk_score", iv.intervention_level(F.col("risk_score")).alias("level"))
+
+
+@register("intervention_questions")
+def q_intervention_questions(spark, sf):
+    return _iv(spark, sf).select("id", F.array_join("questions", "|").alias("questions"))
+
+
+@register("intervention_impact")
+def q_intervention_impact(spark, sf):
+    return _iv(spark, sf).select("id", "daily_food", "subscriptions", "investment", "work_hours")
+
+
+@register("intervention_alternatives")
+def q_intervention_alternatives(spark, sf):
+    return _iv(spark, sf).select("id", F.array_join("alternatives", "|").alias("alternatives"))
+
+
+@register("intervention_delay")
+def q_intervention_delay(spark, sf):
+    return _iv(spark, sf).select("id", "delay_minutes", "delay_expires_at", "delay_message")
+
+
+@register("intervention_block")
+def q_intervention_block(spark, sf):
+    return _iv(spark, sf).select("id", "block_reason")
+
+
+@register("intervention_message")
+def q_intervention_message(spark, sf):
+    return _iv(spark, sf).select("id", "main_message", F.array_join("actions", ",").alias("actions"))
+
+
+@register("generate_intervention")
+def q_generate_intervention(spark, sf):
+    return _iv(spark, sf).select("id", "user_id", "level", "components")
+
+
+@register("intervention_stats")
+def q_intervention_stats(spark, sf):
+    return iv.intervention_stats(_iv(spark, sf))

@@ -572,6 +572,103 @@ SELECT user_id, rank, id, round_even(anomaly_score, 6) AS anomaly_score FROM (
 WHERE rank <= 5"""
 
 
+# ------------------------------------------------------------- interventions
+from moneta.operators import interventions as _ivd  # noqa: E402
+
+
+def _arr(v: list[str]) -> str:
+    return "[" + ", ".join(_q(x) for x in v) + "]"
+
+
+def _case_map(expr: str, d: dict) -> str:
+    return "CASE " + expr + " " + " ".join(f"WHEN {_q(k)} THEN {_arr(v)}" for k, v in d.items()) + " END"
+
+
+def _pick_sql(arr: str, n: int) -> str:
+    return (f"list_transform(list_sort(list_transform({arr}, lambda q: {{'h': md5(CAST(id AS VARCHAR) || '|' || q), 'q': q}})), "
+            f"lambda x: x.q)[1:{n}]")
+
+
+_IVC = """ivc AS (
+  SELECT *, CASE WHEN risk_score < 30 THEN 'gentle' WHEN risk_score < 50 THEN 'moderate'
+                 WHEN risk_score < 75 THEN 'strong' ELSE 'critical' END AS level,
+         lower(coalesce(category, 'outros')) AS cat_, hour("timestamp") BETWEEN 0 AND 6 AS night_,
+         hour("timestamp") AS hour_
+  FROM scored2)"""
+
+_Q = f"""ivq AS (
+  SELECT *, coalesce({_pick_sql(_case_map('cat_', _ivd.REFLECTIVE_QUESTIONS), 2)}, []::VARCHAR[])
+            || CASE WHEN night_ THEN list_transform({_pick_sql(_arr(_ivd.REFLECTIVE_QUESTIONS['noturno']), 1)},
+                                                    lambda q: replace(q, 'Xh', CAST(hour_ AS VARCHAR) || 'h'))
+                    ELSE []::VARCHAR[] END
+            || CASE WHEN amount >= 200 THEN {_pick_sql(_arr(_ivd.REFLECTIVE_QUESTIONS['alto_valor']), 1)}
+                    ELSE []::VARCHAR[] END AS q0
+  FROM ivc),
+ivq2 AS (SELECT *, (CASE WHEN len(q0) = 0 THEN {_pick_sql(_arr(_ivd.REFLECTIVE_QUESTIONS['default']), 2)}
+                         ELSE q0 END)[1:4] AS questions FROM ivq)"""
+
+_IV_BASE = with_(TX, RECENT, SCORED, _IVC)
+
+SQL["intervention_level"] = with_(TX, RECENT, SCORED) + """
+SELECT id, risk_score, CASE WHEN risk_score < 30 THEN 'gentle' WHEN risk_score < 50 THEN 'moderate'
+                            WHEN risk_score < 75 THEN 'strong' ELSE 'critical' END AS level FROM scored2"""
+
+SQL["intervention_questions"] = with_(TX, RECENT, SCORED, _IVC, _Q) + """
+SELECT id, array_to_string(questions, '|') AS questions FROM ivq2"""
+
+SQL["intervention_impact"] = _IV_BASE + f"""
+SELECT id,
+  CASE WHEN amount >= 50 THEN printf('Com R$ %.2f, você poderia comer por %.1f dias', round_even(amount, 2), round_even(amount / 30, 1)) END AS daily_food,
+  CASE WHEN amount >= 50 THEN printf('Equivale a %.1f meses de streaming', round_even(amount / 45, 1)) END AS subscriptions,
+  CASE WHEN amount >= 50 THEN printf('Investido, em 5 anos seria R$ %.2f', round_even(amount * {_ivd.INVESTMENT_FACTOR!r}::DOUBLE, 2)) END AS investment,
+  CASE WHEN amount >= 50 THEN printf('Você trabalha %.1f horas para ganhar isso', round_even(amount / 15, 1)) END AS work_hours
+FROM ivc"""
+
+_ALT = f"{_pick_sql(_case_map('cat_', _ivd.ALTERNATIVES), 2)}"
+
+SQL["intervention_alternatives"] = _IV_BASE + f"""
+SELECT id, array_to_string({_ALT}, '|') AS alternatives FROM ivc"""
+
+_DELAY = """CASE WHEN level = 'strong' THEN 5 WHEN level = 'critical' THEN 10 END"""
+
+SQL["intervention_delay"] = _IV_BASE + f"""
+SELECT id, {_DELAY} AS delay_minutes, "timestamp" + ({_DELAY}) * INTERVAL 1 MINUTE AS delay_expires_at,
+       CASE WHEN {_DELAY} IS NOT NULL THEN printf('Aguarde %d minutos antes de confirmar', {_DELAY}) END AS delay_message
+FROM ivc"""
+
+_BR = _ivd.BLOCK_REASONS
+SQL["intervention_block"] = _IV_BASE + f"""
+SELECT id, CASE WHEN level = 'critical' THEN {_q(_ivd.BLOCK_PREFIX)} || CASE WHEN r = '' THEN {_q(_BR[3])} ELSE r END END AS block_reason
+FROM (SELECT *, concat_ws(', ', CASE WHEN night_ THEN {_q(_BR[0])} END, CASE WHEN risk_score >= 80 THEN {_q(_BR[1])} END,
+                          CASE WHEN amount >= 500 THEN {_q(_BR[2])} END) AS r FROM ivc)"""
+
+SQL["intervention_message"] = _IV_BASE + f"""
+SELECT id, {_pick_sql(_case_map('level', _ivd.MAIN_MESSAGES), 1)}[1] || CASE WHEN night_ THEN {_q(_ivd.NIGHT_SUFFIX)} ELSE '' END AS main_message,
+       array_to_string({_case_map('level', _ivd.ACTIONS)}, ',') AS actions
+FROM ivc"""
+
+SQL["generate_intervention"] = with_(TX, RECENT, SCORED, _IVC, GOALS) + f""", og AS (
+  SELECT user_id, count(*) AS n_open FROM goals WHERE status = 'active' AND target_amount - current_amount > 0 GROUP BY user_id)
+SELECT id, ivc.user_id, level,
+       concat_ws(',', 'question', CASE WHEN amount >= 50 THEN 'visualization' END,
+                 CASE WHEN coalesce(og.n_open, 0) > 0 THEN 'comparison' END,
+                 CASE WHEN len(coalesce({_ALT}, [])) > 0 THEN 'alternative' END,
+                 CASE WHEN level IN ('strong', 'critical') THEN 'delay' END,
+                 CASE WHEN level = 'critical' THEN 'block' END) AS components
+FROM ivc LEFT JOIN og USING (user_id)"""
+
+SQL["intervention_stats"] = _IV_BASE + f""", per AS (
+  SELECT user_id, count(*) AS total, sum(CASE WHEN level = 'gentle' THEN 1 ELSE 0 END) AS n_gentle,
+         sum(CASE WHEN level = 'moderate' THEN 1 ELSE 0 END) AS n_moderate,
+         sum(CASE WHEN level = 'strong' THEN 1 ELSE 0 END) AS n_strong,
+         sum(CASE WHEN level = 'critical' THEN 1 ELSE 0 END) AS n_critical, max("timestamp") AS last_
+  FROM ivc GROUP BY user_id),
+act AS (SELECT ivc.user_id, count(*) AS active_delays FROM ivc JOIN per USING (user_id)
+        WHERE {_DELAY} IS NOT NULL AND "timestamp" + ({_DELAY}) * INTERVAL 1 MINUTE > last_ GROUP BY ivc.user_id)
+SELECT per.user_id, total, n_gentle, n_moderate, n_strong, n_critical, coalesce(act.active_delays, 0) AS active_delays
+FROM per LEFT JOIN act USING (user_id)"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
