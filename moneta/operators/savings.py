@@ -77,6 +77,11 @@ def savings_suggestions(tx: DataFrame, keys: Sequence[str] = K, target_reduction
                 F.element_at(F.create_map(*[x for k, v in P.CATEGORY_ACTIONS.items()
                                             for x in (F.lit(k), F.lit(v))]), F.col("name")),
                 F.lit(P.DEFAULT_CATEGORY_ACTION))))
+            .withColumn("suggestion", F.when(F.col("type") == "category_reduction",
+                                             F.concat(F.lit("Reduza gastos com "), F.col("name"), F.lit(" em 30%")))
+                        .when(F.col("type") == "recurring_expense",
+                              F.concat(F.lit("Você tem gasto recorrente em "), F.col("name")))
+                        .otherwise(F.lit("Você gasta significativamente durante a madrugada")))
             .drop("_b", "_i"))
 
 

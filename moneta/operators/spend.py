@@ -215,3 +215,13 @@ def by_decade_wide(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     long = by_decade(tx, keys)
     return (long.groupBy(*keys, "year_month").pivot("decade", ["1_10", "11_20", "21_31"])
             .agg(F.first("receipts").alias("receipts"), F.first("payments").alias("payments")))
+
+
+def weekly_totals(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """Debit total per ISO week (Monday start) and the previous week present."""
+    deb = tx.filter(F.col("transaction_type") == "debito")
+    g = deb.groupBy(*keys, F.to_date(F.date_trunc("week", F.col("date"))).alias("week")).agg(
+        F.sum("amount").alias("_t"))
+    w = Window.partitionBy(*keys).orderBy("week")
+    return g.select(*keys, "week", rnd("_t", 2).alias("total"),
+                    rnd(F.lag("_t").over(w), 2).alias("previous_total"))

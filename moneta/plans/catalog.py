@@ -476,3 +476,143 @@ def q_generate_intervention(spark, sf):
 @register("intervention_stats")
 def q_intervention_stats(spark, sf):
     return iv.intervention_stats(_iv(spark, sf))
+
+
+# ----------------------------------------------- notifications, alerts, state
+from moneta.operators import notifications as nt  # noqa: E402
+from moneta.operators import state  # noqa: E402
+
+AS_OF = "2024-01-31 00:00:00"
+
+
+def _events(spark, sf):
+    return td.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@register("weekly_totals")
+def q_weekly_totals(spark, sf):
+    return spend.weekly_totals(_tx(spark, sf))
+
+
+def _notifications(spark, sf):
+    tx = _tx(spark, sf)
+    checked = risk.apply_protection(risk.impulse_risk(risk.recent_1h_count(tx)), td.load_settings(spark, sf))
+    night = checked.filter(F.col("alert_type") == "night")
+    a = nt.notify_from_template(night, "night_alert", {"amount": F.col("amount"), "hour": F.hour("timestamp")},
+                                F.col("id"), F.col("timestamp"))
+    heur = an.anomaly_heuristic(tx).filter("is_anomaly")
+    b = nt.notify_from_template(heur, "anomaly_detected",
+                                {"amount": F.col("amount"), "category": F.col("category"),
+                                 "score": F.col("anomaly_score").cast("int")}, F.col("id"), F.col("timestamp"))
+    crit = iv.generate_intervention(risk.impulse_risk(risk.recent_1h_count(tx))).filter(F.col("level") == "critical")
+    c = nt.notify_from_template(crit, "impulse_blocked", {"amount": F.col("amount"), "reason": F.col("block_reason")},
+                                F.col("id"), F.col("timestamp"))
+    goals = td.load_goals(spark, sf)
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    pct = F.col("current_amount") / F.col("target_amount") * 100
+    d = nt.notify_from_template(goals.filter(F.col("status") == "active"), "goal_progress",
+                                {"percent": pct, "goal_name": F.col("name"),
+                                 "remaining": F.col("target_amount") - F.col("current_amount")},
+                                F.col("goal_id"), at)
+    e = nt.notify_from_template(goals.filter(F.col("status") == "completed"), "goal_achieved",
+                                {"goal_name": F.col("name")}, F.col("goal_id"), at)
+    tips = savings.savings_suggestions(tx).filter(F.col("rank") == 1)
+    f = nt.notify_from_template(tips, "savings_tip", {"tip": F.col("suggestion")}, F.col("user_id"), at)
+    wk = spend.weekly_totals(tx)
+    comp = (F.when(F.col("previous_total").isNull(), F.lit("Primeira semana registrada."))
+            .when(F.col("total") > F.col("previous_total"),
+                  F.format_string("Acima da semana anterior (R$ %.2f).", F.col("previous_total")))
+            .otherwise(F.format_string("Abaixo ou igual à semana anterior (R$ %.2f).", F.col("previous_total"))))
+    g = nt.notify_from_template(wk, "weekly_summary", {"total": F.col("total"), "comparison": comp},
+                                F.concat_ws("|", F.col("user_id").cast("string"), F.col("week").cast("string")),
+                                F.col("week").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAYS"))
+    return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e).unionByName(f).unionByName(g)
+
+
+def _read_notifications(spark, sf):
+    n = _notifications(spark, sf)
+    reads = n.filter(F.substring("notification_id", 1, 1).isin("0", "1", "2", "3")).select(
+        "notification_id", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("read_at"))
+    return nt.resolve_reads(n, reads, td.mark_all_read_log(_events(spark, sf)))
+
+
+@register("notify_from_template")
+def q_notify_from_template(spark, sf):
+    return _notifications(spark, sf).select(*nt.NOTIF_COLS)
+
+
+@register("mark_read")
+def q_mark_read(spark, sf):
+    return _read_notifications(spark, sf).select("notification_id", "user_id", "read", "read_at")
+
+
+@register("unread_count")
+def q_unread_count(spark, sf):
+    return nt.unread_count(_read_notifications(spark, sf))
+
+
+@register("filter_notifications")
+def q_filter_notifications(spark, sf):
+    return nt.filter_notifications(_read_notifications(spark, sf), unread_only=True).select(
+        "user_id", "rank", "notification_id", "category", "created_at")
+
+
+@register("notification_retention")
+def q_notification_retention(spark, sf):
+    return nt.retain_newest(_notifications(spark, sf)).select("notification_id", "user_id", "created_at")
+
+
+def _alerts(spark, sf):
+    al = nt.alerts_from_risk(_checked(spark, sf))
+    acks = (al.filter(F.col("alert_id") % 3 == 0)
+            .select("alert_id", (F.col("created_at") + F.expr("INTERVAL 30 MINUTES")).alias("acknowledged_at"))
+            .unionByName(al.filter(F.col("alert_id") % 6 == 0).select(
+                "alert_id", (F.col("created_at") + F.expr("INTERVAL 2 HOURS")).alias("acknowledged_at"))))
+    return nt.acknowledge(al, acks)
+
+
+@register("alerts_from_risk")
+def q_alerts_from_risk(spark, sf):
+    return nt.alerts_from_risk(_checked(spark, sf))
+
+
+@register("acknowledge_alerts")
+def q_acknowledge_alerts(spark, sf):
+    return _alerts(spark, sf).select("alert_id", "user_id", "acknowledged", "acknowledged_at")
+
+
+@register("open_alerts")
+def q_open_alerts(spark, sf):
+    return nt.open_alerts(_alerts(spark, sf)).select("user_id", "rank", "alert_id", "alert_type", "risk_score")
+
+
+@register("tx_alerts")
+def q_tx_alerts(spark, sf):
+    return nt.tx_alerts(_alerts(spark, sf), _tx(spark, sf)).select(
+        "alert_id", "transaction_id", "alert_type", "amount", "category", "merchant")
+
+
+@register("goal_updates")
+def q_goal_updates(spark, sf):
+    return state.goal_updates(td.load_goals(spark, sf), td.goal_update_log(_events(spark, sf)))
+
+
+@register("profile_upsert")
+def q_profile_upsert(spark, sf):
+    base = td.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"),
+        F.lit(True).alias("night_protection_enabled"), F.lit(None).cast("double").alias("daily_limit"),
+        F.lit(None).cast("double").alias("monthly_limit"))
+    up = td.profile_update_log(_events(spark, sf)).withColumn("username", F.lit(None).cast("string"))
+    out = state.upsert(base, up, ["user_id"], "ts",
+                       ["username", "night_protection_enabled", "daily_limit", "monthly_limit"])
+    return out.select("user_id", "username", "night_protection_enabled",
+                      rnd("daily_limit", 2).alias("daily_limit"), rnd("monthly_limit", 2).alias("monthly_limit"))
+
+
+@register("delay_status")
+def q_delay_status(spark, sf):
+    d = iv.generate_intervention(_scored(spark, sf)).filter(F.col("delay_minutes").isNotNull()).select(
+        "user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
+        F.col("delay_expires_at").alias("expires_at"), F.col("delay_minutes").alias("minutes"))
+    return state.delay_status(d, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))

@@ -669,6 +669,165 @@ SELECT per.user_id, total, n_gentle, n_moderate, n_strong, n_critical, coalesce(
 FROM per LEFT JOIN act USING (user_id)"""
 
 
+# ----------------------------------------------- notifications, alerts, state
+SQL["weekly_totals"] = with_(TX) + """, g AS (
+  SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week, sum(amount) AS t
+  FROM tx WHERE transaction_type = 'debito' GROUP BY ALL)
+SELECT user_id, week, round_even(t, 2) AS total,
+       round_even(lag(t) OVER (PARTITION BY user_id ORDER BY week), 2) AS previous_total FROM g"""
+
+_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+def _nid(name: str, src: str) -> str:
+    return f"md5('{name}|' || CAST({src} AS VARCHAR))"
+
+
+def _m2(x: str) -> str:
+    return f"printf('%.2f', round_even({x}, 2))"
+
+
+_WK = """wk0 AS (SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week, sum(amount) AS t
+        FROM tx WHERE transaction_type = 'debito' GROUP BY ALL),
+wk AS (SELECT user_id, week, round_even(t, 2) AS total,
+              round_even(lag(t) OVER (PARTITION BY user_id ORDER BY week), 2) AS previous_total FROM wk0)"""
+
+_SUGG = """sr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY potential_savings DESC, b, i) AS rank2 FROM allb),
+tip AS (SELECT user_id, CASE WHEN type = 'category_reduction' THEN 'Reduza gastos com ' || name || ' em 30%'
+                             WHEN type = 'recurring_expense' THEN 'Você tem gasto recorrente em ' || name
+                             ELSE 'Você gasta significativamente durante a madrugada' END AS tip
+        FROM sr WHERE rank2 = 1)"""
+
+_NOTIF = f"""crit AS (
+  SELECT *, concat_ws(', ', CASE WHEN night_ THEN {_q(_BR[0])} END, CASE WHEN risk_score >= 80 THEN {_q(_BR[1])} END,
+                      CASE WHEN amount >= 500 THEN {_q(_BR[2])} END) AS r
+  FROM ivc WHERE level = 'critical'),
+notifs AS (
+  SELECT {_nid('night_alert', 'id')} AS notification_id, user_id, 'night_alert' AS template, '🌙 Alerta Noturno' AS title,
+         'Você está fazendo uma compra de R$ ' || {_m2('amount')} || ' às ' || CAST(hour("timestamp") AS VARCHAR)
+           || 'h. Compras neste horário tendem a ser por impulso.' AS message,
+         'alert' AS type, 'night' AS category, "timestamp" AS created_at
+  FROM checked3 WHERE alert_type = 'night'
+  UNION ALL
+  SELECT {_nid('anomaly_detected', 'id')}, user_id, 'anomaly_detected', '⚠️ Gasto Atípico',
+         'Detectamos um gasto incomum: R$ ' || {_m2('amount')} || ' em ' || category || '. Score de anomalia: '
+           || CAST(CAST(trunc(anomaly_score) AS INTEGER) AS VARCHAR) || '/100', 'warning', 'anomaly', "timestamp"
+  FROM res WHERE is_anomaly AND category IS NOT NULL
+  UNION ALL
+  SELECT {_nid('impulse_blocked', 'id')}, user_id, 'impulse_blocked', '🛑 Compra Bloqueada',
+         'Uma compra de R$ ' || {_m2('amount')} || ' foi bloqueada por medida de proteção. Motivo: '
+           || {_q(_ivd.BLOCK_PREFIX)} || CASE WHEN r = '' THEN {_q(_BR[3])} ELSE r END, 'critical', 'impulse', "timestamp"
+  FROM crit
+  UNION ALL
+  SELECT {_nid('goal_progress', 'goal_id')}, user_id, 'goal_progress', '🎯 Progresso da Meta',
+         'Você atingiu ' || printf('%.0f', round_even(current_amount / target_amount * 100, 0)) || '% da meta "' || name
+           || '"! Faltam R$ ' || {_m2('target_amount - current_amount')}, 'info', 'goal', {_AS_OF}
+  FROM goals WHERE status = 'active'
+  UNION ALL
+  SELECT {_nid('goal_achieved', 'goal_id')}, user_id, 'goal_achieved', '🎉 Meta Alcançada!',
+         'Parabéns! Você alcançou a meta "' || name || '"!', 'success', 'goal', {_AS_OF}
+  FROM goals WHERE status = 'completed'
+  UNION ALL
+  SELECT {_nid('savings_tip', 'user_id')}, user_id, 'savings_tip', '💡 Dica de Economia', tip, 'info', 'savings', {_AS_OF}
+  FROM tip
+  UNION ALL
+  SELECT md5('weekly_summary|' || CAST(user_id AS VARCHAR) || '|' || CAST(week AS VARCHAR)), user_id, 'weekly_summary',
+         '📊 Resumo Semanal',
+         'Esta semana você gastou R$ ' || {_m2('total')} || '. ' ||
+           CASE WHEN previous_total IS NULL THEN 'Primeira semana registrada.'
+                WHEN total > previous_total THEN printf('Acima da semana anterior (R$ %.2f).', previous_total)
+                ELSE printf('Abaixo ou igual à semana anterior (R$ %.2f).', previous_total) END,
+         'info', 'weekly', CAST(week AS TIMESTAMP) + INTERVAL 7 DAY
+  FROM wk)"""
+
+_NOTIF_ALL = with_(TX, RECENT, SCORED, SETTINGS, CHECKED, _HEUR, _IVC, GOALS, _recurring("tx"), _BRANCHES,
+                   _SUGG, _WK, _NOTIF)
+
+SQL["notify_from_template"] = _NOTIF_ALL + "SELECT * FROM notifs"
+
+_READS = """r1 AS (SELECT notification_id, min(created_at + INTERVAL 1 HOUR) AS r1 FROM notifs
+                 WHERE substr(notification_id, 1, 1) IN ('0','1','2','3') GROUP BY notification_id),
+ma AS (SELECT user_id, ts AS at FROM events WHERE event_type = 'error' AND event_id % 7 = 0),
+r2 AS (SELECT n.notification_id, min(ma.at) AS r2 FROM notifs n JOIN ma ON ma.user_id = n.user_id AND ma.at >= n.created_at
+       GROUP BY n.notification_id),
+rd AS (SELECT n.*, CASE WHEN r1.r1 IS NULL THEN r2.r2 WHEN r2.r2 IS NULL THEN r1.r1 ELSE least(r1.r1, r2.r2) END AS read_at
+       FROM notifs n LEFT JOIN r1 USING (notification_id) LEFT JOIN r2 USING (notification_id)),
+rd2 AS (SELECT *, read_at IS NOT NULL AS read FROM rd)"""
+
+SQL["mark_read"] = _NOTIF_ALL + ", " + _READS + "\nSELECT notification_id, user_id, read, read_at FROM rd2"
+SQL["unread_count"] = _NOTIF_ALL + ", " + _READS + """
+SELECT user_id, sum(CASE WHEN NOT read THEN 1 ELSE 0 END) AS unread FROM rd2 GROUP BY user_id"""
+SQL["filter_notifications"] = _NOTIF_ALL + ", " + _READS + """
+SELECT user_id, rank, notification_id, category, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, notification_id DESC) AS rank
+  FROM rd2 WHERE NOT read) WHERE rank <= 50"""
+SQL["notification_retention"] = _NOTIF_ALL + """
+SELECT notification_id, user_id, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, notification_id DESC) AS rn FROM notifs)
+WHERE rn <= 1000"""
+
+_ALERTS = f"""al AS (
+  SELECT id AS alert_id, id AS transaction_id, user_id, alert_type,
+         'Transação de R$' || {_m2('amount')} || ' em ' || coalesce(category, 'categoria desconhecida') AS message,
+         checked_score AS risk_score, "timestamp" AS created_at
+  FROM checked3 WHERE alert_type IS NOT NULL),
+acks AS (SELECT alert_id, created_at + INTERVAL 30 MINUTE AS acknowledged_at FROM al WHERE alert_id % 3 = 0
+         UNION ALL SELECT alert_id, created_at + INTERVAL 2 HOUR FROM al WHERE alert_id % 6 = 0),
+alk AS (SELECT al.*, a.acknowledged_at, a.acknowledged_at IS NOT NULL AS acknowledged
+        FROM al LEFT JOIN (SELECT alert_id, max(acknowledged_at) AS acknowledged_at FROM acks GROUP BY alert_id) a
+        USING (alert_id))"""
+
+_AL_BASE = with_(TX, RECENT, SCORED, SETTINGS, CHECKED, _ALERTS)
+SQL["alerts_from_risk"] = _AL_BASE + "SELECT * FROM al"
+SQL["acknowledge_alerts"] = _AL_BASE + "SELECT alert_id, user_id, acknowledged, acknowledged_at FROM alk"
+SQL["open_alerts"] = _AL_BASE + """
+SELECT user_id, rank, alert_id, alert_type, risk_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, alert_id DESC) AS rank
+  FROM alk WHERE NOT acknowledged) WHERE rank <= 10"""
+SQL["tx_alerts"] = _AL_BASE + """
+SELECT alk.alert_id, alk.transaction_id, alk.alert_type, t.amount, t.category, t.merchant
+FROM alk LEFT JOIN tx t ON t.id = alk.transaction_id"""
+
+SQL["goal_updates"] = with_(GOALS) + """, lg AS (SELECT user_id AS goal_id, value * 50 AS amount, ts FROM events WHERE event_type = 'signup'),
+last AS (SELECT goal_id, arg_max(amount, ts) AS amount, max(ts) AS updated_at FROM lg GROUP BY goal_id),
+hit AS (SELECT lg.goal_id, max(CASE WHEN lg.amount >= g.target_amount THEN 1 ELSE 0 END) AS hit
+        FROM lg JOIN goals g USING (goal_id) GROUP BY lg.goal_id)
+SELECT g.goal_id, g.user_id, g.name, g.target_amount, coalesce(last.amount, g.current_amount) AS current_amount,
+       CASE WHEN g.status = 'completed' OR coalesce(hit.hit, 0) = 1 THEN 'completed' ELSE g.status END AS status,
+       last.updated_at
+FROM goals g LEFT JOIN last USING (goal_id) LEFT JOIN hit USING (goal_id)"""
+
+SQL["profile_upsert"] = """WITH base AS (
+  SELECT c_custkey AS user_id, c_name AS username, true AS night_protection_enabled,
+         CAST(NULL AS DOUBLE) AS daily_limit, CAST(NULL AS DOUBLE) AS monthly_limit FROM customer),
+up AS (SELECT user_id, ts,
+              CASE WHEN event_type = 'purchase' THEN value * 10 END AS daily_limit,
+              CASE WHEN event_type = 'signup' THEN value * 100 END AS monthly_limit,
+              CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN event_id % 4 = 0 END AS night_protection_enabled
+       FROM events),
+lu AS (SELECT user_id, arg_max(daily_limit, CASE WHEN daily_limit IS NOT NULL THEN ts END) AS daily_limit,
+              arg_max(monthly_limit, CASE WHEN monthly_limit IS NOT NULL THEN ts END) AS monthly_limit,
+              arg_max(night_protection_enabled, CASE WHEN night_protection_enabled IS NOT NULL THEN ts END) AS npe
+       FROM up GROUP BY user_id)
+SELECT coalesce(b.user_id, lu.user_id) AS user_id, b.username,
+       coalesce(lu.npe, b.night_protection_enabled) AS night_protection_enabled,
+       round_even(coalesce(lu.daily_limit, b.daily_limit), 2) AS daily_limit,
+       round_even(coalesce(lu.monthly_limit, b.monthly_limit), 2) AS monthly_limit
+FROM base b FULL OUTER JOIN lu ON b.user_id = lu.user_id"""
+
+SQL["delay_status"] = _IV_BASE + f""", dl AS (
+  SELECT user_id, id AS transaction_id, "timestamp" AS set_at,
+         "timestamp" + ({_DELAY}) * INTERVAL 1 MINUTE AS expires_at FROM ivc WHERE {_DELAY} IS NOT NULL),
+last AS (SELECT user_id, transaction_id, arg_max(expires_at, set_at) AS expires_at FROM dl GROUP BY ALL),
+st AS (SELECT *, TIMESTAMP '2024-01-15 12:00:00' < expires_at AS active,
+              epoch(expires_at) - epoch(TIMESTAMP '2024-01-15 12:00:00') AS rem FROM last)
+SELECT user_id, transaction_id, expires_at, active,
+       CASE WHEN active THEN CAST(floor(rem) AS BIGINT) END AS remaining_seconds,
+       CASE WHEN active THEN round_even(rem / 60, 1) END AS remaining_minutes,
+       NOT active AS expired, NOT active AS can_proceed
+FROM st"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("

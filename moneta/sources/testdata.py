@@ -137,3 +137,31 @@ def supplier_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_extendedprice").alias("amount"),
         )
     )
+
+
+# ---------------------------------------------------------------- change logs
+# Fixture rules (ours): the driver's tables carry no logs, so logs are derived
+# deterministically from event rows.
+
+def goal_update_log(events: DataFrame) -> DataFrame:
+    """Goal progress updates: every signup event sets its user's goal to value * 50."""
+    return events.filter(F.col("event_type") == "signup").select(
+        F.col("user_id").alias("goal_id"), (F.col("value") * 50).alias("amount"), F.col("ts"))
+
+
+def profile_update_log(events: DataFrame) -> DataFrame:
+    """Profile field updates: purchases set daily_limit, signups monthly_limit,
+    even error events toggle night protection."""
+    et = F.col("event_type")
+    return events.select(
+        "user_id", "ts",
+        F.when(et == "purchase", F.col("value") * 10).alias("daily_limit"),
+        F.when(et == "signup", F.col("value") * 100).alias("monthly_limit"),
+        F.when((et == "error") & (F.col("event_id") % 2 == 0), F.col("event_id") % 4 == 0)
+        .alias("night_protection_enabled"))
+
+
+def mark_all_read_log(events: DataFrame) -> DataFrame:
+    """'Mark all read' actions: error events whose id is a multiple of 7."""
+    return events.filter((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)).select(
+        "user_id", F.col("ts").alias("at"))
