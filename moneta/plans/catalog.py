@@ -616,3 +616,106 @@ def q_delay_status(spark, sf):
         "user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
         F.col("delay_expires_at").alias("expires_at"), F.col("delay_minutes").alias("minutes"))
     return state.delay_status(d, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+
+
+# ------------------------------------------------------------- files, sinks
+import uuid  # noqa: E402
+
+from moneta.session import checkpoint_dir  # noqa: E402
+from moneta.sources import bank_csv, extraction, files, ofx, sinks  # noqa: E402
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for files a query writes."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/moneta-files/{name}-{uuid.uuid4().hex}"
+
+
+def _bank_csv_import(spark, sf, locale=None):
+    path = scratch(spark, "bank_csv")
+    tx = _tx(spark, sf)
+    odd = F.col("id") % 97 == 0
+    signed = F.when(F.col("transaction_type") == "credito", F.col("amount")).otherwise(-F.col("amount"))
+    valor = (F.when(odd, F.concat(F.lit("R$ 1."), F.lpad(F.replace(F.format_string("%.2f", F.abs(signed)),
+                                                                  F.lit("."), F.lit(",")), 6, "0")))
+             .otherwise(F.concat(F.lit("R$ "), F.replace(F.format_string("%.2f", signed), F.lit("."), F.lit(",")))))
+    (tx.select(F.date_format("date", "dd/MM/yyyy").alias("Data"), F.col("description").alias("Descricao"),
+               valor.alias("Valor"), "id")
+     .drop("id").write.option("header", True).option("sep", ";").csv(path))
+    return bank_csv.read_bank_csv(spark, path, locale=locale)
+
+
+@register("import_bank_csv")
+def q_import_bank_csv(spark, sf):
+    return _bank_csv_import(spark, sf).rows
+
+
+@register("import_bank_csv_rejects")
+def q_import_bank_csv_rejects(spark, sf):
+    return _bank_csv_import(spark, sf).rejects
+
+
+@register("import_bank_csv_pt_br")
+def q_import_bank_csv_pt_br(spark, sf):
+    return _bank_csv_import(spark, sf, locale="pt_BR").rows
+
+
+@register("import_ofx")
+def q_import_ofx(spark, sf):
+    path = scratch(spark, "ofx")
+    ofx.render_ofx_docs(_tx(spark, sf)).write.text(path)
+    return ofx.read_ofx(spark, path, whole_files=False).drop("doc_path")
+
+
+def _orders(spark, sf):
+    return td.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+
+
+@register("flatten_receipt")
+def q_flatten_receipt(spark, sf):
+    li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+                                                "l_quantity")
+    rec = extraction.render_receipts(_orders(spark, sf), li)
+    return extraction.flatten_receipt(rec).select(
+        "doc_id", "raw_text", "data", rnd("valor_total", 2).alias("valor_total"), "estabelecimento",
+        "item_pos", "item_descricao", rnd("item_valor", 2).alias("item_valor"), "item_quantidade")
+
+
+@register("merge_bill_pages")
+def q_merge_bill_pages(spark, sf):
+    pages = extraction.render_bill_pages(_orders(spark, sf))
+    m = extraction.merge_bill_pages(pages)
+    return m.select("doc_id", "page", "pos", "banco", "mes_referencia", "vencimento",
+                    rnd("valor_total", 2).alias("valor_total"), rnd("valor_minimo", 2).alias("valor_minimo"),
+                    "data", "descricao", rnd("valor", 2).alias("valor"))
+
+
+@register("route_by_format")
+def q_route_by_format(spark, sf):
+    base = scratch(spark, "uploads")
+    tx = _tx(spark, sf)
+    lines = bank_csv.render_bank_csv_lines(tx)
+    lines.write.csv(f"{base}/csv")                       # .csv: routed to the CSV reader
+    ofx.render_ofx_docs(tx).write.text(f"{base}/ofx")    # .txt: not an allowed upload
+    tx.select("id", "amount").write.json(f"{base}/json")  # .json: not an allowed upload
+    r = files.route_by_format(spark, base)
+    return r.groupBy("extension", "allowed", "reader").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def _store(spark, sf):
+    path = scratch(spark, "store")
+    sinks.append_transactions(_tx(spark, sf).select("id", "user_id", "date", "timestamp", "amount", "merchant",
+                                                    "description", "category"), path)
+    return path
+
+
+@register("append_transactions")
+def q_append_transactions(spark, sf):
+    return spark.read.parquet(_store(spark, sf)).select(
+        "id", "user_id", "date", "amount", "transaction_type", "is_night", "risk_score", "source", "year_month")
+
+
+@register("scan_transactions")
+def q_scan_transactions(spark, sf):
+    s = sinks.scan_transactions(spark, _store(spark, sf), start="2024-01-10", end="2024-01-20",
+                                category="delivery", limit=100)
+    return s.select("id", "user_id", "date", "amount", "category")

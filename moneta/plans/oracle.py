@@ -828,6 +828,82 @@ SELECT user_id, transaction_id, expires_at, active,
 FROM st"""
 
 
+# ------------------------------------------------------------- files, sinks
+_SIGNED = "CASE WHEN transaction_type = 'credito' THEN amount ELSE -amount END"
+_ODDTXT = f"'R$ 1.' || lpad(replace(printf('%.2f', abs({_SIGNED})), '.', ','), 6, '0')"
+
+SQL["import_bank_csv"] = with_(TX) + f"""
+SELECT strftime(date, '%d/%m/%Y') AS data, description AS descricao,
+       abs(CAST(printf('%.2f', {_SIGNED}) AS DOUBLE)) AS valor,
+       CASE WHEN {_SIGNED} > 0 THEN 'credito' ELSE 'debito' END AS tipo, 'outros' AS categoria_sugerida, date
+FROM tx WHERE id % 97 <> 0"""
+
+SQL["import_bank_csv_rejects"] = with_(TX) + f"""
+SELECT strftime(date, '%d/%m/%Y') AS data, description AS descricao, {_ODDTXT} AS valor_texto
+FROM tx WHERE id % 97 = 0"""
+
+SQL["import_bank_csv_pt_br"] = with_(TX) + f"""
+SELECT strftime(date, '%d/%m/%Y') AS data, description AS descricao,
+       CASE WHEN id % 97 = 0 THEN CAST(replace('1' || lpad(replace(printf('%.2f', abs({_SIGNED})), '.', ','), 6, '0'), ',', '.') AS DOUBLE)
+            ELSE abs(CAST(printf('%.2f', {_SIGNED}) AS DOUBLE)) END AS valor,
+       CASE WHEN id % 97 = 0 OR {_SIGNED} > 0 THEN 'credito' ELSE 'debito' END AS tipo,
+       'outros' AS categoria_sugerida, date
+FROM tx"""
+
+SQL["import_ofx"] = with_(TX) + f"""
+SELECT 'Banco Teste' AS banco, CAST(user_id AS VARCHAR) AS conta, strftime(date, '%d/%m/%Y') AS periodo_inicio,
+       strftime(date, '%d/%m/%Y') AS periodo_fim,
+       CAST(printf('%.2f', sum({_SIGNED}) OVER (PARTITION BY user_id, date)) AS DOUBLE) AS saldo_final,
+       row_number() OVER (PARTITION BY user_id, date ORDER BY "timestamp", id) - 1 AS pos,
+       CAST(id AS VARCHAR) AS fitid, strftime(date, '%d/%m/%Y') AS data,
+       CASE WHEN id % 4 <> 0 THEN description WHEN id % 2 = 0 THEN merchant ELSE 'Sem descrição' END AS descricao,
+       abs(CAST(printf('%.2f', {_SIGNED}) AS DOUBLE)) AS valor,
+       CASE WHEN {_SIGNED} > 0 THEN 'credito' ELSE 'debito' END AS tipo, 'outros' AS categoria_sugerida
+FROM tx"""
+
+SQL["flatten_receipt"] = """WITH it AS (
+  SELECT l_orderkey, 'Item ' || CAST(l_partkey AS VARCHAR) AS descricao, l_extendedprice AS valor,
+         l_quantity AS quantidade,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, descricao, valor, quantidade) - 1 AS pos
+  FROM lineitem),
+o AS (SELECT *, o_orderkey % 17 = 0 AS bad FROM orders)
+SELECT o.o_orderkey AS doc_id, CASE WHEN bad THEN 'Não consegui ler o documento.' END AS raw_text,
+       CASE WHEN NOT bad THEN strftime(o_orderdate, '%d/%m/%Y') END AS data,
+       CASE WHEN NOT bad THEN round_even(o_totalprice, 2) END AS valor_total,
+       CASE WHEN NOT bad THEN 'Loja ' || CAST(o_custkey AS VARCHAR) END AS estabelecimento,
+       CASE WHEN NOT bad THEN it.pos END AS item_pos, CASE WHEN NOT bad THEN it.descricao END AS item_descricao,
+       CASE WHEN NOT bad THEN round_even(it.valor, 2) END AS item_valor,
+       CASE WHEN NOT bad THEN it.quantidade END AS item_quantidade
+FROM o LEFT JOIN it ON it.l_orderkey = o.o_orderkey AND NOT o.bad"""
+
+SQL["merge_bill_pages"] = """WITH b AS (
+  SELECT o_custkey * 1000000 + CAST(strftime(o_orderdate, '%Y%m') AS BIGINT) AS doc_id, o_orderkey % 3 AS page,
+         strftime(o_orderdate, '%d/%m/%Y') AS data, 'Pedido ' || CAST(o_orderkey AS VARCHAR) AS descricao,
+         o_totalprice AS valor, o_orderkey AS k, strftime(o_orderdate, '%Y%m') AS ym
+  FROM orders),
+pg AS (SELECT doc_id, page, ym, sum(valor) AS tot, min(k) AS k FROM b GROUP BY ALL),
+ok AS (SELECT * FROM pg WHERE k % 17 <> 0),
+hdr AS (SELECT doc_id, arg_min(tot, page) AS tot, arg_min(ym, page) AS ym FROM ok GROUP BY doc_id),
+items AS (SELECT b.doc_id, b.page, b.data, b.descricao, b.valor,
+                 row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY b.data, b.descricao) - 1 AS pos
+          FROM b JOIN ok USING (doc_id, page))
+SELECT doc_id, page, pos, 'Cartão Teste' AS banco, substr(hdr.ym, 5, 2) || '/' || substr(hdr.ym, 1, 4) AS mes_referencia,
+       '10/' || substr(hdr.ym, 5, 2) || '/' || substr(hdr.ym, 1, 4) AS vencimento,
+       round_even(hdr.tot, 2) AS valor_total, round_even(hdr.tot * 0.15::DOUBLE, 2) AS valor_minimo,
+       data, descricao, round_even(valor, 2) AS valor
+FROM items JOIN hdr USING (doc_id)"""
+
+SQL["append_transactions"] = with_(TX) + """
+SELECT id, user_id, date, amount, 'debito' AS transaction_type, false AS is_night, 0 AS risk_score,
+       'import' AS source, strftime(date, '%Y-%m') AS year_month
+FROM tx"""
+
+SQL["scan_transactions"] = with_(TX) + """
+SELECT id, user_id, date, amount, category FROM tx
+WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND category = 'delivery'
+ORDER BY date DESC, id DESC LIMIT 100"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
