@@ -719,3 +719,36 @@ def q_scan_transactions(spark, sf):
     s = sinks.scan_transactions(spark, _store(spark, sf), start="2024-01-10", end="2024-01-20",
                                 category="delivery", limit=100)
     return s.select("id", "user_id", "date", "amount", "category")
+
+
+# -------------------------------------------------------- forecasts, clusters
+from moneta.operators import clusters as cl  # noqa: E402
+from moneta.operators import forecast as fc  # noqa: E402
+
+
+@register("forecast_hw_fixed")
+def q_forecast_hw_fixed(spark, sf):
+    return fc.forecast_hw_fixed(_tx(spark, sf))
+
+
+@register("forecast_hw")
+def q_forecast_hw(spark, sf):
+    daily, _ = fc.forecast_hw(_tx(spark, sf))
+    return daily.select("user_id", "h", "date", "predicted", "lower", "upper")
+
+
+@register("forecast_hw_summary")
+def q_forecast_hw_summary(spark, sf):
+    return fc.forecast_hw(_tx(spark, sf))[1]
+
+
+@register("spend_clusters")
+def q_spend_clusters(spark, sf):
+    out, _ = cl.spend_clusters(_tx(spark, sf))
+    return out.select("id", "user_id", "cluster")
+
+
+@register("describe_clusters")
+def q_describe_clusters(spark, sf):
+    out, _ = cl.spend_clusters(_tx(spark, sf))
+    return cl.describe_clusters(out)
