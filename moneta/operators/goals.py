@@ -41,7 +41,7 @@ def goal_impact(tx: DataFrame, goals: DataFrame, keys: Sequence[str] = K) -> Dat
              .agg(F.min_by(F.struct("name", "target_amount"), F.col("goal_id")).alias("_g")))
     return (tx.select("id", *keys, "amount").join(first, list(keys))
             .select("id", *keys, F.col("_g.name").alias("goal_name"),
-                    rnd(F.col("amount") / F.col("_g.target_amount") * 100, 1).alias("goal_percent")))
+                    rnd(F.try_divide(F.col("amount"), F.col("_g.target_amount")) * 100, 1).alias("goal_percent")))
 
 
 def months_to_goal(goals: DataFrame, totals: DataFrame, keys: Sequence[str] = K) -> DataFrame:

@@ -63,7 +63,7 @@ def by_category(tx: DataFrame, keys: Sequence[str] = K, types: Sequence[str] | N
         rnd(F.stddev_samp("amount"), 2).alias("desvio"),
     )
     return (attach(per, grand, keys)
-            .withColumn("percentual", rnd(F.col("total") / F.col("_grand") * 100, 1))
+            .withColumn("percentual", rnd(F.try_divide(F.col("total"), F.col("_grand")) * 100, 1))
             .drop("_grand"))
 
 
@@ -124,10 +124,14 @@ def trend(daily: DataFrame, keys: Sequence[str] = K, min_days: int = 7) -> DataF
     x = daily.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
     g = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"),
-        F.regr_slope("amount", "_x").alias("_slope"),
-        F.corr("_x", "amount").alias("_r"),
+        F.covar_pop("_x", "amount").alias("_cxy"),
+        F.var_pop("_x").alias("_vx"),
+        F.var_pop("amount").alias("_vy"),
         F.avg("amount").alias("_mean"),
     )
+    # slope and r from population moments; try_divide: a flat series has no r (treated as 0)
+    g = (g.withColumn("_slope", F.coalesce(F.try_divide(F.col("_cxy"), F.col("_vx")), F.lit(0.0)))
+         .withColumn("_r", F.try_divide(F.col("_cxy"), F.sqrt(F.col("_vx") * F.col("_vy")))))
     r = F.coalesce(F.nanvl(F.col("_r"), F.lit(0.0)), F.lit(0.0))
     enough = F.col("n_days") >= min_days
     ar = F.abs(r)
@@ -161,7 +165,7 @@ def category_share(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     tot = deb.groupBy(*keys).agg(F.sum("amount").alias("_p"))
     return (attach(per, tot, keys)
             .select(*keys, "category", rnd(F.col("_t"), 2).alias("total"),
-                    rnd(F.col("_t") / F.col("_p") * 100, 1).alias("share_pct")))
+                    rnd(F.try_divide(F.col("_t"), F.col("_p")) * 100, 1).alias("share_pct")))
 
 
 def running_balance(tx: DataFrame, keys: Sequence[str] = K, opening: float | Column = 0.0) -> DataFrame:
