@@ -752,3 +752,40 @@ def q_spend_clusters(spark, sf):
 def q_describe_clusters(spark, sf):
     out, _ = cl.spend_clusters(_tx(spark, sf))
     return cl.describe_clusters(out)
+
+
+# ---------------------------------------------------------------- streaming
+from moneta.streaming import risk_stream as rs  # noqa: E402
+
+
+def _replayed_tx(spark, sf):
+    base = scratch(spark, "stream")
+    ev = rs.replay_events(spark, sf, f"{base}/in")
+    return base, td.transactions_from_events(ev)
+
+
+@register("stream_risk")
+def q_stream_risk(spark, sf):
+    base, tx = _replayed_tx(spark, sf)
+    out = rs.stream_risk(tx).select("id", "user_id", "recent_count", "risk_score", "is_high_risk")
+    rs.run_to_table(out, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_daily")
+def q_stream_daily(spark, sf):
+    base, tx = _replayed_tx(spark, sf)
+    rs.run_to_table(rs.stream_daily(tx), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select("user_id", "date", rnd("amount", 2).alias("amount"), "n")
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf):
+    base, tx = _replayed_tx(spark, sf)
+    q = (rs.stream_risk(tx).writeStream.foreachBatch(rs.alerts_sink(f"{base}/alerts"))
+         .option("checkpointLocation", f"{base}/ckpt").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{base}/alerts").select("id", "user_id", "risk_score", "alert_type")

@@ -904,6 +904,17 @@ WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND category = 'deliv
 ORDER BY date DESC, id DESC LIMIT 100"""
 
 
+# ---------------------------------------------------------------- streaming
+SQL["stream_risk"] = with_(TX, RECENT, SCORED) + "SELECT id, user_id, recent_count, risk_score, is_high_risk FROM scored2"
+SQL["stream_alerts"] = with_(TX, RECENT, SCORED) + """
+SELECT id, user_id, risk_score, CASE WHEN is_night THEN 'night' ELSE 'impulse' END AS alert_type
+FROM scored2 WHERE is_high_risk"""
+# a day is emitted once the watermark (latest event - 1 hour) passes its end: the last day stays open
+SQL["stream_daily"] = with_(TX) + """, d AS (
+  SELECT user_id, date, round_even(sum(amount), 2) AS amount, count(*) AS n FROM tx GROUP BY user_id, date)
+SELECT * FROM d WHERE date + INTERVAL 1 DAY <= (SELECT max("timestamp") - INTERVAL 1 HOUR FROM tx)"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
