@@ -65,3 +65,36 @@ def behavior_profile(ind: DataFrame, keys: Sequence[str] = K) -> DataFrame:
         F.array_join(F.transform(second, lambda x: x["name"]), ",").alias("secondary_profiles"),
         *[rnd(s, 6).alias(f"score_{i}") for i, s in enumerate(scores.values())],
     )
+
+
+# FIXED VALUES — profile definitions (description, risk level, suggestions)
+PROFILE_DEFINITIONS = {
+    "notívago": ("Tendência a gastar mais durante a madrugada", "alto",
+                 ["Evite ter apps de compras no celular", "Configure bloqueio de cartão à noite",
+                  "Deixe dinheiro separado para emergências"]),
+    "impulsivo": ("Compras frequentes não planejadas", "alto",
+                  ["Use a regra das 48h antes de comprar", "Faça lista antes de ir às compras",
+                   "Defina um limite diário de gastos"]),
+    "social": ("Gastos concentrados em lazer e alimentação fora", "médio",
+               ["Cozinhe mais em casa", "Limite saídas a X vezes por semana",
+                "Busque programas gratuitos de lazer"]),
+    "controlado": ("Padrão de gastos estável e previsível", "baixo",
+                   ["Continue assim!", "Considere aumentar investimentos", "Explore otimizações em gastos fixos"]),
+    "sazonal": ("Gastos variam muito ao longo do mês", "médio",
+                ["Distribua gastos ao longo do mês", "Antecipe compras de alto valor",
+                 "Crie reserva para picos sazonais"]),
+}
+
+
+def profile_dimension(spark) -> DataFrame:
+    """The profile definitions as a small fixed dimension (5 rows)."""
+    rows = [(k, d, r, s) for k, (d, r, s) in PROFILE_DEFINITIONS.items()]
+    return spark.createDataFrame(rows, "profile string, description string, risk_level string, suggestions array<string>")
+
+
+def profile_details(profiles: DataFrame) -> DataFrame:
+    """Dimension lookup: broadcast left join (5 fixed rows) with an empty default."""
+    dim = F.broadcast(profile_dimension(profiles.sparkSession))
+    return (profiles.join(dim, "profile", "left")
+            .withColumn("description", F.coalesce("description", F.lit("")))
+            .withColumn("risk_level", F.coalesce("risk_level", F.lit(""))))

@@ -229,3 +229,20 @@ def weekly_totals(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("week")
     return g.select(*keys, "week", rnd("_t", 2).alias("total"),
                     rnd(F.lag("_t").over(w), 2).alias("previous_total"))
+
+
+def budget_usage(tx: DataFrame, limits: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """Debit spending per month against each key's monthly limit (percent)."""
+    deb = tx.filter(F.col("transaction_type") == "debito")
+    m = deb.groupBy(*keys, F.date_format("date", "yyyy-MM").alias("year_month")).agg(F.sum("amount").alias("_s"))
+    j = m.join(limits.select(*keys, "monthly_limit"), list(keys))
+    return j.select(*keys, "year_month", rnd("_s", 2).alias("spent"), rnd("monthly_limit", 2).alias("monthly_limit"),
+                    rnd(F.try_divide(F.col("_s"), F.col("monthly_limit")) * 100, 1).alias("percent"))
+
+
+def zscore_amount(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """(amount - key mean) / key population std (null when the std is 0)."""
+    st = tx.groupBy(*keys).agg(F.avg("amount").alias("_m"), F.stddev_pop("amount").alias("_s"))
+    j = attach(tx, st, keys)
+    return j.withColumn("z", F.try_divide(F.col("amount") - F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0)))) \
+        .drop("_m", "_s")

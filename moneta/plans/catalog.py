@@ -789,3 +789,55 @@ def q_stream_alerts(spark, sf):
     finally:
         q.stop()
     return spark.read.parquet(f"{base}/alerts").select("id", "user_id", "risk_score", "alert_type")
+
+
+# ------------------------------------------------------------------ extras
+@register("behavior_profile_details")
+def q_behavior_profile_details(spark, sf):
+    d = profile.profile_details(profile.behavior_profile(profile.behavior_indicators(_tx(spark, sf))))
+    return d.select("user_id", "profile", "description", "risk_level",
+                    F.array_join(F.coalesce("suggestions", F.array()), "|").alias("suggestions"))
+
+
+@register("by_decade_wide")
+def q_by_decade_wide(spark, sf):
+    w = spend.by_decade_wide(_tx(spark, sf))
+    return w.select("user_id", "year_month", *[F.col(f"{d}_{m}").alias(f"{m}_{d}") for d in ("1_10", "11_20", "21_31")
+                                               for m in ("receipts", "payments")])
+
+
+@register("zscore_amount")
+def q_zscore_amount(spark, sf):
+    return spend.zscore_amount(_tx(spark, sf)).select("id", "user_id", rnd("z", 6).alias("z"))
+
+
+@register("budget_usage")
+def q_budget_usage(spark, sf):
+    limits = q_profile_upsert(spark, sf).filter(F.col("monthly_limit").isNotNull())
+    return spend.budget_usage(_tx(spark, sf), limits)
+
+
+@register("merge_statement_pages")
+def q_merge_statement_pages(spark, sf):
+    m = extraction.merge_statement_pages(extraction.render_statement_pages(_tx(spark, sf)))
+    return m.select("doc_id", "page", "pos", "banco", "conta", rnd("saldo_final", 2).alias("saldo_final"),
+                    "data", "descricao", rnd("valor", 2).alias("valor"), "tipo", "categoria_sugerida")
+
+
+@register("nb_model_roundtrip")
+def q_nb_model_roundtrip(spark, sf):
+    path = scratch(spark, "nb_model")
+    _nb_model(spark, sf).persist(path)
+    m = cz.NBModel.load(spark, path)
+    return m.log_probs.select("label", "term", rnd("log_prob", 6).alias("log_prob"))
+
+
+@register("stream_delays")
+def q_stream_delays(spark, sf):
+    base = scratch(spark, "delays")
+    d = (iv.generate_intervention(_scored(spark, sf)).filter(F.col("delay_minutes").isNotNull())
+         .select("user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
+                 F.col("delay_expires_at").alias("expires_at")))
+    stream = rs.replay_frame(spark, d, "set_at", f"{base}/in")
+    rs.run_to_table(rs.stream_delays(stream), f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")

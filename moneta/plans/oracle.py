@@ -915,6 +915,66 @@ SQL["stream_daily"] = with_(TX) + """, d AS (
 SELECT * FROM d WHERE date + INTERVAL 1 DAY <= (SELECT max("timestamp") - INTERVAL 1 HOUR FROM tx)"""
 
 
+# ------------------------------------------------------------------ extras
+from moneta.operators.profile import PROFILE_DEFINITIONS as _PD  # noqa: E402
+
+_PDIM = "pdim AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({_q(k)}, {_q(d)}, {_q(r)}, {_q('|'.join(sg))})" for k, (d, r, sg) in _PD.items()
+) + ") t(profile, description, risk_level, suggestions))"
+
+SQL["behavior_profile_details"] = SQL["behavior_profile"].replace(
+    "\nSELECT sc.user_id, coalesce(agg.top_nm, 'controlado') AS profile,",
+    ", " + _PDIM + ",\nprof AS (SELECT sc.user_id, coalesce(agg.top_nm, 'controlado') AS profile,", 1) + """)
+SELECT prof.user_id, prof.profile, coalesce(pdim.description, '') AS description,
+       coalesce(pdim.risk_level, '') AS risk_level, coalesce(pdim.suggestions, '') AS suggestions
+FROM prof LEFT JOIN pdim USING (profile)"""
+
+SQL["by_decade_wide"] = _decade_sql("tx", TX).replace("SELECT *, round_even(receipts - payments, 2) AS difference FROM b", """
+SELECT user_id, year_month,
+       max(CASE WHEN decade = '1_10' THEN receipts END) AS receipts_1_10, max(CASE WHEN decade = '1_10' THEN payments END) AS payments_1_10,
+       max(CASE WHEN decade = '11_20' THEN receipts END) AS receipts_11_20, max(CASE WHEN decade = '11_20' THEN payments END) AS payments_11_20,
+       max(CASE WHEN decade = '21_31' THEN receipts END) AS receipts_21_31, max(CASE WHEN decade = '21_31' THEN payments END) AS payments_21_31
+FROM b GROUP BY user_id, year_month""")
+
+SQL["zscore_amount"] = with_(TX) + """, st AS (SELECT user_id, avg(amount) AS m, stddev_pop(amount) AS s FROM tx GROUP BY user_id)
+SELECT id, user_id, round_even((amount - m) / nullif(s, 0.0), 6) AS z FROM tx JOIN st USING (user_id)"""
+
+SQL["budget_usage"] = with_(TX) + """, up AS (SELECT user_id, ts, CASE WHEN event_type = 'signup' THEN value * 100 END AS ml FROM events),
+lim AS (SELECT user_id, arg_max(ml, CASE WHEN ml IS NOT NULL THEN ts END) AS ml FROM up GROUP BY user_id),
+lim2 AS (SELECT c_custkey AS user_id, round_even(lim.ml, 2) AS monthly_limit FROM customer JOIN lim ON lim.user_id = c_custkey
+         WHERE lim.ml IS NOT NULL),
+m AS (SELECT user_id, strftime(date, '%Y-%m') AS year_month, sum(amount) AS s FROM tx WHERE transaction_type = 'debito' GROUP BY ALL)
+SELECT m.user_id, year_month, round_even(s, 2) AS spent, round_even(monthly_limit, 2) AS monthly_limit,
+       round_even(s / monthly_limit * 100, 1) AS percent
+FROM m JOIN lim2 USING (user_id)"""
+
+SQL["merge_statement_pages"] = with_(TX) + """, b AS (
+  SELECT user_id, user_id * 1000000 + CAST(strftime(date, '%Y%m') AS BIGINT) AS doc_id,
+         CASE WHEN day(date) <= 10 THEN 0 WHEN day(date) <= 20 THEN 1 ELSE 2 END AS page,
+         strftime(date, '%d/%m/%Y') AS data, description AS descricao, amount AS valor, transaction_type AS tipo,
+         coalesce(category, 'outros') AS categoria_sugerida, id AS k
+  FROM tx),
+pg AS (SELECT doc_id, page, any_value(user_id) AS user_id, min(k) AS k,
+              sum(CASE WHEN tipo = 'credito' THEN valor ELSE -valor END) AS net FROM b GROUP BY doc_id, page),
+ok AS (SELECT * FROM pg WHERE k % 17 <> 0),
+hdr AS (SELECT doc_id, arg_min(net, page) AS net, arg_min(user_id, page) AS uid FROM ok GROUP BY doc_id),
+items AS (SELECT b.*, row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY b.data, b.descricao, b.valor, b.tipo, b.categoria_sugerida, b.k) - 1 AS pos
+          FROM b JOIN ok USING (doc_id, page))
+SELECT doc_id, page, pos, 'Banco Teste' AS banco, CAST(hdr.uid AS VARCHAR) AS conta, round_even(hdr.net, 2) AS saldo_final,
+       data, descricao, round_even(valor, 2) AS valor, tipo, categoria_sugerida
+FROM items JOIN hdr USING (doc_id)"""
+
+SQL["nb_model_roundtrip"] = SQL["nb_log_probs"]
+
+
+# timers fire once the watermark (latest set_at - 1 hour) has passed the expiry
+SQL["stream_delays"] = _IV_BASE + f""", dl AS (
+  SELECT user_id, id AS transaction_id, "timestamp" AS set_at,
+         "timestamp" + ({_DELAY}) * INTERVAL 1 MINUTE AS expires_at FROM ivc WHERE {_DELAY} IS NOT NULL)
+SELECT user_id, transaction_id, expires_at, true AS can_proceed FROM dl
+WHERE expires_at < (SELECT max(set_at) FROM dl) - INTERVAL 1 HOUR"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("

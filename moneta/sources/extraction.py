@@ -139,3 +139,26 @@ def render_bill_pages(orders: DataFrame) -> DataFrame:
         F.transform("ts", lambda x: x.dropFields("k")).alias("transacoes")))
     return g.select((F.col("o_custkey") * 1000000 + F.col("ym").cast("long")).alias("doc_id"), "page",
                     _fence(body, F.col("k")).alias("content"))
+
+
+def render_statement_pages(tx: DataFrame) -> DataFrame:
+    """Bank statements: one per user and month, one page per 10-day slice."""
+    day = F.dayofmonth("date")
+    base = tx.select(
+        "user_id", F.date_format("date", "yyyyMM").alias("ym"),
+        F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2).alias("page"),
+        F.struct(F.date_format("date", "dd/MM/yyyy").alias("data"), F.col("description").alias("descricao"),
+                 F.col("amount").alias("valor"), F.col("transaction_type").alias("tipo"),
+                 F.coalesce("category", F.lit("outros")).alias("categoria_sugerida"), F.col("id").alias("k")).alias("t"))
+    g = base.groupBy("user_id", "ym", "page").agg(
+        F.array_sort(F.collect_list("t")).alias("ts"), F.min("t.k").alias("k"),
+        F.sum(F.when(F.col("t.tipo") == "credito", F.col("t.valor")).otherwise(-F.col("t.valor"))).alias("net"))
+    body = F.to_json(F.struct(
+        F.lit("Banco Teste").alias("banco"), F.lit("0001").alias("agencia"),
+        F.col("user_id").cast("string").alias("conta"),
+        F.struct(F.concat(F.lit("01/"), F.substring("ym", 5, 2), F.lit("/"), F.substring("ym", 1, 4)).alias("inicio"),
+                 F.lit(None).cast("string").alias("fim")).alias("periodo"),
+        F.lit(0.0).alias("saldo_inicial"), F.col("net").alias("saldo_final"),
+        F.transform("ts", lambda x: x.dropFields("k")).alias("movimentacoes")))
+    return g.select((F.col("user_id") * 1000000 + F.col("ym").cast("long")).alias("doc_id"), "page",
+                    _fence(body, F.col("k")).alias("content"))

@@ -108,6 +108,18 @@ def replay_events(spark: SparkSession, sf_dir: str, folder: str, slices: int = 5
     return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(folder))
 
 
+def replay_frame(spark: SparkSession, df: DataFrame, ts_col: str, folder: str, slices: int = 5) -> DataFrame:
+    """Write ``df`` into time-ordered files (by calendar day of ``ts_col``), one
+    write after another, and stream them back one file per micro-batch."""
+    days = [r.d for r in df.select(F.to_date(ts_col).alias("d")).distinct().orderBy("d").collect()]
+    step = max(1, -(-len(days) // slices))
+    for i in range(0, len(days), step):
+        lo, hi = days[i], days[min(i + step, len(days)) - 1]
+        (df.filter((F.to_date(ts_col) >= F.lit(lo)) & (F.to_date(ts_col) <= F.lit(hi)))
+         .coalesce(1).write.mode("append").parquet(folder))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def run_to_table(stream: DataFrame, out: str, ckpt: str, fmt: str = "parquet") -> None:
     q = (stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", ckpt)
          .start(out))
@@ -115,3 +127,39 @@ def run_to_table(stream: DataFrame, out: str, ckpt: str, fmt: str = "parquet") -
         q.processAllAvailable()
     finally:
         q.stop()
+
+
+DELAY_OUT = T.StructType([
+    T.StructField("user_id", T.LongType()), T.StructField("transaction_id", T.LongType()),
+    T.StructField("expires_at", T.TimestampNTZType()), T.StructField("can_proceed", T.BooleanType())])
+DELAY_STATE = T.StructType([T.StructField("set_at", T.LongType()), T.StructField("expires_at", T.LongType())])
+
+
+def _delay_timer(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Latest delay per (user, transaction); when the watermark passes its expiry
+    the timeout fires and the transaction may proceed."""
+    if state.hasTimedOut:
+        set_at, exp = state.get
+        state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "transaction_id": [key[1]],
+                            "expires_at": [pd.Timestamp(exp, unit="us")], "can_proceed": [True]})
+        return
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    if pdf.empty:
+        return
+    s = _micros(pdf["set_at"])
+    e = _micros(pdf["expires_at"])
+    i = int(np.argmax(s))
+    if state.exists and state.get[0] > s[i]:
+        return
+    state.update((int(s[i]), int(e[i])))
+    state.setTimeoutTimestamp(int(e[i]) // 1000)
+
+
+def stream_delays(delays: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """``delays``: (user_id, transaction_id, set_at, expires_at) stream."""
+    return (delays.withColumn("event_time", F.col("set_at").cast("timestamp"))
+            .withWatermark("event_time", watermark)
+            .groupBy("user_id", "transaction_id")
+            .applyInPandasWithState(_delay_timer, DELAY_OUT, DELAY_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
