@@ -26,12 +26,19 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     With keys the join is an equi-join that AQE plans from runtime sizes (and
     splits when one key is skewed).  Without keys ``stats`` is one row by
-    construction (a global aggregate), so it is broadcast on a constant key.
+    construction (a global aggregate): its columns are packed in one struct and
+    read as a single scalar subquery — evaluated once, no join at all.
     """
     if keys:
         return df.join(stats, list(keys), "left")
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one", "left").drop("_one"))
+    return attach_one_row(df, stats)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row frame as a scalar subquery (one evaluation)."""
+    cols = one_row.columns
+    sub = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("_s")).scalar()
+    return df.withColumn("_s1", sub).select("*", *[F.col(f"_s1.{c}").alias(c) for c in cols]).drop("_s1")
 
 
 def rnd(c, digits: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from moneta import params as P
 from moneta.session import checkpoint_dir
-from moneta.functions.common import spread
+from moneta.functions.common import attach_one_row, spread
 from moneta.functions.text import KEYWORD_RULES, keyword_counts, normalize_text, suggest_categories
 
 # ----------------------------------------------------------------- rules
@@ -74,9 +74,8 @@ def doc_terms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 
 
 def _one_row(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate (broadcast on a constant key)."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(single.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate (a scalar subquery, no join)."""
+    return attach_one_row(df, single)
 
 
 def fit_vocabulary(terms: DataFrame, n_docs: DataFrame, min_df: int = P.NB_MIN_DF,
@@ -143,8 +142,8 @@ def nb_train(docs: DataFrame, label: str = "label", id_col: str = "doc_id", text
     v_size = vocab.agg(F.count(F.lit(1)).alias("_V"))
     # every (class, term) pair of the bounded vocabulary, zero when unseen
     # classes are few; the vocabulary is bounded by max_features
-    grid = (vocab.select("term").withColumn("_one", F.lit(1))
-            .join(F.broadcast(classes.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    class_list = classes.agg(F.collect_list(label).alias("_c")).select("_c").scalar()
+    grid = vocab.select("term").withColumn(label, F.explode(class_list))
     full = grid.join(s_ct, [label, "term"], "left").withColumn("s_ct", F.coalesce("s_ct", F.lit(0.0)))
     s_c = full.groupBy(label).agg(F.sum("s_ct").alias("s_c"))
     log_probs = (_one_row(full.join(F.broadcast(s_c), label), v_size)
@@ -167,19 +166,24 @@ def nb_predict(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text: st
     lp = F.broadcast(model.log_probs)  # bounded: max_features x classes
     partial = (w.join(lp, "term").groupBy(id_col, label)
                .agg(F.sum(F.col("w") * F.col("log_prob")).alias("_dot")))
-    pri = F.broadcast(model.priors.select(label, "log_prior"))
-    # every document x class (classes are few): documents with no known term keep the prior
-    all_pairs = (docs.select(id_col).withColumn("_one", F.lit(1))
-                 .join(pri.withColumn("_one", F.lit(1)), "_one").drop("_one"))
-    jll = (all_pairs.join(partial, [id_col, label], "left")
-           .withColumn("jll", F.col("log_prior") + F.coalesce(F.col("_dot"), F.lit(0.0))))
+    # The vocabulary x classes grid is complete, so every document with at least
+    # one vocabulary term has a score for every class; documents without one get
+    # the priors alone (a one-row answer attached as a scalar subquery).
+    pri = F.broadcast(model.priors.select(label, "log_prior"))  # one row per class (checked bound)
+    jll = partial.join(pri, label).withColumn("jll", F.col("log_prior") + F.col("_dot"))
     g = jll.groupBy(id_col).agg(
         F.max("jll").alias("_m"),
         F.min_by(F.col(label), F.struct((-F.col("jll")).alias("a"), F.col(label).alias("b"))).alias("predicted"),
         F.collect_list(F.col("jll")).alias("_all"),  # one value per class: bounded
     )
     lse = F.col("_m") + F.log(F.aggregate("_all", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m"))))
-    return g.select(id_col, "predicted", F.exp(F.col("_m") - lse).alias("confidence"))
+    scored = g.select(id_col, "predicted", F.exp(F.col("_m") - lse).alias("confidence"))
+    prior_only = model.priors.agg(
+        F.min_by(F.col(label), F.struct((-F.col("log_prior")).alias("a"), F.col(label).alias("b"))).alias("p_label"),
+        (F.max("log_prior") - F.log(F.sum(F.exp("log_prior")))).alias("p_log"))
+    allj = attach_one_row(docs.select(id_col).join(scored, id_col, "left"), prior_only)
+    return allj.select(id_col, F.coalesce("predicted", "p_label").alias("predicted"),
+                       F.coalesce("confidence", F.exp("p_log")).alias("confidence"))
 
 
 def nb_accuracy(pred: DataFrame, docs: DataFrame, id_col: str = "doc_id", label: str = "label") -> DataFrame:

@@ -52,14 +52,24 @@ def spend_clusters(tx: DataFrame, k: int = P.KMEANS_CLUSTERS, n_init: int = P.KM
     return out, float(cost)
 
 
-def describe_clusters(clustered: DataFrame) -> DataFrame:
+def describe_clusters(clustered: DataFrame, exact_limit: int = 10_000_000) -> DataFrame:
     """Size, share, mean and total per cluster and its characteristics: mean
     above the cluster's own q75 / below q25, time band of the mean hour, main
-    category (mode, ties to the smallest); nothing -> 'Padrão misto'."""
+    category (mode, ties to the smallest); nothing -> 'Padrão misto'.
+
+    There are only k groups, so an exact quantile would merge each cluster's
+    whole value map in one task: exact (linear interpolation) up to
+    ``exact_limit`` rows, a mergeable sketch (rank error 1e-5) beyond."""
+    n = clustered.count()
+    if n <= exact_limit:
+        q75, q25 = F.percentile("amount", 0.75), F.percentile("amount", 0.25)
+    else:
+        q75 = F.percentile_approx("amount", 0.75, 100_000).cast("double")
+        q25 = F.percentile_approx("amount", 0.25, 100_000).cast("double")
     total = clustered.agg(F.count(F.lit(1)).alias("_all"))
     g = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.avg("amount").alias("_avg"), F.sum("amount").alias("_tot"),
-        F.percentile("amount", 0.75).alias("_q75"), F.percentile("amount", 0.25).alias("_q25"),
+        q75.alias("_q75"), q25.alias("_q25"),
         F.avg("hour").alias("_h"), F.mode("category", True).alias("_mode"))
     g = attach(g, total, [])
     h = F.col("_h")

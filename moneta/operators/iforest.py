@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moneta import params as P
-from moneta.functions.common import spread
+from moneta.functions.common import attach_one_row, spread
 from moneta.session import checkpoint_dir
 
 EULER = 0.5772156649015329
@@ -210,11 +210,7 @@ def fit_nodes(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str] = (),
         counts = feats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rate = F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n"))
     hashu = lambda t: F.xxhash64(F.lit(seed), t, F.col(id_col)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63)
-    if keys:
-        base = feats.join(counts, keys)
-    else:
-        base = feats.withColumn("_one", F.lit(1)).join(
-            F.broadcast(counts.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    base = feats.join(counts, keys) if keys else attach_one_row(feats, counts)
     cand = (base.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                                                       lambda t: hashu(t) < rate)))
             .withColumn("_u", hashu(F.col("tree"))))

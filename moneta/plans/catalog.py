@@ -837,7 +837,7 @@ def q_stream_delays(spark, sf):
     base = scratch(spark, "delays")
     d = (iv.generate_intervention(_scored(spark, sf)).filter(F.col("delay_minutes").isNotNull())
          .select("user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
-                 F.col("delay_expires_at").alias("expires_at")))
+                 F.col("delay_expires_at").alias("expires_at"))).checkpoint(eager=True)
     stream = rs.replay_frame(spark, d, "set_at", f"{base}/in")
     rs.run_to_table(rs.stream_delays(stream), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
