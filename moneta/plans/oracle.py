@@ -975,6 +975,46 @@ SELECT user_id, transaction_id, expires_at, true AS can_proceed FROM dl
 WHERE expires_at < (SELECT max(set_at) FROM dl) - INTERVAL 1 HOUR"""
 
 
+# Holt-Winters with fixed alpha=0.3, beta=0.1, gamma=0.2 as a recursive CTE (seasonal slots as columns)
+_S_OLD = "CASE r.t % 7 WHEN 0 THEN r.s0 WHEN 1 THEN r.s1 WHEN 2 THEN r.s2 WHEN 3 THEN r.s3 WHEN 4 THEN r.s4 WHEN 5 THEN r.s5 WHEN 6 THEN r.s6 END"
+_S_NEW = ", ".join(
+    f"CASE WHEN r.t % 7 = {j} THEN 0.2::DOUBLE * (f.y - r.l - r.b) + 0.8::DOUBLE * ({_S_OLD}) ELSE r.s{j} END AS s{j}"
+    for j in range(7))
+SQL["forecast_hw_fixed"] = "WITH RECURSIVE " + with_(TX)[len("WITH "):] + f""", d AS (SELECT user_id, date, sum(amount) AS amount FROM tx GROUP BY ALL),
+sp AS (SELECT user_id, min(date) AS d0, max(date) AS d1 FROM d GROUP BY user_id),
+cal AS (SELECT user_id, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
+ser AS (SELECT cal.user_id, cal.date, coalesce(d.amount, 0.0) AS y,
+               row_number() OVER (PARTITION BY cal.user_id ORDER BY cal.date) - 1 AS t
+        FROM cal LEFT JOIN d USING (user_id, date)),
+nn AS (SELECT user_id, count(*) AS n, max(date) AS last_date FROM ser GROUP BY user_id HAVING count(*) >= 14),
+i0 AS (SELECT s.user_id, sum(CASE WHEN t < 7 THEN y END) / 7.0 AS l0,
+              sum(CASE WHEN t BETWEEN 7 AND 13 THEN y END) / 7.0 AS m2,
+              """ + ", ".join(f"max(CASE WHEN t = {j} THEN y END) AS y{j}" for j in range(7)) + f"""
+       FROM ser s JOIN nn USING (user_id) GROUP BY s.user_id),
+rec AS (
+  SELECT user_id, 7 AS t, l0 AS l, (m2 - l0) / 7.0 AS b, """ + ", ".join(f"y{j} - l0 AS s{j}" for j in range(7)) + f""",
+         0.0::DOUBLE AS sse, 0.0::DOUBLE AS se, 0 AS ne
+  FROM i0
+  UNION ALL
+  SELECT r.user_id, r.t + 1,
+         0.3::DOUBLE * (f.y - ({_S_OLD})) + 0.7::DOUBLE * (r.l + r.b),
+         0.1::DOUBLE * ((0.3::DOUBLE * (f.y - ({_S_OLD})) + 0.7::DOUBLE * (r.l + r.b)) - r.l) + 0.9::DOUBLE * r.b,
+         {_S_NEW},
+         r.sse + (f.y - (r.l + r.b + ({_S_OLD}))) * (f.y - (r.l + r.b + ({_S_OLD}))),
+         r.se + (f.y - (r.l + r.b + ({_S_OLD}))), r.ne + 1
+  FROM rec r JOIN ser f ON f.user_id = r.user_id AND f.t = r.t),
+fin AS (SELECT r.*, nn.last_date FROM rec r JOIN nn ON nn.user_id = r.user_id AND r.t = nn.n),
+sd AS (SELECT *, CASE WHEN ne > 0 THEN sqrt(greatest(sse / ne - (se / ne) * (se / ne), 0.0)) ELSE 0.0 END AS sdv FROM fin),
+hh AS (SELECT sd.*, unnest(range(1, 31)) AS h FROM sd),
+fc AS (SELECT user_id, h, last_date, sdv,
+              l + h * b + CASE (t - 1 + h) % 7 """ + " ".join(f"WHEN {j} THEN s{j}" for j in range(7)) + """ END AS f
+       FROM hh)
+SELECT user_id, CAST(h AS INTEGER) AS h, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date,
+       greatest(round_even(f, 2), 0.0) AS predicted, greatest(round_even(f - 1.96 * sdv, 2), 0.0) AS lower,
+       greatest(round_even(f + 1.96 * sdv, 2), 0.0) AS upper, round_even(f, 6) AS raw
+FROM fc"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
