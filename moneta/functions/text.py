@@ -97,19 +97,6 @@ def keyword_counts(text: Column) -> list[Column]:
     return out
 
 
-def rules_category(text: Column) -> tuple[Column, Column]:
-    """(category, confidence): most keywords wins, ties to dictionary order;
-    confidence = min(count / 3, 1); nothing -> ('outros', 0.3)."""
-    counts = keyword_counts(text)
-    best = F.greatest(*counts)
-    cat = None
-    for name, cnt in zip(KEYWORD_RULES, counts):
-        cat = F.when(cnt == best, F.lit(name)) if cat is None else cat.when(cnt == best, F.lit(name))
-    category = F.when(best > 0, cat).otherwise(F.lit("outros"))
-    confidence = F.when(best > 0, F.least(best / 3.0, F.lit(1.0))).otherwise(F.lit(0.3))
-    return category, confidence
-
-
 def suggest_categories(t: Column, limit: int = 5) -> Column:
     """Categories with a keyword containing the text or contained in it, in
     dictionary order, first ``limit``; none -> [outros].  ``t`` must already be

@@ -22,11 +22,12 @@ FEATURES = ["amount", "hour", "day_of_week", "day_of_month", "category_encoded",
 
 
 def label_encoder(train: DataFrame, col: str = "category") -> DataFrame:
-    """Dictionary (value, code): sorted distinct values -> 0..n-1, nulls as 'outros'.
-    The window runs over the distinct values only (a category list, not rows)."""
+    """Dictionary (value, code): sorted distinct values -> 0..n-1, nulls as
+    'outros'.  The distinct values (a category list, not rows) are sorted once
+    and numbered by position."""
     vals = train.select(F.coalesce(F.col(col), F.lit("outros")).cast("string").alias("_v")).distinct()
-    return vals.select(F.col("_v").alias("value"),
-                       (F.dense_rank().over(Window.orderBy("_v")) - 1).alias("code"))
+    return (vals.agg(F.sort_array(F.collect_list("_v")).alias("_l"))
+            .select(F.posexplode("_l").alias("code", "value")).select("value", "code"))
 
 
 def label_encode(df: DataFrame, encoder: DataFrame, col: str = "category", out: str = "category_encoded") -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moneta.functions.common import attach
+
 DECADES = ["1_10", "11_20", "21_31"]
 
 
@@ -49,9 +51,7 @@ def daily_balance(report: Report, in_series: str = "ENTRADAS_DIA", out_series: s
         F.sum(F.when(F.col("serie") == in_series, F.col("value")).otherwise(0.0)).alias("ins"),
         F.sum(F.when(F.col("serie") == out_series, F.col("value")).otherwise(0.0)).alias("outs")))
     opening = report.opening.agg(F.first("saldo_inicial").alias("_open"))
-    from moneta.functions.common import attach  # local import keeps the module light
-    from pyspark.sql import Window
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # at most 31 rows
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # the report's days: at most 31 rows
     j = attach(flows, opening, [])
     return j.select("day", "ins", "outs",
                     F.bround((F.col("_open") + F.sum(F.col("ins") - F.col("outs")).over(w)).cast("decimal(38,6)"), 2)
