@@ -403,6 +403,7 @@ def q_top_anomalies(spark, sf):
 
 
 # ----------------------------------------------------------- isolation forest
+from moneta.operators import iforest  # noqa: E402
 from moneta.plans import anomaly_report as ar  # noqa: E402
 
 
@@ -841,3 +842,42 @@ def q_stream_delays(spark, sf):
     stream = rs.replay_frame(spark, d, "set_at", f"{base}/in")
     rs.run_to_table(rs.stream_delays(stream), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
+
+
+# ------------------------------------------------- inventory ids of their own
+@register("detect_anomalies")
+def q_detect_anomalies(spark, sf):
+    d = ar.detect_anomalies(_tx(spark, sf), keys=())
+    return d.select("id", "user_id", "is_anomaly", rnd("anomaly_score", 6).alias("anomaly_score"), "method")
+
+
+@register("isolation_forest_fit")
+def q_isolation_forest_fit(spark, sf):
+    feats = an.standardize(an.anomaly_features(_tx(spark, sf), keys=()), keys=())
+    nodes = iforest.fit_nodes(feats, ar.ZCOLS)
+    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"),
+                                     F.sum((F.col("feature") < 0).cast("int")).alias("n_leaves"),
+                                     F.max("psi").alias("psi"))
+
+
+@register("newest_n")
+def q_newest_n(spark, sf):
+    return _tx(spark, sf).orderBy(F.col("date").desc(), F.col("id").desc()).limit(100).select(
+        "id", "user_id", "date", "amount")
+
+
+@register("write_notifications")
+def q_write_notifications(spark, sf):
+    path = scratch(spark, "notifications")
+    nt.write_notifications(_notifications(spark, sf).select(*nt.NOTIF_COLS), path)
+    return spark.read.parquet(path).select("notification_id", "user_id", "created_at")
+
+
+@register("parse_extraction_json")
+def q_parse_extraction_json(spark, sf):
+    li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+                                                "l_quantity")
+    rec = extraction.render_receipts(_orders(spark, sf), li)
+    p = extraction.parse_extraction(rec, extraction.RECEIPT)
+    return p.select("doc_id", F.col("parsed").isNotNull().alias("parsed_ok"), "raw_text",
+                    F.size(F.coalesce("parsed.itens", F.array())).alias("n_items"))

@@ -1015,6 +1015,16 @@ SELECT user_id, CAST(h AS INTEGER) AS h, CAST(last_date + CAST(h AS INTEGER) AS
 FROM fc"""
 
 
+# ------------------------------------------------- inventory ids of their own
+SQL["newest_n"] = with_(TX) + "SELECT id, user_id, date, amount FROM tx ORDER BY date DESC, id DESC LIMIT 100"
+SQL["write_notifications"] = SQL["notification_retention"]
+SQL["parse_extraction_json"] = """
+SELECT o_orderkey AS doc_id, o_orderkey % 17 <> 0 AS parsed_ok,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'Não consegui ler o documento.' END AS raw_text,
+       CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END AS n_items
+FROM orders"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
