@@ -58,9 +58,19 @@ def _count_last_hour(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> It
     yield out
 
 
+def wall_as_utc(ntz_col: str):
+    """A TIMESTAMP whose epoch is the zone-free wall time read as UTC, whatever
+    the session time zone (the state timeouts use the same epoch)."""
+    c = F.col(ntz_col)
+    micros = ((F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+               + F.hour(c) * 3600 + F.minute(c) * 60) * 1_000_000
+              + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(micros)
+
+
 def _event_time(tx_stream: DataFrame) -> DataFrame:
-    """Watermarks need TIMESTAMP: the zone-free time read as UTC (session zone)."""
-    return tx_stream.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    """Watermarks need TIMESTAMP: the wall time read as UTC."""
+    return tx_stream.withColumn("event_time", wall_as_utc("timestamp"))
 
 
 def stream_recent_counts(tx_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -78,7 +88,8 @@ def stream_daily(tx_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     w = (_event_time(tx_stream).withWatermark("event_time", watermark)
          .groupBy("user_id", F.window("event_time", "1 day"))
          .agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n")))
-    return w.select("user_id", F.to_date(F.col("window.start")).alias("date"), "amount", "n")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int"))
+    return w.select("user_id", day.alias("date"), "amount", "n")
 
 
 def alerts_sink(path: str):
@@ -158,7 +169,7 @@ def _delay_timer(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 def stream_delays(delays: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """``delays``: (user_id, transaction_id, set_at, expires_at) stream."""
-    return (delays.withColumn("event_time", F.col("set_at").cast("timestamp"))
+    return (delays.withColumn("event_time", wall_as_utc("set_at"))
             .withWatermark("event_time", watermark)
             .groupBy("user_id", "transaction_id")
             .applyInPandasWithState(_delay_timer, DELAY_OUT, DELAY_STATE, "append",
