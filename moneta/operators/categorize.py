@@ -57,7 +57,7 @@ def category_suggestions(df: DataFrame, text: str = "text", limit: int = 5) -> D
 # ----------------------------------------------------------- naive Bayes
 
 # Model tables (vocabulary x classes) are broadcast; this caps their size.
-MAX_CLASSES = 10_000
+MAX_CLASSES = 1_000  # log-probabilities: <= 1000 terms x 1000 classes = 1 M broadcast rows
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
