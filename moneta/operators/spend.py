@@ -103,11 +103,17 @@ def daily_spend(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
 
 
 def fill_calendar(daily: DataFrame, keys: Sequence[str] = K) -> DataFrame:
-    """All dates between each key's first and last date; missing days = 0."""
-    span = daily.groupBy(*keys).agg(F.min("date").alias("_d0"), F.max("date").alias("_d1"))
-    cal = span.select(*keys, F.explode(F.sequence("_d0", "_d1")).alias("date"))
-    return (cal.join(daily, [*keys, "date"], "left")
-            .withColumn("amount", F.coalesce(F.col("amount"), F.lit(0.0))))
+    """All dates between each key's first and last date; missing days = 0.
+
+    The key's active days go into one map (bounded by its active days), and the
+    calendar is exploded from it after the aggregation — the filled rows (days x
+    keys) are produced after the last shuffle instead of being shuffled into a
+    join."""
+    per = daily.groupBy(*keys).agg(
+        F.min("date").alias("_d0"), F.max("date").alias("_d1"),
+        F.map_from_entries(F.collect_list(F.struct("date", "amount"))).alias("_m"))
+    cal = per.select(*keys, "_m", F.explode(F.sequence("_d0", "_d1")).alias("date"))
+    return cal.select(*keys, "date", F.coalesce(F.element_at("_m", F.col("date")), F.lit(0.0)).alias("amount"))
 
 
 def rolling_mean_7(daily: DataFrame, keys: Sequence[str] = K) -> DataFrame:
