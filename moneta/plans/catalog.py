@@ -836,7 +836,8 @@ def q_nb_model_roundtrip(spark, sf):
 @register("stream_delays")
 def q_stream_delays(spark, sf):
     base = scratch(spark, "delays")
-    d = (iv.generate_intervention(_scored(spark, sf)).filter(F.col("delay_minutes").isNotNull())
+    # only the level and its delay are needed here, not the whole intervention
+    d = (iv.delay(iv.with_context(_scored(spark, sf))).filter(F.col("delay_minutes").isNotNull())
          .select("user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
                  F.col("delay_expires_at").alias("expires_at"))).checkpoint(eager=True)
     stream = rs.replay_frame(spark, d, "set_at", f"{base}/in")

@@ -143,34 +143,47 @@ def run_to_table(stream: DataFrame, out: str, ckpt: str, fmt: str = "parquet") -
 DELAY_OUT = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("transaction_id", T.LongType()),
     T.StructField("expires_at", T.TimestampNTZType()), T.StructField("can_proceed", T.BooleanType())])
-DELAY_STATE = T.StructType([T.StructField("set_at", T.LongType()), T.StructField("expires_at", T.LongType())])
-
-
-def _delay_timer(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest delay per (user, transaction); when the watermark passes its expiry
-    the timeout fires and the transaction may proceed."""
-    if state.hasTimedOut:
-        set_at, exp = state.get
+DELAY_STATE = T.StructType([T.StructField("tx", T.ArrayType(T.LongType())),
+                            T.StructField("set_at", T.ArrayType(T.LongType())),
+                            T.StructField("expires", T.ArrayType(T.LongType()))])
+
+
+def _delay_timers(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Pending delays of one user: the latest set per transaction wins; one
+    event-time timeout at the earliest expiry; when it fires, every delay the
+    watermark has passed is released (can proceed) and the next timer is set."""
+    if state.exists:
+        tx, st, ex = (np.array(v, dtype=np.int64) for v in state.get)
+    else:
+        tx = st = ex = np.zeros(0, dtype=np.int64)
+    if not state.hasTimedOut:
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        if not pdf.empty:
+            new = pd.DataFrame({"tx": np.concatenate([tx, pdf["transaction_id"].to_numpy(dtype=np.int64)]),
+                                "st": np.concatenate([st, _micros(pdf["set_at"])]),
+                                "ex": np.concatenate([ex, _micros(pdf["expires_at"])])})
+            new = new.sort_values(["tx", "st"]).drop_duplicates("tx", keep="last")  # latest set wins
+            tx, st, ex = (new[c].to_numpy(dtype=np.int64) for c in ("tx", "st", "ex"))
+    # release every delay the watermark has passed (on a timer, or when new rows
+    # of the user arrive after the watermark moved past older delays)
+    wm_us = state.getCurrentWatermarkMs() * 1000
+    done = ex < wm_us
+    if done.any():
+        yield pd.DataFrame({"user_id": np.full(int(done.sum()), key[0], dtype=np.int64),
+                            "transaction_id": tx[done],
+                            "expires_at": pd.to_datetime(ex[done], unit="us"), "can_proceed": True})
+    tx, st, ex = tx[~done], st[~done], ex[~done]
+    if tx.size == 0:
         state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "transaction_id": [key[1]],
-                            "expires_at": [pd.Timestamp(exp, unit="us")], "can_proceed": [True]})
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
         return
-    s = _micros(pdf["set_at"])
-    e = _micros(pdf["expires_at"])
-    i = int(np.argmax(s))
-    if state.exists and state.get[0] > s[i]:
-        return
-    state.update((int(s[i]), int(e[i])))
-    state.setTimeoutTimestamp(int(e[i]) // 1000)
+    state.update((tx.tolist(), st.tolist(), ex.tolist()))
+    state.setTimeoutTimestamp(int(ex.min()) // 1000)
 
 
 def stream_delays(delays: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """``delays``: (user_id, transaction_id, set_at, expires_at) stream."""
+    """``delays``: (user_id, transaction_id, set_at, expires_at) stream, keyed by user."""
     return (delays.withColumn("event_time", wall_as_utc("set_at"))
             .withWatermark("event_time", watermark)
-            .groupBy("user_id", "transaction_id")
-            .applyInPandasWithState(_delay_timer, DELAY_OUT, DELAY_STATE, "append",
+            .groupBy("user_id")
+            .applyInPandasWithState(_delay_timers, DELAY_OUT, DELAY_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))

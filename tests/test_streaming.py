@@ -19,3 +19,14 @@ def test_stream_daily_emits_closed_days_only(spark):
     s = catalog.QUERIES["stream_daily"](spark, SF_SMALL)
     last = td.load_transactions(spark, SF_SMALL).agg(F.max("date")).first()[0]
     assert s.filter(F.col("date") == last).count() == 0 and s.count() > 0
+
+
+def test_stream_delays_release_rule(spark):
+    from moneta.operators import interventions as iv
+    out = catalog.QUERIES["stream_delays"](spark, SF_SMALL)
+    sc = risk.impulse_risk(risk.recent_1h_count(td.load_transactions(spark, SF_SMALL)))
+    d = iv.delay(iv.with_context(sc)).filter(F.col("delay_minutes").isNotNull())
+    wm = d.agg(F.max("timestamp")).first()[0] - __import__("datetime").timedelta(hours=1)
+    expected = {r.id for r in d.filter(F.col("delay_expires_at") < F.lit(wm)).select("id").collect()}
+    got = [r.transaction_id for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
