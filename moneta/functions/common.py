@@ -57,3 +57,14 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the grouping keys into max(cores, shuffle partitions)
+    parts before a CPU-heavy grouped Python stage.  An explicit partition count
+    is not coalesced by AQE (which would otherwise merge a small shuffle into one
+    task and run every group on one core); the grouped map then reuses this
+    partitioning without another exchange."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

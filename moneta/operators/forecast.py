@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moneta.functions.common import rnd
+from moneta.functions.common import rnd, spread_by
 from moneta.operators.spend import daily_spend, fill_calendar, forecast_simple
 
 K = ("user_id",)
@@ -160,7 +160,7 @@ def forecast_hw(tx: DataFrame, days: int = 30, keys: Sequence[str] = K) -> tuple
         T.StructField("upper", T.DoubleType()), T.StructField("raw", T.DoubleType()),
         T.StructField("alpha", T.DoubleType()), T.StructField("beta", T.DoubleType()),
         T.StructField("gamma", T.DoubleType()), T.StructField("sse", T.DoubleType())])
-    daily = long_.groupBy(*keys).applyInPandas(lambda pdf: _hw_group(pdf, keys, days), schema)
+    daily = spread_by(long_, *keys).groupBy(*keys).applyInPandas(lambda pdf: _hw_group(pdf, keys, days), schema)
     hw_sum = daily.groupBy(*keys).agg(
         F.lit("Holt-Winters").alias("method"), rnd(F.sum("predicted"), 2).alias("total_predicted"),
         rnd(F.avg("raw"), 2).alias("average_daily"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moneta import params as P
-from moneta.functions.common import attach_one_row, spread
+from moneta.functions.common import attach_one_row, spread, spread_by
 from moneta.session import checkpoint_dir
 
 EULER = 0.5772156649015329
@@ -218,7 +218,7 @@ def fit_nodes(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str] = (),
     sample = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi)
     schema = T.StructType([f for f in feats.select(*keys).schema.fields] +
                           [T.StructField(n, t) for n, t in NODE_FIELDS])
-    return (sample.select(*keys, "tree", "_u", *zcols)
+    return (spread_by(sample.select(*keys, "tree", "_u", *zcols), *keys, "tree")
             .groupBy(*keys, "tree")
             .applyInPandas(lambda pdf: _grow_group(pdf, zcols, seed, keys), schema))
 
@@ -312,7 +312,7 @@ def fit_score_by_key(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str]
     out_schema = T.StructType(feats.select(*keys, id_col).schema.fields + [
         T.StructField("score_samples", T.DoubleType()), T.StructField("decision", T.DoubleType()),
         T.StructField("is_anomaly", T.BooleanType())])
-    small = (j.filter(F.col("_n") <= max_group_rows).drop("_n").groupBy(*keys)
+    small = (spread_by(j.filter(F.col("_n") <= max_group_rows).drop("_n"), *keys).groupBy(*keys)
              .applyInPandas(lambda pdf: _fit_score_group(pdf, zcols, keys, id_col, n_trees, psi, seed,
                                                          contamination), out_schema))
     big_rows = j.filter(F.col("_n") > max_group_rows)

@@ -25,6 +25,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # AQE may merge small shuffle partitions down to this size; at 256 KB a
+        # CPU-heavy grouped Python stage over a few MB still gets several tasks
+        # (no effect once partitions are large, as at scale)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MONETA_DRIVER_MEMORY", "16g"))
     )
