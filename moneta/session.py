@@ -34,6 +34,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -50,3 +51,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``moneta`` importable in the Python workers (pandas UDFs, grouped
+    maps, streaming state functions): zip the package once per SparkContext and
+    add it with ``addPyFile``, Spark's own code-distribution path."""
+    import shutil
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="moneta-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "moneta"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="moneta")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
