@@ -94,4 +94,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
 
-SQL = {"op1_line_dedup": OP1, "op3_secret_scan": OP3, "op4_decontam": OP4}
+_TOKENS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(c, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN comp ON d.doc_id = comp.doc_id
+"""
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+first AS (SELECT s, min(doc_id) AS lo FROM win GROUP BY s),
+hit AS (SELECT win.doc_id, p FROM win JOIN first ON win.s = first.s WHERE doc_id > lo),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM hit),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (
+  SELECT words.doc_id, count(gone.q) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY words.q) FILTER (gone.q IS NULL), '') AS kept
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.q = gone.q GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+SQL = {"op10_substring": OP10, "op9_minhash": OP9, "op1_line_dedup": OP1, "op3_secret_scan": OP3, "op4_decontam": OP4}

@@ -37,8 +37,22 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents: Jaccard 0.75 on 5-word shingles."""
+    from moneta.llm.minhash import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"), percent=75)
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words in all documents that a smaller doc_id has too."""
+    from moneta.llm.substring import dedup_substrings
+    return dedup_substrings(read(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontam": op4_decontam,
+    "op9_minhash": op9_minhash,
+    "op10_substring": op10_substring,
 }
