@@ -131,4 +131,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-SQL = {"op10_substring": OP10, "op9_minhash": OP9, "op1_line_dedup": OP1, "op3_secret_scan": OP3, "op4_decontam": OP4}
+OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(c, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN comp ON e.vec_id = comp.vec_id
+"""
+
+SQL = {"op7_embedding": OP7, "op10_substring": OP10, "op9_minhash": OP9, "op1_line_dedup": OP1, "op3_secret_scan": OP3, "op4_decontam": OP4}

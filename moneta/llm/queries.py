@@ -49,7 +49,21 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents"), length=50).drop("kept")
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95; codebooks are fitted on 8192 vectors."""
+    from moneta.llm.embed import near_embeddings
+    return near_embeddings(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages; weights are learned from 1000 labelled pages."""
+    from moneta.llm.html_extract import extract_pages
+    return extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
+    "op8_html": op8_html,
+    "op7_embedding": op7_embedding,
     "op1_line_dedup": op1_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontam": op4_decontam,
