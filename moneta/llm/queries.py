@@ -61,7 +61,31 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    import public_tokenizers
+    from moneta.llm.packing import pack_documents
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; learned from at most 8000 labelled rows outside the held-out fold."""
+    from moneta.llm.toxicity import score_toxicity
+    out = score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), fold=5, held=0)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; learned from at most 2000 labelled rows outside the held-out fold."""
+    from moneta.llm.langid import identify
+    out = identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold=4, held=2)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
+    "op2_langid": op2_langid,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op8_html": op8_html,
     "op7_embedding": op7_embedding,
     "op1_line_dedup": op1_line_dedup,
