@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moneta.llm.common import connected, written
@@ -48,6 +48,8 @@ REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 2 ** 16 - 1
 #: Shingles of a part of a centre's members; members of a block.
 PART, BLOCK = 1 << 20, 512
+#: A linked pair's estimate is below the threshold by more than this with a probability of less than 1e-6.
+MARGIN = 0.2
 
 _MUL, _ADD = stream(11, REGISTERS) | np.uint64(1), stream(12, REGISTERS)
 
@@ -116,55 +118,83 @@ def _likely(least_similarity: float):
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirm(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         centre = group[group["centre"]]
         if not len(centre):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a = np.frombuffer(centre["items"].iloc[0], np.uint64)
-        found = []
-        for i, items in zip(group.loc[~group["centre"], "cls"], group.loc[~group["centre"], "items"]):
-            b = np.frombuffer(items, np.uint64)
-            if not len(a) or not len(b):
-                continue
-            at = np.searchsorted(a, b)
-            both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                found.append(i)
+        a, member = np.frombuffer(centre["items"].iloc[0], np.uint64), group[~group["centre"]]
+        found = [i for i, items in zip(member["cls"], member["items"]) if _linked(a, np.frombuffer(items, np.uint64), percent)]
         return pd.DataFrame({"a": centre["cls"].iloc[0], "b": found}).astype("int64")
     return run
 
 
-def _across(percent: int, least_similarity: float):
-    """Pairs of different components in a block of one bucket: strays against members."""
+def _candidates(stray: pd.DataFrame, member: pd.DataFrame, band: int, percent: int) -> np.ndarray:
+    """Mask (strays x members) of pairs of different components that may be links; a pair is
+    looked at only in the first band that it shares."""
+    a, b = _registers(stray["regs"]), _registers(member["regs"])
+    n_a, n_b = stray["n"].to_numpy()[:, None], member["n"].to_numpy()[None, :]
+    ok = (stray["comp"].to_numpy()[:, None] != member["comp"].to_numpy()[None, :]) & (
+        100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    for i, regs in enumerate(a):
+        same = b == regs
+        ok[i] &= same.sum(axis=1) >= (percent / 100 - MARGIN) * REGISTERS
+        ok[i] &= same.reshape(len(b), -1, ROWS).all(axis=2).argmax(axis=1) == band
+    return ok
+
+
+def _involved(percent: int):
+    """The rows of a block that a candidate pair needs."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         stray, member = group[group["stray"]], group[~group["stray"]]
         if not len(stray) or not len(member):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        r, n = _registers(member["regs"]), member["n"].to_numpy()
-        comp, cls = member["comp"].to_numpy(), member["cls"].to_numpy()
-        found = []
-        for s, regs in zip(stray.itertuples(), _registers(stray["regs"])):
-            ok = (comp != s.comp) & (100 * np.minimum(n, s.n) >= percent * np.maximum(n, s.n))
-            ok &= (r == regs).sum(axis=1) >= least_similarity * REGISTERS
-            found += [(min(s.cls, c), max(s.cls, c)) for c in cls[ok]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            return group.iloc[:0]
+        ok = _candidates(stray, member, group["band"].iloc[0], percent)
+        return pd.concat([stray[ok.any(axis=1)], member[ok.any(axis=0)]])
+    return run
+
+
+def _across(percent: int):
+    """Links of a block across components, confirmed on full sets; of those only what joins
+    components that earlier links of the block haven't joined."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        stray, member = group[group["stray"]], group[~group["stray"]]
+        found, root = [], {c: c for c in group["comp"]}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        if len(stray) and len(member):
+            ok = _candidates(stray, member, group["band"].iloc[0], percent)
+            sets = [np.frombuffer(x, np.uint64) for x in member["items"]]
+            comps, ids = member["comp"].tolist(), member["cls"].tolist()
+            for i, (comp, cls, items) in enumerate(zip(stray["comp"].tolist(), stray["cls"].tolist(), stray["items"])):
+                a = np.frombuffer(items, np.uint64)
+                for j in np.flatnonzero(ok[i]):
+                    if find(comp) != find(comps[j]) and _linked(a, sets[j], percent):
+                        root[find(comp)] = find(comps[j])
+                        found.append((cls, ids[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
     return run
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, confirmed on full sets."""
     side = sketches.select("cls", "n", "regs")
     a = side.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
     b = side.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
     near = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    # a linked pair's estimate falls below this with a probability of less than 1e-6
-    near = written(near.mapInPandas(_likely(percent / 100 - 0.25), "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("cls"), "text").join(wanted, "cls", "left_semi")
-    sets = texts.mapInPandas(_sets, "cls long, n long, items binary").groupBy("cls").agg(
-        F.max_by("items", "n").alias("items"), F.max("n").alias("n"))
-    sets = written(sets, "sets")
+    near = written(near.mapInPandas(_likely(percent / 100 - MARGIN), "a long, b long"), "near")
     parts = near.join(sets.select(F.col("cls").alias("b"), F.col("n")), "b").groupBy("a").agg(
         F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
     parts = written(parts, "parts")
@@ -189,25 +219,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     centre = bands.groupBy("band", "key").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where("size > 1")
     bucketed = written(bands.join(centre, ["band", "key"]), "buckets")
     pairs = bucketed.where("cls > a").select("a", F.col("cls").alias("b")).distinct()
-    links = _links(pairs, classes, docs, percent)
+    # the sets of all classes that share a bucket: one pass over the texts, by a sort-merge join at every size
+    texts = docs.select(F.col("doc_id").alias("cls"), "text").join(
+        bucketed.select("cls").distinct().hint("merge"), "cls", "left_semi")
+    sets = texts.mapInPandas(_sets, "cls long, n long, items binary").groupBy("cls").agg(
+        F.max_by("items", "n").alias("items"), F.max("n").alias("n"))
+    sets = written(sets, "sets")
+    links = _links(pairs, classes, sets, percent)
     comps = connected(links, "a", "b")
 
     # buckets that still hold several components
     inside = bucketed.where("size > 2").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
     inside = written(inside.select("cls", "n", "band", "key", F.coalesce("component", "cls").alias("comp")), "inside")
     per = inside.groupBy("band", "key", "comp").agg(F.count("*").alias("c")).groupBy("band", "key").agg(
-        F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        F.count("*").alias("comps"), F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
     mixed = inside.join(per.where("comps > 1"), ["band", "key"]).join(classes.select("cls", "regs"), "cls")
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("stray", F.col("comp") != F.col("main"))
+    mixed = mixed.withColumn("stray", F.col("comp") != F.col("main"))
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.expr(n) / BLOCK).cast("int")
+
+    def own(n: Column) -> Column:
+        return F.pmod(F.xxhash64("cls"), n).cast("int")
+
+    def each(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    ms, ss = blocks("all"), blocks("all - most")
     cols = ["band", "key", "cls", "n", "comp", "regs", "m", "s", "stray"]
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    strays = mixed.where("stray").withColumn("m", F.explode(all_blocks)).withColumn("s", F.col("block")).select(*cols)
-    members = mixed.withColumn("m", F.col("block")).withColumn("s", F.explode(all_blocks)).withColumn("stray", F.lit(False)).select(*cols)
-    more = strays.unionByName(members).groupBy("band", "key", "m", "s").applyInPandas(
-        _across(percent, percent / 100 - 0.25), "a long, b long").distinct()
-    more = written(more, "across")
-    new = _links(more.join(pairs, ["a", "b"], "left_anti"), classes, docs, percent)
+    strays = mixed.where("stray").withColumn("m", each(ms)).withColumn("s", own(ss)).select(*cols)
+    members = mixed.withColumn("m", own(ms)).withColumn("s", each(ss)).withColumn("stray", F.lit(False)).select(*cols)
+    block = strays.unionByName(members)
+    needed = written(block.groupBy("band", "key", "m", "s").applyInPandas(_involved(percent), block.schema), "involved")
+    new = written(needed.join(sets.select("cls", "items"), "cls").groupBy("band", "key", "m", "s").applyInPandas(
+        _across(percent), "a long, b long"), "across")
     comps = connected(links.unionByName(new), "a", "b")
 
     member = one.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "cls"), ["n", "s1", "s2"])
