@@ -128,7 +128,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     suspects = base.select("doc_id", "row", F.explode("fp").alias("fp")).join(prints, "fp", "left_semi").select(
         F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    texts = texts.join(suspects, texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi")
+    texts = texts.join(suspects.hint("merge"), texts["doc_id"].eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_semi")
     spans = windows(texts.select("doc_id", "row", words_of(F.col("text")).alias("words")), [length, *short])
     hits = spans.join(windowed, ["n", "a", "b"]).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
         F.collect_set(F.struct("pos", "n")).alias("spans"),

@@ -121,7 +121,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     repeated = heads.groupBy("speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("speaker")
     alive = heads.join(repeated, "speaker").groupBy("doc_id", "s1", "s2").agg(F.collect_set("speaker").alias("alive"))
 
-    windows = docs.join(alive, "doc_id").mapInPandas(
+    windows = docs.join(alive.hint("merge"), "doc_id").mapInPandas(
         _second(length), "doc_id long, s1 long, s2 long, text string, at array<int>, a array<long>, b array<long>")
     windows = written(windows, "windows")
     each = windows.select("doc_id", "s1", "s2", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select(
