@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,20 +43,23 @@ def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def rnd(c, digits: int) -> Column:
     """Half-even rounding that float noise cannot tip: the double is first fixed
-    to 9 decimals (as DECIMAL), then rounded; the result is a double again."""
+    to 6 decimals (as DECIMAL), then rounded; the result is a double again (NaN and
+    infinities become null)."""
     c = F.col(c) if isinstance(c, str) else c
     return F.bround(c.cast("decimal(38,6)"), digits).cast("double")
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition before CPU-heavy per-row work (whole-text scans,
-    Python batches) when the input has fewer partitions than the cluster has
-    cores — e.g. one unsplittable file.  At scale the scan already yields many
-    splits and this is a no-op."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    Python batches) when the input is too small to be cut into one split per core —
+    e.g. one unsplittable file.  Judged by the optimizer's size estimate alone: no
+    plan runs here.  At scale the scan already yields many splits and this is a no-op."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b") + "b")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= target * split else df.repartition(target)
 
 
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -68,3 +71,47 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], keys: Sequence[str] = (), parts: int = 1024) -> DataFrame:
+    """(keys, q0, q1, ...): quantiles with linear interpolation, exact at every size.
+
+    Rows become counts per (key, value), combined map-side.  A sketch's cut points deal
+    each key's values into ``parts`` ranges; only counts per range meet per key, and the
+    two neighbours of a wanted rank are looked up inside the one or two ranges that hold
+    them.  No task sees more than a range of one key."""
+    keys = list(keys)
+    vals = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = vals.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10 * parts)).alias("_cuts"), F.sum("_c").alias("_n"))
+    # the range of a value: the number of cut points at or below it, by binary search
+    def lower(cuts_col):
+        size = F.size(cuts_col)
+        steps = F.sequence(F.lit(1), F.lit(max(1, parts.bit_length())))
+        found = F.aggregate(steps, F.struct(F.lit(0).alias("a"), size.alias("b")), lambda s, _: F.when(
+            s["a"] >= s["b"], s).when(F.get(cuts_col, F.floor((s["a"] + s["b"]) / 2).cast("int")) <= F.col("_v"), F.struct(
+                (F.floor((s["a"] + s["b"]) / 2).cast("int") + 1).alias("a"), s["b"].alias("b"))).otherwise(
+                    F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b"))))
+        return found["a"]
+
+    placed = attach(vals, cuts, keys).withColumn("_r", lower(F.col("_cuts"))).drop("_cuts")
+    ranges = placed.groupBy(*keys, "_r").agg(F.sum("_c").alias("_rc"), F.first("_n").alias("_rn"))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a key
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rc").over(before), F.lit(0)))
+    ranks = [(i, F.floor((F.col("_rn") - 1) * q).cast("long")) for i, q in enumerate(qs)]
+    wanted = F.array(*[x for _, k in ranks for x in (k, F.least(k + 1, F.col("_rn") - 1))])
+    ranges = ranges.withColumn("_want", F.filter(F.transform(wanted, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (
+        x["w"] >= F.col("_before")) & (x["w"] < F.col("_before") + F.col("_rc")))).filter(F.size("_want") > 0)
+    ranges = ranges.select(*keys, "_r", "_before", "_want", "_rn")
+    inside = placed.drop("_n").join(ranges, [*keys, "_r"])
+    run = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(run))
+    hit = inside.select(*keys, "_v", "_to", "_c", "_rn", F.explode("_want").alias("_x")).filter(
+        (F.col("_x.w") < F.col("_to")) & (F.col("_x.w") >= F.col("_to") - F.col("_c")))
+    at = lambda j: F.max(F.when(F.col("_x.i") == j, F.col("_v")))
+    out = hit.groupBy(*keys).agg(F.first("_rn").alias("_rn"), *[at(j).alias(f"_a{j}") for j in range(2 * len(qs))])
+    res = []
+    for i, q in enumerate(qs):
+        h = (F.col("_rn") - 1) * F.lit(float(q))
+        res.append((F.col(f"_a{2 * i}") + (h - F.floor(h)) * (F.col(f"_a{2 * i + 1}") - F.col(f"_a{2 * i}"))).alias(f"q{i}"))
+    return out.select(*keys, *res)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
-from moneta.functions.common import attach, rnd, spread
+from moneta.functions.common import attach, exact_quantiles, rnd, spread
 from moneta.session import checkpoint_dir
 
 FEATS = ["amount", "hour", "day_of_week"]
@@ -58,26 +58,20 @@ def spend_clusters(tx: DataFrame, k: int = P.KMEANS_CLUSTERS, n_init: int = P.KM
     return out, float(cost)
 
 
-def describe_clusters(clustered: DataFrame, exact_limit: int = 10_000_000) -> DataFrame:
+def describe_clusters(clustered: DataFrame) -> DataFrame:
     """Size, share, mean and total per cluster and its characteristics: mean
     above the cluster's own q75 / below q25, time band of the mean hour, main
     category (mode, ties to the smallest); nothing -> 'Padrão misto'.
 
-    There are only k groups, so an exact quantile would merge each cluster's
-    whole value map in one task: exact (linear interpolation) up to
-    ``exact_limit`` rows, a mergeable sketch (rank error 1e-5) beyond."""
-    n = clustered.count()
-    if n <= exact_limit:
-        q75, q25 = F.percentile("amount", 0.75), F.percentile("amount", 0.25)
-    else:
-        q75 = F.percentile_approx("amount", 0.75, 100_000).cast("double")
-        q25 = F.percentile_approx("amount", 0.25, 100_000).cast("double")
+    There are only k groups, so the quantiles come from counts by value range
+    (exact, linear interpolation) and no task merges a cluster's whole value map."""
+    qs = exact_quantiles(clustered, "amount", (0.75, 0.25), ["cluster"]).select(
+        "cluster", F.col("q0").alias("_q75"), F.col("q1").alias("_q25"))
     total = clustered.agg(F.count(F.lit(1)).alias("_all"))
     g = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.avg("amount").alias("_avg"), F.sum("amount").alias("_tot"),
-        q75.alias("_q75"), q25.alias("_q25"),
         F.avg("hour").alias("_h"), F.mode("category", True).alias("_mode"))
-    g = attach(g, total, [])
+    g = attach(g.join(qs, "cluster", "left"), total, [])
     h = F.col("_h")
     ch = F.concat_ws("|",
                      F.when(F.col("_avg") > F.col("_q75"), F.lit("Valores altos"))

@@ -64,7 +64,7 @@ def forecast_hw_fixed(tx: DataFrame, alpha: float = 0.3, beta: float = 0.1, gamm
                         (acc["sse"] + err * err).alias("sse"), (acc["se"] + err).alias("se"),
                         (acc["n"] + 1).alias("n"))
 
-    st = g.withColumn("_st", F.aggregate(F.slice("_y", 8, 100000), init, step))
+    st = g.withColumn("_st", F.aggregate(F.slice("_y", 8, F.size("_y")), init, step))
     n_err = F.col("_st.n")
     mean_e = F.col("_st.se") / n_err
     sd = F.sqrt(F.greatest(F.col("_st.sse") / n_err - mean_e * mean_e, F.lit(0.0)))
@@ -145,7 +145,7 @@ def _hw_group(pdf: pd.DataFrame, keys: list[str], days: int) -> pd.DataFrame:
 def forecast_hw(tx: DataFrame, days: int = 30, keys: Sequence[str] = K) -> tuple[DataFrame, DataFrame]:
     """(daily predictions, per-key summary).  Keys with fewer than 14 calendar
     days use the mean-based forecast in the summary and get no daily rows.
-    Summary: total_predicted = sum of clamped days, average_daily = mean of the
+    Summary: total_predicted = sum of clamped days, rounded once, average_daily = mean of the
     unclamped forecast."""
     keys = list(keys)
     s = _series(tx, keys)
@@ -162,7 +162,7 @@ def forecast_hw(tx: DataFrame, days: int = 30, keys: Sequence[str] = K) -> tuple
         T.StructField("gamma", T.DoubleType()), T.StructField("sse", T.DoubleType())])
     daily = spread_by(long_, *keys).groupBy(*keys).applyInPandas(lambda pdf: _hw_group(pdf, keys, days), schema)
     hw_sum = daily.groupBy(*keys).agg(
-        F.lit("Holt-Winters").alias("method"), rnd(F.sum("predicted"), 2).alias("total_predicted"),
+        F.lit("Holt-Winters").alias("method"), rnd(F.sum(F.greatest("raw", F.lit(0.0))), 2).alias("total_predicted"),
         rnd(F.avg("raw"), 2).alias("average_daily"))
     short_keys = n.filter(F.col("_n") < MIN_DAYS).select(*keys)
     simple = forecast_simple(tx.join(short_keys, keys, "left_semi"), keys, days).select(

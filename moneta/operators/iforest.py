@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moneta import params as P
-from moneta.functions.common import attach_one_row, spread, spread_by
+from moneta.functions.common import attach_one_row, exact_quantiles, spread, spread_by
 from moneta.session import checkpoint_dir
 
 EULER = 0.5772156649015329
@@ -223,11 +223,6 @@ def fit_nodes(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str] = (),
             .applyInPandas(lambda pdf: _grow_group(pdf, zcols, seed, keys), schema))
 
 
-def _offset_expr(col: str, contamination: float, exact: bool):
-    return (F.percentile(col, contamination) if exact
-            else F.percentile_approx(col, contamination, 1_000_000).cast("double"))
-
-
 @dataclass
 class ForestModel:
     """A fitted single model: flat forest plus the training offset."""
@@ -238,8 +233,7 @@ class ForestModel:
 
 def fit_global(feats: DataFrame, zcols: Sequence[str], id_col: str = "id",
                n_trees: int = P.ANOMALY_N_ESTIMATORS, psi: int = 256, seed: int = P.ANOMALY_RANDOM_STATE,
-               contamination: float = P.ANOMALY_CONTAMINATION,
-               exact_limit: int = 5_000_000) -> tuple[ForestModel, DataFrame] | None:
+               contamination: float = P.ANOMALY_CONTAMINATION) -> tuple[ForestModel, DataFrame] | None:
     """One model over the whole frame; None when there are fewer than 10 rows.
 
     Returns the model and the training rows already scored (checkpointed to the
@@ -254,8 +248,7 @@ def fit_global(feats: DataFrame, zcols: Sequence[str], id_col: str = "id",
     forest = FlatForest.from_nodes(nodes.toPandas())  # bounded: n_trees * (2 psi - 1) rows
     checkpoint_dir(feats.sparkSession)
     scored = score_global(feats, ForestModel(forest, 0.0, zcols), id_col).checkpoint(eager=True)
-    exact = n <= exact_limit
-    off = scored.agg(_offset_expr("score_samples", contamination, exact).alias("o")).first()["o"]
+    off = exact_quantiles(scored, "score_samples", (contamination,)).first()["q0"]
     model = ForestModel(forest, float(off), zcols)
     d = F.col("score_samples") - F.lit(float(off))
     return model, scored.withColumn("decision", d).withColumn("is_anomaly", d < 0)
@@ -271,9 +264,11 @@ def score_global(feats: DataFrame, model: ForestModel, id_col: str = "id") -> Da
 
     def run(batches):
         for pdf in batches:
-            s = forest.score_samples(pdf[zcols].to_numpy(dtype=float))
-            d = s - offset
-            yield pdf.assign(score_samples=s, decision=d, is_anomaly=d < 0)
+            for at in range(0, len(pdf), 10_000):  # the node matrix has a column per tree
+                part = pdf.iloc[at:at + 10_000]
+                s = forest.score_samples(part[zcols].to_numpy(dtype=float))
+                d = s - offset
+                yield part.assign(score_samples=s, decision=d, is_anomaly=d < 0)
 
     return spread(feats).mapInPandas(run, schema)
 
@@ -337,7 +332,7 @@ def fit_score_by_key(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str]
 
     big_scored = (rows_s.groupBy(*keys, "_salt").cogroup(nodes_s.groupBy(*keys, "_salt"))
                   .applyInPandas(score_cogroup, raw_schema))
-    offs = big_scored.groupBy(*keys).agg(_offset_expr("score_samples", contamination, False).alias("_off"))
+    offs = exact_quantiles(big_scored, "score_samples", (contamination,), keys).withColumnRenamed("q0", "_off")
     big = (big_scored.join(offs, keys)
            .withColumn("decision", F.col("score_samples") - F.col("_off"))
            .withColumn("is_anomaly", F.col("decision") < 0).drop("_off"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
@@ -84,8 +84,9 @@ def resolve_reads(notifs: DataFrame, reads: DataFrame, mark_all: DataFrame | Non
         ev = (j.select("user_id", F.col("created_at").alias("_t"), F.lit(0).alias("_k"), "notification_id")
               .unionByName(mark_all.select("user_id", F.col("at").alias("_t"), F.lit(1).alias("_k"),
                                            F.lit(None).cast("string").alias("notification_id"))))
-        w = (Window.partitionBy("user_id").orderBy("_t", "_k")
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        # newest first, so the frame only grows and each row is visited once
+        w = (Window.partitionBy("user_id").orderBy(F.col("_t").desc(), F.col("_k").desc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         nxt = (ev.withColumn("_r2", F.min(F.when(F.col("_k") == 1, F.col("_t"))).over(w))
                .filter(F.col("_k") == 0).select("notification_id", "_r2"))
         j = j.join(nxt, "notification_id", "left")
@@ -120,10 +121,15 @@ def unread_count(notifs: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataF
 
 
 def write_notifications(notifs: DataFrame, path: str, keep: int = P.NOTIFICATION_RETENTION) -> DataFrame:
-    """Sink: retained rows appended to Parquet (partitioned by category)."""
-    kept = retain_newest(notifs, keep=keep)
-    kept.write.mode("append").partitionBy("category").parquet(path)
-    return kept
+    """Sink: rows appended to a Parquet log (partitioned by category).  Returns what the
+    log retains, over this and all earlier appends."""
+    notifs.write.mode("append").partitionBy("category").parquet(path)
+    return read_notifications(notifs.sparkSession, path, keep)
+
+
+def read_notifications(spark: SparkSession, path: str, keep: int = P.NOTIFICATION_RETENTION) -> DataFrame:
+    """The newest ``keep`` rows per user of the log."""
+    return retain_newest(spark.read.parquet(path), keep=keep)
 
 
 # ------------------------------------------------------------------- alerts

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneta import params as P
 from moneta.operators import anomaly as an
 from moneta.operators import iforest
 
@@ -15,7 +16,8 @@ ZCOLS = [f"z_{c}" for c in an.FEATURES]
 
 def detect_anomalies(tx: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One model over the frame (``keys=()``, the original's one-batch model) or
-    one per key.  Output: the transaction columns plus is_anomaly,
+    one per key; a key with too few rows for a model gets the heuristic.  Output:
+    the transaction columns plus is_anomaly,
     anomaly_score (0-100, 100 = most anomalous), anomaly_reasons, method."""
     keys = list(keys)
     feats = an.anomaly_features(tx, keys=keys)
@@ -31,7 +33,12 @@ def detect_anomalies(tx: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         scored = z.join(s.drop(*keys), "id")
     norm = an.normalize_scores(scored.filter(F.col("decision").isNotNull()), "decision", keys, "anomaly_score")
     res = an.anomaly_reasons(norm, ref, keys)
-    return res.withColumn("method", F.lit("isolation_forest"))
+    res = res.withColumn("method", F.lit("isolation_forest"))
+    if not keys:
+        return res
+    few = tx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < P.ANOMALY_MIN_FIT_ROWS).select(*keys)
+    rest = an.anomaly_heuristic(tx.join(few, keys, "left_semi"), keys).withColumn("method", F.lit("heuristic"))
+    return res.unionByName(rest, allowMissingColumns=True)
 
 
 def anomaly_report(tx: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -11,28 +12,37 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "moneta") -> SparkSession:
     """Session for tests, bench and local runs.
 
-    On a cluster the submitter's configuration wins: ``getOrCreate`` returns the
-    existing session and only the settings below that are still unset apply.
+    The submitter's configuration wins: an active session is returned as it is, and
+    settings that a running context or the submit arguments name are left alone.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .master(master or f"local[{cpus}]")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # AQE may merge small shuffle partitions down to this size; at 256 KB a
-        # CPU-heavy grouped Python stage over a few MB still gets several tasks
-        # (no effect once partitions are large, as at scale)
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("MONETA_DRIVER_MEMORY", "16g"))
-    )
-    spark = builder.getOrCreate()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        ours = {
+            "spark.master": master or f"local[{cpus}]",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.session.timeZone": "UTC",
+            "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus),
+            "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.coalescePartitions.enabled": "true",
+            "spark.sql.adaptive.skewJoin.enabled": "true",
+            # AQE may merge small shuffle partitions down to this size; at 256 KB a
+            # CPU-heavy grouped Python stage over a few MB still gets several tasks
+            # (no effect once partitions are large, as at scale)
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+            "spark.sql.execution.arrow.pyspark.enabled": "true",
+            "spark.driver.memory": os.environ.get("MONETA_DRIVER_MEMORY", "16g"),
+        }
+        given = os.environ.get("PYSPARK_SUBMIT_ARGS", "")  # --master and --conf of the submitter, before a JVM runs
+        if "--master" in given or "spark.master=" in given:
+            del ours["spark.master"]
+        ours = {k: v for k, v in ours.items() if f"{k}=" not in given}
+        builder = SparkSession.builder.appName(app_name)
+        have = SparkContext._active_spark_context
+        if have is not None:
+            ours = {k: v for k, v in ours.items() if not have.getConf().contains(k)}
+        spark = builder.config(map=ours).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
     return spark
@@ -41,12 +51,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) a fresh
-    local folder is created and registered.
+    Read from the session; only when it is unset and the master is local (tests,
+    local runs) a fresh local folder is created and registered.  On a cluster an
+    unset folder is an error: executors do not share a local one.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="moneta-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

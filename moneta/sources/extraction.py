@@ -65,9 +65,10 @@ def flatten_receipt(df: DataFrame, id_col: str = "doc_id", text: str = "content"
     """One row per receipt item (receipts without items keep one row)."""
     p = parse_extraction(df, RECEIPT, text)
     return p.select(id_col, "raw_text", "parsed.data", "parsed.valor_total", "parsed.estabelecimento",
-                    "parsed.forma_pagamento", "parsed.categoria_sugerida",
+                    "parsed.cnpj", "parsed.endereco", "parsed.forma_pagamento", "parsed.categoria_sugerida",
                     F.posexplode_outer("parsed.itens").alias("item_pos", "item")).select(
-        id_col, "raw_text", "data", "valor_total", "estabelecimento", "forma_pagamento", "categoria_sugerida",
+        id_col, "raw_text", "data", "valor_total", "estabelecimento", "cnpj", "endereco", "forma_pagamento",
+        "categoria_sugerida",
         "item_pos", F.col("item.descricao").alias("item_descricao"), F.col("item.valor").alias("item_valor"),
         F.col("item.quantidade").alias("item_quantidade"))
 
@@ -75,11 +76,18 @@ def flatten_receipt(df: DataFrame, id_col: str = "doc_id", text: str = "content"
 def _merge_pages(pages: DataFrame, schema: T.StructType, header: list[str], list_field: str,
                  id_col: str, page_col: str, text: str) -> DataFrame:
     p = parse_extraction(pages, schema, text).filter(F.col("parsed").isNotNull())
-    hdr = p.groupBy(id_col).agg(
-        F.min_by(F.struct(*[F.col(f"parsed.{h}").alias(h) for h in header]), F.col(page_col)).alias("_h"))
-    items = p.select(id_col, page_col, F.posexplode(f"parsed.{list_field}").alias("pos", "_x"))
-    j = items.join(hdr, id_col)
-    return j.select(id_col, page_col, "pos", *[F.col(f"_h.{h}").alias(h) for h in header], "_x.*")
+    # one parse: a page's items travel with it; a document's pages meet once
+    p = p.select(id_col, page_col, F.struct(*[F.col(f"parsed.{h}").alias(h) for h in header]).alias("_h"),
+                 F.col(f"parsed.{list_field}").alias("_l"))
+    d = p.groupBy(id_col).agg(F.min_by("_h", page_col).alias("_h"),
+                              F.collect_list(F.struct(F.col(page_col).alias("_p"), "_l")).alias("_pages"))
+    each = F.flatten(F.transform("_pages", lambda g: F.transform(
+        F.coalesce(g["_l"], F.array().cast(p.schema["_l"].dataType)),
+        lambda x, i: F.struct(g["_p"].alias(page_col), i.alias("pos"), x.alias("_x")))))
+    # a document whose pages hold no items keeps one row with its header
+    j = d.select(id_col, "_h", F.explode_outer(each).alias("_e"))
+    return j.select(id_col, F.col(f"_e.{page_col}").alias(page_col), F.col("_e.pos").alias("pos"),
+                    *[F.col(f"_h.{h}").alias(h) for h in header], "_e._x.*")
 
 
 def merge_bill_pages(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page",
@@ -92,7 +100,7 @@ def merge_bill_pages(pages: DataFrame, id_col: str = "doc_id", page_col: str = "
 
 def merge_statement_pages(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page",
                           text: str = "content") -> DataFrame:
-    return _merge_pages(pages, STATEMENT, ["banco", "agencia", "conta", "saldo_inicial", "saldo_final"],
+    return _merge_pages(pages, STATEMENT, ["banco", "agencia", "conta", "periodo", "saldo_inicial", "saldo_final"],
                         "movimentacoes", id_col, page_col, text)
 
 

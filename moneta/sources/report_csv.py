@@ -32,7 +32,7 @@ def read_report(spark: SparkSession, path: str) -> Report:
                         num(2).alias("v_1_10"), num(3).alias("v_11_20"), num(4).alias("v_21_31"),
                         num(5).alias("total"))
     daily = daily_rows.select(F.col("f")[0].alias("grupo"), tipo.alias("serie"),
-                              F.posexplode(F.slice("f", 3, 1000)).alias("pos", "v")).select(
+                              F.posexplode(F.slice("f", 3, F.size("f"))).alias("pos", "v")).select(
         "grupo", "serie", (F.col("pos") + 1).alias("day"), F.col("v").try_cast("double").alias("value"))
     opening = opening_rows.select(F.col("f")[0].alias("grupo"), num(2).alias("saldo_inicial"))
     return Report(rows, daily, opening)

@@ -19,10 +19,10 @@ def test_heuristic_golden(spark):
 
 
 def test_normalize_scores_golden(spark):
-    df = spark.createDataFrame([(i, 1, s) for i, s in enumerate([-0.5, -0.3, 0.0, 0.2, 0.5])],
+    df = spark.createDataFrame([(i, 1, s) for i, s in enumerate([-0.8, -0.4, 0.2, 0.7, 1.2])],
                                "id long, user_id long, s double")
     got = [round(r.score_normalized, 9) for r in an.normalize_scores(df, "s").orderBy("id").collect()]
-    assert got == [100.0, 80.0, 50.0, 30.0, 0.0]
+    assert got == [100.0, 80.0, 50.0, 25.0, 0.0]
     same = spark.createDataFrame([(1, 1, 0.3), (2, 1, 0.3)], "id long, user_id long, s double")
     assert {r.score_normalized for r in an.normalize_scores(same, "s").collect()} == {50.0}
 
