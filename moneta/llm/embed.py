@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moneta.llm.common import connected, written
+from moneta.llm.common import bounded_sample, connected, written
 
 #: Vectors that the codebooks are fitted on; vectors of a block; members that a cell should have.
 SAMPLE, BLOCK, PER_CELL = 8192, 1024, 64
@@ -155,7 +155,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMP
     n = classes.count()
     if not n:
         return plain
-    fit = _rows(classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(sample).toPandas()["unit"])
+    fit = _rows(bounded_sample(classes.select("unit"), sample, "unit").toPandas()["unit"])
     k, h = int(min(256, max(2, round((n / PER_CELL) ** 0.5)))), fit.shape[1] // 2
     one, two = codebook(fit[:, :h], k), codebook(fit[:, h:], k)
     members = written(classes.select("cls", "weight", "unit").mapInPandas(

@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneta.llm.common import bounded_sample
+
 # --- FIXED VALUES: names by their role in HTML ---
 SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -158,8 +160,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def extract_pages(pages: DataFrame, sample: int = 1000) -> DataFrame:
     """``pages`` without html, plus text and n_chars.  ``sample``: labelled pages, by the
     hash of their html, that the weights are learned from."""
-    labelled = pages.where(F.size(F.regexp_extract_all("html", F.lit(r"(?i)(<article\b)"))) == 1).select("html").distinct()
-    chosen = labelled.orderBy(F.xxhash64("html"), "html").limit(sample).toPandas()["html"]
+    labelled = pages.where(F.size(F.regexp_extract_all("html", F.lit(r"(?i)(<article\b)"))) == 1).select("html")
+    chosen = bounded_sample(labelled, sample, "html").toPandas()["html"]
     weights = learn(list(chosen))
 
     @F.pandas_udf("string")

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneta.llm.common import bounded_sample
 from moneta.llm.wordhash import mix, stream
 
 #: Labelled rows used; words of a chain; bytes scored at once; table entries of a feature family, as a power of 2.
@@ -232,7 +233,7 @@ def identify(docs: DataFrame, fold: int = 4, held: int = 2, sample: int = SAMPLE
     """``docs`` plus held_out, lang_pred and score.  Learns from at most ``sample`` rows, by hash
     of doc_id, whose lang isn't null and whose crc32(doc_id) % fold isn't ``held``."""
     known = docs.where("lang is not null and doc_id is not null").where(~in_fold(fold, held))
-    rows = known.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(sample).toPandas()
+    rows = bounded_sample(known.select("doc_id", "text", "lang"), sample, "doc_id", "lang", "text").toPandas()
     names = sorted(set(rows["lang"]))
     tables, moves = train(list(rows["text"]), list(rows["lang"]), names) if names else ({}, np.zeros((0, 0)))
     model = docs.sparkSession.sparkContext.broadcast((tables, moves, names))  # a fixed number of table entries by label

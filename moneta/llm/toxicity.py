@@ -39,6 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moneta.llm.common import bounded_sample
+
 # --- FIXED VALUES: word classes ---
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile".split()
 THREATS = "kill hurt destroy beat stab shoot burn strangle umbringen töten tuer frapper matar".split()
@@ -228,7 +230,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int
     labelled rows, by hash of doc_id, whose crc32(doc_id) % fold isn't ``held``."""
     known = labels.where("toxic is not null and doc_id is not null").where(~in_fold(fold, held)).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    known = bounded_sample(known, sample, "doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
     rows = rows.toPandas().sort_values(["doc_id", "toxic"], ignore_index=True)
     grammar = learn(list(rows["text"]), [int(t == 1) for t in rows["toxic"]])
