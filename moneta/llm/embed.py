@@ -3,11 +3,12 @@
 Unit vectors are cut in two halves.  Each half has a codebook of k centroids,
 fitted independently on a bounded sample; the two codebooks span a grid of k x k
 cells, and every vector is listed in its nearest cell.  A query visits cells by the
-multi-sequence algorithm, in the order of the sum of two lower bounds: the squared
-distance from the query's half to the Voronoi region of a centroid, for each half.
-It stops when the sum exceeds 2 - 2 * cosine.  No vector of a later cell can reach
-the asked cosine, so the target recall of this traversal is 1; the cells' vectors
-are then verified in double precision.
+multi-sequence algorithm, in the order of the sum of its two gaps: how much farther than
+the nearest centroid a centroid is, for each half.  It stops where the target recall is
+reached: the gap is calibrated on partners of sample vectors at exactly the asked cosine,
+in random directions, so that ``recall`` of their cells are visited; closer partners are
+missed less, and a link is found from either of its ends.  The cells' vectors are then
+verified in double precision.
 
 Vectors with equal components form a class that is compared once and counts with
 its size.  A cell's members and its queries are dealt out in blocks of bounded
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 
 from moneta.llm.common import bounded_sample, connected, written
 
-#: Vectors that the codebooks are fitted on; vectors of a block; members that a cell should have.
-SAMPLE, BLOCK, PER_CELL = 8192, 1024, 64
+#: Vectors that the codebooks are fitted on; vectors of a block; members that a cell should have;
+#: share of the partners at exactly the asked cosine whose cell a query must visit.
+SAMPLE, BLOCK, PER_CELL, RECALL = 4096, 1024, 512, 0.9995
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -54,16 +56,23 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
 
 
-def region_bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """For each row of x and centroid i a lower bound of the squared distance from x to any
-    point nearest to i: the farthest of the half-spaces that i's region lies in, seen from
-    x's own centroid."""
-    d = (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
-    own = d.argmin(axis=1)
-    gap = np.sqrt(np.maximum(((c[own][:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 1e-300))
-    bound = np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * gap)
-    bound[np.arange(len(x)), own] = 0
-    return bound ** 2
+def gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each row of x and centroid, how much farther (squared) it is than the nearest one."""
+    d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
+    return d - d.min(axis=1, keepdims=True)
+
+
+def stop_gap(x: np.ndarray, one: np.ndarray, two: np.ndarray, cosine: float, recall: float, seed: int = 9) -> float:
+    """The sum of gaps within which a partner's cell lies with probability ``recall``, seen from
+    the rows of x: for partners in random directions at exactly the asked cosine, the farthest
+    that count."""
+    y = np.random.default_rng(seed).normal(size=(4 * len(x), x.shape[1]))
+    x = np.repeat(x, 4, axis=0)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    h, at = x.shape[1] // 2, np.arange(len(x))
+    need = gaps(x[:, :h], one)[at, nearest(y[:, :h], one)] + gaps(x[:, h:], two)[at, nearest(y[:, h:], two)]
+    return float(np.quantile(need, recall)) + 1e-9
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
@@ -113,7 +122,7 @@ def _visits(one: np.ndarray, two: np.ndarray, used: frozenset, limit: float):
                 x = _rows(part["unit"])
                 h = x.shape[1] // 2
                 cells = [[i * len(two) + j for i, j in multi_sequence(p, q, limit) if i * len(two) + j in used]
-                         for p, q in zip(region_bounds(x[:, :h], one), region_bounds(x[:, h:], two))]
+                         for p, q in zip(gaps(x[:, :h], one), gaps(x[:, h:], two))]
                 yield part.assign(cell=cells)[["cls", "weight", "unit", "cell"]]
     return run
 
@@ -140,7 +149,7 @@ def _verify(cosine: float):
     return run
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
@@ -162,10 +171,10 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMP
         _cells(one, two), "cls long, weight long, unit binary, cell long"), "cells")
     counts = members.groupBy("cell").count()
     used = frozenset(r["cell"] for r in counts.select("cell").collect())  # at most 256 * 256
-    limit = 2 - 2 * cosine + 1e-9
+    limit = stop_gap(fit, one, two, cosine, recall)
     visits = classes.select("cls", "weight", "unit").mapInPandas(
         _visits(one, two, used, limit), "cls long, weight long, unit binary, cell array<long>")
-    visits = written(visits.withColumn("cell", F.explode("cell")), "visits")
+    visits = written(visits, "visits").withColumn("cell", F.explode("cell"))
     blocks = counts.select("cell", F.ceil(F.col("count") / block).cast("int").alias("ms")).join(
         visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("qs")), "cell")
 

@@ -50,7 +50,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and components of all embeddings at cosine 0.95; codebooks are fitted on 8192 vectors."""
+    """Links and components of all embeddings at cosine 0.95; codebooks are fitted on 4096 vectors."""
     from moneta.llm.embed import near_embeddings
     return near_embeddings(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
