@@ -11,16 +11,6 @@ def lit_array(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def key_skeleton(df: DataFrame, keys: Sequence[str], name: str, values: Sequence) -> DataFrame:
-    """Every key present in ``df`` times each of ``values`` (a fixed dimension):
-    an explode of a literal array, no join."""
-    if keys:
-        base = df.select(*keys).distinct()
-    else:
-        base = df.sparkSession.range(1).select()
-    return base.withColumn(name, F.explode(lit_array(values)))
-
-
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join per-key statistics back onto rows.
 

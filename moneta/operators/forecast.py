@@ -144,9 +144,9 @@ def _hw_group(pdf: pd.DataFrame, keys: list[str], days: int) -> pd.DataFrame:
 
 def forecast_hw(tx: DataFrame, days: int = 30, keys: Sequence[str] = K) -> tuple[DataFrame, DataFrame]:
     """(daily predictions, per-key summary).  Keys with fewer than 14 calendar
-    days use the mean-based forecast in the summary and get no daily rows.
+    days use the mean-based forecast: no daily rows, but a range of the total.
     Summary: total_predicted = sum of clamped days, rounded once, average_daily = mean of the
-    unclamped forecast."""
+    unclamped forecast; lower / upper are null where the daily rows carry the bounds."""
     keys = list(keys)
     s = _series(tx, keys)
     # calendar length per key straight from the daily aggregate (no second pass over the series)
@@ -163,8 +163,9 @@ def forecast_hw(tx: DataFrame, days: int = 30, keys: Sequence[str] = K) -> tuple
     daily = spread_by(long_, *keys).groupBy(*keys).applyInPandas(lambda pdf: _hw_group(pdf, keys, days), schema)
     hw_sum = daily.groupBy(*keys).agg(
         F.lit("Holt-Winters").alias("method"), rnd(F.sum(F.greatest("raw", F.lit(0.0))), 2).alias("total_predicted"),
-        rnd(F.avg("raw"), 2).alias("average_daily"))
+        rnd(F.avg("raw"), 2).alias("average_daily"), F.lit(None).cast("double").alias("lower"),
+        F.lit(None).cast("double").alias("upper"))
     short_keys = n.filter(F.col("_n") < MIN_DAYS).select(*keys)
     simple = forecast_simple(tx.join(short_keys, keys, "left_semi"), keys, days).select(
-        *keys, "method", "total_predicted", "average_daily")
-    return daily, hw_sum.unionByName(simple)
+        *keys, "method", "total_predicted", "average_daily", "lower", "upper")
+    return daily, hw_sum.unionByName(simple).withColumn("confidence_level", F.lit(0.95))

@@ -8,10 +8,9 @@
 * Scoring, one model (``keys=()``): the forest has at most trees * (2 psi - 1)
   nodes (51,100 for the defaults), a proven bound, so it is shipped to the
   tasks and ``mapInPandas`` walks all trees at once, vectorised with numpy.
-* Scoring, one model per key: keys with at most ``max_group_rows`` rows fit and
-  score inside one grouped call (the forest never leaves the worker); larger keys
-  use the sampled fit above and a cogroup on (key, salt) whose salt count grows
-  with the key's size, so no task holds more than about ``max_group_rows`` rows.
+* One model per key: a key's trees draw from a hash sample of its rows; a cogroup on
+  (key, salt) regrows the key's forest from that sample and scores the salt's rows.
+  Keys of every size go this way; the salt count only sets how many tasks share a key.
 
 score = 2 ** (-E[h(x)] / c(psi)); ``score_samples = -score`` (low = anomalous);
 decision = score_samples - offset, offset = the contamination quantile of the
@@ -273,68 +272,58 @@ def score_global(feats: DataFrame, model: ForestModel, id_col: str = "id") -> Da
     return spread(feats).mapInPandas(run, schema)
 
 
-def _fit_score_group(pdf: pd.DataFrame, zcols, keys, id_col, n_trees, psi, seed, contamination):
-    """Small key: sample, grow and score inside one group (ids sorted for determinism)."""
-    pdf = pdf.sort_values(id_col).reset_index(drop=True)
-    X = pdf[zcols].to_numpy(dtype=float)
-    n = X.shape[0]
-    out = pdf[[*keys, id_col]].copy()
-    if n < P.ANOMALY_MIN_FIT_ROWS:
-        out["score_samples"], out["decision"], out["is_anomaly"] = np.nan, np.nan, None
-        return out
-    p = min(psi, n)
-    kh = int(pd.util.hash_pandas_object(pdf[keys].iloc[:1], index=False).iloc[0]) if keys else 0
-    rng = _tree_rng(seed, n_trees, kh)  # one stream per key model
-    samples = np.stack([np.sort(rng.choice(n, size=p, replace=False)) for _ in range(n_trees)])
-    tr = grow_forest(X, samples, rng, _max_depth(p))
-    ff = FlatForest(tr["feature"], tr["threshold"], tr["left"], tr["right"], tr["value"],
-                    np.arange(n_trees, dtype=np.int64), p)
-    s = ff.score_samples(X)
-    d = s - np.percentile(s, 100.0 * contamination)
-    out["score_samples"], out["decision"], out["is_anomaly"] = s, d, d < 0
-    return out
-
-
 def fit_score_by_key(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str] = ("user_id",),
                      id_col: str = "id", n_trees: int = P.ANOMALY_N_ESTIMATORS, psi: int = 256,
                      seed: int = P.ANOMALY_RANDOM_STATE, contamination: float = P.ANOMALY_CONTAMINATION,
-                     max_group_rows: int = 1_000_000) -> DataFrame:
-    """One model per key.  Returns (keys, id, score_samples, decision, is_anomaly);
-    keys with fewer than 10 rows get nulls (not fitted)."""
+                     rows_per_task: int = 200_000) -> DataFrame:
+    """One model per key, the same way for keys of every size.  Returns (keys, id,
+    score_samples, decision, is_anomaly); keys with fewer than 10 rows get nulls (not fitted).
+
+    A key's trees draw from its ``n_trees * psi`` rows of smallest id hash (as many as all
+    trees together can hold).  The key's rows are dealt to groups of about ``rows_per_task``;
+    each group regrows the key's forest from that sample, which gives the same trees
+    everywhere, and scores its rows.  So no task holds a whole hot key and no model is
+    shuffled; ``rows_per_task`` changes the work's layout, not the result."""
     keys, zcols = list(keys), list(zcols)
     counts = feats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     j = feats.select(*keys, id_col, *zcols).join(counts, keys)
-    out_schema = T.StructType(feats.select(*keys, id_col).schema.fields + [
-        T.StructField("score_samples", T.DoubleType()), T.StructField("decision", T.DoubleType()),
-        T.StructField("is_anomaly", T.BooleanType())])
-    small = (spread_by(j.filter(F.col("_n") <= max_group_rows).drop("_n"), *keys).groupBy(*keys)
-             .applyInPandas(lambda pdf: _fit_score_group(pdf, zcols, keys, id_col, n_trees, psi, seed,
-                                                         contamination), out_schema))
-    big_rows = j.filter(F.col("_n") > max_group_rows)
-    big_counts = counts.filter(F.col("_n") > max_group_rows)
-    nodes = fit_nodes(big_rows.drop("_n"), zcols, keys, id_col, n_trees, psi, seed, counts=big_counts)
-    # salt the big keys: about max_group_rows rows per (key, salt); the key's forest is
-    # replicated once per salt, which is small next to the rows it scores
-    n_salts = F.ceil(F.col("_n") / F.lit(max_group_rows)).cast("int")
-    rows_s = big_rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), n_salts).cast("int")).drop("_n")
-    salts = big_counts.select(*keys, n_salts.alias("_ns"))
-    nodes_s = (nodes.join(salts, keys)
-               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns"))
-    raw_schema = T.StructType(out_schema.fields[:-2])
-
-    def score_cogroup(rows: pd.DataFrame, nd: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=[f.name for f in raw_schema.fields])
-        ff = FlatForest.from_nodes(nd)
-        out = rows[[*keys, id_col]].copy()
-        out["score_samples"] = ff.score_samples(rows[zcols].to_numpy(dtype=float))
+    fitted = j.filter(F.col("_n") >= P.ANOMALY_MIN_FIT_ROWS)
+    key_fields = feats.select(*keys, id_col).schema.fields
+    schema = T.StructType(key_fields + [T.StructField("score_samples", T.DoubleType())])
+
+    pool_rows = n_trees * psi
+    u = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63)
+    n_salts = F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int")
+    w = Window.partitionBy(*keys).orderBy("_u", id_col)
+    pool = (fitted.withColumn("_u", u).filter(F.col("_u") * F.col("_n") < 2 * pool_rows)
+            .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= pool_rows)
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))))
+    pk, pz, pid = [f"p_{k}" for k in keys], [f"p_{z}" for z in zcols], f"p_{id_col}"
+    pool = pool.select(*[F.col(k).alias(p) for k, p in zip([*keys, *zcols, id_col, "_salt"], [*pk, *pz, pid, "p_salt"])],
+                       F.col("_u").alias("p_u"))
+    rows = fitted.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), n_salts).cast("int")).drop("_n")
+
+    def score(part: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        sample = sample.sort_values(["p_u", pid])
+        X, Z = sample[pz].to_numpy(dtype=float), part[zcols].to_numpy(dtype=float)
+        p = min(psi, len(X))
+        rng = _tree_rng(seed, n_trees, int(pd.util.hash_pandas_object(sample[pk].iloc[:1], index=False).iloc[0]))
+        drawn = np.stack([np.sort(rng.choice(len(X), size=p, replace=False)) for _ in range(n_trees)])
+        tr = grow_forest(X, drawn, rng, _max_depth(p))
+        ff = FlatForest(tr["feature"], tr["threshold"], tr["left"], tr["right"], tr["value"],
+                        np.arange(n_trees, dtype=np.int64), p)
+        out = part[[*keys, id_col]].copy()
+        out["score_samples"] = np.concatenate([ff.score_samples(Z[at:at + 10_000]) for at in range(0, len(Z), 10_000)])
         return out
 
-    big_scored = (rows_s.groupBy(*keys, "_salt").cogroup(nodes_s.groupBy(*keys, "_salt"))
-                  .applyInPandas(score_cogroup, raw_schema))
-    offs = exact_quantiles(big_scored, "score_samples", (contamination,), keys).withColumnRenamed("q0", "_off")
-    big = (big_scored.join(offs, keys)
-           .withColumn("decision", F.col("score_samples") - F.col("_off"))
-           .withColumn("is_anomaly", F.col("decision") < 0).drop("_off"))
     checkpoint_dir(feats.sparkSession)
-    return small.unionByName(big).checkpoint(eager=True)
+    scored = (spread_by(rows, *keys, "_salt").groupBy(*keys, "_salt")
+              .cogroup(spread_by(pool, *pk, "p_salt").groupBy(*pk, "p_salt"))
+              .applyInPandas(score, schema).checkpoint(eager=True))
+    offs = exact_quantiles(scored, "score_samples", (contamination,), keys).withColumnRenamed("q0", "_off")
+    done = (scored.join(offs, keys).withColumn("decision", F.col("score_samples") - F.col("_off"))
+            .withColumn("is_anomaly", F.col("decision") < 0).drop("_off"))
+    few = j.filter(F.col("_n") < P.ANOMALY_MIN_FIT_ROWS).select(*keys, id_col)
+    return done.unionByName(few, allowMissingColumns=True)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
-from moneta.functions.common import attach, key_skeleton, lit_array, rnd
+from moneta.functions.common import attach, lit_array, rnd
 from moneta.functions.timecols import week_of_month, weekday_mon0
 
 K = ("user_id",)
@@ -54,15 +54,15 @@ def by_category(tx: DataFrame, keys: Sequence[str] = K, types: Sequence[str] | N
     """sum/mean/count/std per category rounded to 2; percent of the key's grand
     total (all rows, null categories included) from the rounded total, 1 decimal.
     Null categories form no group."""
-    t = _types(tx, types)
-    grand = t.groupBy(*keys).agg(F.sum("amount").alias("_grand"))
-    per = t.filter(F.col("category").isNotNull()).groupBy(*keys, "category").agg(
-        rnd(F.sum("amount"), 2).alias("total"),
+    per = _types(tx, types).groupBy(*keys, "category").agg(
+        F.sum("amount").alias("_s"),
         rnd(F.avg("amount"), 2).alias("media"),
         F.count(F.lit(1)).alias("count"),
         rnd(F.stddev_samp("amount"), 2).alias("desvio"),
     )
-    return (attach(per, grand, keys)
+    # the grand total from the per-category rows: a key has as many as it has categories
+    per = per.withColumn("_grand", F.sum("_s").over(Window.partitionBy(*keys))).filter(F.col("category").isNotNull())
+    return (per.select(*keys, "category", rnd("_s", 2).alias("total"), "media", "count", "desvio", "_grand")
             .withColumn("percentual", rnd(F.try_divide(F.col("total"), F.col("_grand")) * 100, 1))
             .drop("_grand"))
 
@@ -83,13 +83,13 @@ def day_period(ts: Column) -> Column:
 
 def by_period(tx: DataFrame, keys: Sequence[str] = K, ts: str = "timestamp") -> DataFrame:
     """Sum and count per period of the day; empty periods appear with zeros."""
-    agg = tx.groupBy(*keys, day_period(F.col(ts)).alias("period")).agg(
-        F.sum("amount").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    sk = key_skeleton(tx, keys, "period", P.PERIOD_LABELS)
-    return (sk.join(agg, [*keys, "period"], "left")
-            .select(*keys, "period",
-                    rnd(F.coalesce(F.col("_s"), F.lit(0.0)), 2).alias("sum"),
-                    F.coalesce(F.col("_c"), F.lit(0)).cast("long").alias("count")))
+    period = day_period(F.col(ts))
+    per = tx.groupBy(*keys).agg(*[x for i, p in enumerate(P.PERIOD_LABELS) for x in (
+        F.sum(F.when(period == p, F.col("amount"))).alias(f"_s{i}"), F.count(F.when(period == p, 1)).alias(f"_c{i}"))])
+    rows = F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"_s{i}").alias("s"), F.col(f"_c{i}").alias("c"))
+                     for i, p in enumerate(P.PERIOD_LABELS)])
+    return per.select(*keys, F.explode(rows).alias("_x")).select(
+        *keys, "_x.period", rnd(F.coalesce("_x.s", F.lit(0.0)), 2).alias("sum"), F.col("_x.c").alias("count"))
 
 
 def by_week_of_month(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
@@ -168,8 +168,7 @@ def category_share(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     deb = tx.filter(F.col("transaction_type") == "debito")
     cat = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("outros"))
     per = deb.groupBy(*keys, cat.alias("category")).agg(F.sum("amount").alias("_t"))
-    tot = deb.groupBy(*keys).agg(F.sum("amount").alias("_p"))
-    return (attach(per, tot, keys)
+    return (per.withColumn("_p", F.sum("_t").over(Window.partitionBy(*keys)))
             .select(*keys, "category", rnd(F.col("_t"), 2).alias("total"),
                     rnd(F.try_divide(F.col("_t"), F.col("_p")) * 100, 1).alias("share_pct")))
 

@@ -759,37 +759,28 @@ def q_describe_clusters(spark, sf):
 from moneta.streaming import risk_stream as rs  # noqa: E402
 
 
-def _replayed_tx(spark, sf):
+def _replay(spark, sf, plan, sink=None):
+    """The events table as a stream of transactions through ``plan``; the folder of the replay."""
     base = scratch(spark, "stream")
-    ev = rs.replay_events(spark, sf, f"{base}/in")
-    return base, td.transactions_from_events(ev)
+    ev = td.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    rs.feed(rs.time_slices(ev, "ts"), base, lambda s: plan(td.transactions_from_events(s)), sink and sink(f"{base}/out"))
+    return f"{base}/out"
 
 
 @register("stream_risk")
 def q_stream_risk(spark, sf):
-    base, tx = _replayed_tx(spark, sf)
-    out = rs.stream_risk(tx).select("id", "user_id", "recent_count", "risk_score", "is_high_risk")
-    rs.run_to_table(out, f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(_replay(spark, sf, lambda tx: rs.stream_risk(tx).select(
+        "id", "user_id", "recent_count", "risk_score", "is_high_risk")))
 
 
 @register("stream_daily")
 def q_stream_daily(spark, sf):
-    base, tx = _replayed_tx(spark, sf)
-    rs.run_to_table(rs.stream_daily(tx), f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out").select("user_id", "date", rnd("amount", 2).alias("amount"), "n")
+    return spark.read.parquet(_replay(spark, sf, rs.stream_daily)).select("user_id", "date", rnd("amount", 2).alias("amount"), "n")
 
 
 @register("stream_alerts")
 def q_stream_alerts(spark, sf):
-    base, tx = _replayed_tx(spark, sf)
-    q = (rs.stream_risk(tx).writeStream.foreachBatch(rs.alerts_sink(f"{base}/alerts"))
-         .option("checkpointLocation", f"{base}/ckpt").start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.read.parquet(f"{base}/alerts").select("id", "user_id", "risk_score", "alert_type")
+    return spark.read.parquet(_replay(spark, sf, rs.stream_risk, rs.alerts_sink)).select("id", "user_id", "risk_score", "alert_type")
 
 
 # ------------------------------------------------------------------ extras
@@ -840,8 +831,7 @@ def q_stream_delays(spark, sf):
     d = (iv.delay(iv.with_context(_scored(spark, sf))).filter(F.col("delay_minutes").isNotNull())
          .select("user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
                  F.col("delay_expires_at").alias("expires_at"))).checkpoint(eager=True)
-    stream = rs.replay_frame(spark, d, "set_at", f"{base}/in")
-    rs.run_to_table(rs.stream_delays(stream), f"{base}/out", f"{base}/ckpt")
+    rs.feed(rs.time_slices(d, "set_at"), base, rs.stream_delays)
     return spark.read.parquet(f"{base}/out")
 
 

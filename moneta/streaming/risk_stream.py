@@ -1,35 +1,40 @@
 """Structured Streaming twins of the batch operators.
 
 * ``stream_recent_counts``: last-hour frequency per user kept in
-  ``applyInPandasWithState``: the state holds the user's event times of the
-  last hour (evicted by event time) and expires by an event-time timeout.  For
-  input that arrives in event-time order it equals the batch
-  ``recent_1h_count`` (equal times are peers, as in the batch range frame).
+  ``applyInPandasWithState``.  Rows wait in the state until the watermark has
+  passed them, so rows that arrive late but inside the watermark are counted and
+  every emitted count equals the batch ``recent_1h_count`` (equal times are peers,
+  as in the batch range frame).  The state holds what is above the watermark plus
+  the times of the hour below it, and expires by an event-time timeout.
 * ``stream_risk``: the same risk expressions applied downstream (stateless).
 * ``stream_daily``: tumbling one-day windows per user behind a watermark; a
   day is emitted once the watermark passes its end (append mode).
 * ``alerts_sink``: ``foreachBatch`` writer, idempotent per batch id.
+* ``feed`` and ``time_slices``: a table replayed as a stream to the end of its input.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from moneta.operators import risk
-from moneta.sources import testdata as td
 
 HOUR_US = 3_600_000_000
 OUT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
     T.StructField("timestamp", T.TimestampNTZType()), T.StructField("amount", T.DoubleType()),
     T.StructField("category", T.StringType()), T.StructField("recent_count", T.IntegerType())])
-STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
+STATE_SCHEMA = T.StructType([
+    T.StructField("times", T.ArrayType(T.LongType())),  # emitted, not yet an hour below the watermark
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.LongType())),
+    T.StructField("amounts", T.ArrayType(T.DoubleType())), T.StructField("categories", T.ArrayType(T.StringType()))])
 
 
 def _micros(s: pd.Series) -> np.ndarray:
@@ -37,25 +42,35 @@ def _micros(s: pd.Series) -> np.ndarray:
 
 
 def _count_last_hour(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+    times, ids, at, amounts, categories = (list(v) for v in state.get) if state.exists else ([], [], [], [], [])
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            ids += pdf["id"].tolist()
+            at += _micros(pdf["timestamp"]).tolist()
+            amounts += [None if pd.isna(v) else float(v) for v in pdf["amount"]]
+            categories += [None if pd.isna(v) else v for v in pdf["category"]]
+    mark = state.getCurrentWatermarkMs() * 1000
+    t = np.array(at, dtype=np.int64)
+    ready = t <= mark  # nothing at or below the watermark can still arrive
+    kept = np.array(times, dtype=np.int64)
+    if ready.any():
+        t_out = t[ready]
+        kept = np.sort(np.concatenate([kept, t_out]))
+        # rows in [t - 1h, t] (peers with the same time included), minus the row itself
+        n = np.searchsorted(kept, t_out, side="right") - np.searchsorted(kept, t_out - HOUR_US, side="left") - 1
+        at_out = np.flatnonzero(ready)
+        yield pd.DataFrame({
+            "id": [ids[i] for i in at_out], "user_id": [key[0]] * len(at_out), "timestamp": pd.to_datetime(t_out, unit="us"),
+            "amount": [amounts[i] for i in at_out], "category": [categories[i] for i in at_out], "recent_count": n.astype(np.int32)})
+    kept = kept[kept > mark - HOUR_US]
+    wait = np.flatnonzero(~ready)
+    if not len(wait) and not len(kept):
         state.remove()
         return
-    old = np.array(state.get[0] if state.exists else [], dtype=np.int64)
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    t_new = _micros(pdf["timestamp"])
-    allt = np.sort(np.concatenate([old, t_new]))
-    # rows in [t - 1h, t] (peers with the same time included), minus the row itself
-    hi = np.searchsorted(allt, t_new, side="right")
-    lo = np.searchsorted(allt, t_new - HOUR_US, side="left")
-    out = pdf[["id", "user_id", "timestamp", "amount", "category"]].copy()
-    out["recent_count"] = (hi - lo - 1).astype(np.int32)
-    newest = int(allt[-1])
-    keep = allt[allt >= newest - HOUR_US]
-    state.update((keep.tolist(),))
-    state.setTimeoutTimestamp(newest // 1000 + 3_600_000 + 1)  # ms: one hour after the newest event
-    yield out
+    state.update((kept.tolist(), [ids[i] for i in wait], t[wait].tolist(), [amounts[i] for i in wait],
+                  [categories[i] for i in wait]))
+    # the timer fires once the watermark is above it
+    state.setTimeoutTimestamp(int(-(-t[wait].min() // 1000)) if len(wait) else int((kept.max() + HOUR_US) // 1000 + 1))
 
 
 def wall_as_utc(ntz_col: str):
@@ -104,40 +119,37 @@ def alerts_sink(path: str):
 
 # ------------------------------------------------------------------ replays
 
-def replay_events(spark: SparkSession, sf_dir: str, folder: str, slices: int = 5) -> DataFrame:
-    """Write the events table into ``slices`` time-ordered files, one after the
-    other, and return a file stream that reads one file per micro-batch (so
-    state crosses batch boundaries and arrival follows event time)."""
-    ev = td.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    days = ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()  # one row per calendar day
-    cuts = [r.d for r in days]
-    step = max(1, -(-len(cuts) // slices))
-    for i in range(0, len(cuts), step):
-        lo, hi = cuts[i], cuts[min(i + step, len(cuts)) - 1]
-        part = ev.filter((F.to_date("ts") >= F.lit(lo)) & (F.to_date("ts") <= F.lit(hi)))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(folder))
-
-
-def replay_frame(spark: SparkSession, df: DataFrame, ts_col: str, folder: str, slices: int = 5) -> DataFrame:
-    """Write ``df`` into time-ordered files (by calendar day of ``ts_col``), one
-    write after another, and stream them back one file per micro-batch."""
-    days = [r.d for r in df.select(F.to_date(ts_col).alias("d")).distinct().orderBy("d").collect()]
-    step = max(1, -(-len(days) // slices))
-    for i in range(0, len(days), step):
-        lo, hi = days[i], days[min(i + step, len(days)) - 1]
-        (df.filter((F.to_date(ts_col) >= F.lit(lo)) & (F.to_date(ts_col) <= F.lit(hi)))
-         .coalesce(1).write.mode("append").parquet(folder))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def run_to_table(stream: DataFrame, out: str, ckpt: str, fmt: str = "parquet") -> None:
-    q = (stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", ckpt)
-         .start(out))
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+def time_slices(df: DataFrame, ts_col: str, slices: int = 4, rest: dt.timedelta = dt.timedelta(days=2)) -> list[DataFrame]:
+    """``df`` in ``slices`` consecutive ranges of ``ts_col``.  The last one also holds a marker
+    row that lies ``rest`` after the newest row: it moves the watermark past all rows, so a
+    replay reaches the end of its input, and is itself never passed by the watermark."""
+    lo, hi = df.agg(F.min(ts_col), F.max(ts_col)).first()
+    if lo is None:
+        return [df]
+    cuts = [lo + (hi - lo) * i / slices for i in range(1, slices)]
+    c = F.col(ts_col)
+    parts = [df.filter(F.lit(True) if a is None else c >= F.lit(a)).filter(F.lit(True) if b is None else c < F.lit(b))
+             for a, b in zip([None, *cuts], [*cuts, None])]
+
+    def mark(f: T.StructField):
+        if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
+            return F.lit(hi + (rest if f.name == ts_col else 2 * rest))
+        return F.lit(-1) if isinstance(f.dataType, T.IntegralType) else F.lit(None)
+
+    marker = df.sparkSession.range(1).select(*[mark(f).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return [*parts[:-1], parts[-1].unionByName(marker)]
+
+
+def feed(parts: list[DataFrame], base: str, plan: Callable[[DataFrame], DataFrame],
+         sink: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Each part arrives as one micro-batch of files, written by as many tasks as it has
+    partitions.  The query stops after each part and goes on from its checkpoint with the
+    next one, as after a restart.  Rows go to ``{base}/out`` or to the ``foreachBatch`` sink."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        out = plan(part.sparkSession.readStream.schema(part.schema).parquet(f"{base}/in")).writeStream
+        out = out.foreachBatch(sink) if sink else out.format("parquet").option("path", f"{base}/out")
+        out.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
 
 
 DELAY_OUT = T.StructType([

@@ -59,12 +59,21 @@ def test_forest_global_properties(spark):
     assert "Valor muito acima da média" in top.anomaly_reasons[0]
 
 
-def test_forest_per_key_small_and_salted_paths(spark):
+def test_forest_per_key_does_not_depend_on_the_task_size(spark):
     from moneta.plans.anomaly_report import ZCOLS
     feats = an.standardize(an.anomaly_features(_batch(spark)))
-    small = iforest.fit_score_by_key(feats, ZCOLS)
-    big = iforest.fit_score_by_key(feats, ZCOLS, max_group_rows=40)   # every key takes the salted path
-    for out in (small, big):
+    outs = [iforest.fit_score_by_key(feats, ZCOLS, rows_per_task=n) for n in (200_000, 40)]  # one task, eleven tasks
+    for out in outs:
         assert out.count() == 401
         top = out.orderBy("score_samples").first()
         assert top.id == 999 and top.is_anomaly
+    one, many = [{r.id: (r.is_anomaly, r.score_samples) for r in out.collect()} for out in outs]
+    assert one == many
+
+
+def test_short_users_keep_their_rows(spark):
+    few = _batch(spark).limit(5).withColumn("user_id", F.lit(77).cast("long")).withColumn("id", F.col("id") + 10_000)
+    both = _batch(spark).unionByName(few)
+    d = ar.detect_anomalies(both, keys=("user_id",))
+    assert d.count() == both.count()
+    assert {r.method for r in d.filter("user_id = 77").select("method").collect()} == {"heuristic"}
