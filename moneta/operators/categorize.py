@@ -2,8 +2,8 @@
 multinomial naive Bayes over TF-IDF of uni- and bigrams, built from DataFrame
 aggregates (so every number has an exact SQL twin).
 
-Model size is bounded by construction: at most ``max_features`` terms times the
-number of classes, so the model tables are broadcast to the scoring join.
+Model size is at most ``max_features`` terms times the number of classes; the model
+tables are broadcast where a check of the class count allows it.
 """
 from __future__ import annotations
 
@@ -56,48 +56,63 @@ def category_suggestions(df: DataFrame, text: str = "text", limit: int = 5) -> D
 
 # ----------------------------------------------------------- naive Bayes
 
-# Model tables (vocabulary x classes) are broadcast; this caps their size.
-MAX_CLASSES = 1_000  # log-probabilities: <= 1000 terms x 1000 classes = 1 M broadcast rows
+# Model tables of at most this many classes (x max_features terms) are broadcast;
+# beyond it the same joins shuffle.  Results do not depend on it.
+BROADCAST_CLASSES = 1_000
 
 
-def doc_terms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term, n): counts of unigrams (2+ character words of the normalised
-    text) and bigrams of consecutive such words, joined by one space."""
+def _words(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` columns and ``_w``, the 2+ character words of the normalised text."""
     words = F.filter(F.split(normalize_text(F.col(text)), " "), lambda w: F.char_length(w) >= 2)
+    return spread(docs.select(*keep, text)).select(*keep, words.alias("_w"))
+
+
+def _terms() -> Column:
+    """Terms of ``_w``: its words and the bigrams of consecutive words, joined by one space.
+    Explode this expression itself: over a plain column Catalyst would infer a size filter
+    and push it below ``_w``, into the text clean-up."""
     bigrams = F.when(F.size("_w") >= 2, F.transform(
         F.sequence(F.lit(1), F.size("_w") - 1),
         lambda i: F.concat(F.element_at("_w", i), F.lit(" "), F.element_at("_w", i + 1)),
     )).otherwise(F.array().cast("array<string>"))
-    return (spread(docs.select(id_col, text)).select(id_col, words.alias("_w"))
-            .select(id_col, F.explode(F.concat(F.col("_w"), bigrams)).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")))
-
+    return F.concat(F.col("_w"), bigrams)
 
-def _one_row(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate (a scalar subquery, no join)."""
-    return attach_one_row(df, single)
 
-
-def fit_vocabulary(terms: DataFrame, n_docs: DataFrame, min_df: int = P.NB_MIN_DF,
+def fit_vocabulary(docs: DataFrame, n_docs: DataFrame, text: str = "text", min_df: int = P.NB_MIN_DF,
                    max_features: int = P.NB_MAX_FEATURES) -> DataFrame:
     """Terms in at least ``min_df`` documents; the ``max_features`` most frequent
     over the corpus (ties: term ascending); smooth idf = ln((1+N)/(1+df)) + 1
-    with N from the one-row frame ``n_docs`` (column ``_N``).  The ordered limit
-    is a bounded top-k (TakeOrderedAndProject), never a full sort."""
-    stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf_total"))
+    with N from the one-row frame ``n_docs`` (column ``_N``).  Equal terms stand side by
+    side in a document's sorted array, so one map-side combined aggregate by term counts
+    documents and occurrences.  The ordered limit is a bounded top-k."""
+    occurrence = F.transform("_t", lambda t, i: F.struct(
+        t.alias("term"), F.when((i > 0) & (t == F.get("_t", i - 1)), 0).otherwise(1).alias("first")))
+    stats = (_words(docs, [], text).select(F.sort_array(_terms()).alias("_t"))
+             .select(F.inline(occurrence))
+             .groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf_total")))
     top = (stats.filter(F.col("df") >= min_df)
            .orderBy(F.col("tf_total").desc(), F.col("term")).limit(max_features))
-    return (_one_row(top, n_docs)
+    return (attach_one_row(top, n_docs)
             .withColumn("idf", F.log((1.0 + F.col("_N")) / (1.0 + F.col("df"))) + 1.0).drop("_N"))
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """L2-normalised tf-idf weights per document over the vocabulary."""
+def term_counts(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, term, n) of vocabulary terms only: the others are gone before any shuffle.
+    The rows are partitioned by id."""
+    v = F.broadcast(vocab.select("term"))  # at most max_features rows
+    return (_words(docs, [id_col], text).select(id_col, F.explode(_terms()).alias("term"))
+            .join(v, "term").repartition(id_col)
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def tfidf(counts: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """L2-normalised tf-idf weights, one row per document: (id, _raw
+    array<struct<term, w>>, _l2), to be divided by _l2.  The array holds at most max_features entries."""
     v = F.broadcast(vocab.select("term", "idf"))  # at most max_features rows
-    w = terms.join(v, "term").withColumn("_raw", F.col("n") * F.col("idf"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_l2"))
-    return (w.join(norm, id_col).withColumn("w", F.col("_raw") / F.col("_l2"))
-            .select(id_col, "term", "w"))
+    raw = (counts.join(v, "term").groupBy(id_col)
+           .agg(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w"))).alias("_raw")))
+    l2 = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return raw.select(id_col, "_raw", l2.alias("_l2"))
 
 
 @dataclass
@@ -105,7 +120,7 @@ class NBModel:
     vocab: DataFrame      # term, df, tf_total, idf
     priors: DataFrame     # label, n_docs, log_prior
     log_probs: DataFrame  # label, term, log_prob
-    doc_terms: DataFrame | None = None  # (id, term, n) of the documents given to nb_train
+    n_classes: int
 
     def persist(self, path: str, mode: str = "overwrite") -> None:
         """Model tables as Parquet (no pickled objects)."""
@@ -115,75 +130,72 @@ class NBModel:
 
     @staticmethod
     def load(spark, path: str) -> "NBModel":
-        return NBModel(spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/priors"),
-                       spark.read.parquet(f"{path}/log_probs"))
+        priors = spark.read.parquet(f"{path}/priors")
+        return NBModel(spark.read.parquet(f"{path}/vocab"), priors,
+                       spark.read.parquet(f"{path}/log_probs"), priors.count())
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A model table with its broadcast hint, if the class count allows one."""
+        return F.broadcast(df) if self.n_classes <= BROADCAST_CLASSES else df
 
 
 def nb_train(docs: DataFrame, label: str = "label", id_col: str = "doc_id", text: str = "text",
              alpha: float = P.NB_ALPHA) -> NBModel:
     """Multinomial naive Bayes: prior ln(n_c/N); ln P(t|c) = ln((S_ct + a) / (S_c + a V)),
-    S = summed tf-idf weights of class c."""
-    # tokenise every given document once; the checkpoint (in spark.checkpoint.dir)
-    # is read by the training aggregates and by predictions on the same documents
+    S = summed tf-idf weights of class c.  Fitting is eager and takes two passes over
+    the documents: one for the vocabulary, one for the weights of its terms.  Only model
+    tables are checkpointed (at most max_features rows, and those times the classes)."""
     checkpoint_dir(docs.sparkSession)
-    all_terms = doc_terms(docs, id_col, text).checkpoint(eager=True)
-    labelled = docs.filter(F.col(label).isNotNull()).select(id_col, label)
-    terms = all_terms.join(labelled.select(id_col), id_col, "left_semi")
-    counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
+    labelled = docs.filter(F.col(label).isNotNull()).select(id_col, label, text)
     n_total = labelled.agg(F.count(F.lit(1)).alias("_N"))
-    vocab = fit_vocabulary(terms, n_total)
-    weights = tfidf(terms, vocab, id_col).join(labelled.select(id_col, label), id_col)
-    s_ct = weights.groupBy(label, "term").agg(F.sum("w").alias("s_ct"))
-    classes = counts.select(label)
-    # Classes go into broadcast joins below: check the bound once (a tiny aggregate).
-    n_classes = counts.count()
-    if n_classes > MAX_CLASSES:
-        raise ValueError(f"{n_classes} classes exceed the broadcast bound {MAX_CLASSES}")
-    v_size = vocab.agg(F.count(F.lit(1)).alias("_V"))
+    counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
+    priors = (attach_one_row(counts, n_total)
+              .select(label, "n_docs", F.log(F.col("n_docs") / F.col("_N")).alias("log_prior"))).checkpoint(eager=True)
+    vocab = fit_vocabulary(labelled, n_total, text).checkpoint(eager=True)
+    weights = (tfidf(term_counts(labelled, vocab, id_col, text), vocab, id_col)
+               .join(labelled.select(id_col, label), id_col)
+               .select(label, "_l2", F.inline("_raw")))
+    s_ct = weights.groupBy(label, "term").agg(F.sum(F.col("w") / F.col("_l2")).alias("s_ct"))
+    model = NBModel(vocab, priors, s_ct, priors.count())
     # every (class, term) pair of the bounded vocabulary, zero when unseen
-    # classes are few; the vocabulary is bounded by max_features
-    class_list = classes.agg(F.collect_list(label).alias("_c")).select("_c").scalar()
-    grid = vocab.select("term").withColumn(label, F.explode(class_list))
-    full = grid.join(s_ct, [label, "term"], "left").withColumn("s_ct", F.coalesce("s_ct", F.lit(0.0)))
+    v_list = vocab.agg(F.collect_list("term").alias("_v")).select("_v").scalar()
+    grid = priors.select(label).withColumn("term", F.explode(v_list))
+    full = grid.join(s_ct, [label, "term"], "left").withColumn("s_ct", F.coalesce("s_ct", F.lit(0.0))).checkpoint(eager=True)
     s_c = full.groupBy(label).agg(F.sum("s_ct").alias("s_c"))
-    log_probs = (_one_row(full.join(F.broadcast(s_c), label), v_size)
-                 .select(label, "term",
-                         F.log((F.col("s_ct") + alpha) / (F.col("s_c") + alpha * F.col("_V"))).alias("log_prob")))
-    priors = (_one_row(counts, n_total)
-              .select(F.col(label).alias(label), "n_docs", F.log(F.col("n_docs") / F.col("_N")).alias("log_prior")))
-    return NBModel(vocab, priors, log_probs, all_terms)
+    v_size = vocab.agg(F.count(F.lit(1)).alias("_V"))
+    model.log_probs = (attach_one_row(full.join(model.small(s_c), label), v_size)
+                       .select(label, "term",
+                               F.log((F.col("s_ct") + alpha) / (F.col("s_c") + alpha * F.col("_V"))).alias("log_prob")))
+    return model
 
 
 def nb_predict(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-               label: str = "label", reuse_terms: bool = False) -> DataFrame:
+               label: str = "label") -> DataFrame:
     """(id, predicted, confidence): argmax of prior + sum w * ln P(t|c), ties to
     the smaller class name; confidence = its softmax probability.  Documents
-    without any vocabulary term get the prior alone."""
-    # reuse_terms: ``docs`` are the documents the model was trained on
-    terms = (model.doc_terms if reuse_terms and model.doc_terms is not None
-             else doc_terms(docs.select(id_col, text), id_col, text))
-    w = tfidf(terms, model.vocab, id_col)
-    lp = F.broadcast(model.log_probs)  # bounded: max_features x classes
-    partial = (w.join(lp, "term").groupBy(id_col, label)
-               .agg(F.sum(F.col("w") * F.col("log_prob")).alias("_dot")))
-    # The vocabulary x classes grid is complete, so every document with at least
-    # one vocabulary term has a score for every class; documents without one get
-    # the priors alone (a one-row answer attached as a scalar subquery).
-    pri = F.broadcast(model.priors.select(label, "log_prior"))  # one row per class (checked bound)
-    jll = partial.join(pri, label).withColumn("jll", F.col("log_prior") + F.col("_dot"))
-    g = jll.groupBy(id_col).agg(
-        F.max("jll").alias("_m"),
-        F.min_by(F.col(label), F.struct((-F.col("jll")).alias("a"), F.col(label).alias("b"))).alias("predicted"),
-        F.collect_list(F.col("jll")).alias("_all"),  # one value per class: bounded
-    )
-    lse = F.col("_m") + F.log(F.aggregate("_all", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m"))))
-    scored = g.select(id_col, "predicted", F.exp(F.col("_m") - lse).alias("confidence"))
-    prior_only = model.priors.agg(
-        F.min_by(F.col(label), F.struct((-F.col("log_prior")).alias("a"), F.col(label).alias("b"))).alias("p_label"),
-        (F.max("log_prior") - F.log(F.sum(F.exp("log_prior")))).alias("p_log"))
-    allj = attach_one_row(docs.select(id_col).join(scored, id_col, "left"), prior_only)
-    return allj.select(id_col, F.coalesce("predicted", "p_label").alias("predicted"),
-                       F.coalesce("confidence", F.exp("p_log")).alias("confidence"))
+    without any vocabulary term get the prior alone.
+
+    The classes' log-probabilities are one array per term (classes in name order), and
+    a document is one row that adds the arrays of its terms."""
+    by_term = model.log_probs.groupBy("term").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), F.col("log_prob").alias("p")))),
+        lambda x: x["p"]).alias("_lp"))
+    table = model.vocab.select("term", "idf").join(model.small(by_term), "term")
+    hits = (term_counts(docs, model.vocab, id_col, text).join(model.small(table), "term")
+            .groupBy(id_col).agg(F.collect_list(F.struct((F.col("n") * F.col("idf")).alias("w"), "_lp")).alias("_h")))
+    l2 = F.sqrt(F.aggregate("_h", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    dots = F.aggregate("_h", F.transform(F.get("_h", F.lit(0))["_lp"], lambda p: F.lit(0.0)),
+                       lambda acc, x: F.zip_with(acc, x["_lp"], lambda a, p: a + x["w"] * p))
+    scored = hits.select(id_col, dots.alias("_dots"), l2.alias("_l2"))
+    classes = model.priors.agg(F.array_sort(F.collect_list(
+        F.struct(F.col(label).alias("c"), F.col("log_prior").alias("p")))).alias("_classes"))
+    j = attach_one_row(docs.select(id_col).join(scored, id_col, "left"), classes)
+    prior = F.transform("_classes", lambda x: x["p"])
+    jll = F.when(F.col("_dots").isNull(), prior).otherwise(F.zip_with(prior, F.col("_dots"), lambda p, d: p + d / F.col("_l2")))
+    j = j.select(id_col, "_classes", jll.alias("_jll")).withColumn("_m", F.array_max("_jll"))
+    lse = F.aggregate("_jll", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m")))
+    best = F.array_position("_jll", F.col("_m")).cast("int")
+    return j.select(id_col, F.get("_classes", best - 1)["c"].alias("predicted"), (F.lit(1.0) / lse).alias("confidence"))
 
 
 def nb_accuracy(pred: DataFrame, docs: DataFrame, id_col: str = "doc_id", label: str = "label") -> DataFrame:
@@ -193,15 +205,16 @@ def nb_accuracy(pred: DataFrame, docs: DataFrame, id_col: str = "doc_id", label:
 
 
 def categorize(df: DataFrame, model: NBModel | None, id_col: str = "doc_id", text: str = "text",
-               reuse_terms: bool = False) -> DataFrame:
+               merchant: str | None = None) -> DataFrame:
     """Rules first when their confidence reaches 0.7; else the model when it is
-    strictly more confident; else the rules."""
-    r = categorize_rules(df.select(id_col, text), F.col(text))
+    strictly more confident; else the rules.  With ``merchant`` the rules read
+    description and merchant, the model the description."""
+    r = categorize_rules(df, F.col(text), merchant)
     if model is None:
         return r.select(id_col, F.col("rule_category").alias("category"),
                         F.col("rule_confidence").alias("confidence"), F.lit("rules").alias("method"))
-    m = nb_predict(model, df, id_col, text, reuse_terms=reuse_terms)
-    j = r.join(m, id_col, "left")
+    m = nb_predict(model, df, id_col, text)
+    j = r.select(id_col, "rule_category", "rule_confidence").join(m, id_col, "left")
     use_rules = F.col("rule_confidence") >= P.RULES_HIGH_CONFIDENCE
     use_ml = ~use_rules & F.col("confidence").isNotNull() & (F.col("confidence") > F.col("rule_confidence"))
     return j.select(

@@ -47,8 +47,31 @@ def test_naive_bayes_separates_languages(spark):
     d = td.table(spark, SF_SMALL, "documents").select("doc_id", "text", F.col("lang").alias("label"))
     m = cz.nb_train(d)
     assert m.vocab.count() <= 1000
-    acc = cz.nb_accuracy(cz.nb_predict(m, d, reuse_terms=True), d).first().accuracy
+    acc = cz.nb_accuracy(cz.nb_predict(m, d), d).first().accuracy
     assert acc > 0.9
     # probabilities per document sum to one -> confidence in (0, 1]
     c = cz.nb_predict(m, d).agg(F.min("confidence"), F.max("confidence")).first()
     assert 0 < c[0] <= c[1] <= 1.0 + 1e-9
+
+
+def test_class_count_does_not_change_the_answer(spark, monkeypatch):
+    rows = [(1, "gato preto gato", "a"), (2, "gato preto", "a"), (3, "carro azul", "b"), (4, "carro azul azul", "b"),
+            (5, "", None), (6, None, None), (7, "gato azul", None), (7, "gato azul", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    run = lambda: sorted(map(tuple, cz.nb_predict(cz.nb_train(d), d).collect()))
+    broadcast = run()
+    monkeypatch.setattr(cz, "BROADCAST_CLASSES", 0)
+    shuffled = run()
+    assert [r[:2] for r in broadcast] == [r[:2] for r in shuffled]
+    assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(broadcast, shuffled))
+    got = {r[0]: r[1:] for r in broadcast}
+    assert len(broadcast) == 8 and got[1][0] == "a" and got[3][0] == "b"
+    assert got[5] == got[6] == ("a", 0.5)  # no term: the priors alone, ties to the smaller name
+
+
+def test_categorize_reads_the_merchant(spark):
+    d = spark.createDataFrame([(1, "Compra", "Supermercado Extra"), (2, "Compra", None)],
+                              "doc_id long, text string, merchant string")
+    r = {x.doc_id: x for x in cz.categorize(d, None, merchant="merchant").collect()}
+    assert r[1].category == "alimentação" and r[1].confidence == 1.0 and r[1].method == "rules"
+    assert r[2].category == "outros"
