@@ -632,6 +632,7 @@ def scratch(spark, name: str) -> str:
 
 
 def _bank_csv_import(spark, sf, locale=None):
+    """Transactions written as statements in three layouts and encodings, read back as one folder."""
     path = scratch(spark, "bank_csv")
     tx = _tx(spark, sf)
     odd = F.col("id") % 97 == 0
@@ -639,9 +640,13 @@ def _bank_csv_import(spark, sf, locale=None):
     valor = (F.when(odd, F.concat(F.lit("R$ 1."), F.lpad(F.replace(F.format_string("%.2f", F.abs(signed)),
                                                                   F.lit("."), F.lit(",")), 6, "0")))
              .otherwise(F.concat(F.lit("R$ "), F.replace(F.format_string("%.2f", signed), F.lit("."), F.lit(",")))))
-    (tx.select(F.date_format("date", "dd/MM/yyyy").alias("Data"), F.col("description").alias("Descricao"),
-               valor.alias("Valor"), "id")
-     .drop("id").write.option("header", True).option("sep", ";").csv(path))
+    d = tx.select("id", F.date_format("date", "dd/MM/yyyy").alias("Data"), F.col("description").alias("Descricao"),
+                  valor.alias("Valor"), F.lit("açougue").alias("Obs"))
+    part = lambda i, *cols: d.filter(F.col("id") % 3 == i).select(*cols).write.option("header", True)
+    part(0, "Data", "Descricao", "Valor").option("sep", ";").csv(f"{path}/a")
+    part(1, "Obs", F.col("Valor").alias("Amount"), F.col("Descricao").alias("Historico"),
+         F.col("Data").alias("Dt")).option("encoding", "ISO-8859-1").csv(f"{path}/b")  # amounts hold a comma: quoted
+    part(2, F.col("Valor").alias(" VLR "), F.col("Descricao").alias("DESC"), "Data").option("sep", "\t").csv(f"{path}/c")
     return bank_csv.read_bank_csv(spark, path, locale=locale)
 
 

@@ -1,7 +1,7 @@
 """Bank-statement CSV import.
 
-Rules: separator ',', ';' or TAB (first giving more than one column); column
-names lower-cased and trimmed; first alias present wins; amount text with ','
+Rules, per file: UTF-8 if every line is valid UTF-8, else Latin-1; separator
+',', ';' or TAB (first giving more than one column); column names lower-cased and trimmed; first alias present wins; amount text with ','
 -> '.', 'R$' removed, trimmed, parsed; > 0 is a credit, otherwise a debit (0
 too); value = |amount|; category 'outros'; a missing description column gives
 'Sem descrição'.  Unparseable amounts do not fail the load: those rows go to a
@@ -10,6 +10,7 @@ rejects frame.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,28 @@ class CsvImport:
     rejects: DataFrame  # rows whose amount text did not parse
 
 
-def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """First separator that splits the header line (first line of the first
-    file) into more than one column."""
-    first_file = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-                  .select("path").orderBy("path").first())
-    src = first_file[0] if first_file else path
-    head = spark.read.option("encoding", encoding).text(src).first()
-    line = head[0] if head else ""
-    for sep in SEPARATORS:
-        if len(line.split(sep)) > 1:
-            return sep
-    return ","
+def file_layouts(spark: SparkSession, path: str | list[str], sep: str | None = None,
+                 encoding: str | None = None) -> DataFrame:
+    """One row per layout: encoding, sep, header, files.  One scan of the lines as bytes,
+    reduced per file before the shuffle; empty files have no layout.  The answer is a
+    list of files, as the reader's own listing."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("_valid"),
+        # a file's first block lies in one partition, whose rows count upwards
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("_at"),
+        F.col("value").cast("binary").alias("_bytes"))
+    files = lines.groupBy("file").agg(F.every("_valid").alias("_valid"), F.min_by("_bytes", "_at").alias("_head"))
+    if encoding:
+        enc, header = F.lit(encoding), F.decode("_head", encoding)
+    else:
+        enc = F.when(F.col("_valid"), "UTF-8").otherwise("ISO-8859-1")
+        header = F.when(F.col("_valid"), F.decode("_head", "UTF-8")).otherwise(F.decode("_head", "ISO-8859-1"))
+    files = files.withColumn("encoding", enc).withColumn("header", header)
+    found = F.lit(SEPARATORS[0])
+    for x in reversed(SEPARATORS):
+        found = F.when(F.contains("header", F.lit(x)), F.lit(x)).otherwise(found)
+    return (files.withColumn("sep", F.lit(sep) if sep else found)
+            .groupBy("encoding", "sep", "header").agg(F.collect_list("file").alias("files")))
 
 
 def parse_amount(text: Column, locale: str | None = None) -> Column:
@@ -57,11 +68,26 @@ def parse_date(text: Column) -> Column:
                       F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def read_bank_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8",
+def read_bank_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, encoding: str | None = None,
                   locale: str | None = None) -> CsvImport:
-    sep = sep or detect_separator(spark, path, encoding)
-    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-           .option("inferSchema", False).csv(path))
+    """Statement files under ``path`` (any mix of layouts): one reader per layout found,
+    their rows united.  ``sep`` and ``encoding`` set them for all files."""
+    parts = [_staged(spark, x, locale) for x in file_layouts(spark, path, sep, encoding).collect()]
+    staged = (reduce(DataFrame.unionByName, parts) if parts else
+              spark.createDataFrame([], "data string, descricao string, _vtext string, _amount double"))
+    ok = staged.filter(F.col("_amount").isNotNull())
+    rows = ok.select(
+        "data", "descricao", F.abs("_amount").alias("valor"),
+        F.when(F.col("_amount") > 0, "credito").otherwise("debito").alias("tipo"),
+        F.lit("outros").alias("categoria_sugerida"), parse_date(F.col("data")).alias("date"))
+    rejects = staged.filter(F.col("_amount").isNull()).select("data", "descricao", F.col("_vtext").alias("valor_texto"))
+    return CsvImport(rows, rejects)
+
+
+def _staged(spark: SparkSession, layout, locale: str | None) -> DataFrame:
+    """Rows of the files of one layout: data, descricao, amount text and parsed amount."""
+    raw = (spark.read.option("header", True).option("sep", layout["sep"]).option("encoding", layout["encoding"])
+           .option("inferSchema", False).csv(layout["files"]))
     norm = raw.toDF(*[c.strip().lower() for c in raw.columns])
     cols = set(norm.columns)
 
@@ -73,15 +99,8 @@ def read_bank_csv(spark: SparkSession, path: str, sep: str | None = None, encodi
     desc = F.col(ccol) if ccol else F.lit(NO_DESCRIPTION)
     vtext = F.col(vcol) if vcol else F.lit("0")
     amount = parse_amount(vtext, locale)
-    staged = norm.select(data.cast("string").alias("data"), desc.cast("string").alias("descricao"),
-                         vtext.cast("string").alias("_vtext"), amount.alias("_amount"))
-    ok = staged.filter(F.col("_amount").isNotNull())
-    rows = ok.select(
-        "data", "descricao", F.abs("_amount").alias("valor"),
-        F.when(F.col("_amount") > 0, "credito").otherwise("debito").alias("tipo"),
-        F.lit("outros").alias("categoria_sugerida"), parse_date(F.col("data")).alias("date"))
-    rejects = staged.filter(F.col("_amount").isNull()).select("data", "descricao", F.col("_vtext").alias("valor_texto"))
-    return CsvImport(rows, rejects)
+    return norm.select(data.cast("string").alias("data"), desc.cast("string").alias("descricao"),
+                       vtext.cast("string").alias("_vtext"), amount.alias("_amount"))
 
 
 def render_bank_csv_lines(tx: DataFrame) -> DataFrame:

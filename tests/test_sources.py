@@ -28,6 +28,25 @@ def test_bank_csv_golden(spark):
     assert br.valor == 1234.56
 
 
+def test_bank_csv_folder_with_mixed_layouts(spark):
+    p = scratch(spark, "t_csv_mixed").removeprefix("file:")
+    os.makedirs(p)
+    for name, enc, text in [("a.csv", "utf-8", "Data;Descricao;Valor\n01/02/2024;Pão;-10,50\n"),
+                            ("b.csv", "latin-1", "amount,date,Historico\n\"20,00\",2024-02-02,Açougue\n"),
+                            ("c.csv", "utf-8", "DESC\tVLR\tDT\nÔnibus\t-3,00\t03/02/2024\n"), ("d.csv", "utf-8", ""),
+                            ("e.csv", "utf-8", "Data;Descricao;Valor\n04/02/2024;Luz;x\n")]:
+        with open(os.path.join(p, name), "w", encoding=enc) as f:
+            f.write(text)
+    imp = bank_csv.read_bank_csv(spark, p)
+    assert sorted((r.descricao, r.valor, r.tipo, str(r.date)) for r in imp.rows.collect()) == [
+        ("Açougue", 20.0, "credito", "2024-02-02"), ("Pão", 10.5, "debito", "2024-02-01"),
+        ("Ônibus", 3.0, "debito", "2024-02-03")]
+    assert [tuple(r) for r in imp.rejects.collect()] == [("04/02/2024", "Luz", "x")]
+    os.makedirs(p + "/none")
+    open(p + "/none/empty.csv", "w").close()
+    assert bank_csv.read_bank_csv(spark, p + "/none").rows.count() == 0
+
+
 def test_bank_csv_aliases_and_missing_description(spark):
     p = scratch(spark, "t_csv2")
     _write(p, "date,amount\n2024-01-05,10.5\n")
