@@ -209,15 +209,13 @@ def message_and_actions(df: DataFrame, id_col: str = "id") -> DataFrame:
 def generate_intervention(scored: DataFrame, goals: DataFrame | None = None, keys: Sequence[str] = ("user_id",),
                           id_col: str = "id") -> DataFrame:
     """All components, in the original order: question, visualization (amount >=
-    50), comparison (active goals with money missing), alternative, delay, block."""
+    50), comparison (active goals), alternative, delay, block."""
     df = with_context(scored, id_col)
     df = message_and_actions(block(delay(alternatives(impact(questions(df, id_col)), id_col))), id_col)
     if goals is not None:
-        open_goals = (goals.filter((F.col("status") == "active") &
-                                   (F.col("target_amount") - F.col("current_amount") > 0))
-                      .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_open")))
-        df = df.join(open_goals, list(keys), "left")
-        has_cmp = F.coalesce(F.col("_n_open"), F.lit(0)) > 0
+        active = goals.filter(F.col("status") == "active").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_active"))
+        df = df.join(active, list(keys), "left")
+        has_cmp = F.coalesce(F.col("_n_active"), F.lit(0)) > 0
     else:
         has_cmp = F.lit(False)
     comps = F.concat_ws(",", F.lit("question"),
@@ -229,6 +227,56 @@ def generate_intervention(scored: DataFrame, goals: DataFrame | None = None, key
     return df.withColumn("components", comps)
 
 
+# FIXED VALUES — goal texts
+GOAL_IMPACT = "Este valor é %.1f%% da sua meta '%s'"
+GOAL_COMPARISON = "Este gasto representa %.1f%% do que falta para '%s'"
+GOAL_SUMMARY = "Você tem %d meta(s) ativa(s)"
+
+
+def intervention_payload(scored: DataFrame, goals: DataFrame | None = None, keys: Sequence[str] = ("user_id",),
+                         id_col: str = "id") -> DataFrame:
+    """``generate_intervention`` with ``components`` as an ordered array of structs: type,
+    content (texts), comparisons (goal_name, remaining, this_purchase_percent, message),
+    minutes, expires_at.  Fields a component has no use for are null.  A user's active
+    goals travel as one array (in goal_id order; a handful per user)."""
+    df = generate_intervention(scored, goals, keys, id_col)
+    none = F.array().cast("array<struct<goal_id:bigint,name:string,target:double,remaining:double>>")
+    if goals is not None:
+        g = goals.filter(F.col("status") == "active").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+            F.col("goal_id").cast("bigint").alias("goal_id"), "name", F.col("target_amount").cast("double").alias("target"),
+            (F.col("target_amount") - F.col("current_amount")).cast("double").alias("remaining")))).alias("_goals"))
+        df = df.join(g, list(keys), "left").withColumn("_goals", F.coalesce("_goals", none))
+    else:
+        df = df.withColumn("_goals", none)
+    a = F.col("amount")
+    open_goals = F.filter("_goals", lambda x: x["remaining"] > 0)
+    comparisons = F.transform(open_goals, lambda x: F.struct(
+        x["name"].alias("goal_name"), x["remaining"].alias("remaining"),
+        rnd(a / x["remaining"] * 100, 1).alias("this_purchase_percent"),
+        F.format_string(GOAL_COMPARISON, rnd(a / x["remaining"] * 100, 1), x["name"]).alias("message")))
+    first = F.get("_goals", F.lit(0))
+    goal_impact = F.when(first.isNotNull() & (first["target"] != 0), F.format_string(
+        GOAL_IMPACT, rnd(a / F.nullif(first["target"], F.lit(0.0)) * 100, 1), first["name"]))
+    texts = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    no_cmp = F.lit(None).cast("array<struct<goal_name:string,remaining:double,this_purchase_percent:double,message:string>>")
+
+    def part(kind, content, cmp=no_cmp, minutes=None, expires=None):
+        return F.struct(F.lit(kind).alias("type"), content.alias("content"), cmp.alias("comparisons"),
+                        (F.lit(None).cast("int") if minutes is None else minutes).alias("minutes"),
+                        (F.lit(None).cast("timestamp_ntz") if expires is None else expires).alias("expires_at"))
+
+    parts = F.array(
+        part("question", F.col("questions")),
+        F.when(a >= 50, part("visualization", texts(*[F.col(c) for c in ("daily_food", "subscriptions", "investment", "work_hours")],
+                                                    goal_impact))),
+        F.when(F.size("_goals") > 0, part("comparison", texts(F.format_string(GOAL_SUMMARY, F.size("_goals"))), comparisons)),
+        F.when(F.size(F.coalesce("alternatives", F.array())) > 0, part("alternative", F.col("alternatives"))),
+        F.when(F.col("delay_minutes").isNotNull(), part("delay", texts(F.col("delay_message")), no_cmp,
+                                                        F.col("delay_minutes"), F.col("delay_expires_at"))),
+        F.when(F.col("level") == "critical", part("block", texts(F.col("block_reason")))))
+    return df.withColumn("components", F.filter(parts, lambda x: x.isNotNull())).drop("_goals")
+
+
 def intervention_stats(iv: DataFrame, keys: Sequence[str] = ("user_id",), as_of: Column | None = None) -> DataFrame:
     """Total, count per level and delays still running at ``as_of`` (default:
     the key's latest transaction time)."""

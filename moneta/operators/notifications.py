@@ -3,6 +3,7 @@ resolved latest-wins, per-user retention, filters and counts."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,30 +33,44 @@ def _pct0(c: Column) -> Column:
     return F.format_string("%.0f", rnd(c, 0))
 
 
+# FIXED VALUES — template messages
+MESSAGES = {
+    "night_alert": "Você está fazendo uma compra de R$ {amount:.2f} às {hour}h. Compras neste horário tendem a ser por impulso.",
+    "anomaly_detected": "Detectamos um gasto incomum: R$ {amount:.2f} em {category}. Score de anomalia: {score}/100",
+    "budget_warning": "Você já gastou {percent:.0f}% do seu orçamento de {category}.",
+    "goal_progress": 'Você atingiu {percent:.0f}% da meta "{goal_name}"! Faltam R$ {remaining:.2f}',
+    "goal_achieved": 'Parabéns! Você alcançou a meta "{goal_name}"!',
+    "weekly_summary": "Esta semana você gastou R$ {total:.2f}. {comparison}",
+    "impulse_blocked": "Uma compra de R$ {amount:.2f} foi bloqueada por medida de proteção. Motivo: {reason}",
+    "savings_tip": "{tip}",
+}
+TYPES = ["info", "warning", "alert", "success", "critical"]
+_SPECS = {".2f": _money, ".0f": _pct0, "": lambda c: c.cast("string")}
+
+
 def template_message(name: str, f: dict[str, Column]) -> Column:
     """The template text with the given fields; null when a field is null."""
-    if name == "night_alert":
-        return F.concat(F.lit("Você está fazendo uma compra de R$ "), _money(f["amount"]), F.lit(" às "),
-                        f["hour"].cast("string"), F.lit("h. Compras neste horário tendem a ser por impulso."))
-    if name == "anomaly_detected":
-        return F.concat(F.lit("Detectamos um gasto incomum: R$ "), _money(f["amount"]), F.lit(" em "),
-                        f["category"], F.lit(". Score de anomalia: "), f["score"].cast("string"), F.lit("/100"))
-    if name == "budget_warning":
-        return F.concat(F.lit("Você já gastou "), _pct0(f["percent"]), F.lit("% do seu orçamento de "),
-                        f["category"], F.lit("."))
-    if name == "goal_progress":
-        return F.concat(F.lit("Você atingiu "), _pct0(f["percent"]), F.lit('% da meta "'), f["goal_name"],
-                        F.lit('"! Faltam R$ '), _money(f["remaining"]))
-    if name == "goal_achieved":
-        return F.concat(F.lit('Parabéns! Você alcançou a meta "'), f["goal_name"], F.lit('"!'))
-    if name == "weekly_summary":
-        return F.concat(F.lit("Esta semana você gastou R$ "), _money(f["total"]), F.lit(". "), f["comparison"])
-    if name == "impulse_blocked":
-        return F.concat(F.lit("Uma compra de R$ "), _money(f["amount"]),
-                        F.lit(" foi bloqueada por medida de proteção. Motivo: "), f["reason"])
-    if name == "savings_tip":
-        return f["tip"]
-    raise KeyError(name)
+    parts = []
+    for text, field, spec, _ in Formatter().parse(MESSAGES[name]):
+        parts += [F.lit(text)] if text else []
+        parts += [_SPECS[spec](f[field])] if field else []
+    return F.concat(*parts)
+
+
+def create_notification(src: DataFrame, title: Column, message: Column, source_id: Column, created_at: Column,
+                        type: Column | str = "info", category: Column | str = "general",
+                        data: Column | None = None, user: str = "user_id") -> DataFrame:
+    """One notification per source row with free texts and no template.  An unknown or
+    null type becomes 'info', a null category 'general'; null texts stay null (the row is
+    kept).  ``data`` is an optional payload of any type; the id is md5('custom|' + source)."""
+    as_col = lambda c: F.lit(c) if isinstance(c, str) else c
+    kind = as_col(type)
+    cols = [
+        F.md5(F.concat(F.lit("custom|"), source_id.cast("string"))).alias("notification_id"),
+        F.col(user).alias("user_id"), F.lit(None).cast("string").alias("template"), title.alias("title"),
+        message.alias("message"), F.when(kind.isin(TYPES), kind).otherwise(F.lit("info")).alias("type"),
+        F.coalesce(as_col(category), F.lit("general")).alias("category"), created_at.alias("created_at")]
+    return src.select(*cols, *([data.alias("data")] if data is not None else []))
 
 
 def notify_from_template(src: DataFrame, name: str, fields: dict[str, Column], source_id: Column,

@@ -61,3 +61,24 @@ def delay_status(delays: DataFrame, at: Column, keys: Sequence[str] = ("user_id"
         F.when(active, F.floor(rem).cast("long")).alias("remaining_seconds"),
         F.when(active, F.bround((rem / 60).cast("decimal(38,6)"), 1).cast("double")).alias("remaining_minutes"),
         (~active).alias("expired"), (~active).alias("can_proceed"))
+
+
+def guard_state(log: DataFrame, at: Column | None = None, default_minutes: int = 30,
+                keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """(keys, protection_enabled, bypass_until) from an append-only log of guard actions
+    (keys, ts, action, minutes), seen at ``at`` (default: the whole log).
+
+    The newest 'enable' or 'disable' sets the protection (none: on; both at one moment:
+    on).  The newest 'bypass' runs for its minutes (null: ``default_minutes``); an 'enable'
+    at or after it ends it, a 'disable' does not.  Other actions and null times count for
+    nothing.  Partial aggregates only, so a long log of one user is no hot group."""
+    seen = log.filter(F.col("ts") <= at) if at is not None else log
+    on, off, by = (F.col("action") == a for a in ("enable", "disable", "bypass"))
+    until = F.col("ts") + F.make_dt_interval(mins=F.coalesce(F.col("minutes"), F.lit(default_minutes)).cast("int"))
+    g = seen.groupBy(*keys).agg(
+        F.max(F.when(on, F.col("ts"))).alias("_on"), F.max(F.when(off, F.col("ts"))).alias("_off"),
+        F.max(F.when(by & F.col("ts").isNotNull(), F.struct(F.col("ts").alias("at"), until.alias("until")))).alias("_by"))
+    enabled = F.col("_off").isNull() | F.coalesce(F.col("_on") >= F.col("_off"), F.lit(False))
+    ended = F.coalesce(F.col("_on") >= F.col("_by.at"), F.lit(False))
+    return g.select(*keys, enabled.alias("protection_enabled"),
+                    F.when(~ended, F.col("_by.until")).alias("bypass_until"))

@@ -879,3 +879,30 @@ def q_parse_extraction_json(spark, sf):
     p = extraction.parse_extraction(rec, extraction.RECEIPT)
     return p.select("doc_id", F.col("parsed").isNotNull().alias("parsed_ok"), "raw_text",
                     F.size(F.coalesce("parsed.itens", F.array())).alias("n_items"))
+
+
+@register("intervention_payload")
+def q_intervention_payload(spark, sf):
+    p = iv.intervention_payload(_scored(spark, sf), td.load_goals(spark, sf))
+    c = p.select("id", "user_id", F.posexplode("components").alias("pos", "c"))
+    first = F.get("c.comparisons", F.lit(0))
+    return c.select("id", "user_id", "pos", "c.type", F.array_join("c.content", "|").alias("content"),
+                    F.size(F.coalesce("c.comparisons", F.array())).alias("n_goals"),
+                    first["message"].alias("goal_message"), first["this_purchase_percent"].alias("goal_percent"),
+                    "c.minutes", "c.expires_at")
+
+
+@register("guard_state")
+def q_guard_state(spark, sf):
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    g = state.guard_state(td.guard_log(_events(spark, sf)), at)
+    return risk.protection_status(g, at).select("user_id", "enabled", "bypass_active", "bypass_until")
+
+
+@register("create_notification")
+def q_create_notification(spark, sf):
+    tx = _tx(spark, sf)
+    return nt.create_notification(
+        tx, F.lit("Compra registrada"), F.concat(F.lit("Categoria: "), F.col("category")), F.col("id"), F.col("timestamp"),
+        F.when(F.col("amount") >= 100, "warning").otherwise("other"), F.when(F.col("amount") >= 50, "budget"),
+        F.struct("amount")).select(*nt.NOTIF_COLS, F.col("data.amount").alias("amount"))

@@ -648,7 +648,7 @@ SELECT id, {_pick_sql(_case_map('level', _ivd.MAIN_MESSAGES), 1)}[1] || CASE WHE
 FROM ivc"""
 
 SQL["generate_intervention"] = with_(TX, RECENT, SCORED, _IVC, GOALS) + f""", og AS (
-  SELECT user_id, count(*) AS n_open FROM goals WHERE status = 'active' AND target_amount - current_amount > 0 GROUP BY user_id)
+  SELECT user_id, count(*) AS n_open FROM goals WHERE status = 'active' GROUP BY user_id)
 SELECT id, ivc.user_id, level,
        concat_ws(',', 'question', CASE WHEN amount >= 50 THEN 'visualization' END,
                  CASE WHEN coalesce(og.n_open, 0) > 0 THEN 'comparison' END,
@@ -1023,6 +1023,53 @@ SELECT o_orderkey AS doc_id, o_orderkey % 17 <> 0 AS parsed_ok,
 FROM orders"""
 
 
+# ------------------------------------------- payloads, guard log, free notifications
+_ALT_N = f"len(coalesce({_ALT}, []))"
+SQL["intervention_payload"] = with_(TX, RECENT, SCORED, _IVC, _Q, GOALS) + f""", ag AS (
+  SELECT user_id, count(*) AS n_active, min(name) AS goal_name, min(target_amount) AS target,
+         min(target_amount - current_amount) AS remaining FROM goals WHERE status = 'active' GROUP BY user_id),
+b AS (SELECT ivq2.*, n_active, goal_name, target, remaining,
+             round_even(amount / target * 100, 1) AS p_target, round_even(amount / remaining * 100, 1) AS p_left
+      FROM ivq2 LEFT JOIN ag USING (user_id)),
+c AS (
+  SELECT id, user_id, 1 AS k, 'question' AS type, array_to_string(questions, '|') AS content, 0 AS n_goals,
+         NULL::VARCHAR AS goal_message, NULL::DOUBLE AS goal_percent, NULL::INTEGER AS minutes, NULL::TIMESTAMP AS expires_at FROM b
+  UNION ALL SELECT id, user_id, 2, 'visualization', concat_ws('|',
+         printf('Com R$ %.2f, você poderia comer por %.1f dias', round_even(amount, 2), round_even(amount / 30, 1)),
+         printf('Equivale a %.1f meses de streaming', round_even(amount / 45, 1)),
+         printf('Investido, em 5 anos seria R$ %.2f', round_even(amount * {_ivd.INVESTMENT_FACTOR!r}::DOUBLE, 2)),
+         printf('Você trabalha %.1f horas para ganhar isso', round_even(amount / 15, 1)),
+         CASE WHEN n_active > 0 THEN printf({_q(_ivd.GOAL_IMPACT)}, p_target, goal_name) END), 0, NULL, NULL, NULL, NULL
+  FROM b WHERE amount >= 50
+  UNION ALL SELECT id, user_id, 3, 'comparison', printf({_q(_ivd.GOAL_SUMMARY)}, n_active), CASE WHEN remaining > 0 THEN 1 ELSE 0 END,
+         CASE WHEN remaining > 0 THEN printf({_q(_ivd.GOAL_COMPARISON)}, p_left, goal_name) END,
+         CASE WHEN remaining > 0 THEN p_left END, NULL, NULL FROM b WHERE n_active > 0
+  UNION ALL SELECT id, user_id, 4, 'alternative', array_to_string({_ALT}, '|'), 0, NULL, NULL, NULL, NULL FROM b WHERE {_ALT_N} > 0
+  UNION ALL SELECT id, user_id, 5, 'delay', printf('Aguarde %d minutos antes de confirmar', {_DELAY}), 0, NULL, NULL, {_DELAY},
+         "timestamp" + ({_DELAY}) * INTERVAL 1 MINUTE FROM b WHERE level IN ('strong', 'critical')
+  UNION ALL SELECT id, b.user_id, 6, 'block', block_reason, 0, NULL, NULL, NULL, NULL
+  FROM b JOIN ({SQL["intervention_block"]}) USING (id) WHERE level = 'critical')
+SELECT id, user_id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS pos, type, content, n_goals,
+       goal_message, goal_percent, minutes, expires_at FROM c"""
+
+SQL["guard_state"] = """
+WITH l AS (SELECT user_id, ts, event_id % 3 AS a, CASE WHEN event_id % 2 = 0 THEN event_id % 120 ELSE 30 END AS m
+           FROM events WHERE event_type = 'error' AND ts <= TIMESTAMP '2024-01-31 00:00:00'),
+g AS (SELECT user_id, max(CASE WHEN a = 0 THEN ts END) AS on_, max(CASE WHEN a = 1 THEN ts END) AS off_,
+             max(CASE WHEN a = 2 THEN ts END) AS by_,
+             arg_max(ts + to_minutes(CAST(m AS INTEGER)), ts) FILTER (WHERE a = 2) AS until_ FROM l GROUP BY user_id),
+s AS (SELECT user_id, off_ IS NULL OR coalesce(on_ >= off_, false) AS enabled,
+             CASE WHEN NOT coalesce(on_ >= by_, false) THEN until_ END AS bypass_until FROM g)
+SELECT user_id, enabled, coalesce(TIMESTAMP '2024-01-31 00:00:00' < bypass_until, false) AS bypass_active, bypass_until FROM s"""
+
+SQL["create_notification"] = with_(TX) + """
+SELECT md5('custom|' || CAST(id AS VARCHAR)) AS notification_id, user_id, NULL::VARCHAR AS template,
+       'Compra registrada' AS title, 'Categoria: ' || category AS message,
+       CASE WHEN amount >= 100 THEN 'warning' ELSE 'info' END AS type,
+       CASE WHEN amount >= 50 THEN 'budget' ELSE 'general' END AS category, "timestamp" AS created_at, amount
+FROM tx"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("

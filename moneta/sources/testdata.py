@@ -161,6 +161,16 @@ def profile_update_log(events: DataFrame) -> DataFrame:
         .alias("night_protection_enabled"))
 
 
+def guard_log(events: DataFrame) -> DataFrame:
+    """Guard actions from error events: enable, disable or bypass by id mod 3; every
+    other bypass names its minutes (id mod 120)."""
+    e = F.col("event_id")
+    return events.filter(F.col("event_type") == "error").select(
+        "user_id", "ts", F.element_at(F.array(F.lit("enable"), F.lit("disable"), F.lit("bypass")),
+                                      (e % 3 + 1).cast("int")).alias("action"),
+        F.when(e % 2 == 0, (e % 120).cast("int")).alias("minutes"))
+
+
 def mark_all_read_log(events: DataFrame) -> DataFrame:
     """'Mark all read' actions: error events whose id is a multiple of 7."""
     return events.filter((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)).select(

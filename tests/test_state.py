@@ -69,3 +69,24 @@ def test_hot_user_window_is_split_by_hour(spark):
     a = {r.id: r.recent_count for r in q.collect()}
     b = {r.id: r.recent_count for r in risk.recent_1h_count(df, bucketed=False).collect()}
     assert a == b
+
+
+def test_guard_log_latest_wins(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    rows = [(1, t(0), "disable", None), (1, t(5), "enable", None),
+            (2, t(0), "enable", None), (2, t(5), "disable", None),
+            (3, t(0), "bypass", None), (4, t(0), "bypass", 10), (4, t(5), "enable", None),
+            (5, t(0), "bypass", 10), (5, t(5), "disable", None), (6, t(0), "other", None), (7, t(50), "disable", None)]
+    log = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, action string, minutes int")
+    got = {r[0]: r[1:] for r in map(tuple, state.guard_state(log, F.lit("2024-01-01 10:40:00").cast("timestamp_ntz")).collect())}
+    assert got == {1: (True, None), 2: (False, None), 3: (True, t(30)), 4: (True, None), 5: (False, t(10)), 6: (True, None)}
+    assert {r[0]: r[1] for r in map(tuple, state.guard_state(log).collect())}[7] is False
+
+
+def test_create_notification_defaults(spark):
+    df = spark.createDataFrame([(1, 9, "warning"), (2, 9, "strange"), (3, 9, None)], "id long, user_id long, kind string")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    r = nt.create_notification(df, F.lit("T"), F.lit("M"), F.col("id"), at, F.col("kind"), data=F.struct("id")).orderBy("data.id").collect()
+    assert [(x.type, x.category, x.title, x.template) for x in r] == [
+        ("warning", "general", "T", None), ("info", "general", "T", None), ("info", "general", "T", None)]
+    assert nt.create_notification(df, F.lit("T"), F.lit("M"), F.col("id"), at).columns == nt.NOTIF_COLS
