@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
-from moneta.functions.common import attach, rnd
+from moneta.functions.common import attach, exact_quantiles, rnd
 
 K = ("user_id",)
 FEATURES = ["amount", "hour", "day_of_week", "day_of_month", "category_encoded",
@@ -60,9 +60,12 @@ def anomaly_features(tx: DataFrame, encoder: DataFrame | None = None, keys: Sequ
         f = label_encode(f, enc)
     else:
         f = f.withColumn("category_encoded", F.lit(0))
-    q = (F.percentile_approx("f_amount", high_quantile, 100000) if approx
-         else F.percentile("f_amount", high_quantile))
-    qs = f.groupBy(*keys).agg(q.cast("double").alias("_q90"))
+    if approx:
+        qs = f.groupBy(*keys).agg(F.percentile_approx("f_amount", high_quantile, 100000).cast("double").alias("_q90"))
+    elif not keys:  # the whole frame is one group: counts by value range, no task with all values
+        qs = exact_quantiles(f, "f_amount", (high_quantile,)).withColumnRenamed("q0", "_q90")
+    else:
+        qs = f.groupBy(*keys).agg(F.percentile("f_amount", high_quantile).alias("_q90"))
     f = attach(f, qs, keys)
     return (f.withColumn("is_high_amount", (F.col("f_amount") > F.col("_q90")).cast("int"))
             .withColumn("is_night", ((F.col("hour") >= 0) & (F.col("hour") <= 6)).cast("int"))

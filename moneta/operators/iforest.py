@@ -228,6 +228,7 @@ class ForestModel:
     forest: FlatForest
     offset: float
     zcols: list[str]
+    nodes: pd.DataFrame | None = None  # the forest as a table, to be stored
 
 
 def fit_global(feats: DataFrame, zcols: Sequence[str], id_col: str = "id",
@@ -244,11 +245,12 @@ def fit_global(feats: DataFrame, zcols: Sequence[str], id_col: str = "id",
     if n < P.ANOMALY_MIN_FIT_ROWS:
         return None
     nodes = fit_nodes(feats, zcols, (), id_col, n_trees, min(psi, n), seed, counts=counts)
-    forest = FlatForest.from_nodes(nodes.toPandas())  # bounded: n_trees * (2 psi - 1) rows
+    table = nodes.toPandas()  # bounded: n_trees * (2 psi - 1) rows
+    forest = FlatForest.from_nodes(table)
     checkpoint_dir(feats.sparkSession)
     scored = score_global(feats, ForestModel(forest, 0.0, zcols), id_col).checkpoint(eager=True)
     off = exact_quantiles(scored, "score_samples", (contamination,)).first()["q0"]
-    model = ForestModel(forest, float(off), zcols)
+    model = ForestModel(forest, float(off), zcols, table)
     d = F.col("score_samples") - F.lit(float(off))
     return model, scored.withColumn("decision", d).withColumn("is_anomaly", d < 0)
 

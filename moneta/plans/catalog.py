@@ -906,3 +906,16 @@ def q_create_notification(spark, sf):
         tx, F.lit("Compra registrada"), F.concat(F.lit("Categoria: "), F.col("category")), F.col("id"), F.col("timestamp"),
         F.when(F.col("amount") >= 100, "warning").otherwise("other"), F.when(F.col("amount") >= 50, "budget"),
         F.struct("amount")).select(*nt.NOTIF_COLS, F.col("data.amount").alias("amount"))
+
+
+@register("anomaly_model_features")
+def q_anomaly_model_features(spark, sf):
+    """The second half of the month under the stored encoder and scaler of the first half,
+    which held no 'jogos'."""
+    tx = _tx(spark, sf)
+    early = F.col("date") < F.lit("2024-01-16").cast("date")
+    path = scratch(spark, "anomaly_model")
+    model, _ = ar.fit_anomaly_model(tx.filter(early & (F.coalesce("category", F.lit("outros")) != "jogos")))
+    model.persist(path)
+    z = ar.model_features(tx.filter(~early), ar.AnomalyModel.load(spark, path))
+    return z.select("id", "category_encoded", "is_high_amount", *[rnd(f"z_{c}", 6).alias(f"z_{c}") for c in an.FEATURES])

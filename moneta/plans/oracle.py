@@ -1070,6 +1070,24 @@ SELECT md5('custom|' || CAST(id AS VARCHAR)) AS notification_id, user_id, NULL::
 FROM tx"""
 
 
+_T = "(SELECT * FROM tx WHERE date < DATE '2024-01-16' AND coalesce(category, 'outros') <> 'jogos')"
+_MF = lambda name, src: f"""{name}0 AS (
+  SELECT id, coalesce(amount, 0.0) AS f_amount, hour("timestamp") AS hour, isodow("timestamp") - 1 AS day_of_week,
+         day("timestamp") AS day_of_month, coalesce(menc.code, -1) AS category_encoded
+  FROM {src} t LEFT JOIN menc ON coalesce(t.category, 'outros') = menc.value),
+{name} AS (SELECT *, CAST(f_amount > (SELECT quantile_cont(f_amount, 0.9) FROM {name}0) AS INTEGER) AS is_high_amount,
+                  CAST(hour BETWEEN 0 AND 6 AS INTEGER) AS is_night, CAST(day_of_week >= 5 AS INTEGER) AS is_weekend FROM {name}0)"""
+SQL["anomaly_model_features"] = with_(TX) + f""",
+menc AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
+         FROM (SELECT DISTINCT coalesce(category, 'outros') AS value FROM {_T})),
+{_MF('fitf', _T)}, {_MF('newf', "(SELECT * FROM tx WHERE date >= DATE '2024-01-16')")},
+ms AS (SELECT """ + ", ".join(
+    f"avg(CAST({_src(c)} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({_src(c)} AS DOUBLE)) AS s_{c}" for c in _FCOLS
+) + " FROM fitf)\nSELECT id, category_encoded, is_high_amount, " + ", ".join(
+    f"round_even((CAST({_src(c)} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS z_{c}"
+    for c in _FCOLS) + " FROM newf, ms"
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("

@@ -77,3 +77,23 @@ def test_short_users_keep_their_rows(spark):
     d = ar.detect_anomalies(both, keys=("user_id",))
     assert d.count() == both.count()
     assert {r.method for r in d.filter("user_id = 77").select("method").collect()} == {"heuristic"}
+
+
+def test_model_scores_another_batch(spark):
+    from conftest import SF_SMALL
+    from moneta.plans import anomaly_report as ar
+    from moneta.session import checkpoint_dir
+    from moneta.sources import testdata as td
+    tx = td.load_transactions(spark, SF_SMALL)
+    model, scored = ar.fit_anomaly_model(tx.filter("category <> 'jogos'"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/anomaly-model-test"
+    model.persist(path)
+    again = ar.AnomalyModel.load(spark, path)
+    new = tx.filter("category = 'jogos' AND id % 2 = 0")
+    a = sorted((r.id, r.is_anomaly, r.anomaly_score, r.category_encoded, r.method) for r in ar.detect_anomalies(new, model=model).collect())
+    b = sorted((r.id, r.is_anomaly, r.anomaly_score, r.category_encoded, r.method) for r in ar.detect_anomalies(new, model=again).collect())
+    assert a == b and len(a) == new.count() > 0
+    assert all(r[3] == -1 and r[4] == "isolation_forest" and 0 <= r[2] <= 100 for r in a)
+    assert ar.detect_anomalies(tx.limit(5), model=model).count() == 5  # a small batch needs no fit
+    assert ar.fit_anomaly_model(tx.limit(5)) is None
+    assert ar.detect_anomalies(tx.limit(5)).select("method").distinct().collect()[0][0] == "heuristic"
