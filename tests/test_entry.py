@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from moneta.plans.oracle import SQL as catalog_sql
 from moneta.sources.testdata import TABLES
 
 
@@ -16,11 +17,7 @@ def test_oracle_keys_subset_of_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-FAST = ["risk_summary", "by_category", "trend", "behavior_profile", "savings_suggestions", "categorize_rules",
-        "anomaly_heuristic", "generate_intervention", "notify_from_template", "import_bank_csv", "merge_bill_pages"]
-
-
-@pytest.mark.parametrize("key", FAST)
+@pytest.mark.parametrize("key", sorted(catalog_sql))
 def test_against_oracle_small(spark, key):
     con = duckdb.connect()
     for t in TABLES:
