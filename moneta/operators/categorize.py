@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
@@ -139,34 +139,39 @@ class NBModel:
         return F.broadcast(df) if self.n_classes <= BROADCAST_CLASSES else df
 
 
+def class_priors(docs: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n_docs, log_prior) of the labelled documents."""
+    labelled = docs.filter(F.col(label).isNotNull())
+    counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
+    return (attach_one_row(counts, labelled.agg(F.count(F.lit(1)).alias("_N")))
+            .select(label, "n_docs", F.log(F.col("n_docs") / F.col("_N")).alias("log_prior")))
+
+
 def nb_train(docs: DataFrame, label: str = "label", id_col: str = "doc_id", text: str = "text",
              alpha: float = P.NB_ALPHA) -> NBModel:
     """Multinomial naive Bayes: prior ln(n_c/N); ln P(t|c) = ln((S_ct + a) / (S_c + a V)),
-    S = summed tf-idf weights of class c.  Fitting is eager and takes two passes over
-    the documents: one for the vocabulary, one for the weights of its terms.  Only model
-    tables are checkpointed (at most max_features rows, and those times the classes)."""
+    S = summed tf-idf weights of class c.  Two passes over the documents: an eager
+    one for the vocabulary (checkpointed, at most max_features rows) and one for the weights
+    of its terms, which runs with the first use of ``log_probs``."""
     checkpoint_dir(docs.sparkSession)
     labelled = docs.filter(F.col(label).isNotNull()).select(id_col, label, text)
     n_total = labelled.agg(F.count(F.lit(1)).alias("_N"))
-    counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
-    priors = (attach_one_row(counts, n_total)
-              .select(label, "n_docs", F.log(F.col("n_docs") / F.col("_N")).alias("log_prior"))).checkpoint(eager=True)
+    priors = class_priors(labelled, label).checkpoint(eager=True)
     vocab = fit_vocabulary(labelled, n_total, text).checkpoint(eager=True)
     weights = (tfidf(term_counts(labelled, vocab, id_col, text), vocab, id_col)
                .join(labelled.select(id_col, label), id_col)
                .select(label, "_l2", F.inline("_raw")))
     s_ct = weights.groupBy(label, "term").agg(F.sum(F.col("w") / F.col("_l2")).alias("s_ct"))
-    model = NBModel(vocab, priors, s_ct, priors.count())
     # every (class, term) pair of the bounded vocabulary, zero when unseen
     v_list = vocab.agg(F.collect_list("term").alias("_v")).select("_v").scalar()
     grid = priors.select(label).withColumn("term", F.explode(v_list))
-    full = grid.join(s_ct, [label, "term"], "left").withColumn("s_ct", F.coalesce("s_ct", F.lit(0.0))).checkpoint(eager=True)
-    s_c = full.groupBy(label).agg(F.sum("s_ct").alias("s_c"))
+    full = grid.join(s_ct, [label, "term"], "left").withColumn("s_ct", F.coalesce("s_ct", F.lit(0.0)))
+    of_class = Window.partitionBy(label)  # at most max_features rows a class
     v_size = vocab.agg(F.count(F.lit(1)).alias("_V"))
-    model.log_probs = (attach_one_row(full.join(model.small(s_c), label), v_size)
-                       .select(label, "term",
-                               F.log((F.col("s_ct") + alpha) / (F.col("s_c") + alpha * F.col("_V"))).alias("log_prob")))
-    return model
+    log_probs = (attach_one_row(full.withColumn("s_c", F.sum("s_ct").over(of_class)), v_size)
+                 .select(label, "term",
+                         F.log((F.col("s_ct") + alpha) / (F.col("s_c") + alpha * F.col("_V"))).alias("log_prob")))
+    return NBModel(vocab, priors, log_probs, priors.count())
 
 
 def nb_predict(model: NBModel, docs: DataFrame, id_col: str = "doc_id", text: str = "text",

@@ -307,7 +307,7 @@ def q_nb_log_probs(spark, sf):
 
 @register("nb_priors")
 def q_nb_priors(spark, sf):
-    return _nb_model(spark, sf).priors.select("label", "n_docs", rnd("log_prior", 6).alias("log_prior"))
+    return cz.class_priors(_docs(spark, sf)).select("label", "n_docs", rnd("log_prior", 6).alias("log_prior"))
 
 
 @register("nb_predict")
