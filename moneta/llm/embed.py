@@ -5,10 +5,12 @@ fitted independently on a bounded sample; the two codebooks span a grid of k x k
 cells, and every vector is listed in its nearest cell.  A query visits cells by the
 multi-sequence algorithm, in the order of the sum of its two gaps: how much farther than
 the nearest centroid a centroid is, for each half.  It stops where the target recall is
-reached: the gap is calibrated on partners of sample vectors at exactly the asked cosine,
-in random directions, so that ``recall`` of their cells are visited; closer partners are
-missed less, and a link is found from either of its ends.  The cells' vectors are then
-verified in double precision.
+reached.  The gap is calibrated on the table itself and is the larger of two: one within
+which ``recall`` of the true links of probe vectors lie, found by comparing the probes with
+all vectors, counted by links and by probes; and one within which ``recall`` of made partners
+lie, at exactly the asked cosine in the directions in which sample vectors differ.  A link
+joins components if it is found from either of its ends.  The cells' vectors are then verified in
+double precision.
 
 Vectors with equal components form a class that is compared once and counts with
 its size.  A cell's members and its queries are dealt out in blocks of bounded
@@ -29,14 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta.llm.common import bounded_sample, connected, written
 
-#: Vectors that the codebooks are fitted on; vectors of a block; members that a cell should have;
-#: share of the partners at exactly the asked cosine whose cell a query must visit.
-SAMPLE, BLOCK, PER_CELL, RECALL = 4096, 1024, 512, 0.9995
+#: Vectors that the codebooks are fitted on; vectors whose true links are looked for in the whole table;
+#: vectors of a block; members that a cell should have; share of the links whose cell a query must visit.
+SAMPLE, PROBES, BLOCK, PER_CELL, RECALL = 4096, 2048, 1024, 512, 0.9995
+#: Gaps of true links are counted in steps of 1 / STEPS.
+STEPS = 4096
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -64,17 +68,53 @@ def gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def stop_gap(x: np.ndarray, one: np.ndarray, two: np.ndarray, cosine: float, recall: float, seed: int = 9) -> float:
     """The sum of gaps within which a partner's cell lies with probability ``recall``, seen from
-    the rows of x: for partners in random directions at exactly the asked cosine, the farthest
-    that count."""
-    y = np.random.default_rng(seed).normal(size=(4 * len(x), x.shape[1]))
-    x = np.repeat(x, 4, axis=0)
+    the rows of x: for partners at exactly the asked cosine in the directions of differences
+    between rows of x, the farthest that count."""
+    rng = np.random.default_rng(seed)
+    y = np.concatenate([x[rng.permutation(len(x))] - x[rng.permutation(len(x))] for _ in range(8)])
+    x = np.concatenate([x] * 8)
     y -= (y * x).sum(axis=1, keepdims=True) * x
-    y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    far = np.linalg.norm(y, axis=1) > 1e-6
+    if not far.any():
+        return 1e-9
+    x, y = x[far], y[far]
+    y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.linalg.norm(y, axis=1, keepdims=True)
     h, at = x.shape[1] // 2, np.arange(len(x))
     need = gaps(x[:, :h], one)[at, nearest(y[:, :h], one)] + gaps(x[:, h:], two)[at, nearest(y[:, h:], two)]
     return float(np.quantile(need, recall)) + 1e-9
 
 
+def _link_steps(own: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray, cosine: float):
+    """(probe, step, n): of the links between probe vectors x of the classes ``own`` and a batch's
+    vectors, how many need a gap up to the step."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = x.shape[1] // 2
+        ga, gb = gaps(x[:, :h], one), gaps(x[:, h:], two)
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at:at + 1024]
+                i, j = np.nonzero((x @ _rows(part["unit"]).T >= cosine) & (own[:, None] != part["cls"].to_numpy()[None, :]))
+                cell = part["cell"].to_numpy()[j]
+                step = np.ceil((ga[i, cell // len(two)] + gb[i, cell % len(two)]) * STEPS).astype(np.int64)
+                found, n = np.unique(np.stack((i, step)), axis=1, return_counts=True)
+                yield pd.DataFrame({"probe": found[0], "step": found[1], "n": n})
+    return run
+
+
+def link_gap(members: DataFrame, probes: pd.DataFrame, one: np.ndarray, two: np.ndarray, cosine: float, recall: float) -> tuple[float, pd.DataFrame]:
+    """The gap within which ``recall`` of the probes' true links lie, by links and with each probe
+    counting once, and the links counted by steps.  All members are compared with the probes."""
+    found = members.select("cls", "unit", "cell").mapInPandas(
+        _link_steps(probes["cls"].to_numpy(), _rows(probes["unit"]), one, two, cosine), "probe long, step long, n long")
+    found = found.groupBy("probe", "step").agg(F.sum("n").alias("n"))
+    found = found.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("probe")))
+    steps = found.groupBy("step").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).orderBy("step").toPandas()  # at most 8 * STEPS
+    if not len(steps):
+        return 0.0, steps
+    last = max(int((steps[c].cumsum() >= recall * steps[c].sum() - 1e-9).argmax()) for c in ("n", "share"))
+    return steps["step"].iloc[last] / STEPS + 1e-9, steps
+
+
 def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
     """Cells (i, j) in the order of a[i] + b[j], as long as the sum is within ``limit``."""
     ia, ib = a.argsort(kind="stable"), b.argsort(kind="stable")
@@ -149,7 +189,8 @@ def _verify(cosine: float):
     return run
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RECALL, sample: int = SAMPLE,
+                    block: int = BLOCK, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
@@ -164,14 +205,15 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RE
     n = classes.count()
     if not n:
         return plain
-    fit = _rows(bounded_sample(classes.select("unit"), sample, "unit").toPandas()["unit"])
+    drawn = bounded_sample(classes.select("cls", "unit"), sample + probes, "unit").toPandas()
+    fit, probe = _rows(drawn["unit"][:sample]), drawn[-probes:]  # apart unless the table is small
     k, h = int(min(256, max(2, round((n / PER_CELL) ** 0.5)))), fit.shape[1] // 2
     one, two = codebook(fit[:, :h], k), codebook(fit[:, h:], k)
     members = written(classes.select("cls", "weight", "unit").mapInPandas(
         _cells(one, two), "cls long, weight long, unit binary, cell long"), "cells")
     counts = members.groupBy("cell").count()
     used = frozenset(r["cell"] for r in counts.select("cell").collect())  # at most 256 * 256
-    limit = stop_gap(fit, one, two, cosine, recall)
+    limit = max(stop_gap(_rows(probe["unit"]), one, two, cosine, recall), link_gap(members, probe, one, two, cosine, recall)[0])
     visits = classes.select("cls", "weight", "unit").mapInPandas(
         _visits(one, two, used, limit), "cls long, weight long, unit binary, cell array<long>")
     visits = written(visits, "visits").withColumn("cell", F.explode("cell"))
