@@ -8,9 +8,10 @@ the nearest centroid a centroid is, for each half.  It stops where the target re
 reached.  The gap is calibrated on the table itself and is the larger of two: one within
 which ``recall`` of the true links of probe vectors lie, found by comparing the probes with
 all vectors, counted by links and by probes; and one within which ``recall`` of made partners
-lie, at exactly the asked cosine in the directions in which sample vectors differ.  A link
-joins components if it is found from either of its ends.  The cells' vectors are then verified in
-double precision.
+lie, at exactly the asked cosine in the directions in which sample vectors differ.  The cells'
+vectors are then verified in double precision.  A link that is found from one of its ends
+counts at both: where the other end's own visits stop before the cell, it is counted there
+from this end's visit.  Gaps are exact numbers, so all blocks agree on who visits whom.
 
 Vectors with equal components form a class that is compared once and counts with
 its size.  A cell's members and its queries are dealt out in blocks of bounded
@@ -27,6 +28,7 @@ read, so other columns cannot clash.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,13 +58,25 @@ def codebook(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarra
     return np.unique(c, axis=0)
 
 
+def grid(x: np.ndarray) -> np.ndarray:
+    """x in steps of 2 ** -24: products and sums of parts of unit vectors are then exact in
+    double, whatever the order of summation, so equal rows give equal distances in any batch."""
+    return np.rint(x * 2.0 ** 24) / 2.0 ** 24
+
+
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centroids, less the rows' own squares."""
+    x, c = grid(x), grid(c)
+    return (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
+    return distances(x, c).argmin(axis=1)
 
 
 def gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """For each row of x and centroid, how much farther (squared) it is than the nearest one."""
-    d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
+    d = distances(x, c)
     return d - d.min(axis=1, keepdims=True)
 
 
@@ -163,20 +177,34 @@ def _visits(one: np.ndarray, two: np.ndarray, used: frozenset, limit: float):
                 h = x.shape[1] // 2
                 cells = [[i * len(two) + j for i, j in multi_sequence(p, q, limit) if i * len(two) + j in used]
                          for p, q in zip(gaps(x[:, :h], one), gaps(x[:, h:], two))]
-                yield part.assign(cell=cells)[["cls", "weight", "unit", "cell"]]
+                yield part.assign(home=part["cell"], cell=cells)[["cls", "weight", "unit", "home", "cell"]]
     return run
 
 
-def _verify(cosine: float):
+def similar(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of a and b have the cosine; the same for (b, a), also at the very border."""
+    s = a @ b.T
+    link = s >= cosine
+    for i, j in np.argwhere(np.abs(s - cosine) < 1e-13):
+        link[i, j] = math.fsum(a[i] * b[j]) >= cosine
+    return link
+
+
+def _verify(cosine: float, one: np.ndarray, two: np.ndarray, limit: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         q, m = group[group["query"]], group[~group["query"]]
         if not len(q) or not len(m):
             return pd.DataFrame({"cls": [], "n": [], "label": []}, dtype="int64")
         qi, mi = q["cls"].to_numpy(), m["cls"].to_numpy()
-        link = (_rows(q["unit"]) @ _rows(m["unit"]).T >= cosine) & (qi[:, None] != mi[None, :])
-        n = link @ m["weight"].to_numpy()
+        x = _rows(m["unit"])
+        link = similar(_rows(q["unit"]), x, cosine) & (qi[:, None] != mi[None, :])
         rows, cols = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
-        link, qi, mi, n = link[np.ix_(rows, cols)], qi[rows], mi[cols], n[rows]
+        link, qi, mi, x, h = link[np.ix_(rows, cols)], qi[rows], mi[cols], x[cols], x.shape[1] // 2
+        n = link @ m["weight"].to_numpy()[cols]
+        # a member that doesn't visit the query's cell hears of the link here only
+        home = q["home"].to_numpy(np.int64)[rows]
+        deaf = gaps(x[:, :h], one)[:, home // len(two)] + gaps(x[:, h:], two)[:, home % len(two)] > limit
+        back = (link.T & deaf) @ q["weight"].to_numpy()[rows]
         ql, ml, far = qi.copy(), mi.copy(), np.iinfo(np.int64).max
         while len(rows):  # the smallest label spreads over the links of this block
             nq = np.minimum(ql, np.where(link, ml[None, :], far).min(axis=1))
@@ -184,7 +212,7 @@ def _verify(cosine: float):
             if (nq == ql).all() and (nm == ml).all():
                 break
             ql, ml = nq, nm
-        return pd.DataFrame({"cls": np.concatenate((qi, mi)), "n": np.concatenate((n, np.zeros(len(mi), np.int64))),
+        return pd.DataFrame({"cls": np.concatenate((qi, mi)), "n": np.concatenate((n, back)),
                              "label": np.concatenate((ql, ml))}).astype("int64")
     return run
 
@@ -214,8 +242,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RE
     counts = members.groupBy("cell").count()
     used = frozenset(r["cell"] for r in counts.select("cell").collect())  # at most 256 * 256
     limit = max(stop_gap(_rows(probe["unit"]), one, two, cosine, recall), link_gap(members, probe, one, two, cosine, recall)[0])
-    visits = classes.select("cls", "weight", "unit").mapInPandas(
-        _visits(one, two, used, limit), "cls long, weight long, unit binary, cell array<long>")
+    visits = members.mapInPandas(_visits(one, two, used, limit), "cls long, weight long, unit binary, home long, cell array<long>")
     visits = written(visits, "visits").withColumn("cell", F.explode("cell"))
     blocks = counts.select("cell", F.ceil(F.col("count") / block).cast("int").alias("ms")).join(
         visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("qs")), "cell")
@@ -223,10 +250,11 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RE
     def dealt(side: DataFrame, own: str, other: str, query: bool) -> DataFrame:
         side = side.join(blocks, "cell").withColumn(own, F.pmod(F.xxhash64("cls"), F.col(own + "s")).cast("int"))
         side = side.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
-        return side.select("cell", "m", "q", "cls", "weight", "unit", F.lit(query).alias("query"))
+        return side.select("cell", "m", "q", "cls", "weight", "unit", (F.col("home") if query else F.lit(None)).cast("long").alias("home"),
+                           F.lit(query).alias("query"))
 
     pairs = dealt(visits, "q", "m", True).unionByName(dealt(members, "m", "q", False))
-    found = written(pairs.groupBy("cell", "m", "q").applyInPandas(_verify(cosine), "cls long, n long, label long"), "found")
+    found = written(pairs.groupBy("cell", "m", "q").applyInPandas(_verify(cosine, one, two, limit), "cls long, n long, label long"), "found")
     links = found.groupBy("cls").agg(F.sum("n").alias("n"))
     comps = connected(found.where("cls <> label"), "cls", "label").withColumnRenamed("node", "cls")
     known = classes.select("h1", "h2", "cls", "weight").join(links, "cls", "left").join(comps, "cls", "left")

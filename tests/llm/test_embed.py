@@ -32,3 +32,29 @@ def test_recall_on_low_rank_vectors(spark):
     x = low_rank(16, 14_000, 6000)
     want, got = all_pairs(x), linked(spark, x)["n_links"].to_numpy()
     assert (got <= want).all() and got.sum() >= 0.999 * want.sum()
+
+
+def test_found_links_count_at_both_ends(spark):
+    """A low recall, so that many links are found from one end only: with weights, and in blocks."""
+    from moneta.llm.embed import near_embeddings
+    x = low_rank(8, 6000, 3000)
+    x = np.concatenate([x, x[:50]])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    want = all_pairs(x)
+    for block in (1024, 100):
+        got = near_embeddings(df, recall=0.9, block=block).toPandas()
+        n = got.set_index("vec_id").loc[range(len(x)), "n_links"].to_numpy()
+        group = got.groupby("component_id")["n_links"].agg(["size", "min"])
+        assert (n <= want).all() and n.sum() < want.sum() and n.sum() % 2 == 0
+        assert (group["min"][group["size"] > 1] > 0).all()
+        pair = group[group["size"] == 2]
+        assert len(pair) > 100
+
+
+def test_gaps_do_not_depend_on_the_batch():
+    from moneta.llm.embed import gaps, similar
+    x, c = low_rank(16, 500, 0)[:, :32], low_rank(16, 40, 0, seed=4)[:, :32]
+    whole = gaps(x, c)
+    assert all((gaps(x[i:i + 1], c)[0] == whole[i]).all() for i in range(500))
+    u, v = np.array([[0.95, (1 - 0.95 ** 2) ** 0.5]]), np.eye(2)
+    assert (similar(u, v, 0.95) == similar(v, u, 0.95).T).all()
