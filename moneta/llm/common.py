@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moneta.session import checkpoint_dir
@@ -51,6 +51,25 @@ def bounded_sample(df: DataFrame, n: int, *by: str) -> DataFrame:
     return df.orderBy(at, *by).limit(n)
 
 
+def label_sample(df: DataFrame, n: int, label: str, key: str) -> tuple[DataFrame, dict]:
+    """About ``n`` rows to fit a model on, by the hash of ``key``, and the number of all rows of
+    each label.  Labels share n equally; what a label with few rows leaves goes to the others, and
+    every label has a row at least, so n is exceeded only where there are more labels than that.
+    Most rows are dropped where they are read: at most about 4 rows + 40 are kept to choose one."""
+    at = F.xxhash64(key).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63)
+    found = df.groupBy(label).agg(F.count("*").alias("n"), F.min(at).alias("low")).orderBy("n", label).collect()
+    shares, left = [], n
+    for k, r in enumerate(found):
+        share = max(1, min(r["n"], left // (len(found) - k)))
+        left -= share
+        shares.append((r[label], share, max(r["low"], (4.0 * share + 40) / r["n"])))
+    quota = df.sparkSession.createDataFrame(shares, f"_label {df.schema[label].dataType.simpleString()}, _share long, _below double")
+    near = df.join(F.broadcast(quota), df[label] == F.col("_label")).where(at <= F.col("_below"))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(at, *[c for c in df.columns if c != label]))
+    rows = near.withColumn("_rank", rank).where("_rank <= _share").select(*df.columns)
+    return rows, {r[label]: r["n"] for r in found}
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node each node of ``edges`` can reach.
 

@@ -7,7 +7,7 @@ Transitions between the labels of neighbouring words are learned too.  Forward-b
 gives each word's posterior; a text's language is the one with the largest mean posterior,
 which is the score.
 
-Training maximises the conditional likelihood on a bounded sample of labelled rows; a
+Training maximises the conditional likelihood on a bounded sample of labelled rows, taken by label; a
 labelled text gives its language to all its words, and words of a wrong label (quotations,
 switches) are outvoted by the other texts.  Chains are lines, cut after 64 words; all
 chains of a batch run together, one vector step per position.
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moneta.llm.common import bounded_sample
+from moneta.llm.common import label_sample
 from moneta.llm.wordhash import mix, stream
 
 #: Labelled rows used; words of a chain; bytes scored at once; table entries of a feature family, as a power of 2.
@@ -231,10 +231,12 @@ def in_fold(of: int, remainder: int):
 
 def identify(docs: DataFrame, fold: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
     """``docs`` plus held_out, lang_pred and score.  Learns from at most ``sample`` rows, by hash
-    of doc_id, whose lang isn't null and whose crc32(doc_id) % fold isn't ``held``."""
+    of doc_id within each language, whose lang isn't null and whose crc32(doc_id) % fold isn't
+    ``held``; the languages are those of all such rows."""
     known = docs.where("lang is not null and doc_id is not null").where(~in_fold(fold, held))
-    rows = bounded_sample(known.select("doc_id", "text", "lang"), sample, "doc_id", "lang", "text").toPandas()
-    names = sorted(set(rows["lang"]))
+    rows, counts = label_sample(known.select("doc_id", "text", "lang"), sample, "lang", "doc_id")
+    rows, names = rows.toPandas().sort_values(["doc_id", "lang"], ignore_index=True), sorted(counts)
+    rows = rows.sample(frac=1, random_state=7)  # languages in turn
     tables, moves = train(list(rows["text"]), list(rows["lang"]), names) if names else ({}, np.zeros((0, 0)))
     model = docs.sparkSession.sparkContext.broadcast((tables, moves, names))  # a fixed number of table entries by label
 

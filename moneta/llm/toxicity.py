@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moneta.llm.common import bounded_sample
+from moneta.llm.common import label_sample
 
 # --- FIXED VALUES: word classes ---
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile".split()
@@ -203,17 +203,21 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[frozenset, froze
     return frozenset(w for w in chosen if not w.endswith("*")), frozenset(w[:-1] for w in chosen if w.endswith("*"))
 
 
-def learn(texts: list[str], labels: list[int]) -> Grammar:
+def learn(texts: list[str], labels: list[int], rate: float | None = None) -> Grammar:
+    """``rate``: the share of toxic rows where the texts come from; else that of the texts."""
     words, starts = learn_lexicon(texts, labels)
     grammar = Grammar(words | set(INSULTS), starts, PRIOR, BIAS)
     if 0 < sum(labels) < len(labels):
         x = strength(np.array([grammar.features(t) for t in texts]))
         x, y = np.hstack([x, np.ones((len(x), 1))]), np.array(labels, float)
+        own = y.mean()
+        much = np.ones(len(y)) if rate is None else np.where(y == 1, rate / own, (1 - rate) / (1 - own))
+        much /= much.min() or 1.0  # as if all rows were there, so rare toxic ones keep their weight against the prior
         centre = np.append(PRIOR, BIAS)
         w, ridge = centre.copy(), np.append(np.full(len(PRIOR), 2.0), 0.01)
         for _ in range(25):  # Newton's method
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * (w - centre))
+            step = np.linalg.solve((x * (much * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (much * (p - y)) + ridge * (w - centre))
             w = w - step
             if np.abs(step).max() < 1e-8:
                 break
@@ -227,13 +231,14 @@ def in_fold(of: int, remainder: int):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample: int = SAMPLE) -> DataFrame:
     """``docs`` plus held_out, score and predicted.  Labels are learned from at most ``sample``
-    labelled rows, by hash of doc_id, whose crc32(doc_id) % fold isn't ``held``."""
+    labelled rows, by hash of doc_id within each value of toxic, whose crc32(doc_id) % fold isn't
+    ``held``; the weights are fitted at the values' shares of all such rows."""
     known = labels.where("toxic is not null and doc_id is not null").where(~in_fold(fold, held)).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = bounded_sample(known, sample, "doc_id", "toxic")
+    known, counts = label_sample(known, sample, "toxic", "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
     rows = rows.toPandas().sort_values(["doc_id", "toxic"], ignore_index=True)
-    grammar = learn(list(rows["text"]), [int(t == 1) for t in rows["toxic"]])
+    grammar = learn(list(rows["text"]), [int(t == 1) for t in rows["toxic"]], counts.get(1, 0) / max(1, sum(counts.values())))
     parts = (grammar.words, grammar.starts, grammar.weights, grammar.bias)
 
     @F.pandas_udf("double")
