@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: The stages are learned or iterative; tests/llm holds the run against a plain version.
+#: The stages are learned or iterative; tests/llm/test_pipeline_plain.py holds the run against a plain version of each.
 ORACLE_SQL = None
 
 
