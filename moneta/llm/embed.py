@@ -19,8 +19,8 @@ size, so no task holds a cell of any size.  A block sends a count and a componen
 label for each vector, never its pairs.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite
-components links with nothing, nor does one whose length isn't that of most
-vectors; identical rows are one vector; of rows that share a vec_id but not the
+components links with nothing; vectors link within their own length, each length with
+codebooks, cells and a stop of its own; identical rows are one vector; of rows that share a vec_id but not the
 vector, each takes part, and the id has the sum of their links; a null vec_id
 takes no part and has a null component; an empty table gives an empty result; only vec_id and embedding are
 read, so other columns cannot clash.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -217,22 +218,10 @@ def _verify(cosine: float, one: np.ndarray, two: np.ndarray, limit: float):
     return run
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RECALL, sample: int = SAMPLE,
-                    block: int = BLOCK, probes: int = PROBES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    rows = written(rows.mapInPandas(_units, "vec_id long, h1 long, h2 long, unit binary"), "units")
-    size = rows.where("unit is not null").groupBy(F.octet_length("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if size is None:
-        return plain
-    good = rows.where((F.octet_length("unit") == size["size"]) & F.col("vec_id").isNotNull())
-    classes = written(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("cls"), F.count_distinct("vec_id").alias("weight"),
-                                                  F.first("unit").alias("unit")), "classes")
-    n = classes.count()
-    if not n:
-        return plain
+def _found(classes: DataFrame, size: int, n: int, cosine: float, recall: float, sample: int, block: int, probes: int) -> DataFrame:
+    """(cls, n, label): links and block components of n classes of vectors of one length."""
+    if size == 8:  # one number has no two halves
+        classes = classes.withColumn("unit", F.concat("unit", F.lit(bytearray(8))))
     drawn = bounded_sample(classes.select("cls", "unit"), sample + probes, "unit").toPandas()
     fit, probe = _rows(drawn["unit"][:sample]), drawn[-probes:]  # apart unless the table is small
     k, h = int(min(256, max(2, round((n / PER_CELL) ** 0.5)))), fit.shape[1] // 2
@@ -254,7 +243,25 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RE
                            F.lit(query).alias("query"))
 
     pairs = dealt(visits, "q", "m", True).unionByName(dealt(members, "m", "q", False))
-    found = written(pairs.groupBy("cell", "m", "q").applyInPandas(_verify(cosine, one, two, limit), "cls long, n long, label long"), "found")
+    return written(pairs.groupBy("cell", "m", "q").applyInPandas(_verify(cosine, one, two, limit), "cls long, n long, label long"), "found")
+
+
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, recall: float = RECALL, sample: int = SAMPLE,
+                    block: int = BLOCK, probes: int = PROBES) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    rows = written(rows.mapInPandas(_units, "vec_id long, h1 long, h2 long, unit binary"), "units")
+    plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    good = rows.where("unit is not null and vec_id is not null")
+    classes = written(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("cls"), F.count_distinct("vec_id").alias("weight"),
+                                                  F.first("unit").alias("unit")), "classes")
+    sizes = classes.groupBy(F.octet_length("unit").alias("size")).count().orderBy("size").collect()  # the lengths that occur
+    if not sizes:
+        return plain
+    parts = [_found(classes.where(F.octet_length("unit") == r["size"]), r["size"], r["count"], cosine, recall, sample, block, probes)
+             for r in sizes if r["count"] > 1]
+    found = reduce(DataFrame.unionByName, parts) if parts else classes.sparkSession.createDataFrame([], "cls long, n long, label long")
     links = found.groupBy("cls").agg(F.sum("n").alias("n"))
     comps = connected(found.where("cls <> label"), "cls", "label").withColumnRenamed("node", "cls")
     known = classes.select("h1", "h2", "cls", "weight").join(links, "cls", "left").join(comps, "cls", "left")

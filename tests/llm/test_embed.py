@@ -58,3 +58,27 @@ def test_gaps_do_not_depend_on_the_batch():
     assert all((gaps(x[i:i + 1], c)[0] == whole[i]).all() for i in range(500))
     u, v = np.array([[0.95, (1 - 0.95 ** 2) ** 0.5]]), np.eye(2)
     assert (similar(u, v, 0.95) == similar(v, u, 0.95).T).all()
+
+
+def test_vectors_of_every_length_link(spark):
+    from moneta.llm.embed import near_embeddings
+    rng = np.random.default_rng(6)
+    groups = [rng.normal(size=(30, d)) for d in (8, 5, 2)] + [np.array([[1.0], [2.0], [-3.0], [-3.0]]), np.ones((1, 7))]
+    groups = [np.concatenate([x, 1.01 * x[:len(x) // 2] + 0.02]) if len(x) > 4 else x for x in groups]
+    rows, want = [], {}
+    for x in groups:
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        link, at = u @ u.T >= 0.95, len(rows)
+        for i in range(len(x)):
+            seen, todo = {i}, [i]
+            while todo:
+                new = set(map(int, np.flatnonzero(link[todo.pop()]))) - seen
+                seen |= new
+                todo += new
+            want[at + i] = (int(link[i].sum()) - 1, at + min(seen))
+            rows.append((at + i, x[i].tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = near_embeddings(df).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and len(got) == len(rows)
+    lone = near_embeddings(df.where("vec_id in (0, 50, 100, 139)")).collect()  # no two of one length
+    assert all(r["n_links"] == 0 and r["kept"] for r in lone)
