@@ -70,6 +70,17 @@ def label_sample(df: DataFrame, n: int, label: str, key: str) -> tuple[DataFrame
     return rows, {r[label]: r["n"] for r in found}
 
 
+def within_bytes(rows: DataFrame, most: int, label: str, key: str, text: str = "text") -> DataFrame:
+    """Of a sample that is bounded in rows, those of each label, by the hash of ``key``, before which the
+    texts have under ``most`` bytes: at most ``most`` and one text.  Only lengths are sorted and summed."""
+    at = F.xxhash64(key)
+    order = Window.partitionBy(label).orderBy(at, key).rowsBetween(Window.unboundedPreceding, -1)
+    size = rows.groupBy(label, key).agg(F.sum(F.octet_length(text)).alias("_bytes")).withColumn(
+        "_before", F.coalesce(F.sum("_bytes").over(order), F.lit(0))).where(F.col("_before") < most).select(
+        F.col(label).alias("_label"), F.col(key).alias("_key"))
+    return rows.join(F.broadcast(size), F.col(label).eqNullSafe(F.col("_label")) & (F.col(key) == F.col("_key"))).drop("_label", "_key")
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node each node of ``edges`` can reach.
 

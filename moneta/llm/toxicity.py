@@ -10,13 +10,17 @@ reported speech, the end of a clause, anything else.  Small transducers read the
 
 They are composed once, into one deterministic table of (state, symbol) -> (state,
 pattern), which runs over the symbols of a clause in one pass.  A text's features are
-the numbers of clauses of each pattern; isolated words outside a pattern never
-score.
-
-Learned from a bounded sample of labelled rows: the insult lexicon (words and word
-beginnings that few clean texts and many toxic ones have, by greedy cover of the
-toxic texts) and the weight of each pattern (logistic regression with a prior that
-orders the patterns).  The other word classes are fixed lists of a few languages.
+the numbers of clauses of each pattern.  An insult or threat that is neither aimed,
+negated nor quoted is the plain pattern of its clause, with a weight of its own, so a
+clause with one insulting word does score; targets, negations and verbs of speech never
+score without one.
+
+Learned from a sample of labelled rows, bounded in rows and bytes: the insult lexicon
+(words and word beginnings that few clean texts and many toxic ones have, by greedy
+cover of the toxic texts), the weight of each pattern (damped logistic regression with
+a prior that orders the patterns, at the labels' shares of all rows) and the cut, on
+rows that the weights haven't seen.  The other word classes are fixed lists of a few
+languages.
 
 An automaton finds lexicon entries in whole texts; only clauses with one are read
 word by word.
@@ -33,13 +37,14 @@ import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import product
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moneta.llm.common import label_sample
+from moneta.llm.common import label_sample, within_bytes
 
 # --- FIXED VALUES: word classes ---
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile".split()
@@ -57,8 +62,13 @@ PRIOR, BIAS = np.array([0.6, 0.6, 4.0, 1.6, 1.0, 4.0]), -3.0
 AIMED = PATTERNS.index("aimed_insult")
 #: A negation reaches so many words; a target is so near.
 REACH, NEAR = 3, 4
-#: Labelled rows used; least and most of a lexicon entry's evidence; entries kept.
-SAMPLE, LEAST_TEXTS, PURITY, ENTRIES = 8000, 3, 0.9, 300
+#: Labelled rows used and bytes of their texts; toxic texts that a lexicon entry needs and its purity.
+SAMPLE, SAMPLE_BYTES, LEAST_TEXTS, PURITY = 8000, 1 << 27, 3, 0.9
+#: Lengths of word beginnings that can be lexicon entries; samples of which one may have an entry by chance.
+STARTS = range(3, 9)
+CHANCE = 20
+#: Where the cut is placed, a clean text above it counts as much as so many toxic ones below it (both as shares).
+CARE = 3.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -170,14 +180,34 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def _evidence_words(text: str | None) -> set[str]:
+    """A text's words that aren't in the fixed insult list."""
+    return {w for w in _WORD.findall((text or "").lower()) if len(w) <= 40}.difference(INSULTS)
+
+
+def _print(text: str | None) -> int:
+    """The smallest hash of three consecutive words: near copies mostly share it."""
+    words = (text or "").lower().split()
+    return min((crc32(" ".join(words[i:i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
+
+
 def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[frozenset, frozenset]:
-    """Words and word beginnings of toxic texts: a greedy cover by entries of high purity."""
+    """Words and word beginnings of toxic texts: a greedy cover by entries of high purity.
+
+    An entry's evidence is the log-likelihood ratio of its two counts against equal rates; it must
+    outweigh the number of entries that were tried (one in CHANCE samples has an entry by chance), so
+    what suffices doesn't follow the sample's size.
+    """
     bad, good = defaultdict(set), Counter()
-    different = dict(zip(texts, labels))  # copies are no evidence of their own
-    texts, labels = list(different), list(different.values())
-    for i, (text, label) in enumerate(different.items()):
-        seen = {w for w in set(_WORD.findall((text or "").lower())) if len(w) <= 40}
-        seen |= {w[:n] + "*" for w in seen for n in (3, 4, 5, 6) if len(w) >= n}
+    different = {(_print(t), v): t for t, v in zip(texts, labels)}  # copies are no evidence of their own
+    labels = [v for _, v in different]
+    parts: dict[str, list[str]] = {}
+    for i, ((_, label), text) in enumerate(different.items()):
+        seen = set()
+        for w in _evidence_words(text):
+            if w not in parts:
+                parts[w] = [w, *(w[:n] + "*" for n in STARTS if len(w) >= n)]
+            seen.update(parts[w])
         if label:
             for w in seen:
                 bad[w].add(i)
@@ -185,43 +215,104 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[frozenset, froze
             good.update(seen)
     n_good = max(1, len(labels) - sum(labels))
     n_bad = max(1, sum(labels))
-    least = max(LEAST_TEXTS, n_bad // 100)
+    enough = math.log(CHANCE * max(1, sum(len(s) >= LEAST_TEXTS for s in bad.values())))
+
+    def evidence(s: int, g: int) -> float:
+        n = s + g
+        return s * math.log(s * (n_bad + n_good) / (n * n_bad)) + (g * math.log(g * (n_bad + n_good) / (n * n_good)) if g else 0.0)
+
     # clean texts count at the rate of toxic ones, so the purity doesn't follow their number
-    pure = {w: s for w, s in bad.items() if len(s) >= least and len(s) / (len(s) + max(1, n_bad / n_good) * good[w]) >= PURITY}
+    pure = {w: s for w, s in bad.items() if len(s) >= LEAST_TEXTS and len(s) / (len(s) + n_bad / n_good * good[w]) >= PURITY
+            and evidence(len(s), good[w]) >= enough}
     chosen: list[str] = []
-    open_texts = set().union(*pure.values()) if pure else set()
     covered: Counter = Counter()
-    ranked = sorted(pure, key=lambda w: (-len(pure[w]), w.endswith("*"), len(w), w))
-    for w in ranked:
+    for w in sorted(pure, key=lambda w: (-len(pure[w]), w.endswith("*"), len(w), w)):
+        if any(w.rstrip("*").startswith(c[:-1]) for c in chosen if c.endswith("*")):
+            continue
+        if w.endswith("*"):  # the longest beginning that says as much
+            longer = [x for x in pure if x.startswith(w[:-1]) and x.endswith("*") and len(pure[x]) >= PURITY * len(pure[w])]
+            w = max(longer, key=len)
         gain = sum(1 for i in pure[w] if covered[i] < 3)
-        if gain >= least and gain >= len(pure[w]) / 4 and not any(
-                w.rstrip("*").startswith(c[:-1]) for c in chosen if c.endswith("*")):
+        if gain >= LEAST_TEXTS and gain >= len(pure[w]) / 4:
             chosen.append(w)
             covered.update(pure[w])
-        if len(chosen) >= ENTRIES or open_texts and all(covered[i] >= 3 for i in open_texts):
-            break
     return frozenset(w for w in chosen if not w.endswith("*")), frozenset(w[:-1] for w in chosen if w.endswith("*"))
 
 
+def fit_weights(x: np.ndarray, y: np.ndarray, much: np.ndarray, centre: np.ndarray, ridge: np.ndarray,
+                trace: list[float] | None = None) -> np.ndarray:
+    """Logistic regression with a normal prior: weights of x's columns, none but the last (the bias) negative.
+
+    Newton's method; a step is halved until the objective falls, so rows that the patterns
+    separate can't make it diverge.  ``trace`` gets the objective after each step.
+    """
+    def objective(w):
+        z = x @ w
+        return float(much @ (np.logaddexp(0.0, z) - y * z) + 0.5 * ridge @ (w - centre) ** 2)
+
+    held = np.zeros(len(centre), bool)  # weights held at 0, as they would be negative
+    while True:
+        w = np.where(held, 0.0, centre)
+        now = objective(w)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            slope = x.T @ (much * (p - y)) + ridge * (w - centre)
+            bend = (x * (much * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+            step = np.zeros(len(w))
+            step[~held] = np.linalg.solve(bend[np.ix_(~held, ~held)], slope[~held])
+            fall = float(slope @ step)
+            if fall < 1e-9 * (1 + abs(now)):
+                break
+            size = 1.0
+            while size > 1e-12 and (then := objective(w - size * step)) > now - 1e-4 * size * fall:
+                size /= 2
+            if size <= 1e-12:
+                break  # no smaller value can be told apart
+            w, now = w - size * step, then
+            if trace is not None:
+                trace.append(now)
+        else:
+            raise ArithmeticError("the pattern weights did not converge")
+        worse = (w < 0) & ~held
+        worse[-1] = False
+        if not worse.any():
+            return w
+        held |= worse
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, care: float) -> float:
+    """The log-odds at which to tell the labels apart: where the share of toxic rows at or above it less
+    ``care`` times that of clean ones is largest; of equally good ones the nearest to 0."""
+    bad, good = np.sort(z[y == 1]), np.sort(z[y == 0])
+    if not len(bad) or not len(good):
+        return 0.0
+    at = np.unique(z)
+    cuts = np.concatenate(([0.0, at[0] - 1.0], (at[:-1] + at[1:]) / 2, [at[-1] + 1.0]))
+    gain = (1 - np.searchsorted(bad, cuts) / len(bad)) - care * (1 - np.searchsorted(good, cuts) / len(good))
+    near = cuts[gain >= gain.max() - 1e-12]
+    return float(near[np.argmin(np.abs(near))])
+
+
 def learn(texts: list[str], labels: list[int], rate: float | None = None) -> Grammar:
-    """``rate``: the share of toxic rows where the texts come from; else that of the texts."""
-    words, starts = learn_lexicon(texts, labels)
+    """``rate``: the share of toxic rows where the texts come from; else that of the texts.
+    The lexicon and the weights come from four fifths of the texts; the others place the cut."""
+    part = np.array([crc32((t or "").encode("utf-8", "surrogatepass")) % 5 for t in texts], int)
+    y = np.array(labels, float)
+    own = part != 0
+    for fold in (own, ~own):
+        if not 0 < y[fold].sum() < fold.sum():
+            own = np.ones(len(y), bool)  # too few rows to spare any
+    words, starts = learn_lexicon([t for t, k in zip(texts, own) if k], [v for v, k in zip(labels, own) if k])
     grammar = Grammar(words | set(INSULTS), starts, PRIOR, BIAS)
-    if 0 < sum(labels) < len(labels):
+    if 0 < y.sum() < len(y):
         x = strength(np.array([grammar.features(t) for t in texts]))
-        x, y = np.hstack([x, np.ones((len(x), 1))]), np.array(labels, float)
-        own = y.mean()
-        much = np.ones(len(y)) if rate is None else np.where(y == 1, rate / own, (1 - rate) / (1 - own))
+        x = np.hstack([x, np.ones((len(x), 1))])
+        share = y[own].mean()
+        much = np.ones(len(y)) if rate is None else np.where(y == 1, rate / share, (1 - rate) / (1 - share))
         much /= much.min() or 1.0  # as if all rows were there, so rare toxic ones keep their weight against the prior
-        centre = np.append(PRIOR, BIAS)
-        w, ridge = centre.copy(), np.append(np.full(len(PRIOR), 2.0), 0.01)
-        for _ in range(25):  # Newton's method
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (much * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (much * (p - y)) + ridge * (w - centre))
-            w = w - step
-            if np.abs(step).max() < 1e-8:
-                break
-        grammar.weights, grammar.bias = np.maximum(w[:-1], 0), float(w[-1])
+        w = fit_weights(x[own], y[own], much[own], np.append(PRIOR, BIAS), np.append(np.full(len(PRIOR), 2.0), 1.0))
+        rest = ~own if not own.all() else own
+        grammar.weights, grammar.bias = w[:-1], float(w[-1]) - best_cut(x[rest] @ w, y[rest], CARE)
     return grammar
 
 
@@ -229,14 +320,17 @@ def in_fold(of: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % of == remainder
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, sample: int = SAMPLE,
+                   sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``docs`` plus held_out, score and predicted.  Labels are learned from at most ``sample``
     labelled rows, by hash of doc_id within each value of toxic, whose crc32(doc_id) % fold isn't
-    ``held``; the weights are fitted at the values' shares of all such rows."""
+    ``held``, and half of ``sample_bytes`` bytes of text of each value; the weights are fitted at
+    the values' shares of all such rows."""
     known = labels.where("toxic is not null and doc_id is not null").where(~in_fold(fold, held)).select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"))
     known, counts = label_sample(known, sample, "toxic", "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    rows = within_bytes(rows.withColumn("toxic", (F.col("toxic") == 1).cast("int")), sample_bytes // 2, "toxic", "doc_id")
     rows = rows.toPandas().sort_values(["doc_id", "toxic"], ignore_index=True)
     grammar = learn(list(rows["text"]), [int(t == 1) for t in rows["toxic"]], counts.get(1, 0) / max(1, sum(counts.values())))
     parts = (grammar.words, grammar.starts, grammar.weights, grammar.bias)
