@@ -147,4 +147,103 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(c, e.vec_id
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.vec_id LEFT JOIN comp ON e.vec_id = comp.vec_id
 """
 
-SQL = {"op7_embedding": OP7, "op10_substring": OP10, "op9_minhash": OP9, "op1_line_dedup": OP1, "op3_secret_scan": OP3, "op4_decontam": OP4}
+OP11_ROUNDS = 6
+
+
+def _op11() -> str:
+    def dist(b: str) -> str:
+        return f"list_sum(list_transform(list_zip(p.x, {b}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+    said = ["""
+k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS x FROM k, (SELECT unnest(range(8)) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, e, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) o USING (vec_id) WHERE e < 16)"""]
+    for i in range(OP11_ROUNDS + 1):
+        said.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, any_value(p.x) AS x, min({dist('b')} * 16 + b.e) AS best
+  FROM p JOIN b{i} b USING (part) GROUP BY p.vec_id, p.part)""")
+        if i < OP11_ROUNDS:
+            said.append(f"""
+s{i} AS (
+  SELECT part, e, list(m ORDER BY d) AS x FROM (
+    SELECT part, best % 16 AS e, d, CAST(floor(sum(x[d]) / count(*)) AS BIGINT) AS m
+    FROM a{i}, (SELECT unnest(range(1, 9)) AS d) GROUP BY ALL) GROUP BY part, e),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(s.x, b.x) AS x FROM b{i} b LEFT JOIN s{i} s ON b.part = s.part AND b.e = s.e)""")
+    last = OP11_ROUNDS
+    return "WITH " + ",".join(said) + f""",
+c AS (
+  SELECT vec_id, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error
+  FROM a{last} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{last})
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN k USING (vec_id), h
+"""
+
+
+OP11 = _op11()
+
+OP12 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_TOKENS.format("coalesce(text, '')")} AS w FROM documents),
+f AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS dd,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM d),
+m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * dd::INT + 16 * e::INT AS mask, count(*) AS n,
+         count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id) USING (doc_id)
+  GROUP BY 1, 2),
+l AS (SELECT unnest(range(5)) AS i),
+o AS (
+  SELECT [p.i, q.i, r.i, s.i, u.i] AS o FROM l p, l q, l r, l s, l u WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+st AS (
+  SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i + 1]), '') AS filter_order, step, o[step] AS own,
+         coalesce(list_sum(list_transform(o[1:step - 1], lambda i: 1 << i)), 0)::INT AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+x AS (
+  SELECT part, filter_order, step, own, (mask & (1 << own)) > 0 AS fails, (mask & before) > 0 AS gone, mask = (1 << own) AS sole, n, good, bad
+  FROM m, st),
+y AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (sole), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(bad) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM y
+"""
+
+OP13 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (
+  SELECT doc_id, base, substr(h, 2 * base + 1, 2 * 699) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199, 500)) AS base FROM d WHERE length(h) >= 400)),
+win AS (
+  SELECT doc_id, base + p AS p, md5(substr(h, 2 * p + 1, 400)) AS s
+  FROM (SELECT doc_id, base, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM piece)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM win JOIN rep ON win.s = rep.s),
+isle AS (
+  SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM isle GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM run),
+kept AS (
+  SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM cut JOIN d ON cut.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+SQL = {"op7_embedding": OP7, "op10_substring": OP10, "op9_minhash": OP9, "op1_line_dedup": OP1, "op3_secret_scan": OP3, "op4_decontam": OP4,
+       "op11_vector_codes": OP11, "op12_filter_audit": OP12, "op13_suffix_dedup": OP13}

@@ -82,7 +82,30 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 8 parts, 16 entries each, 6 rounds."""
+    from moneta.llm.vector_codes import compress_vectors
+    out, _ = compress_vectors(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five text filters in every order, over all documents by source."""
+    from moneta.llm.filter_audit import audit_filters
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), part="source")
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes in all documents that start anywhere else too."""
+    from moneta.llm.suffix_dedup import dedup_repeats
+    out = dedup_repeats(read(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "op2_langid": op2_langid,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
