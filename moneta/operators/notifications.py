@@ -26,11 +26,11 @@ NOTIF_COLS = ["notification_id", "user_id", "template", "title", "message", "typ
 
 
 def _money(c: Column) -> Column:
-    return F.format_string("%.2f", rnd(c, 2))
+    return F.when(c.isNotNull(), F.format_string("%.2f", rnd(c, 2)))
 
 
 def _pct0(c: Column) -> Column:
-    return F.format_string("%.0f", rnd(c, 0))
+    return F.when(c.isNotNull(), F.format_string("%.0f", rnd(c, 0)))
 
 
 # FIXED VALUES — template messages
@@ -87,29 +87,56 @@ def notify_from_template(src: DataFrame, name: str, fields: dict[str, Column], s
         .filter(F.col("message").isNotNull()))
 
 
-def resolve_reads(notifs: DataFrame, reads: DataFrame, mark_all: DataFrame | None = None) -> DataFrame:
+def notify_from_templates(src: DataFrame, rules: dict[str, tuple[Column, dict[str, Column]]], source_id: Column,
+                          created_at: Column, user: str = "user_id") -> DataFrame:
+    """``notify_from_template`` for several templates in one pass over ``src``: a row makes
+    a notification for every template whose condition holds and whose fields are all there."""
+    made = []
+    for name, (when, fields) in rules.items():
+        title, ntype = TEMPLATES[name]
+        msg = template_message(name, fields)
+        made.append(F.when(when & msg.isNotNull(), F.struct(
+            F.md5(F.concat(F.lit(name + "|"), source_id.cast("string"))).alias("notification_id"), F.lit(name).alias("template"),
+            F.lit(title).alias("title"), msg.alias("message"), F.lit(ntype).alias("type"), F.lit(name.split("_")[0]).alias("category"))))
+    each = src.select(F.col(user).alias("user_id"), created_at.alias("created_at"), F.explode(F.array(*made)).alias("_n")).filter("_n is not null")
+    return each.select("_n.notification_id", "user_id", "_n.template", "_n.title", "_n.message", "_n.type", "_n.category", "created_at")
+
+
+def next_marks(notifs: DataFrame, marks: DataFrame, bucket: str = "day") -> DataFrame:
+    """``notifs`` plus ``_next``: the user's first mark at or after each row's creation time.
+
+    A bucketed as-of join.  Rows and marks are dealt to (user, ``bucket``).  A table with one row
+    for each of these carries the first mark of a later bucket back to the buckets before it: its window
+    runs over a user's buckets (the calendar's days), not rows.  Inside a bucket one pass,
+    newest first, keeps the nearest mark, beginning with the one carried in.  So no task holds
+    more than a bucket of a user, however many rows the user has.
+    """
+    unit = lambda c: F.date_trunc(bucket, F.col(c)).cast("timestamp_ntz")
+    n = notifs.withColumn("_b", unit("created_at"))
+    m = marks.filter(F.col("at").isNotNull()).select("user_id", "at", unit("at").alias("_b"))
+    buckets = n.filter(F.col("_b").isNotNull()).select("user_id", "_b", F.lit(None).cast("timestamp_ntz").alias("at")).unionByName(m)
+    buckets = buckets.groupBy("user_id", "_b").agg(F.min("at").alias("_first"))
+    later = Window.partitionBy("user_id").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.withColumn("_in", F.min("_first").over(later)).filter(F.col("_in").isNotNull())
+    end = F.lit(None).cast("timestamp_ntz")  # the carried mark comes first
+    events = (n.withColumns({"_t": F.col("created_at"), "_k": F.lit(0), "_mark": end})
+              .unionByName(m.select("user_id", "_b", F.col("at").alias("_t"), F.lit(1).alias("_k"), F.col("at").alias("_mark")), allowMissingColumns=True)
+              .unionByName(carried.select("user_id", "_b", end.alias("_t"), F.lit(2).alias("_k"), F.col("_in").alias("_mark")), allowMissingColumns=True))
+    newest = (Window.partitionBy("user_id", "_b").orderBy(F.col("_t").desc_nulls_first(), F.col("_k").desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (events.withColumn("_next", F.when(F.col("created_at").isNotNull(), F.min("_mark").over(newest)))
+            .filter(F.col("_k") == 0).drop("_b", "_t", "_k", "_mark"))
+
+
+def resolve_reads(notifs: DataFrame, reads: DataFrame, mark_all: DataFrame | None = None, bucket: str = "day") -> DataFrame:
     """read / read_at from a per-notification read log (first read wins) and an
     optional per-user 'mark all read' log (effective for notifications created
-    up to that moment)."""
-    first = reads.groupBy("notification_id").agg(F.min("read_at").alias("_r1"))
-    j = notifs.join(first, "notification_id", "left")
-    if mark_all is not None:
-        # as-of lookup of the first "mark all read" at or after each creation time:
-        # one ordered pass per user over notifications and marks (no pair join)
-        ev = (j.select("user_id", F.col("created_at").alias("_t"), F.lit(0).alias("_k"), "notification_id")
-              .unionByName(mark_all.select("user_id", F.col("at").alias("_t"), F.lit(1).alias("_k"),
-                                           F.lit(None).cast("string").alias("notification_id"))))
-        # newest first, so the frame only grows and each row is visited once
-        w = (Window.partitionBy("user_id").orderBy(F.col("_t").desc(), F.col("_k").desc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        nxt = (ev.withColumn("_r2", F.min(F.when(F.col("_k") == 1, F.col("_t"))).over(w))
-               .filter(F.col("_k") == 0).select("notification_id", "_r2"))
-        j = j.join(nxt, "notification_id", "left")
-        ra = F.least(F.col("_r1"), F.col("_r2"))
-    else:
-        ra = F.col("_r1")
-    return (j.withColumn("read_at", ra).withColumn("read", ra.isNotNull())
-            .drop("_r1", "_r2"))
+    up to that moment; see ``next_marks``)."""
+    first = reads.groupBy(F.col("notification_id").alias("_id")).agg(F.min("read_at").alias("_r1"))
+    j = notifs if mark_all is None else next_marks(notifs, mark_all, bucket)
+    j = j.join(first, F.col("notification_id") == F.col("_id"), "left")
+    ra = F.col("_r1") if mark_all is None else F.least(F.col("_r1"), F.col("_next"))
+    return j.withColumn("read_at", ra).withColumn("read", ra.isNotNull()).drop("_r1", "_id", "_next")
 
 
 def retain_newest(notifs: DataFrame, keys: Sequence[str] = ("user_id",),

@@ -14,6 +14,7 @@ from moneta.functions.common import rnd
 
 from moneta.functions.timecols import hour_risk_multiplier, is_night_guard, is_night_hour
 from moneta.operators import risk
+from moneta.session import checkpoint_dir
 from moneta.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -496,42 +497,41 @@ def q_weekly_totals(spark, sf):
 
 
 def _notifications(spark, sf):
+    """Every template's notifications: transactions are scored once for the three that they make,
+    goals are read once for theirs."""
     tx = _tx(spark, sf)
-    checked = risk.apply_protection(risk.impulse_risk(risk.recent_1h_count(tx)), td.load_settings(spark, sf))
-    night = checked.filter(F.col("alert_type") == "night")
-    a = nt.notify_from_template(night, "night_alert", {"amount": F.col("amount"), "hour": F.hour("timestamp")},
-                                F.col("id"), F.col("timestamp"))
-    heur = an.anomaly_heuristic(tx).filter("is_anomaly")
-    b = nt.notify_from_template(heur, "anomaly_detected",
-                                {"amount": F.col("amount"), "category": F.col("category"),
-                                 "score": F.col("anomaly_score").cast("int")}, F.col("id"), F.col("timestamp"))
-    crit = iv.generate_intervention(risk.impulse_risk(risk.recent_1h_count(tx))).filter(F.col("level") == "critical")
-    c = nt.notify_from_template(crit, "impulse_blocked", {"amount": F.col("amount"), "reason": F.col("block_reason")},
-                                F.col("id"), F.col("timestamp"))
-    goals = td.load_goals(spark, sf)
+    scored = risk.impulse_risk(risk.recent_1h_count(an.anomaly_heuristic(tx)))
+    scored = iv.generate_intervention(risk.apply_protection(scored, td.load_settings(spark, sf)))
+    amount = F.col("amount")
+    of_tx = nt.notify_from_templates(scored, {
+        "night_alert": (F.col("alert_type") == "night", {"amount": amount, "hour": F.hour("timestamp")}),
+        "anomaly_detected": (F.col("is_anomaly"), {"amount": amount, "category": F.col("category"), "score": F.col("anomaly_score").cast("int")}),
+        "impulse_blocked": (F.col("level") == "critical", {"amount": amount, "reason": F.col("block_reason")}),
+    }, F.col("id"), F.col("timestamp"))
     at = F.lit(AS_OF).cast("timestamp_ntz")
-    pct = F.col("current_amount") / F.col("target_amount") * 100
-    d = nt.notify_from_template(goals.filter(F.col("status") == "active"), "goal_progress",
-                                {"percent": pct, "goal_name": F.col("name"),
-                                 "remaining": F.col("target_amount") - F.col("current_amount")},
-                                F.col("goal_id"), at)
-    e = nt.notify_from_template(goals.filter(F.col("status") == "completed"), "goal_achieved",
-                                {"goal_name": F.col("name")}, F.col("goal_id"), at)
-    tips = savings.savings_suggestions(tx).filter(F.col("rank") == 1)
-    f = nt.notify_from_template(tips, "savings_tip", {"tip": F.col("suggestion")}, F.col("user_id"), at)
+    of_goals = nt.notify_from_templates(td.load_goals(spark, sf), {
+        "goal_progress": (F.col("status") == "active", {
+            "percent": F.col("current_amount") / F.col("target_amount") * 100, "goal_name": F.col("name"),
+            "remaining": F.col("target_amount") - F.col("current_amount")}),
+        "goal_achieved": (F.col("status") == "completed", {"goal_name": F.col("name")}),
+    }, F.col("goal_id"), at)
+    tips = savings.savings_suggestions(tx, top=1)
+    tips = nt.notify_from_template(tips, "savings_tip", {"tip": F.col("suggestion")}, F.col("user_id"), at)
     wk = spend.weekly_totals(tx)
     comp = (F.when(F.col("previous_total").isNull(), F.lit("Primeira semana registrada."))
             .when(F.col("total") > F.col("previous_total"),
                   F.format_string("Acima da semana anterior (R$ %.2f).", F.col("previous_total")))
             .otherwise(F.format_string("Abaixo ou igual à semana anterior (R$ %.2f).", F.col("previous_total"))))
-    g = nt.notify_from_template(wk, "weekly_summary", {"total": F.col("total"), "comparison": comp},
-                                F.concat_ws("|", F.col("user_id").cast("string"), F.col("week").cast("string")),
-                                F.col("week").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAYS"))
-    return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e).unionByName(f).unionByName(g)
+    weeks = nt.notify_from_template(wk, "weekly_summary", {"total": F.col("total"), "comparison": comp},
+                                    F.concat_ws("|", F.col("user_id").cast("string"), F.col("week").cast("string")),
+                                    F.col("week").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAYS"))
+    return of_tx.unionByName(of_goals).unionByName(tips).unionByName(weeks)
 
 
 def _read_notifications(spark, sf):
-    n = _notifications(spark, sf)
+    """The notifications are made once: the read log and both passes of ``resolve_reads`` start from them."""
+    checkpoint_dir(spark)
+    n = _notifications(spark, sf).select("notification_id", "user_id", "category", "created_at").checkpoint()
     reads = n.filter(F.substring("notification_id", 1, 1).isin("0", "1", "2", "3")).select(
         "notification_id", (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("read_at"))
     return nt.resolve_reads(n, reads, td.mark_all_read_log(_events(spark, sf)))
@@ -622,7 +622,6 @@ def q_delay_status(spark, sf):
 # ------------------------------------------------------------- files, sinks
 import uuid  # noqa: E402
 
-from moneta.session import checkpoint_dir  # noqa: E402
 from moneta.sources import bank_csv, extraction, files, ofx, sinks  # noqa: E402
 
 
