@@ -34,7 +34,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Container, Iterable
 from dataclasses import dataclass
 from itertools import product
 from zlib import crc32
@@ -191,6 +192,34 @@ def _print(text: str | None) -> int:
     return min((crc32(" ".join(words[i:i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
 
 
+def _entries(words: Iterable[str], known: Container[str] | None = None) -> set[str]:
+    """What a text's words can be found by: themselves and their beginnings (with a star), if ``known``."""
+    out = set()
+    for w in words:
+        for e in (w, *(w[:n] + "*" for n in STARTS if len(w) >= n)):
+            if known is None or e in known:
+                out.add(e)
+    return out
+
+
+def _frequent(texts: list[str], least: int) -> Counter:
+    """Entries that ``least`` of the texts (words joined by spaces) have, and how many do.  Level by level:
+    a longer beginning is only counted if the shorter one is frequent, so memory holds few others."""
+    found: Counter = Counter()
+    stem = None
+    for n in STARTS:
+        level: Counter = Counter()
+        for t in texts:
+            level.update({w[:n] for w in t.split() if len(w) >= n and (stem is None or w[:n - 1] in stem)})
+        stem = {e for e, c in level.items() if c >= least}
+        found.update({e + "*": level[e] for e in stem})
+    whole: Counter = Counter()
+    for t in texts:
+        whole.update({w for w in t.split() if len(w) < STARTS[0] or w[:STARTS[-1]] + "*" in found})
+    found.update({w: c for w, c in whole.items() if c >= least})
+    return found
+
+
 def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[frozenset, frozenset]:
     """Words and word beginnings of toxic texts: a greedy cover by entries of high purity.
 
@@ -198,32 +227,25 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[frozenset, froze
     outweigh the number of entries that were tried (one in CHANCE samples has an entry by chance), so
     what suffices doesn't follow the sample's size.
     """
-    bad, good = defaultdict(set), Counter()
-    different = {(_print(t), v): t for t, v in zip(texts, labels)}  # copies are no evidence of their own
-    labels = [v for _, v in different]
-    parts: dict[str, list[str]] = {}
-    for i, ((_, label), text) in enumerate(different.items()):
-        seen = set()
-        for w in _evidence_words(text):
-            if w not in parts:
-                parts[w] = [w, *(w[:n] + "*" for n in STARTS if len(w) >= n)]
-            seen.update(parts[w])
-        if label:
-            for w in seen:
-                bad[w].add(i)
-        else:
-            good.update(seen)
-    n_good = max(1, len(labels) - sum(labels))
-    n_bad = max(1, sum(labels))
-    enough = math.log(CHANCE * max(1, sum(len(s) >= LEAST_TEXTS for s in bad.values())))
+    different = {(_print(t), v): i for i, (t, v) in enumerate(zip(texts, labels))}  # copies are no evidence of their own
+    toxic = [" ".join(_evidence_words(texts[i])) for (_, v), i in different.items() if v]
+    bad = _frequent(toxic, LEAST_TEXTS)
+    good: Counter = Counter()
+    for (_, v), i in different.items():
+        if not v:
+            good.update(_entries(_evidence_words(texts[i]), bad))
+    n_bad, n_good = max(1, len(toxic)), max(1, len(different) - len(toxic))
+    enough = math.log(CHANCE * max(1, len(bad)))
 
     def evidence(s: int, g: int) -> float:
         n = s + g
         return s * math.log(s * (n_bad + n_good) / (n * n_bad)) + (g * math.log(g * (n_bad + n_good) / (n * n_good)) if g else 0.0)
 
     # clean texts count at the rate of toxic ones, so the purity doesn't follow their number
-    pure = {w: s for w, s in bad.items() if len(s) >= LEAST_TEXTS and len(s) / (len(s) + n_bad / n_good * good[w]) >= PURITY
-            and evidence(len(s), good[w]) >= enough}
+    pure: dict[str, set[int]] = {w: set() for w, s in bad.items() if s / (s + n_bad / n_good * good[w]) >= PURITY and evidence(s, good[w]) >= enough}
+    for i, t in enumerate(toxic):
+        for w in _entries(t.split(), pure):
+            pure[w].add(i)
     chosen: list[str] = []
     covered: Counter = Counter()
     for w in sorted(pure, key=lambda w: (-len(pure[w]), w.endswith("*"), len(w), w)):
@@ -231,7 +253,7 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[frozenset, froze
             continue
         if w.endswith("*"):  # the longest beginning that says as much
             longer = [x for x in pure if x.startswith(w[:-1]) and x.endswith("*") and len(pure[x]) >= PURITY * len(pure[w])]
-            w = max(longer, key=len)
+            w = max(longer, key=lambda x: (len(x), x))
         gain = sum(1 for i in pure[w] if covered[i] < 3)
         if gain >= LEAST_TEXTS and gain >= len(pure[w]) / 4:
             chosen.append(w)
