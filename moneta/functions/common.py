@@ -63,45 +63,54 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], keys: Sequence[str] = (), parts: int = 1024) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls match each other; the columns of ``right`` other than the keys are added."""
+    keys = list(keys)
+    r = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(F.col(f"_j_{k}"))
+    return left.join(r, on, how).drop(*[f"_j_{k}" for k in keys])
+
+
+def value_range(v: Column, parts: int) -> Column:
+    """The number of the range a double lies in: ``parts`` ranges for each factor of e, ordered as the
+    values are (the logarithm never falls where the value grows); NaN is above all."""
+    size = F.floor(F.log(F.least(F.abs(v), F.lit(1.7976931348623157e308))) * parts) + 800 * parts
+    return F.when(F.isnan(v), F.lit(2000 * parts)).when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("long")
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], keys: Sequence[str] = (), parts: int = 64) -> DataFrame:
     """(keys, q0, q1, ...): quantiles with linear interpolation, exact at every size.
 
-    Rows become counts per (key, value), combined map-side.  A sketch's cut points deal
-    each key's values into ``parts`` ranges; only counts per range meet per key, and the
-    two neighbours of a wanted rank are looked up inside the one or two ranges that hold
-    them.  No task sees more than a range of one key."""
+    Rows become counts per (key, value), combined map-side, and these become counts per
+    range of values (``parts`` for each factor of e, so their number follows the values' spread and not
+    the rows).  Only a key's ranges meet in one window; the two neighbours of a wanted rank
+    are looked up inside the one or two ranges that hold them.  No task sees more than a
+    range of one key, and the rows are read once."""
     keys = list(keys)
     vals = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = vals.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 10 * parts)).alias("_cuts"), F.sum("_c").alias("_n"))
-    # the range of a value: the number of cut points at or below it, by binary search
-    def lower(cuts_col):
-        size = F.size(cuts_col)
-        steps = F.sequence(F.lit(1), F.lit(max(1, parts.bit_length())))
-        found = F.aggregate(steps, F.struct(F.lit(0).alias("a"), size.alias("b")), lambda s, _: F.when(
-            s["a"] >= s["b"], s).when(F.get(cuts_col, F.floor((s["a"] + s["b"]) / 2).cast("int")) <= F.col("_v"), F.struct(
-                (F.floor((s["a"] + s["b"]) / 2).cast("int") + 1).alias("a"), s["b"].alias("b"))).otherwise(
-                    F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b"))))
-        return found["a"]
-
-    placed = attach(vals, cuts, keys).withColumn("_r", lower(F.col("_cuts"))).drop("_cuts")
-    ranges = placed.groupBy(*keys, "_r").agg(F.sum("_c").alias("_rc"), F.first("_n").alias("_rn"))
-    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a key
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rc").over(before), F.lit(0)))
-    ranks = [(i, F.floor((F.col("_rn") - 1) * q).cast("long")) for i, q in enumerate(qs)]
-    wanted = F.array(*[x for _, k in ranks for x in (k, F.least(k + 1, F.col("_rn") - 1))])
-    ranges = ranges.withColumn("_want", F.filter(F.transform(wanted, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (
-        x["w"] >= F.col("_before")) & (x["w"] < F.col("_before") + F.col("_rc")))).filter(F.size("_want") > 0)
-    ranges = ranges.select(*keys, "_r", "_before", "_want", "_rn")
-    inside = placed.drop("_n").join(ranges, [*keys, "_r"])
+    vals = vals.withColumn("_r", value_range(F.col("_v"), parts))
+    ranges = vals.groupBy(*keys, "_r").agg(F.sum("_c").alias("_rc"))
+    order = Window.partitionBy(*keys).orderBy("_r")
+    ranges = ranges.withColumns({
+        "_to": F.sum("_rc").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_n": F.sum("_rc").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    at = lambda q: F.floor((F.col("_n") - 1) * F.lit(float(q))).cast("long")
+    wanted = F.array(*[x for q in qs for x in (at(q), F.least(at(q) + 1, F.col("_n") - 1))])
+    ranges = ranges.withColumn("_before", F.col("_to") - F.col("_rc")).withColumn("_want", F.filter(
+        F.transform(wanted, lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
+        lambda x: (x["w"] >= F.col("_before")) & (x["w"] < F.col("_to")))).filter(F.size("_want") > 0)
+    inside = join_null_safe(vals, ranges.select(*keys, "_r", "_before", "_want", "_n"), [*keys, "_r"], "inner")
     run = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(run))
-    hit = inside.select(*keys, "_v", "_to", "_c", "_rn", F.explode("_want").alias("_x")).filter(
+    hit = inside.select(*keys, "_v", "_to", "_c", "_n", F.explode("_want").alias("_x")).filter(
         (F.col("_x.w") < F.col("_to")) & (F.col("_x.w") >= F.col("_to") - F.col("_c")))
-    at = lambda j: F.max(F.when(F.col("_x.i") == j, F.col("_v")))
-    out = hit.groupBy(*keys).agg(F.first("_rn").alias("_rn"), *[at(j).alias(f"_a{j}") for j in range(2 * len(qs))])
+    out = hit.groupBy(*keys).agg(F.first("_n").alias("_n"), *[
+        F.max(F.when(F.col("_x.i") == j, F.col("_v"))).alias(f"_a{j}") for j in range(2 * len(qs))])
     res = []
     for i, q in enumerate(qs):
-        h = (F.col("_rn") - 1) * F.lit(float(q))
-        res.append((F.col(f"_a{2 * i}") + (h - F.floor(h)) * (F.col(f"_a{2 * i + 1}") - F.col(f"_a{2 * i}"))).alias(f"q{i}"))
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        low, high = F.col(f"_a{2 * i}"), F.col(f"_a{2 * i + 1}")
+        res.append(F.when((low == high) | (h == F.floor(h)), low).otherwise(low + (h - F.floor(h)) * (high - low)).alias(f"q{i}"))
     return out.select(*keys, *res)

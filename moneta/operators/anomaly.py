@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from moneta import params as P
 from moneta.functions.common import attach, exact_quantiles, rnd
+from moneta.session import checkpoint_dir
 
 K = ("user_id",)
 FEATURES = ["amount", "hour", "day_of_week", "day_of_month", "category_encoded",
@@ -22,12 +23,21 @@ FEATURES = ["amount", "hour", "day_of_week", "day_of_month", "category_encoded",
 
 
 def label_encoder(train: DataFrame, col: str = "category") -> DataFrame:
-    """Dictionary (value, code): sorted distinct values -> 0..n-1, nulls as
-    'outros'.  The distinct values (a category list, not rows) are sorted once
-    and numbered by position."""
-    vals = train.select(F.coalesce(F.col(col), F.lit("outros")).cast("string").alias("_v")).distinct()
-    return (vals.agg(F.sort_array(F.collect_list("_v")).alias("_l"))
-            .select(F.posexplode("_l").alias("code", "value")).select("value", "code"))
+    """Dictionary (value, code): sorted distinct values -> 0..n-1, nulls as 'outros'.
+
+    A distributed dense rank: the distinct values are dealt to partitions by range and
+    sorted there, which is pinned in the checkpoint folder; a value's code is its
+    place in its partition plus the number of values in the partitions before.  Only one
+    count per partition meets anywhere."""
+    checkpoint_dir(train.sparkSession)
+    vals = train.select(F.coalesce(F.col(col), F.lit("outros")).cast("string").alias("value")).distinct()
+    placed = vals.repartitionByRange("value").sortWithinPartitions("value").select("value", F.monotonically_increasing_id().alias("_id"))
+    placed = placed.checkpoint().select(  # the id holds the partition's number and the place in it
+        "value", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(parts), "_part").select("value", (F.col("_before") + F.col("_place")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, encoder: DataFrame, col: str = "category", out: str = "category_encoded") -> DataFrame:
@@ -41,8 +51,8 @@ def anomaly_features(tx: DataFrame, encoder: DataFrame | None = None, keys: Sequ
                      high_quantile: float = 0.9, approx: bool = False) -> DataFrame:
     """The eight model features.  Without a time of day the hour is 12; without
     any date: hour 12, weekday 0, day 15.  ``is_high_amount`` compares with the
-    key's own 90% quantile (linear interpolation; ``approx=True`` uses the
-    mergeable sketch for keys with unbounded distinct amounts)."""
+    key's own 90% quantile (linear interpolation, by counts per range of values: no
+    task holds all amounts of a key; ``approx=True`` uses the mergeable sketch)."""
     cols = set(tx.columns)
     if "timestamp" in cols:
         t = F.col("timestamp")
@@ -62,10 +72,8 @@ def anomaly_features(tx: DataFrame, encoder: DataFrame | None = None, keys: Sequ
         f = f.withColumn("category_encoded", F.lit(0))
     if approx:
         qs = f.groupBy(*keys).agg(F.percentile_approx("f_amount", high_quantile, 100000).cast("double").alias("_q90"))
-    elif not keys:  # the whole frame is one group: counts by value range, no task with all values
-        qs = exact_quantiles(f, "f_amount", (high_quantile,)).withColumnRenamed("q0", "_q90")
     else:
-        qs = f.groupBy(*keys).agg(F.percentile("f_amount", high_quantile).alias("_q90"))
+        qs = exact_quantiles(f, "f_amount", (high_quantile,), keys).withColumnRenamed("q0", "_q90")
     f = attach(f, qs, keys)
     return (f.withColumn("is_high_amount", (F.col("f_amount") > F.col("_q90")).cast("int"))
             .withColumn("is_night", ((F.col("hour") >= 0) & (F.col("hour") <= 6)).cast("int"))
@@ -73,15 +81,25 @@ def anomaly_features(tx: DataFrame, encoder: DataFrame | None = None, keys: Sequ
             .drop("_q90"))
 
 
+def all_feature_stats(feats: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """Per key the rows (``n``) and, from one pass, mean_*, std_* (population, for the scaler)
+    and samp_* (sample std, for the fitted reference) of every feature."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in FEATURES:
+        x = F.col("f_amount" if c == "amount" else c).cast("double")
+        aggs += [F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"std_{c}"), F.stddev_samp(x).alias(f"samp_{c}")]
+    return feats.groupBy(*keys).agg(*aggs)
+
+
+def _one_std(stats: DataFrame, keys: Sequence[str], sample: bool) -> DataFrame:
+    std = "samp" if sample else "std"
+    return stats.select(*keys, *[x for c in FEATURES for x in (F.col(f"mean_{c}"), F.col(f"{std}_{c}").alias(f"std_{c}"))])
+
+
 def feature_stats(feats: DataFrame, keys: Sequence[str] = K, sample: bool = False) -> DataFrame:
     """Per key mean and std of every feature (population std for the scaler,
     sample std for the fitted reference statistics)."""
-    sd = F.stddev_samp if sample else F.stddev_pop
-    aggs = []
-    for c in FEATURES:
-        src = "f_amount" if c == "amount" else c
-        aggs += [F.avg(F.col(src).cast("double")).alias(f"mean_{c}"), sd(F.col(src).cast("double")).alias(f"std_{c}")]
-    return feats.groupBy(*keys).agg(*aggs)
+    return _one_std(all_feature_stats(feats, keys), keys, sample)
 
 
 def standardize(feats: DataFrame, keys: Sequence[str] = K, stats: DataFrame | None = None) -> DataFrame:

@@ -207,9 +207,12 @@ def fit_nodes(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str] = (),
     keys, zcols = list(keys), list(zcols)
     if counts is None:
         counts = feats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rate = F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n"))
-    hashu = lambda t: F.xxhash64(F.lit(seed), t, F.col(id_col)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63)
     base = feats.join(counts, keys) if keys else attach_one_row(feats, counts)
+    # one hash a row leaves the rows that all trees together draw from; only these are hashed for each tree
+    unit = lambda *c: F.xxhash64(F.lit(seed), *c).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63)
+    base = base.filter(unit(F.lit(-1), F.col(id_col)) < F.lit(float(n_trees * psi)) / F.col("_n"))
+    rate = F.least(F.lit(1.0), F.lit(4.0 * psi) / F.least(F.col("_n"), F.lit(n_trees * psi)))
+    hashu = lambda t: unit(t, F.col(id_col))
     cand = (base.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                                                       lambda t: hashu(t) < rate)))
             .withColumn("_u", hashu(F.col("tree"))))
@@ -233,17 +236,18 @@ class ForestModel:
 
 def fit_global(feats: DataFrame, zcols: Sequence[str], id_col: str = "id",
                n_trees: int = P.ANOMALY_N_ESTIMATORS, psi: int = 256, seed: int = P.ANOMALY_RANDOM_STATE,
-               contamination: float = P.ANOMALY_CONTAMINATION) -> tuple[ForestModel, DataFrame] | None:
-    """One model over the whole frame; None when there are fewer than 10 rows.
+               contamination: float = P.ANOMALY_CONTAMINATION, n: int | None = None) -> tuple[ForestModel, DataFrame] | None:
+    """One model over the whole frame; None when there are fewer than 10 rows (``n``: their number, if known).
 
     Returns the model and the training rows already scored (checkpointed to the
     session's checkpoint folder, so the Python scoring runs once and the lineage
     is cut before the offset, normalisation and reasons read it)."""
     zcols = list(zcols)
-    counts = feats.agg(F.count(F.lit(1)).alias("_n"))
-    n = counts.first()["_n"]
+    if n is None:
+        n = feats.count()
     if n < P.ANOMALY_MIN_FIT_ROWS:
         return None
+    counts = feats.sparkSession.range(1).select(F.lit(n).alias("_n"))
     nodes = fit_nodes(feats, zcols, (), id_col, n_trees, min(psi, n), seed, counts=counts)
     table = nodes.toPandas()  # bounded: n_trees * (2 psi - 1) rows
     forest = FlatForest.from_nodes(table)

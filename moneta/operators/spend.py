@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta import params as P
-from moneta.functions.common import attach, lit_array, rnd
+from moneta.functions.common import attach, exact_quantiles, join_null_safe, lit_array, rnd
 from moneta.functions.timecols import week_of_month, weekday_mon0
 
 K = ("user_id",)
@@ -25,13 +25,17 @@ def _types(tx: DataFrame, types: Sequence[str] | None) -> DataFrame:
 
 
 def spend_summary(tx: DataFrame, keys: Sequence[str] = K, types: Sequence[str] | None = None) -> DataFrame:
-    return _types(tx, types).groupBy(*keys).agg(
+    """Count, sum, mean, median and sample std of the amounts per key.  The median comes from counts per
+    range of values (``exact_quantiles``), so no task holds all amounts of a key."""
+    rows = _types(tx, types)
+    out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_transactions"),
         rnd(F.sum("amount"), 2).alias("total_spent"),
         rnd(F.avg("amount"), 6).alias("average_transaction"),
-        rnd(F.median("amount"), 6).alias("median_transaction"),
         rnd(F.stddev_samp("amount"), 6).alias("std_transaction"),
     )
+    out = join_null_safe(out, exact_quantiles(rows, "amount", (0.5,), keys), keys) if keys else attach(out, exact_quantiles(rows, "amount", (0.5,)), ())
+    return out.select(*keys, "total_transactions", "total_spent", "average_transaction", rnd("q0", 6).alias("median_transaction"), "std_transaction")
 
 
 def tx_summary(tx: DataFrame, keys: Sequence[str] = K) -> DataFrame:

@@ -17,42 +17,61 @@ ZCOLS = [f"z_{c}" for c in an.FEATURES]
 
 
 @dataclass
-class AnomalyModel:
-    """What one fit leaves behind: category codes, scaler statistics, the training
-    means named in reasons, and the forest with its offset.  All are small tables."""
+class FeatureModel:
+    """How a fit turns rows into features: category codes, scaler statistics and the training
+    means named in reasons.  All are small tables."""
     encoder: DataFrame    # value, code
     scaler: DataFrame     # one row: mean_*, std_* (population)
     reference: DataFrame  # one row: mean_*, std_* (sample)
-    forest: iforest.ForestModel
 
     def persist(self, path: str, mode: str = "overwrite") -> None:
         """The model as Parquet tables (no pickled objects)."""
-        spark = self.encoder.sparkSession
-        nodes = spark.createDataFrame(self.forest.nodes).withColumn("offset", F.lit(self.forest.offset))
-        for name, df in (("encoder", self.encoder), ("scaler", self.scaler), ("reference", self.reference), ("nodes", nodes)):
-            df.write.mode(mode).parquet(f"{path}/{name}")
+        for name in ("encoder", "scaler", "reference"):
+            getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FeatureModel":
+        return FeatureModel(*[spark.read.parquet(f"{path}/{n}") for n in ("encoder", "scaler", "reference")])
+
+
+@dataclass
+class AnomalyModel(FeatureModel):
+    """What one fit leaves behind: the features' model, and the forest with its offset."""
+    forest: iforest.ForestModel
+
+    def persist(self, path: str, mode: str = "overwrite") -> None:
+        super().persist(path, mode)
+        nodes = self.encoder.sparkSession.createDataFrame(self.forest.nodes).withColumn("offset", F.lit(self.forest.offset))
+        nodes.write.mode(mode).parquet(f"{path}/nodes")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "AnomalyModel":
+        of = FeatureModel.load(spark, path)
         nodes = spark.read.parquet(f"{path}/nodes").toPandas()  # bounded: trees * (2 psi - 1) rows
         forest = iforest.ForestModel(iforest.FlatForest.from_nodes(nodes), float(nodes["offset"].iloc[0]), ZCOLS, nodes)
-        return AnomalyModel(*[spark.read.parquet(f"{path}/{n}") for n in ("encoder", "scaler", "reference")], forest)
+        return AnomalyModel(of.encoder, of.scaler, of.reference, forest)
+
+
+def fit_features(tx: DataFrame) -> tuple[FeatureModel, DataFrame, int]:
+    """The features' model of a frame, the frame's features (written once: statistics, trees
+    and scores all start from them) and its number of rows.  Both statistics come from one pass."""
+    checkpoint_dir(tx.sparkSession)
+    encoder = an.label_encoder(tx)
+    feats = an.anomaly_features(tx, encoder, keys=()).checkpoint()
+    stats = an.all_feature_stats(feats, keys=()).checkpoint()  # one row
+    return FeatureModel(encoder, an._one_std(stats, (), False), an._one_std(stats, (), True)), feats, stats.first()["n"]
 
 
 def fit_anomaly_model(tx: DataFrame) -> tuple[AnomalyModel, DataFrame] | None:
     """One model over the frame, and its rows scored; None below 10 rows."""
-    checkpoint_dir(tx.sparkSession)
-    encoder = an.label_encoder(tx).checkpoint(eager=True)  # one row per category
-    feats = an.anomaly_features(tx, encoder, keys=())
-    scaler = an.feature_stats(feats, keys=()).checkpoint(eager=True)  # one row
-    reference = an.feature_stats(feats, keys=(), sample=True).checkpoint(eager=True)  # one row
-    fitted = iforest.fit_global(an.standardize(feats, (), scaler), ZCOLS)
+    of, feats, n = fit_features(tx)
+    fitted = iforest.fit_global(an.standardize(feats, (), of.scaler), ZCOLS, n=n)
     if fitted is None:
         return None
-    return AnomalyModel(encoder, scaler, reference, fitted[0]), fitted[1]
+    return AnomalyModel(of.encoder, of.scaler, of.reference, fitted[0]), fitted[1]
 
 
-def model_features(tx: DataFrame, model: AnomalyModel) -> DataFrame:
+def model_features(tx: DataFrame, model: FeatureModel) -> DataFrame:
     """Features and their scaled forms (z_*) of a batch under a fitted model: its category
     codes (-1 for one it never saw) and its scaler; ``is_high_amount`` is judged within the
     batch, as at fit time."""

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moneta.functions.common import rnd
+from moneta.functions.common import attach_one_row, rnd
 
 from moneta.functions.timecols import hour_risk_multiplier, is_night_guard, is_night_hour
 from moneta.operators import risk
@@ -767,7 +768,7 @@ def _replay(spark, sf, plan, sink=None):
     """The events table as a stream of transactions through ``plan``; the folder of the replay."""
     base = scratch(spark, "stream")
     ev = td.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    rs.feed(rs.time_slices(ev, "ts"), base, lambda s: plan(td.transactions_from_events(s)), sink and sink(f"{base}/out"))
+    rs.feed(rs.time_slices(ev, "ts", at=f"{base}/slices"), base, lambda s: plan(td.transactions_from_events(s)), sink and sink(f"{base}/out"))
     return f"{base}/out"
 
 
@@ -835,7 +836,7 @@ def q_stream_delays(spark, sf):
     d = (iv.delay(iv.with_context(_scored(spark, sf))).filter(F.col("delay_minutes").isNotNull())
          .select("user_id", F.col("id").alias("transaction_id"), F.col("timestamp").alias("set_at"),
                  F.col("delay_expires_at").alias("expires_at"))).checkpoint(eager=True)
-    rs.feed(rs.time_slices(d, "set_at"), base, rs.stream_delays)
+    rs.feed(rs.time_slices(d, "set_at", at=f"{base}/slices"), base, rs.stream_delays)
     return spark.read.parquet(f"{base}/out")
 
 
@@ -907,14 +908,59 @@ def q_create_notification(spark, sf):
         F.struct("amount")).select(*nt.NOTIF_COLS, F.col("data.amount").alias("amount"))
 
 
+def _early_spending(tx):
+    """What a model is fitted on: the debits up to the median date of all rows (no credit category is among them)."""
+    days = tx.groupBy(F.unix_date("date").alias("_d")).count()  # a row a day
+    middle = days.agg(F.percentile("_d", 0.5, F.col("count")).alias("_m"))
+    return attach_one_row(tx, middle).filter((F.unix_date("date") <= F.col("_m")) & (F.col("transaction_type") == "debito")).drop("_m")
+
+
 @register("anomaly_model_features")
 def q_anomaly_model_features(spark, sf):
-    """The second half of the month under the stored encoder and scaler of the first half,
-    which held no 'jogos'."""
+    """All rows under the stored encoder and scaler of the earlier half's debits, to which the credits'
+    category is unknown (-1)."""
     tx = _tx(spark, sf)
-    early = F.col("date") < F.lit("2024-01-16").cast("date")
-    path = scratch(spark, "anomaly_model")
-    model, _ = ar.fit_anomaly_model(tx.filter(early & (F.coalesce("category", F.lit("outros")) != "jogos")))
-    model.persist(path)
-    z = ar.model_features(tx.filter(~early), ar.AnomalyModel.load(spark, path))
+    path = scratch(spark, "feature_model")
+    ar.fit_features(_early_spending(tx))[0].persist(path)
+    z = ar.model_features(tx, ar.FeatureModel.load(spark, path))
     return z.select("id", "category_encoded", "is_high_amount", *[rnd(f"z_{c}", 6).alias(f"z_{c}") for c in an.FEATURES])
+
+
+@register("stored_model_scores")
+def q_stored_model_scores(spark, sf):
+    """All rows scored by a stored model that was fitted on the earlier half's debits."""
+    tx = _tx(spark, sf)
+    path = scratch(spark, "anomaly_model")
+    ar.fit_anomaly_model(_early_spending(tx))[0].persist(path)
+    d = ar.detect_anomalies(tx, model=ar.AnomalyModel.load(spark, path))
+    return d.select("id", "user_id", "is_anomaly", rnd("anomaly_score", 6).alias("anomaly_score"), rnd("decision", 9).alias("decision"),
+                    F.array_join("anomaly_reasons", "|").alias("reasons"))
+
+
+# A small forest for the scoring's SQL twin: (tree, node, feature, threshold, left, right, value); -1: leaf
+GIVEN_FEATURES = ["f_amount", "hour", "day_of_week"]
+GIVEN_FOREST = [
+    (0, 0, 0, 60.0, 1, 2, 0.0), (0, 1, 1, 6.5, 3, 4, 0.0), (0, 2, -1, 0.0, -1, -1, 2.5), (0, 3, -1, 0.0, -1, -1, 3.25), (0, 4, -1, 0.0, -1, -1, 4.5),
+    (1, 0, 2, 4.5, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 4.0), (1, 2, 0, 25.0, 3, 4, 0.0), (1, 3, -1, 0.0, -1, -1, 3.0), (1, 4, -1, 0.0, -1, -1, 2.0),
+    (2, 0, 1, 22.5, 1, 2, 0.0), (2, 1, 0, 90.0, 3, 4, 0.0), (2, 2, -1, 0.0, -1, -1, 1.0), (2, 3, -1, 0.0, -1, -1, 4.75), (2, 4, -1, 0.0, -1, -1, 2.25),
+]
+GIVEN_PSI, GIVEN_OFFSET = 8, -0.5
+
+
+@register("given_forest_score")
+def q_given_forest_score(spark, sf):
+    """All rows scored by a given small forest on unscaled features."""
+    nodes = pd.DataFrame(GIVEN_FOREST, columns=["tree", "node", "feature", "threshold", "left", "right", "value"]).assign(psi=GIVEN_PSI)
+    model = iforest.ForestModel(iforest.FlatForest.from_nodes(nodes), GIVEN_OFFSET, GIVEN_FEATURES, nodes)
+    rows = _tx(spark, sf).select("id", F.coalesce("amount", F.lit(0.0)).alias("f_amount"), F.hour("timestamp").alias("hour"),
+                                 F.weekday("timestamp").alias("day_of_week"))
+    return iforest.score_global(rows, model).select("id", rnd("score_samples", 9).alias("score_samples"),
+                                                    rnd("decision", 9).alias("decision"), "is_anomaly")
+
+
+@register("label_encode_unseen")
+def q_label_encode_unseen(spark, sf):
+    """Merchants' codes under a dictionary of the earlier half's debits' descriptions: -1 where it has none."""
+    tx = _tx(spark, sf)
+    return an.label_encode(tx.select("id", "description"), an.label_encoder(_early_spending(tx), "description"), "description",
+                           "code_of_description").select("id", "code_of_description")

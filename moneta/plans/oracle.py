@@ -1070,7 +1070,7 @@ SELECT md5('custom|' || CAST(id AS VARCHAR)) AS notification_id, user_id, NULL::
 FROM tx"""
 
 
-_T = "(SELECT * FROM tx WHERE date < DATE '2024-01-16' AND coalesce(category, 'outros') <> 'jogos')"
+_T = """(SELECT * FROM tx WHERE transaction_type = 'debito' AND date - DATE '1970-01-01' <= (SELECT quantile_cont(date - DATE '1970-01-01', 0.5) FROM tx))"""
 _MF = lambda name, src: f"""{name}0 AS (
   SELECT id, coalesce(amount, 0.0) AS f_amount, hour("timestamp") AS hour, isodow("timestamp") - 1 AS day_of_week,
          day("timestamp") AS day_of_month, coalesce(menc.code, -1) AS category_encoded
@@ -1080,7 +1080,7 @@ _MF = lambda name, src: f"""{name}0 AS (
 SQL["anomaly_model_features"] = with_(TX) + f""",
 menc AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
          FROM (SELECT DISTINCT coalesce(category, 'outros') AS value FROM {_T})),
-{_MF('fitf', _T)}, {_MF('newf', "(SELECT * FROM tx WHERE date >= DATE '2024-01-16')")},
+{_MF('fitf', _T)}, {_MF('newf', 'tx')},
 ms AS (SELECT """ + ", ".join(
     f"avg(CAST({_src(c)} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({_src(c)} AS DOUBLE)) AS s_{c}" for c in _FCOLS
 ) + " FROM fitf)\nSELECT id, category_encoded, is_high_amount, " + ", ".join(
@@ -1088,6 +1088,29 @@ ms AS (SELECT """ + ", ".join(
     for c in _FCOLS) + " FROM newf, ms"
 
 
+SQL["label_encode_unseen"] = with_(TX) + f""",
+denc AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
+         FROM (SELECT DISTINCT coalesce(description, 'outros') AS value FROM {_T}))
+SELECT id, CAST(coalesce(code, -1) AS INTEGER) AS code_of_description FROM tx LEFT JOIN denc ON coalesce(description, 'outros') = value"""
+
+_GIVEN_NODES = """(VALUES (0, 0, 0, 60.0, 1, 2, 0.0), (0, 1, 1, 6.5, 3, 4, 0.0), (0, 2, -1, 0.0, -1, -1, 2.5), (0, 3, -1, 0.0, -1, -1, 3.25),
+  (0, 4, -1, 0.0, -1, -1, 4.5), (1, 0, 2, 4.5, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 4.0), (1, 2, 0, 25.0, 3, 4, 0.0), (1, 3, -1, 0.0, -1, -1, 3.0),
+  (1, 4, -1, 0.0, -1, -1, 2.0), (2, 0, 1, 22.5, 1, 2, 0.0), (2, 1, 0, 90.0, 3, 4, 0.0), (2, 2, -1, 0.0, -1, -1, 1.0), (2, 3, -1, 0.0, -1, -1, 4.75),
+  (2, 4, -1, 0.0, -1, -1, 2.25)) n(tree, node, feature, threshold, l, r, value)"""
+SQL["given_forest_score"] = with_(TX).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+nodes AS (SELECT tree, node, feature, CAST(threshold AS DOUBLE) AS threshold, l, r, CAST(value AS DOUBLE) AS value FROM {_GIVEN_NODES}),
+x AS (SELECT id, [coalesce(amount, 0.0), hour("timestamp"), isodow("timestamp") - 1] AS f FROM tx),
+walk AS (
+  SELECT id, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL
+  SELECT w.id, w.tree, CASE WHEN x.f[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END
+  FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node JOIN x ON x.id = w.id WHERE n.feature >= 0),
+ends AS (
+  SELECT w.id, avg(n.value) AS h FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature < 0 GROUP BY w.id),
+s AS (SELECT id, -pow(2.0, -h / (2 * (ln(7) + 0.5772156649015329) - 2 * 7 / 8.0)) AS s FROM ends)
+SELECT id, round_even(s, 9) AS score_samples, round_even(s + 0.5, 9) AS decision, s + 0.5 < 0 AS is_anomaly FROM s"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("

@@ -1,14 +1,16 @@
 """Structured Streaming twins of the batch operators.
 
-* ``stream_recent_counts``: last-hour frequency per user kept in
-  ``applyInPandasWithState``.  Rows wait in the state until the watermark has
-  passed them, so rows that arrive late but inside the watermark are counted and
-  every emitted count equals the batch ``recent_1h_count`` (equal times are peers,
-  as in the batch range frame).  The state holds what is above the watermark plus
-  the times of the hour below it, and expires by an event-time timeout.
+* ``stream_recent_counts``: last-hour frequency per user.  Rows are kept in the state of a
+  built-in aggregate by (user, hour); every row is also copied to the next hour, as in the
+  batch operator.  The watermark closes an hour once nothing that belongs to it or to the
+  hour before can still arrive, so rows that are late inside the watermark are counted
+  and every emitted count equals the batch ``recent_1h_count``.  No state or task holds
+  more than two hours of a user; the watermark drops them.
 * ``stream_risk``: the same risk expressions applied downstream (stateless).
 * ``stream_daily``: tumbling one-day windows per user behind a watermark; a
   day is emitted once the watermark passes its end (append mode).
+* ``stream_delays``: session windows by (user, transaction) whose gap is the row's own
+  delay, so a session ends where its delay expires.
 * ``alerts_sink``: ``foreachBatch`` writer, idempotent per batch id.
 * ``feed`` and ``time_slices``: a table replayed as a stream to the end of its input.
 """
@@ -18,59 +20,14 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from moneta.operators import risk
 
 HOUR_US = 3_600_000_000
-OUT_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("timestamp", T.TimestampNTZType()), T.StructField("amount", T.DoubleType()),
-    T.StructField("category", T.StringType()), T.StructField("recent_count", T.IntegerType())])
-STATE_SCHEMA = T.StructType([
-    T.StructField("times", T.ArrayType(T.LongType())),  # emitted, not yet an hour below the watermark
-    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.LongType())),
-    T.StructField("amounts", T.ArrayType(T.DoubleType())), T.StructField("categories", T.ArrayType(T.StringType()))])
-
-
-def _micros(s: pd.Series) -> np.ndarray:
-    return pd.to_datetime(s).to_numpy(dtype="datetime64[us]").astype(np.int64)
-
-
-def _count_last_hour(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    times, ids, at, amounts, categories = (list(v) for v in state.get) if state.exists else ([], [], [], [], [])
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            ids += pdf["id"].tolist()
-            at += _micros(pdf["timestamp"]).tolist()
-            amounts += [None if pd.isna(v) else float(v) for v in pdf["amount"]]
-            categories += [None if pd.isna(v) else v for v in pdf["category"]]
-    mark = state.getCurrentWatermarkMs() * 1000
-    t = np.array(at, dtype=np.int64)
-    ready = t <= mark  # nothing at or below the watermark can still arrive
-    kept = np.array(times, dtype=np.int64)
-    if ready.any():
-        t_out = t[ready]
-        kept = np.sort(np.concatenate([kept, t_out]))
-        # rows in [t - 1h, t] (peers with the same time included), minus the row itself
-        n = np.searchsorted(kept, t_out, side="right") - np.searchsorted(kept, t_out - HOUR_US, side="left") - 1
-        at_out = np.flatnonzero(ready)
-        yield pd.DataFrame({
-            "id": [ids[i] for i in at_out], "user_id": [key[0]] * len(at_out), "timestamp": pd.to_datetime(t_out, unit="us"),
-            "amount": [amounts[i] for i in at_out], "category": [categories[i] for i in at_out], "recent_count": n.astype(np.int32)})
-    kept = kept[kept > mark - HOUR_US]
-    wait = np.flatnonzero(~ready)
-    if not len(wait) and not len(kept):
-        state.remove()
-        return
-    state.update((kept.tolist(), [ids[i] for i in wait], t[wait].tolist(), [amounts[i] for i in wait],
-                  [categories[i] for i in wait]))
-    # the timer fires once the watermark is above it
-    state.setTimeoutTimestamp(int(-(-t[wait].min() // 1000)) if len(wait) else int((kept.max() + HOUR_US) // 1000 + 1))
 
 
 def wall_as_utc(ntz_col: str):
@@ -88,11 +45,42 @@ def _event_time(tx_stream: DataFrame) -> DataFrame:
     return tx_stream.withColumn("event_time", wall_as_utc("timestamp"))
 
 
+def _counts_of_hours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (user_id, rows) hours as single rows with ``recent_count``; copies are counted only."""
+    for batch in batches:
+        col = batch.column("rows")
+        flat, sizes = col.flatten(), np.diff(np.asarray(col.offsets))
+        time = flat.field("at").to_numpy(zero_copy_only=False)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((time, group))
+        time, group = time[order], group[order]
+        n = np.empty(len(time), np.int64)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            t = time[a:b]  # rows in [t - 1h, t] (peers with the same time included), minus the row itself
+            n[a:b] = np.searchsorted(t, t, "right") - np.searchsorted(t, t - HOUR_US, "left") - 1
+        mine = flat.field("own").to_numpy(zero_copy_only=False)[order].astype(bool)
+        rows = flat.take(pa.array(order[mine]))
+        yield pa.RecordBatch.from_arrays(
+            [rows.field("id"), batch.column("user_id").take(pa.array(group[mine])), rows.field("timestamp"), rows.field("amount"),
+             rows.field("category"), pa.array(n[mine].astype(np.int32))],
+            names=["id", "user_id", "timestamp", "amount", "category", "recent_count"])
+
+
 def stream_recent_counts(tx_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    return (_event_time(tx_stream).withWatermark("event_time", watermark)
-            .groupBy("user_id")
-            .applyInPandasWithState(_count_last_hour, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    """(id, user_id, timestamp, amount, category, recent_count) of every row, once the watermark has closed its hour."""
+    at = wall_as_utc("timestamp")
+    rows = tx_stream.filter(F.col("timestamp").isNotNull()).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    # the copy's time is an hour later, and so is the newest time that moves the watermark
+    rows = rows.withColumn("hour_time", F.when(F.col("own"), at).otherwise(at + F.expr("INTERVAL 1 HOUR")))
+    one = F.struct("own", F.unix_micros(at).alias("at"), *[
+        F.when(F.col("own"), F.col(c)).alias(c) for c in ("id", "timestamp", "amount", "category")])
+    hours = (rows.withWatermark("hour_time", f"{watermark} 1 hour").groupBy("user_id", F.window("hour_time", "1 hour"))
+             .agg(F.collect_list(one).alias("rows")))
+    kind = tx_stream.schema
+    return hours.select("user_id", "rows").mapInArrow(_counts_of_hours, T.StructType([
+        *[T.StructField(c, kind[c].dataType) for c in ("id", "user_id", "timestamp", "amount", "category")],
+        T.StructField("recent_count", T.IntegerType())]))
 
 
 def stream_risk(tx_stream: DataFrame) -> DataFrame:
@@ -119,17 +107,23 @@ def alerts_sink(path: str):
 
 # ------------------------------------------------------------------ replays
 
-def time_slices(df: DataFrame, ts_col: str, slices: int = 4, rest: dt.timedelta = dt.timedelta(days=2)) -> list[DataFrame]:
+def time_slices(df: DataFrame, ts_col: str, slices: int = 4, rest: dt.timedelta = dt.timedelta(days=2),
+                at: str | None = None) -> list[DataFrame]:
     """``df`` in ``slices`` consecutive ranges of ``ts_col``.  The last one also holds a marker
     row that lies ``rest`` after the newest row: it moves the watermark past all rows, so a
-    replay reaches the end of its input, and is itself never passed by the watermark."""
+    replay reaches the end of its input, and is itself never passed by the watermark.
+    With a folder ``at`` the slices are written there in one pass over ``df`` and read from it."""
     lo, hi = df.agg(F.min(ts_col), F.max(ts_col)).first()
     if lo is None:
         return [df]
     cuts = [lo + (hi - lo) * i / slices for i in range(1, slices)]
-    c = F.col(ts_col)
-    parts = [df.filter(F.lit(True) if a is None else c >= F.lit(a)).filter(F.lit(True) if b is None else c < F.lit(b))
-             for a, b in zip([None, *cuts], [*cuts, None])]
+    number = sum((F.coalesce(F.col(ts_col) >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    if at is None:
+        parts = [df.filter(number == i) for i in range(slices)]
+    else:
+        df.withColumn("slice", number).write.partitionBy("slice").parquet(at)
+        whole = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(at)
+        parts = [whole.filter(F.col("slice") == i).drop("slice") for i in range(slices)]  # one folder each
 
     def mark(f: T.StructField):
         if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
@@ -152,50 +146,16 @@ def feed(parts: list[DataFrame], base: str, plan: Callable[[DataFrame], DataFram
         out.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
 
 
-DELAY_OUT = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("transaction_id", T.LongType()),
-    T.StructField("expires_at", T.TimestampNTZType()), T.StructField("can_proceed", T.BooleanType())])
-DELAY_STATE = T.StructType([T.StructField("tx", T.ArrayType(T.LongType())),
-                            T.StructField("set_at", T.ArrayType(T.LongType())),
-                            T.StructField("expires", T.ArrayType(T.LongType()))])
-
-
-def _delay_timers(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Pending delays of one user: the latest set per transaction wins; one
-    event-time timeout at the earliest expiry; when it fires, every delay the
-    watermark has passed is released (can proceed) and the next timer is set."""
-    if state.exists:
-        tx, st, ex = (np.array(v, dtype=np.int64) for v in state.get)
-    else:
-        tx = st = ex = np.zeros(0, dtype=np.int64)
-    if not state.hasTimedOut:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if not pdf.empty:
-            new = pd.DataFrame({"tx": np.concatenate([tx, pdf["transaction_id"].to_numpy(dtype=np.int64)]),
-                                "st": np.concatenate([st, _micros(pdf["set_at"])]),
-                                "ex": np.concatenate([ex, _micros(pdf["expires_at"])])})
-            new = new.sort_values(["tx", "st"]).drop_duplicates("tx", keep="last")  # latest set wins
-            tx, st, ex = (new[c].to_numpy(dtype=np.int64) for c in ("tx", "st", "ex"))
-    # release every delay the watermark has passed (on a timer, or when new rows
-    # of the user arrive after the watermark moved past older delays)
-    wm_us = state.getCurrentWatermarkMs() * 1000
-    done = ex < wm_us
-    if done.any():
-        yield pd.DataFrame({"user_id": np.full(int(done.sum()), key[0], dtype=np.int64),
-                            "transaction_id": tx[done],
-                            "expires_at": pd.to_datetime(ex[done], unit="us"), "can_proceed": True})
-    tx, st, ex = tx[~done], st[~done], ex[~done]
-    if tx.size == 0:
-        state.remove()
-        return
-    state.update((tx.tolist(), st.tolist(), ex.tolist()))
-    state.setTimeoutTimestamp(int(ex.min()) // 1000)
-
-
 def stream_delays(delays: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """``delays``: (user_id, transaction_id, set_at, expires_at) stream, keyed by user."""
-    return (delays.withColumn("event_time", wall_as_utc("set_at"))
-            .withWatermark("event_time", watermark)
-            .groupBy("user_id")
-            .applyInPandasWithState(_delay_timers, DELAY_OUT, DELAY_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    """(user_id, transaction_id, expires_at, can_proceed) of every delay that has run out.
+
+    ``delays``: (user_id, transaction_id, set_at, expires_at) stream.  A delay is a session of its
+    transaction that starts where it is set and ends where it expires; one that is set again
+    while it runs goes on, and its latest setting says when it expires.  A session is released
+    once the watermark has passed its end.  The state has one row for each running delay."""
+    at, until = wall_as_utc("set_at"), wall_as_utc("expires_at")
+    gap = F.concat(F.greatest(F.unix_micros(until) - F.unix_micros(at), F.lit(1)).cast("string"), F.lit(" microseconds"))
+    d = delays.withColumn("event_time", at).withColumn("_gap", gap).withWatermark("event_time", watermark)
+    return (d.groupBy("user_id", "transaction_id", F.session_window("event_time", F.col("_gap")))
+            .agg(F.max_by("expires_at", "set_at").alias("expires_at"))
+            .select("user_id", "transaction_id", "expires_at", F.lit(True).alias("can_proceed")))

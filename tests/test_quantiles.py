@@ -57,3 +57,38 @@ def test_retention_holds_over_appends(spark, tmp_path):
         df = spark.createDataFrame(rows, "notification_id string, user_id long, created_at string, category string")
         kept = write_notifications(df, path, keep=3)
     assert sorted(r["notification_id"] for r in kept.collect()) == ["1-0", "1-1", "1-2"]
+
+
+def test_exact_quantiles_of_null_keys_and_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    values = {1: [5e-324, -5e-324, 0.0, -0.0, 1e308, -1e308, 3.0], 2: [inf, -inf, 1.0], 3: [nan, 2.0, 1.0], None: [4.0, 8.0, None], 4: [None]}
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "k long, v double")
+    qs = (0.0, 0.5, 1.0)
+    got = {r["k"]: [r["q0"], r["q1"], r["q2"]] for r in exact_quantiles(df, "v", qs, ["k"]).collect()}
+    assert set(got) == {1, 2, 3, None}
+    assert got[1] == [-1e308, 0.0, 1e308] and got[2] == [-inf, 1.0, inf] and got[None] == [4.0, 6.0, 8.0]
+    assert got[3][:2] == [1.0, 2.0] and np.isnan(got[3][2])
+    assert exact_quantiles(df.filter("v is null"), "v", qs, ["k"]).count() == 0
+
+
+def test_no_percentile_over_a_hot_key(spark):
+    from moneta.operators.anomaly import anomaly_features
+    from moneta.operators.spend import spend_summary
+    df = spark.createDataFrame([(1, 7, 5.0, "a")], "id long, user_id long, amount double, category string")
+    for out in (spend_summary(df), anomaly_features(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_label_encoder_is_a_dense_rank(spark):
+    from pyspark.sql import functions as F
+    from moneta.operators.anomaly import label_encode, label_encoder
+    words = sorted({f"{i * 7919 % 5000:04x}é{i % 3}" for i in range(5000)} | {"outros"})
+    df = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "category string").repartition(7)
+    codes = {r["value"]: r["code"] for r in label_encoder(df).collect()}
+    assert codes == {w: i for i, w in enumerate(sorted(words, key=lambda w: w.encode()))}
+    seen = label_encode(spark.createDataFrame([("new",), (None,), (words[5],)], "category string"), label_encoder(df))
+    assert [r["category_encoded"] for r in seen.orderBy(F.col("category").asc_nulls_first()).collect()][0] == codes["outros"]
+    assert sorted(r["category_encoded"] for r in seen.collect()) == sorted([-1, codes["outros"], 5])
+    assert label_encoder(df.limit(0)).count() == 0
