@@ -32,59 +32,66 @@ def _minima(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(np.append(a, a.dtype.type(0)), pairs)[::2]
 
 
+def _woven(a: np.ndarray, old: np.ndarray, to: np.ndarray, new: np.ndarray) -> np.ndarray:
+    out = np.empty(len(old), a.dtype)
+    out[old], out[to] = a, new
+    return out
+
+
 def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(transform, common, owner, size): for all suffixes in sorted order, the empty ones first and
     equal ones by the number of their string: the symbol before it (0: none), the length that
     it has in common with the one before, its string and its own length."""
     m = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
-    flat = _codes(np.frombuffer(b"".join(strings), np.uint8)) if sizes.sum() else np.empty(0, np.uint8)
+    rounds = int(sizes.max(initial=0))
+    flat = _codes(np.frombuffer(b"".join(strings), np.uint8)) if rounds else np.empty(0, np.uint8)
     ends = np.cumsum(sizes)
 
-    def before(owner: np.ndarray, j: int) -> np.ndarray:
+    def before(string: np.ndarray, j: int) -> np.ndarray:
         """The symbols before the suffixes of length j."""
-        out = np.zeros(len(owner), flat.dtype)
-        more = sizes[owner] > j
-        out[more] = flat[ends[owner[more]] - 1 - j]
+        out = np.zeros(len(string), flat.dtype)
+        more = sizes[string] > j
+        out[more] = flat[ends[string[more]] - 1 - j]
         return out
 
-    owner = np.arange(m, dtype=np.int32)
-    size = np.zeros(m, np.int32)
-    common = np.zeros(m, np.int32)
-    symbols = before(owner, 0)
+    common = np.zeros(m, np.int16 if rounds < 1 << 15 else np.int32)
+    symbols = before(np.arange(m), 0)
     at, string = np.arange(m), np.arange(m)  # places and strings of the last round's suffixes, by place
-    for j in range(1, int(sizes.max(initial=0)) + 1):
+    for j in range(1, rounds + 1):
         live = sizes[string] >= j
         at, string = at[live], string[live]
-        order = np.argsort(symbols, kind="stable")  # places by symbol: by image
         n, ended = len(symbols), int(np.count_nonzero(symbols == 0))
-        image = np.empty(n, np.int64)
-        image[order] = np.arange(n)
-        rank = image[at]
-        mine = symbols[at]
-        left = order[np.maximum(rank - 1, 0)]
-        right = order[np.minimum(rank + 1, n - 1)]
+        order = np.argsort(symbols, kind="stable")  # places by symbol: by image
+        last = np.zeros(n, bool)
+        last[at] = True
+        rank = np.flatnonzero(last[order])  # images of the last round's suffixes
+        place = order[rank]
+        string = string[np.searchsorted(at, place)]
+        mine = symbols[place]
+        left, right = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, n - 1)]
         has_left, has_right = (rank > 0) & (symbols[left] == mine), (rank < n - 1) & (symbols[right] == mine)
-        with_left, with_right = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-        with_left[has_left] = 1 + _minima(common, left[has_left] + 1, at[has_left] + 1) if has_left.any() else 0
-        with_right[has_right] = 1 + _minima(common, at[has_right] + 1, right[has_right] + 1) if has_right.any() else 0
-        to = m + rank - ended
-        by_place = np.argsort(to)
-        to, string, with_left, with_right = to[by_place], string[by_place], with_left[by_place], with_right[by_place]
-        total = n + len(to)
-        old = np.ones(total, bool)
-        old[to] = False
-
-        def woven(a: np.ndarray, new) -> np.ndarray:
-            out = np.empty(total, a.dtype)
-            out[old], out[to] = a, new
-            return out
-
-        symbols, owner, size = woven(symbols, before(string, j)), woven(owner, string), woven(size, j)
-        common = woven(common, with_left)
-        after = to + 1 < total
-        common[to[after] + 1] = with_right[after]
-        at = to
+        with_left, with_right = np.zeros(len(rank), common.dtype), np.zeros(len(rank), common.dtype)
+        if has_left.any():
+            with_left[has_left] = 1 + _minima(common, left[has_left] + 1, place[has_left] + 1)
+        if has_right.any():
+            with_right[has_right] = 1 + _minima(common, place[has_right] + 1, right[has_right] + 1)
+        at = m + rank - ended
+        old = np.ones(n + len(at), bool)
+        old[at] = False
+        symbols, common = _woven(symbols, old, at, before(string, j)), _woven(common, old, at, with_left)
+        after = at + 1 < len(old)
+        common[at[after] + 1] = with_right[after]
+    # the places of all suffixes of a string: images of images
+    owner, size = np.empty(len(symbols), np.int32), np.empty(len(symbols), np.int32)
+    image = np.empty(len(symbols), np.int64)
+    image[np.argsort(symbols, kind="stable")] = np.arange(len(symbols)) + m - np.count_nonzero(symbols == 0)
+    at = string = np.arange(m)
+    for j in range(rounds + 1):
+        owner[at], size[at] = string, j
+        more = sizes[string] > j
+        string = string[more]
+        at = image[at[more]]
     return symbols, common, owner, size
 
 

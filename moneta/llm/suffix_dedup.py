@@ -9,7 +9,7 @@ suffixes are dealt to buckets, and every bucket is sorted on its own by column-w
 construction of its transform (``collection_bwt``), whose common prefixes
 say which suffixes share ``length`` bytes:
 
-* The bucket of a suffix is the smallest hash of the grams (of ``length`` / 5
+* The bucket of a suffix is the smallest hash of the grams (of two fifths of ``length``
   bytes) in its first ``length`` bytes.  Suffixes that share these bytes share the bucket.
   Consecutive suffixes mostly have the same bucket and are dealt as one piece of
   text, of ``length`` and some bytes.
@@ -48,7 +48,7 @@ from moneta.llm.common import written
 from moneta.llm.wordhash import least, mix, signed, stream
 
 #: A text's hashes are made in blocks of so many bytes; bytes of the strings that a task sorts at a time.
-BLOCK, CHUNK = 1 << 20, 1 << 19
+BLOCK, CHUNK = 1 << 20, 1 << 17
 _TABLES = (stream(201, 256), stream(202, 256))
 _FACTORS = (stream(203, 1)[0] | np.uint64(1), stream(204, 1)[0] | np.uint64(1))
 
@@ -216,8 +216,8 @@ def dedup_repeats(docs: DataFrame, length: int = 200, bucket: int = 2048) -> Dat
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) per row of ``docs``: ``spans`` are the
     maximal removed runs of bytes, ``kept`` (binary) what is left; both are null where nothing went."""
     if length < 10:
-        raise ValueError("buckets are made of grams of a fifth of the length: 10 bytes or more")
-    gram = length // 5
+        raise ValueError("buckets are made of grams of two fifths of the length: 10 bytes or more")
+    gram = 2 * length // 5
     keys = ["s1", "s2"]
     docs = docs.select("doc_id", F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(1), "text").alias("s2"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
