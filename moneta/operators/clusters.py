@@ -1,12 +1,16 @@
-"""Spending clusters: k-means (pyspark.ml) on standardised amount, hour and
-weekday; best of several seeded starts by training cost; clusters relabelled by
-mean amount so ids are stable; per-cluster description with aggregates."""
+"""Spending clusters: k-means on standardised amount, hour and weekday; best of
+several seeded starts by cost; clusters relabelled by mean amount so ids are
+stable; per-cluster description with aggregates.
+
+All starts are fitted together: one pass over the features per iteration assigns
+every row for every start and adds the rows up by (start, cluster) inside the task;
+only these sums, starts * k rows, meet and reach the driver."""
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,31 +35,98 @@ def cluster_features(tx: DataFrame) -> DataFrame:
     return j.drop(*[f"{p}_{c}" for c in FEATS for p in ("m", "s")])
 
 
-def spend_clusters(tx: DataFrame, k: int = P.KMEANS_CLUSTERS, n_init: int = P.KMEANS_STARTS,
-                   seed: int = P.KMEANS_SEED) -> tuple[DataFrame, float]:
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every row (ties: the first) and its squared distance."""
+    d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    best = d.argmin(axis=1)
+    return best, d[np.arange(len(x)), best]
+
+
+def _matrix(batch: pa.RecordBatch, cols: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+
+
+def lloyd_step(feats: DataFrame, centres: dict[int, np.ndarray], cols: list[str]) -> DataFrame:
+    """One iteration of every start in ``centres`` (start -> its centres), in one pass over ``feats``:
+    (start, cluster, n, cost, s0, s1, ...): rows, squared distances and coordinates added up.
+    A cluster without rows has none.  Each task sends one row per start and cluster."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {s: np.zeros((len(c), 2 + len(cols))) for s, c in centres.items()}
+        for batch in batches:
+            x = _matrix(batch, cols)
+            for s, c in centres.items():
+                best, d = _nearest(x, c)
+                for j, w in enumerate([np.ones(len(x)), d, *x.T]):
+                    total[s][:, j] += np.bincount(best, w, len(c))
+        rows = [(s, k, int(t[0]), *t[1:].tolist()) for s, table in total.items() for k, t in enumerate(table) if t[0]]
+        if rows:
+            start, cluster, n, *rest = map(list, zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(start, pa.int32()), pa.array(cluster, pa.int32()), pa.array(n, pa.int64()), *map(pa.array, rest)],
+                                             names=["start", "cluster", "n", "cost", *(f"s{j}" for j in range(len(cols)))])
+
+    sums = [f"s{j}" for j in range(len(cols))]
+    each = feats.select(*cols).mapInArrow(run, "start int, cluster int, n long, cost double" + "".join(f", {c} double" for c in sums))
+    return each.groupBy("start", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in sums])
+
+
+def seed_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each centre a row of the sample, likelier the farther it lies from those before."""
+    out = [sample[rng.integers(len(sample))]]
+    while len(out) < k:
+        d = _nearest(sample, np.array(out))[1]
+        out.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() else sample[rng.integers(len(sample))])
+    return np.array(out)
+
+
+def spend_clusters(tx: DataFrame, k: int = P.KMEANS_CLUSTERS, n_init: int = P.KMEANS_STARTS, seed: int = P.KMEANS_SEED,
+                   max_iter: int = 300, tol: float = 1e-4, sample: int = 4096, id_col: str = "id") -> tuple[DataFrame, float]:
     """Cluster every transaction (one model over the frame, as the original does
-    for its batch).  Returns (rows with ``cluster``, inertia)."""
-    n = tx.count()
+    for its batch).  Returns (rows with ``cluster``, inertia).
+
+    The starts are seeded from at most ``sample`` rows, by hash of the id; all else covers all rows.  A
+    start ends when its centres move by less than ``tol`` (squared, all together) or after
+    ``max_iter`` iterations; the lowest cost wins, ties the first start."""
+    z = [f"z_{c}" for c in FEATS]
+    checkpoint_dir(tx.sparkSession)
+    data = spread(cluster_features(tx)).checkpoint()
+    n = data.count()
     if n < 3 * k:
         raise ValueError("Transações insuficientes para clustering")
-    vec = VectorAssembler(inputCols=[f"z_{c}" for c in FEATS], outputCol="features")
-    checkpoint_dir(tx.sparkSession)
-    data = vec.transform(spread(cluster_features(tx))).checkpoint(eager=True)
-    # the seeded starts are independent jobs: submit them together (Spark schedules
-    # jobs from several threads); the choice stays deterministic — lowest cost,
-    # ties to the lower seed
-    def fit(i):
-        m = KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-6, featuresCol="features").fit(data)
-        return m.summary.trainingCost, i, m
-
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    cost, _, best = min(fits, key=lambda x: (x[0], x[1]))
-    out = best.transform(data).withColumnRenamed("prediction", "_raw")
-    order = (out.groupBy("_raw").agg(F.avg("amount").alias("_m"))
-             .withColumn("cluster", F.row_number().over(Window.orderBy("_m", "_raw")) - 1))  # k rows
-    out = out.join(F.broadcast(order.select("_raw", "cluster")), "_raw").drop("_raw", "features")
-    return out, float(cost)
+    data_z = data.select(id_col, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in z])
+    u = F.xxhash64(F.lit(seed), id_col)
+    near = data_z.where(u.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63) < F.lit(4.0 * sample / n))
+    first = np.array([tuple(r) for r in near.orderBy(u, id_col).limit(sample).select(*z).collect()])
+    centres = {i: seed_centres(first, k, np.random.default_rng(seed + i)) for i in range(n_init)}
+    moving, cost = dict(centres), {}
+    for _ in range(max_iter):
+        sums = lloyd_step(data_z, moving, z).collect()  # starts * k rows
+        for i in list(moving):
+            own = [r for r in sums if r["start"] == i]
+            new = moving[i].copy()
+            for r in own:
+                new[r["cluster"]] = [r[f"s{j}"] / r["n"] for j in range(len(z))]
+            cost[i] = sum(r["cost"] for r in own)  # of the centres before
+            if ((new - moving[i]) ** 2).sum() <= tol:
+                del moving[i]
+            else:
+                moving[i] = new
+            centres[i] = new
+        if not moving:
+            break
+    best = centres[min(cost, key=lambda i: (round(cost[i], 6), i))]
+
+    # clusters are numbered by their mean amount; the means come with the same pass as the final cost
+    sums = lloyd_step(data_z, {0: best}, z).collect()
+    mean = {r["cluster"]: r["s0"] / r["n"] for r in sums}  # the scaled amount is in the order of the amount
+    best = best[sorted(mean, key=lambda c: (mean[c], c))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.nan_to_num(_matrix(batch, z), nan=0.0)
+            yield batch.append_column("cluster", pa.array(_nearest(x, best)[0].astype(np.int32)))
+
+    out = data.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields) + ", cluster int")
+    return out, float(sum(r["cost"] for r in sums))
 
 
 def describe_clusters(clustered: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from moneta.functions.timecols import hour_risk_multiplier, is_night_guard, is_n
 from moneta.operators import risk
 from moneta.session import checkpoint_dir
 from moneta.sources import testdata as td
+from moneta.sources.state_table import StateTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -564,13 +566,18 @@ def q_notification_retention(spark, sf):
     return nt.retain_newest(_notifications(spark, sf)).select("notification_id", "user_id", "created_at")
 
 
-def _alerts(spark, sf):
+def _alert_log(spark, sf):
+    """Alerts and their acknowledgements."""
     al = nt.alerts_from_risk(_checked(spark, sf))
     acks = (al.filter(F.col("alert_id") % 3 == 0)
             .select("alert_id", (F.col("created_at") + F.expr("INTERVAL 30 MINUTES")).alias("acknowledged_at"))
             .unionByName(al.filter(F.col("alert_id") % 6 == 0).select(
                 "alert_id", (F.col("created_at") + F.expr("INTERVAL 2 HOURS")).alias("acknowledged_at"))))
-    return nt.acknowledge(al, acks)
+    return al, acks
+
+
+def _alerts(spark, sf):
+    return nt.acknowledge(*_alert_log(spark, sf))
 
 
 @register("alerts_from_risk")
@@ -612,6 +619,57 @@ def q_profile_upsert(spark, sf):
                       rnd("daily_limit", 2).alias("daily_limit"), rnd("monthly_limit", 2).alias("monthly_limit"))
 
 
+def _halves(log, ts="ts"):
+    """A log cut at its middle time, later half first: what arrives second is older."""
+    lo, hi = log.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        return [log]
+    late = F.coalesce(F.col(ts) >= F.lit(lo + (hi - lo) / 2), F.lit(True))
+    return [log.filter(late), log.filter(~late)]
+
+
+def _state(spark, name, key, columns, base, log, latest=(), highest=(), ts="ts"):
+    """``base`` and ``log`` as a state table: half of the log, a compaction, the other half."""
+    t = StateTable(spark, scratch(spark, name), key, "bigint", columns, latest=latest, highest=highest).start(base)
+    parts = _halves(log, ts)
+    t.append(parts[0], ts).compact()
+    for p in parts[1:]:
+        t.append(p, ts)
+    return t
+
+
+@register("profile_state")
+def q_profile_state(spark, sf):
+    """``profile_upsert`` from a snapshot with compacted changes."""
+    base = td.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"), F.lit(True).alias("night_protection_enabled"))
+    columns = {"username": "string", "night_protection_enabled": "boolean", "daily_limit": "double", "monthly_limit": "double"}
+    t = _state(spark, "profiles", "user_id", columns, base, td.profile_update_log(_events(spark, sf)), latest=list(columns)[1:])
+    return t.read().select("user_id", "username", "night_protection_enabled",
+                           rnd("daily_limit", 2).alias("daily_limit"), rnd("monthly_limit", 2).alias("monthly_limit"))
+
+
+@register("goal_state")
+def q_goal_state(spark, sf):
+    """``goal_updates`` from a snapshot with compacted changes; the highest amount says whether a goal was ever reached."""
+    columns = {"user_id": "bigint", "name": "string", "target_amount": "double", "current_amount": "double", "status": "string", "best": "double"}
+    log = td.goal_update_log(_events(spark, sf)).select("goal_id", "ts", F.col("amount").alias("current_amount"), F.col("amount").alias("best"))
+    t = _state(spark, "goals", "goal_id", columns, td.load_goals(spark, sf), log, latest=["current_amount"], highest=["best"])
+    rows = t.read(with_times=True).filter(F.col("target_amount").isNotNull())  # updates of unknown goals make none
+    done = (F.col("status") == "completed") | F.coalesce(F.col("best") >= F.col("target_amount"), F.lit(False))
+    return rows.select("goal_id", "user_id", "name", "target_amount", "current_amount",
+                       F.when(done, F.lit("completed")).otherwise(F.col("status")).alias("status"), F.col("_at_current_amount").alias("updated_at"))
+
+
+@register("ack_state")
+def q_ack_state(spark, sf):
+    """``acknowledge_alerts`` from a snapshot with compacted acknowledgements."""
+    al, acks = _alert_log(spark, sf)
+    log = acks.withColumn("ts", F.col("acknowledged_at"))
+    t = _state(spark, "alerts", "alert_id", {"user_id": "bigint", "acknowledged_at": "timestamp_ntz"}, al, log, highest=["acknowledged_at"])
+    return t.read().select("alert_id", "user_id", F.col("acknowledged_at").isNotNull().alias("acknowledged"), "acknowledged_at")
+
+
 @register("delay_status")
 def q_delay_status(spark, sf):
     d = iv.generate_intervention(_scored(spark, sf)).filter(F.col("delay_minutes").isNotNull()).select(
@@ -760,6 +818,27 @@ def q_describe_clusters(spark, sf):
     return cl.describe_clusters(out)
 
 
+# Given centres for the twin of one iteration: start -> centres of (amount, hour, weekday), standardised
+GIVEN_CENTRES = {0: [[-0.5, -1.0, -1.0], [-0.5, 1.0, 0.5], [0.5, -1.0, 1.0], [2.0, 0.25, 0.0]],
+                 1: [[0.0, 0.0, -1.5], [0.0, 0.0, 1.5], [1.0, 1.0, 0.0], [-1.0, -1.0, 0.0]]}
+
+
+@register("kmeans_step")
+def q_kmeans_step(spark, sf):
+    """One k-means iteration of two given starts over all transactions."""
+    z = [f"z_{c}" for c in cl.FEATS]
+    step = cl.lloyd_step(cl.cluster_features(_tx(spark, sf)), {s: np.array(c) for s, c in GIVEN_CENTRES.items()}, z)
+    return step.select("start", "cluster", "n", rnd("cost", 4).alias("cost"),
+                       *[rnd(F.col(f"s{j}") / F.col("n"), 6).alias(f"new_{c}") for j, c in enumerate(cl.FEATS)])
+
+
+@register("describe_given_clusters")
+def q_describe_given_clusters(spark, sf):
+    """The description of given clusters: amounts in steps of 40."""
+    tx = _tx(spark, sf).withColumn("hour", F.hour("timestamp"))
+    return cl.describe_clusters(tx.withColumn("cluster", F.least(F.floor(F.col("amount") / 40), F.lit(3)).cast("int")))
+
+
 # ---------------------------------------------------------------- streaming
 from moneta.streaming import risk_stream as rs  # noqa: E402
 

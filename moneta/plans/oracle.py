@@ -1111,6 +1111,37 @@ s AS (SELECT id, -pow(2.0, -h / (2 * (ln(7) + 0.5772156649015329) - 2 * 7 / 8.0)
 SELECT id, round_even(s, 9) AS score_samples, round_even(s + 0.5, 9) AS decision, s + 0.5 < 0 AS is_anomaly FROM s"""
 
 
+_CENTRES = """(VALUES (0, 0, -0.5, -1.0, -1.0), (0, 1, -0.5, 1.0, 0.5), (0, 2, 0.5, -1.0, 1.0), (0, 3, 2.0, 0.25, 0.0),
+  (1, 0, 0.0, 0.0, -1.5), (1, 1, 0.0, 0.0, 1.5), (1, 2, 1.0, 1.0, 0.0), (1, 3, -1.0, -1.0, 0.0)) v(start, cluster, a, h, w)"""
+SQL["kmeans_step"] = with_(TX) + f""",
+f AS (SELECT id, amount AS a, CAST(hour("timestamp") AS DOUBLE) AS h, CAST(isodow(date) - 1 AS DOUBLE) AS w FROM tx),
+z AS (SELECT id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (h - avg(h) OVER ()) / stddev_pop(h) OVER () AS h,
+             (w - avg(w) OVER ()) / stddev_pop(w) OVER () AS w FROM f),
+c AS (SELECT start, cluster, CAST(a AS DOUBLE) AS a, CAST(h AS DOUBLE) AS h, CAST(w AS DOUBLE) AS w FROM {_CENTRES}),
+d AS (SELECT id, start, cluster, z.a, z.h, z.w, (z.a - c.a) ** 2 + (z.h - c.h) ** 2 + (z.w - c.w) ** 2 AS d FROM z, c),
+n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id, start ORDER BY d, cluster) = 1)
+SELECT start, cluster, count(*) AS n, round_even(sum(d), 4) AS cost, round_even(avg(a), 6) AS new_amount,
+       round_even(avg(h), 6) AS new_hour, round_even(avg(w), 6) AS new_day_of_week
+FROM n GROUP BY start, cluster"""
+
+SQL["describe_given_clusters"] = with_(TX) + """,
+c AS (SELECT *, hour("timestamp") AS hr, CAST(least(floor(amount / 40), 3) AS INTEGER) AS cluster FROM tx),
+m AS (SELECT cluster, category FROM (SELECT cluster, category, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) = 1),
+g AS (SELECT cluster, count(*) AS size, avg(amount) AS a, sum(amount) AS t, avg(hr) AS h, quantile_cont(amount, 0.75) AS q75,
+             quantile_cont(amount, 0.25) AS q25, (SELECT count(*) FROM c) AS n FROM c GROUP BY cluster),
+s AS (SELECT g.*, concat_ws('|', CASE WHEN a > q75 THEN 'Valores altos' WHEN a < q25 THEN 'Valores baixos' END,
+             CASE WHEN h >= 0 AND h <= 6 THEN 'Predominantemente noturno' WHEN h > 6 AND h <= 12 THEN 'Predominantemente matutino'
+                  WHEN h > 12 AND h <= 18 THEN 'Predominantemente vespertino' END,
+             CASE WHEN category IS NOT NULL THEN 'Categoria principal: ' || category END) AS ch
+      FROM g LEFT JOIN m ON g.cluster IS NOT DISTINCT FROM m.cluster)
+SELECT cluster, size, round_even(size / n * 100, 1) AS percentage, round_even(a, 2) AS avg_amount, round_even(t, 2) AS total_amount,
+       CASE WHEN ch = '' THEN 'Padrão misto' ELSE ch END AS characteristics FROM s"""
+
+
+SQL["profile_state"], SQL["goal_state"], SQL["ack_state"] = SQL["profile_upsert"], SQL["goal_updates"], SQL["acknowledge_alerts"]
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
