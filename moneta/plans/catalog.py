@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from moneta.functions.common import attach_one_row, rnd
 
 from moneta.functions.timecols import hour_risk_multiplier, is_night_guard, is_night_hour
-from moneta.operators import risk
+from moneta.functions.text import KEYWORD_RULES
+from moneta.operators import dictionary, risk
 from moneta.session import checkpoint_dir
 from moneta.sources import testdata as td
 from moneta.sources.state_table import StateTable
@@ -295,6 +296,25 @@ def q_suggest_categories_merchants(spark, sf):
         "s_suppkey", F.array_join("suggestions", ",").alias("suggestions"))
 
 
+def _dictionary(spark):
+    """The keyword rules as a table."""
+    rows = [(name, i, kw) for i, (name, kws) in enumerate(KEYWORD_RULES.items()) for kw in kws]
+    return spark.createDataFrame(rows, "category string, place int, keyword string")
+
+
+@register("suggest_categories_dictionary")
+def q_suggest_categories_dictionary(spark, sf):
+    """``suggest_categories`` with the rules as a table, by the trigram index."""
+    d = td.table(spark, sf, "documents").select("doc_id", "text")
+    return dictionary.suggest_from_dictionary(d, _dictionary(spark)).select("doc_id", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@register("suggest_categories_dictionary_merchants")
+def q_suggest_categories_dictionary_merchants(spark, sf):
+    s = td.table(spark, sf, "supplier").select("s_suppkey", F.lower(F.split("s_name", "#")[0]).alias("text"))
+    return dictionary.suggest_from_dictionary(s, _dictionary(spark)).select("s_suppkey", F.array_join("suggestions", ",").alias("suggestions"))
+
+
 def _nb_model(spark, sf):
     return cz.nb_train(_docs(spark, sf))
 

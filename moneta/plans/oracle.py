@@ -1142,6 +1142,10 @@ SELECT cluster, size, round_even(size / n * 100, 1) AS percentage, round_even(a,
 SQL["profile_state"], SQL["goal_state"], SQL["ack_state"] = SQL["profile_upsert"], SQL["goal_updates"], SQL["acknowledge_alerts"]
 
 
+SQL["suggest_categories_dictionary"] = SQL["suggest_categories"]
+SQL["suggest_categories_dictionary_merchants"] = SQL["suggest_categories_merchants"]
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("

@@ -10,7 +10,6 @@ rejects frame.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,28 +28,43 @@ class CsvImport:
     rejects: DataFrame  # rows whose amount text did not parse
 
 
-def file_layouts(spark: SparkSession, path: str | list[str], sep: str | None = None,
-                 encoding: str | None = None) -> DataFrame:
-    """One row per layout: encoding, sep, header, files.  One scan of the lines as bytes,
-    reduced per file before the shuffle; empty files have no layout.  The answer is a
-    list of files, as the reader's own listing."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("_valid"),
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines that aren't blank: file, bytes, and the line's number in the scan."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("_bytes"), F.is_valid_utf8("value").alias("_valid"),
         # a file's first block lies in one partition, whose rows count upwards
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("_at"),
-        F.col("value").cast("binary").alias("_bytes"))
-    files = lines.groupBy("file").agg(F.every("_valid").alias("_valid"), F.min_by("_bytes", "_at").alias("_head"))
-    if encoding:
-        enc, header = F.lit(encoding), F.decode("_head", encoding)
-    else:
-        enc = F.when(F.col("_valid"), "UTF-8").otherwise("ISO-8859-1")
-        header = F.when(F.col("_valid"), F.decode("_head", "UTF-8")).otherwise(F.decode("_head", "ISO-8859-1"))
-    files = files.withColumn("encoding", enc).withColumn("header", header)
+        (F.btrim("value") == "").alias("_blank")).filter(~F.col("_blank")).drop("_blank")
+
+
+def file_layouts(lines: DataFrame, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """One row per file: encoding, sep, header and the header's line number.  The lines are reduced
+    per file before the shuffle; a file without lines has no layout."""
+    files = lines.groupBy("file").agg(F.every("_valid").alias("_valid"), F.min(
+        F.when(F.col("_at").isNotNull(), F.struct("_at", "_bytes"))).alias("_first"))
+    enc = F.lit(encoding) if encoding else F.when(F.col("_valid"), "UTF-8").otherwise("ISO-8859-1")
+    files = files.select("file", enc.alias("encoding"), F.col("_first._at").alias("header_at"), _decoded(F.col("_first._bytes"), enc, encoding).alias("header"))
     found = F.lit(SEPARATORS[0])
     for x in reversed(SEPARATORS):
         found = F.when(F.contains("header", F.lit(x)), F.lit(x)).otherwise(found)
-    return (files.withColumn("sep", F.lit(sep) if sep else found)
-            .groupBy("encoding", "sep", "header").agg(F.collect_list("file").alias("files")))
+    return files.withColumn("sep", F.lit(sep) if sep else found)
+
+
+def _decoded(data: Column, enc: Column, given: str | None) -> Column:
+    if given:
+        return F.decode(data, given)
+    return F.when(enc == "UTF-8", F.decode(data, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+def _fields(line: Column, sep: Column, separators: list[str], width: int) -> Column:
+    """The first ``width`` fields of a CSV line as an array of strings."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    out = F.lit(None).cast("array<string>")
+    for x in separators:
+        c = F.from_csv(line, schema, {"sep": x})
+        out = F.when(sep == x, F.array(*[c[f"c{i}"] for i in range(width)])).otherwise(out)
+    return out
 
 
 def parse_amount(text: Column, locale: str | None = None) -> Column:
@@ -70,11 +84,31 @@ def parse_date(text: Column) -> Column:
 
 def read_bank_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, encoding: str | None = None,
                   locale: str | None = None) -> CsvImport:
-    """Statement files under ``path`` (any mix of layouts): one reader per layout found,
-    their rows united.  ``sep`` and ``encoding`` set them for all files."""
-    parts = [_staged(spark, x, locale) for x in file_layouts(spark, path, sep, encoding).collect()]
-    staged = (reduce(DataFrame.unionByName, parts) if parts else
-              spark.createDataFrame([], "data string, descricao string, _vtext string, _amount double"))
+    """Statement files under ``path`` (any mix of layouts).  ``sep`` and ``encoding`` set them for all files.
+
+    Layouts are data: the lines of all files are read by one reader and joined to their file's layout, which says
+    how to decode and split a line and at which positions the fields stand.  No list of files or
+    layouts reaches the driver, only the width of the widest header.  Of columns with one name the first counts."""
+    lines = _lines(spark, path)
+    layouts = file_layouts(lines, sep, encoding)
+    separators = [sep] if sep else SEPARATORS
+    count = lambda x: F.char_length("header") - F.char_length(F.replace("header", F.lit(x)))
+    width = (layouts.agg(F.max(F.greatest(*[count(x) for x in separators], F.lit(0)))).first()[0] or 0) + 1
+    names = F.transform(_fields(F.col("header"), F.col("sep"), separators, width), lambda x: F.lower(F.btrim(x)))
+    layouts = layouts.withColumn("_names", names)
+    for name, aliases in (("_d", DATE_ALIASES), ("_c", DESC_ALIASES), ("_v", VALUE_ALIASES)):
+        at = [F.nullif(F.array_position("_names", a), F.lit(0)) for a in aliases]
+        layouts = layouts.withColumn(name, F.coalesce(*at))
+    layouts = layouts.select("file", "encoding", "sep", "header_at", "_d", "_c", "_v")
+
+    body = lines.join(layouts, "file").filter(~F.coalesce(F.col("_at") == F.col("header_at"), F.lit(False)))
+    body = body.withColumn("_f", _fields(_decoded(F.col("_bytes"), F.col("encoding"), encoding), F.col("sep"), separators, width))
+
+    def field(at: str, missing: str) -> Column:
+        return F.when(F.col(at).isNull(), F.lit(missing)).otherwise(F.get("_f", F.col(at).cast("int") - 1))
+
+    staged = body.select(field("_d", "").alias("data"), field("_c", NO_DESCRIPTION).alias("descricao"), field("_v", "0").alias("_vtext"))
+    staged = staged.withColumn("_amount", parse_amount(F.col("_vtext"), locale))
     ok = staged.filter(F.col("_amount").isNotNull())
     rows = ok.select(
         "data", "descricao", F.abs("_amount").alias("valor"),
@@ -84,25 +118,6 @@ def read_bank_csv(spark: SparkSession, path: str | list[str], sep: str | None =
     return CsvImport(rows, rejects)
 
 
-def _staged(spark: SparkSession, layout, locale: str | None) -> DataFrame:
-    """Rows of the files of one layout: data, descricao, amount text and parsed amount."""
-    raw = (spark.read.option("header", True).option("sep", layout["sep"]).option("encoding", layout["encoding"])
-           .option("inferSchema", False).csv(layout["files"]))
-    norm = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    cols = set(norm.columns)
-
-    def pick(aliases):
-        return next((a for a in aliases if a in cols), None)
-
-    dcol, ccol, vcol = pick(DATE_ALIASES), pick(DESC_ALIASES), pick(VALUE_ALIASES)
-    data = F.col(dcol) if dcol else F.lit("")
-    desc = F.col(ccol) if ccol else F.lit(NO_DESCRIPTION)
-    vtext = F.col(vcol) if vcol else F.lit("0")
-    amount = parse_amount(vtext, locale)
-    return norm.select(data.cast("string").alias("data"), desc.cast("string").alias("descricao"),
-                       vtext.cast("string").alias("_vtext"), amount.alias("_amount"))
-
-
 def render_bank_csv_lines(tx: DataFrame) -> DataFrame:
     """Transactions rendered as statement lines (fixture for the importer):
     'dd/MM/yyyy;description;R$ -12,31' — credits positive, debits negative."""
