@@ -25,19 +25,6 @@ def _codes(flat: np.ndarray) -> np.ndarray:
     return number.astype(np.uint8 if number[-1] < 256 else np.uint16)[flat]
 
 
-def _minima(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(a[low:high]) of each range; none is empty."""
-    pairs = np.empty(2 * len(low), np.int64)
-    pairs[::2], pairs[1::2] = low, high
-    return np.minimum.reduceat(np.append(a, a.dtype.type(0)), pairs)[::2]
-
-
-def _woven(a: np.ndarray, old: np.ndarray, to: np.ndarray, new: np.ndarray) -> np.ndarray:
-    out = np.empty(len(old), a.dtype)
-    out[old], out[to] = a, new
-    return out
-
-
 def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(transform, common, owner, size): for all suffixes in sorted order, the empty ones first and
     equal ones by the number of their string: the symbol before it (0: none), the length that
@@ -47,21 +34,25 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     rounds = int(sizes.max(initial=0))
     flat = _codes(np.frombuffer(b"".join(strings), np.uint8)) if rounds else np.empty(0, np.uint8)
     ends = np.cumsum(sizes)
+    bits = 8 * flat.dtype.itemsize
+    kind = np.uint32 if rounds < 1 << (32 - bits) else np.uint64
+    low, shift = kind((1 << bits) - 1), kind(bits)
 
     def before(string: np.ndarray, j: int) -> np.ndarray:
         """The symbols before the suffixes of length j."""
-        out = np.zeros(len(string), flat.dtype)
+        out = np.zeros(len(string), kind)
         more = sizes[string] > j
         out[more] = flat[ends[string[more]] - 1 - j]
         return out
 
-    common = np.zeros(m, np.int16 if rounds < 1 << 15 else np.int32)
-    symbols = before(np.arange(m), 0)
+    # one number for each suffix in sorted order: its common prefix above, its symbol in the low bits
+    both = before(np.arange(m), 0)
     at, string = np.arange(m), np.arange(m)  # places and strings of the last round's suffixes, by place
     for j in range(1, rounds + 1):
         live = sizes[string] >= j
         at, string = at[live], string[live]
-        n, ended = len(symbols), int(np.count_nonzero(symbols == 0))
+        n, ended = len(both), int((sizes < j).sum())
+        symbols = both.astype(flat.dtype)
         order = np.argsort(symbols, kind="stable")  # places by symbol: by image
         last = np.zeros(n, bool)
         last[at] = True
@@ -71,17 +62,22 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         mine = symbols[place]
         left, right = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, n - 1)]
         has_left, has_right = (rank > 0) & (symbols[left] == mine), (rank < n - 1) & (symbols[right] == mine)
-        with_left, with_right = np.zeros(len(rank), common.dtype), np.zeros(len(rank), common.dtype)
-        if has_left.any():
-            with_left[has_left] = 1 + _minima(common, left[has_left] + 1, place[has_left] + 1)
-        if has_right.any():
-            with_right[has_right] = 1 + _minima(common, place[has_right] + 1, right[has_right] + 1)
+        # what lies between neighbours with the same symbol: (left, place] and (place, right]
+        edges = np.empty((len(rank), 3), np.int64)
+        edges[:, 0], edges[:, 1], edges[:, 2] = np.where(has_left, left, place) + 1, place + 1, np.where(has_right, right, place) + 1
+        least = np.minimum.reduceat(np.append(both, kind(0)), edges.reshape(-1)).reshape(-1, 3) >> shift
+        with_left, with_right = np.where(has_left, least[:, 0] + kind(1), kind(0)), np.where(has_right, least[:, 1] + kind(1), kind(0))
         at = m + rank - ended
         old = np.ones(n + len(at), bool)
         old[at] = False
-        symbols, common = _woven(symbols, old, at, before(string, j)), _woven(common, old, at, with_left)
-        after = at + 1 < len(old)
-        common[at[after] + 1] = with_right[after]
+        woven = np.empty(len(old), kind)
+        woven[old], woven[at] = both, with_left << shift | before(string, j)
+        next_ = at + 1
+        inside = next_ < len(old)
+        next_ = next_[inside]
+        woven[next_] = with_right[inside] << shift | woven[next_] & low
+        both = woven
+    symbols, common = both.astype(flat.dtype), (both >> shift).astype(np.int64)
     # the places of all suffixes of a string: images of images
     owner, size = np.empty(len(symbols), np.int32), np.empty(len(symbols), np.int32)
     image = np.empty(len(symbols), np.int64)
