@@ -785,6 +785,16 @@ def q_route_by_format(spark, sf):
     return r.groupBy("extension", "allowed", "reader").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+@register("route_uploads")
+def q_route_uploads(spark, sf):
+    """One upload per document, named by its id in eight formats, with a kilobyte for each byte of its text."""
+    kinds = F.array(*map(F.lit, ["csv", "ofx", "PDF", "png", "jpg", "JPEG", "txt", "json"]))
+    up = td.table(spark, sf, "documents").select("doc_id", F.concat(
+        F.lit("uploads/user.1/statement-"), F.col("doc_id"), F.lit("."), F.get(kinds, (F.col("doc_id") % 8).cast("int"))).alias("path"),
+        (F.octet_length("text") * 1024).cast("long").alias("length"))
+    return files.route_files(up).select("doc_id", "extension", "allowed", "reader")
+
+
 def _store(spark, sf):
     path = scratch(spark, "store")
     sinks.append_transactions(_tx(spark, sf).select("id", "user_id", "date", "timestamp", "amount", "merchant",

@@ -1146,6 +1146,14 @@ SQL["suggest_categories_dictionary"] = SQL["suggest_categories"]
 SQL["suggest_categories_dictionary_merchants"] = SQL["suggest_categories_merchants"]
 
 
+SQL["route_uploads"] = """
+WITH u AS (SELECT doc_id, ['csv', 'ofx', 'pdf', 'png', 'jpg', 'jpeg', 'txt', 'json'][doc_id % 8 + 1] AS extension,
+                  octet_length(encode(text)) * 1024 AS length FROM documents),
+a AS (SELECT doc_id, extension, extension IN ('csv', 'ofx', 'pdf', 'png', 'jpg', 'jpeg') AND coalesce(length <= 10 * 1024 * 1024, false) AS allowed FROM u)
+SELECT doc_id, extension, allowed, CASE WHEN NOT allowed THEN NULL WHEN extension IN ('png', 'jpg', 'jpeg') THEN 'image' ELSE extension END AS reader
+FROM a"""
+
+
 def _fix_round(sql: str) -> str:
     """Rewrite round_even(x, d) as decimal rounding, the twin of functions.common.rnd."""
     out, i, tok = [], 0, "round_even("
