@@ -117,9 +117,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
         items.where(F.size("words") < length).select("item", "words", F.size("words").alias("only")))
     windowed = windows(wanted, [length, *short]).where("n = only").groupBy("n", "a", "b").agg(F.collect_set("item").alias("items"))
     windowed = written(windowed, "windows")
-    prints = fingerprints(wanted, length, k, short, "fp")
-    own = F.when(F.col("only") < length, F.lit(None)).otherwise(F.col("fp"))
-    prints = written(prints.select(F.explode(own).alias("fp")).unionByName(
+    # long items are found by their minima alone, short ones by their only window
+    prints = fingerprints(wanted.where(F.col("only") >= length), length, k, [], "fp")
+    prints = written(prints.select(F.explode("fp").alias("fp")).unionByName(
         windowed.where(F.col("n") < length).select(F.col("a").alias("fp"))).distinct(), "prints")
 
     base = docs.select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("words"))
