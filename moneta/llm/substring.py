@@ -3,23 +3,25 @@
 A window is ``length`` consecutive words of one document.  It goes when its word
 sequence also starts in a document with a smaller id.  Comparing every window at
 once would shuffle one row per word of the corpus; instead windows are compared at
-half the length first, and only those that repeat are extended to twice that.
-
-* Level 1: windows of ``length / 2`` words.  Of each run of consecutive level-1
-  windows that a full window contains, the one with the smallest hash speaks for
-  it: equal full windows have the same speaker, so a full window can only repeat
-  if its speaker repeats.  A document sends its distinct speakers.
-* Level 2: speakers found in two different texts survive.  In their documents
-  alone the full windows with a surviving speaker are hashed (128 bits) and
-  compared.  The length is doubled on until ``length`` is reached; windows longer
-  than that need no level of their own, as the shorter ones inside them cover them.
+a short length first, and only those that repeat are extended to twice that.
+
+* The lengths double from about 13 words up to ``length`` (13, 25, 50).
+* At a length below the last, the sub-window with the smallest hash speaks for every full
+  window that contains it: equal full windows have the same speaker, so a full
+  window can only repeat if its speaker repeats.  A document sends its distinct speakers;
+  those found in two different texts survive, and with them the windows that they speak for.
+  Only these are looked at in the next length, until none survive.
+* At the last length the full windows of the documents that are left are hashed (128 bits)
+  and compared.  Longer windows need no level of their own, as the windows inside them
+  cover them.
 
 Texts with the same words are one class: their smallest id stands for all, the
 others lose every word (if there is a window at all), and send nothing.
 
 Hot groups: a passage that a third of all documents share is counted map-side
-(smallest and largest id of each hash) and joined by sort-merge joins that AQE
-splits; no group of documents is ever collected.
+(smallest and largest id of each hash); the counts are written before they are joined, so
+the other side stands in no aggregate's stage and AQE splits it; no group of documents
+is ever collected.
 
 Defined results: null or empty text has no words; a null doc_id keeps all its
 words and takes none from others; identical rows are one document; of rows that
@@ -52,27 +54,55 @@ def _identity(words: np.ndarray) -> tuple[int, int]:
     return tuple(int(signed(x.sum(dtype=np.uint64, keepdims=True))[0]) for x in (a, b))
 
 
-def speakers(words: np.ndarray, length: int) -> np.ndarray:
-    """For each full window the smallest hash of its windows of half the length."""
-    half = length // 2
-    return least(grams(words, half), length - half + 1)
+def levels(length: int, first: int = 13) -> list[int]:
+    """The window lengths to compare, each at most twice the one before."""
+    out = [length]
+    while out[-1] > first:
+        out.append(-(-out[-1] // 2))
+    return out[::-1]
+
+
+def speakers(words: np.ndarray, length: int, level: int) -> np.ndarray:
+    """For each full window the smallest hash of its windows of ``level`` words."""
+    return least(grams(words, level), length - level + 1)
 
 
 def _first(length: int):
+    """Per row: identity, digest, and the runs of full windows with the same speakers at every level but the
+    last (p0, p1, ...: each run's speaker)."""
+    below = levels(length)[:-1]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, text in zip(batch["doc_id"], batch["text"]):
                 data = _data(text)
                 words = word_hashes(data)
+                said = [speakers(words, length, n) for n in below]
+                new = np.zeros(max(0, len(words) - length + 1), bool)
+                for p in said:
+                    new[1:] |= p[1:] != p[:-1]
+                new[:1] = True
                 rows.append((i, len(words), *_identity(words), hashlib.sha256(b" ".join(data.split())).hexdigest(),
-                             signed(np.unique(speakers(words, length)))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "s1", "s2", "sha", "speakers"]).astype({"doc_id": "Int64"})
+                             *[signed(p[new]) for p in said]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "s1", "s2", "sha", *(f"p{k}" for k in range(len(below)))]).astype({"doc_id": "Int64"})
+    return run
+
+
+def _survivors(k: int, last: int):
+    """The runs whose speaker at level k is alive, with their speakers at the levels above."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left = [np.isin(np.asarray(p, np.int64), np.asarray(alive, np.int64)) for p, alive in zip(batch[f"p{k}"], batch["alive"])]
+            out = batch[["doc_id", "s1", "s2"]].copy()
+            for n in range(k + 1, last):
+                out[f"p{n}"] = [np.asarray(p, np.int64)[keep] for p, keep in zip(batch[f"p{n}"], left)]
+            yield out
     return run
 
 
 def _second(length: int):
-    half = length // 2
+    half = levels(length)[-2]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,7 +111,7 @@ def _second(length: int):
                 words = word_hashes(data)
                 if _identity(words) != (s1, s2):
                     continue  # another text under the same id
-                at = np.flatnonzero(np.isin(signed(speakers(words, length)), np.asarray(alive, np.int64)))
+                at = np.flatnonzero(np.isin(signed(speakers(words, length, half)), np.asarray(alive, np.int64)))
                 hashes = []
                 for w in (words, word_hashes(data, 2)):
                     g = grams(w, half)
@@ -112,22 +142,34 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row of ``docs``; ``kept`` is the
     kept words joined by one space where words went, null where nothing went."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.mapInPandas(_first(length), "doc_id long, n_words long, s1 long, s2 long, sha string, speakers array<long>")
+    below = len(levels(length)) - 1
+    if below < 1:
+        raise ValueError("windows of 14 words or more")
+    ps = [f"p{k}" for k in range(below)]
+    rows = docs.mapInPandas(_first(length), "doc_id long, n_words long, s1 long, s2 long, sha string" + "".join(f", {p} array<long>" for p in ps))
     rows = written(rows, "speakers")
     alone = rows.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("head"))
     known = written(rows.select("doc_id", "n_words", "s1", "s2", "sha").join(alone, ["s1", "s2"], "left"), "heads")
-    heads = rows.join(alone, ["s1", "s2"]).where("doc_id = head").select("doc_id", "s1", "s2", F.explode("speakers").alias("speaker"))
-    heads = written(heads, "speakers")
-    repeated = heads.groupBy("speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("speaker")
-    alive = heads.join(repeated, "speaker").groupBy("doc_id", "s1", "s2").agg(F.collect_set("speaker").alias("alive"))
+    who = ["doc_id", "s1", "s2"]
+    state = rows.join(alone, ["s1", "s2"]).where("doc_id = head").select(*who, *ps)
+    for k in range(below):
+        each = written(state.select(*who, F.explode(F.array_distinct(ps[k])).alias("speaker")), "speakers")
+        repeated = written(each.groupBy("speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("speaker"), "repeated")
+        alive = each.join(repeated, "speaker").groupBy(*who).agg(F.collect_set("speaker").alias("alive"))
+        if k + 1 < below:
+            schema = "doc_id long, s1 long, s2 long" + "".join(f", {p} array<long>" for p in ps[k + 1:])
+            state = written(state.join(alive, who).mapInPandas(_survivors(k, below), schema), "survivors")
+            if not state.limit(1).count():  # nothing to extend
+                alive = state.select(*who, F.col(ps[-1]).alias("alive"))
+                break
 
     windows = docs.join(alive.hint("merge"), "doc_id").mapInPandas(
         _second(length), "doc_id long, s1 long, s2 long, text string, at array<int>, a array<long>, b array<long>")
     windows = written(windows, "windows")
-    each = windows.select("doc_id", "s1", "s2", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select(
-        "doc_id", "s1", "s2", "w.at", "w.a", "w.b")
+    each = windows.select(*who, F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select(*who, "w.at", "w.a", "w.b")
     first = each.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    hit = each.join(first, ["a", "b"]).where("doc_id > lo").groupBy("doc_id", "s1", "s2").agg(F.collect_set("at").alias("at"))
+    first = written(first, "first")
+    hit = each.join(first, ["a", "b"]).where("doc_id > lo").groupBy(*who).agg(F.collect_set("at").alias("at"))
     texts = windows.select("doc_id", "s1", "s2", "text").dropDuplicates(["doc_id", "s1", "s2"])
     cut = texts.join(hit, ["doc_id", "s1", "s2"]).mapInPandas(
         _kept(length), "doc_id long, s1 long, s2 long, n_removed long, kept string")
