@@ -1,17 +1,21 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-The keys of all long lines seen so far live in *runs*: Parquet tables of (128-bit
-key hash, documents, last document), sorted by hash.  A batch of documents is
-first aggregated to one row per key.  The batch is merge-anti-joined with the
-runs: keys that no run holds become the batch's own run of level 0; keys that a
-run holds already go to the same run as increments.  When a level has ``fanout``
-runs they are merged into one run of the next level, so the number of runs grows
-with the logarithm of the number of batches and each entry is rewritten once a
-level.
+The keys of all long lines seen so far live in *runs*: tables of (128-bit key hash,
+documents, last document, new), bucketed and sorted by hash, one file a bucket.  All runs
+have the same buckets, so runs are joined with each other by merging, without a shuffle
+or a sort; a batch is shuffled once, when it is counted, into these buckets.
+
+* A batch is aggregated to one row per key and merge-anti-joined with every run: keys that
+  no run holds are new, the others are increments of a key that a run holds.  Both
+  become the batch's own run of level 0.
+* When a level has ``fanout`` runs they are merged into one run of the next level, by full
+  outer merge joins that add the counts, so the number of runs grows with the logarithm of
+  the number of batches and each entry is rewritten once a level.
+* What is common is read from the one run that is left when all runs are merged.
 
 Only built-in expressions run on this path.  A line that a third of all documents
 hold is counted map-side before any shuffle, and joined by a sort-merge join that
-AQE splits.
+AQE splits.  doc_id is compared as a long.
 
 Defined results: null or empty text is one empty line; a row whose doc_id is null
 counts as no document and keeps its lines; identical rows count as one document;
@@ -47,54 +51,95 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs in a shared folder; ``levels[k]`` lists the runs of level k."""
+    """Levelled runs in a shared folder; ``levels[k]`` lists the runs (table names) of level k."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def entries(self) -> DataFrame | None:
-        """All rows of all runs; a key has one row for each run that holds it."""
-        runs = [r for level in self.levels for r in level]
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*runs) if runs else None
-
-    def totals(self) -> DataFrame:
-        """One row per key."""
-        return self._merged(self.entries())
+    #: A bucket with one file keeps its order when it is read.
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
+
+    def _write(self, rows: DataFrame) -> str:
+        """A run from rows that are already dealt to the buckets."""
+        path = scratch(self.spark, "run")
+        name = "llm_" + path.rpartition("-")[2]
+        self.paths[name] = path
+        before = self.spark.conf.get(self.ORDERED)
+        self.spark.conf.set(self.ORDERED, "true")
+        try:
+            rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
+        finally:
+            self.spark.conf.set(self.ORDERED, before)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        drop_folder(self.spark, self.paths.pop(name))
+
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """``batch`` (one row per key) plus ``new``: whether no run holds the key."""
+        known = F.lit(False)
+        for i, name in enumerate(n for level in self.levels for n in level):
+            run = self.spark.table(name).select(F.col("h1").alias(f"a{i}"), F.col("h2").alias(f"b{i}")).hint("merge")
+            batch = batch.join(run, (F.col("h1") == F.col(f"a{i}")) & (F.col("h2") == F.col(f"b{i}")), "left")
+            known = known | F.col(f"a{i}").isNotNull()
+        return batch.select(*KEY, "n_docs", "last_doc", (~known).alias("new"))
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Add a batch of ``long_lines``; its documents must be in no other batch.
         Returns the keys that no earlier batch had."""
         batch = lines.where("doc_id is not null").groupBy(*KEY).agg(
             F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").cast("long").alias("last_doc"))
-        known = self.entries()
-        run = scratch(self.spark, "run")
-        if known is None:
-            batch.sortWithinPartitions(*KEY).write.parquet(f"{run}/new")
-            parts = [f"{run}/new"]
-        else:
-            batch, keys = written(batch, "batch"), known.select(*KEY).distinct()
-            batch.join(keys, KEY, "left_anti").sortWithinPartitions(*KEY).write.parquet(f"{run}/new")
-            batch.join(keys, KEY, "left_semi").sortWithinPartitions(*KEY).write.parquet(f"{run}/more")
-            parts = [f"{run}/new", f"{run}/more"]
-        new = self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(parts[0]).select(*KEY)
-        self._place(parts, 0)
+        run = self._write(self.marked(batch))  # counted into the buckets: each is whole in one task, and so one file
+        self.levels[0].append(run)
+        new = self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long, new boolean").parquet(self.paths[run]).where("new").select(*KEY)
+        for level in range(len(self.levels)):
+            if len(self.levels[level]) >= self.fanout:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                # the batch's own run stays for ``new`` to be read, also after it was merged
+                self.levels[level + 1].append(self._merge(self.levels[level], keep={run}))
+                self.levels[level] = []
         return new
 
-    def _place(self, parts: list[str], level: int) -> None:
-        if len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level] += parts
-        if sum(p.endswith("/new") for p in self.levels[level]) >= self.fanout:
-            old = self.levels[level]
-            run = scratch(self.spark, "run")
-            rows = self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*old)
-            self._merged(rows).sortWithinPartitions(*KEY).write.parquet(f"{run}/new")
-            self.levels[level] = []
-            self._place([f"{run}/new"], level + 1)
+    def merge_plan(self, a: str, b: str) -> DataFrame:
+        """Two runs as one: a full outer merge join that adds the counts."""
+        x = self.spark.table(a)
+        y = self.spark.table(b).select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "n_docs", "last_doc", "new")])
+        j = x.hint("merge").join(y, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "full_outer")
+        zero = F.lit(0).cast("long")
+        return j.select(F.coalesce("h1", "_h1").alias("h1"), F.coalesce("h2", "_h2").alias("h2"),
+                        (F.coalesce("n_docs", zero) + F.coalesce("_n_docs", zero)).alias("n_docs"), F.greatest("last_doc", "_last_doc").alias("last_doc"),
+                        (F.coalesce("new", F.lit(False)) | F.coalesce("_new", F.lit(False))).alias("new"))
+
+    def _merge(self, names: list[str], keep: set[str] = frozenset()) -> str:
+        out = names[0]
+        for name in names[1:]:
+            both = self._write(self.merge_plan(out, name))
+            for old in (out, name):
+                if old not in keep:
+                    self._drop(old)
+                else:
+                    self.spark.sql(f"DROP TABLE {old}")
+            out = both
+        return out
+
+    def totals(self) -> DataFrame:
+        """One row per key: all runs merged into one."""
+        names = [n for level in self.levels for n in level]
+        run = names[0] if len(names) == 1 else self._merge(names)
+        self.levels = [[] for _ in self.levels[:-1]] + [[run]]
+        return self.spark.table(run)
+
+    def drop(self) -> None:
+        """Delete all runs and the files kept for ``add``'s answers."""
+        for name in [n for level in self.levels for n in level]:
+            self._drop(name)
+        for path in self.paths.values():
+            drop_folder(self.spark, path)
+        self.levels, self.paths = [[]], {}
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -113,9 +158,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batch
     for b in range(n_batches):
         runs.add(lines.where(F.col("batch") == b))
     common = written(runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "common")
-    for level in runs.levels:
-        for run in level:
-            drop_folder(spark, run)
+    runs.drop()
     drops = lines.join(common, KEY).where("doc_id < last_doc").groupBy(
         F.col("doc_id").alias("_ld_id"), F.col("row").alias("_ld_row")).agg(F.collect_set("pos").alias("_ld_drop"))
     rows = docs.withColumn("_ld_lines", lines_of(F.col("text")))
