@@ -26,7 +26,7 @@ Hot groups: buckets are reduced by grouped minima before any join, exact copies
 count once, a centre's members are checked in parts of bounded size, and blocks
 have a bounded number of members.
 
-Defined results: null text, or text without words, has the empty set and links
+Defined results: doc_id is cast to a long (other ids are an error); null text, or text without words, has the empty set and links
 with nothing; a null doc_id links with nothing and has a null component; identical
 rows are one document; of rows that share a doc_id but not the text, the one with
 the largest set stands for the id in links; an empty table gives an empty result;

@@ -23,7 +23,7 @@ chunks are encoded once.  A boundary before a space that a non-space follows is
 always a boundary between the tokenizer's own pieces, so the ids are those of the
 whole text; texts with other runs of white space are encoded whole.
 
-Defined results: null or empty text is the single id 0; null doc_ids are packed
+Defined results: doc_id is cast to a long (other ids are an error); null or empty text is the single id 0; null doc_ids are packed
 too; identical rows are packed each; an empty table gives an empty result; only
 doc_id and text are read, so other columns cannot clash.
 """

@@ -23,7 +23,7 @@ Hot groups: a passage that a third of all documents share is counted map-side
 the other side stands in no aggregate's stage and AQE splits it; no group of documents
 is ever collected.
 
-Defined results: null or empty text has no words; a null doc_id keeps all its
+Defined results: doc_id is cast to a long (other ids are an error); null or empty text has no words; a null doc_id keeps all its
 words and takes none from others; identical rows are one document; of rows that
 share a doc_id but not the text, each is judged on its own, against smaller ids
 only; an empty table gives an empty result; only doc_id and text are read, so other
