@@ -14,7 +14,8 @@ is owner-specific.
 
 Built-in expressions only.  Values are reduced to distinct (value, owner,
 document) rows before they are counted, map-side first, so an example key that a
-third of all documents hold is no hot group.
+third of all documents hold is no hot group.  Places and overlaps come from running sums and
+maxima over the matches of one text, so a text with very many of them takes linear time.
 
 Defined results: null or empty text has no spans; null doc_id is kept, and its
 row counts as a repository of its own owner; a null owner is an owner; identical
@@ -23,7 +24,7 @@ columns named in the arguments are read, so other columns cannot clash.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moneta.llm.common import written
@@ -36,55 +37,59 @@ HEX = r"([0-9a-f]{16,})"
 TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
 
 
-def spans_of(text: Column, pattern: str, kind: int, ok) -> Column:
-    """array<struct<start,kind,end,value>> of the leftmost non-overlapping matches
-    that ``ok(match, value)`` accepts; value is the expression's only group."""
+def matches_of(text: Column, pattern: str, kind: int, ok) -> Column:
+    """array<struct<kind,pos,gap,size,value,ok>>: the leftmost non-overlapping matches in order, with the
+    number of code points before each (since the last one) and in it; value is the expression's only group."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    found = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("p"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    found = F.arrays_zip(whole.alias("m"), value.alias("v"), F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("p"))
+    each = F.transform(found, lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("pos"), F.char_length(x["p"]).alias("gap"), F.char_length(x["m"]).alias("size"),
+        x["v"].alias("value"), ok(x["m"], x["v"]).alias("ok")))
+    return F.when(F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)), each)
 
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value")))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            end.alias("at"), F.when(ok(x["m"], x["v"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")))
 
-    folded = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)), folded).otherwise(none)
-
-
-def find_spans(text: Column) -> Column:
+def find_spans(docs: DataFrame) -> DataFrame:
+    """(repo, owner, row, start, kind, end, value) of the accepted matches in ``docs`` (repo, owner, row, text).
+    A match starts where the gaps and matches before it end: one running sum over a text's matches of a kind."""
     long_enough = {
         "assign": lambda m, v: F.char_length(v) >= 12,
         "access": lambda m, v: F.char_length(m) >= 18,
         "hex": lambda m, v: F.lit(True),
         "live": lambda m, v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]"),
     }
-    return F.concat(*[spans_of(text, p, k, long_enough[KINDS[k]]) for k, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
+    none = F.array().cast("array<struct<kind:int,pos:int,gap:int,size:int,value:string,ok:boolean>>")
+    each = F.concat(*[F.coalesce(matches_of(F.col("text"), p, k, long_enough[KINDS[k]]), none) for k, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
+    who = ["repo", "owner", "row"]
+    rows = docs.select(*who, F.explode(each).alias("x")).select(*who, "x.*").dropDuplicates([*who, "kind", "pos"])
+    before = Window.partitionBy(*who, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int")).where("ok")
+    return rows.select(*who, (F.col("end") - F.col("size")).alias("start"), "kind", "end", "value")
 
 
 def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", min_owners: int = 3) -> DataFrame:
     """One row per row of ``docs``: repo, spans (array of start, kind, end, n_repos, n_owners, example),
     sorted by start and kind; ``live`` candidates stay only if they are outside base spans
     and their value has fewer than ``min_owners`` owners."""
-    found = written(docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.xxhash64("text").alias("row"),
-                                find_spans(F.col("text")).alias("spans")), "spans")
-    one = found.where(F.size("spans") > 0).select("repo", "owner", "row", F.explode("spans").alias("s"))
-    one = one.select("repo", "owner", "row", "s.start", "s.kind", "s.end",
-                     F.xxhash64("s.value").alias("v1"), F.xxhash64(F.lit(1), "s.value").alias("v2"))
+    rows = docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.xxhash64("text").alias("row"), "text")
+    one = find_spans(rows).select("repo", "owner", "row", "start", "kind", "end",
+                                  F.xxhash64("value").alias("v1"), F.xxhash64(F.lit(1), "value").alias("v2"))
+    one = written(one, "spans")
     held = one.groupBy("v1", "v2", "owner", "repo").agg(F.lit(1).alias("x"))
     held = held.groupBy("v1", "v2", "owner").agg(F.count("*").alias("n"))
     owners = held.groupBy("v1", "v2").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
-    known = one.join(owners, ["v1", "v2"]).groupBy("repo", "row").agg(F.array_sort(F.collect_set(F.struct(
-        "start", "kind", "end", "n_repos", "n_owners", (F.col("n_owners") >= min_owners).alias("example")))).alias("all"))
-    live = KINDS.index("live")
-    base = F.filter("all", lambda s: s["kind"] != live)
-    known = known.withColumn("base", base).withColumn("spans", F.filter("all", lambda s: (s["kind"] != live) | (
-        ~s["example"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
+    owners = written(owners.withColumn("example", F.col("n_owners") >= min_owners), "owners")
+    each = one.join(owners, ["v1", "v2"])
+    # a live span is inside a base span if one that starts before its end goes on beyond its start
+    base = F.col("kind") != KINDS.index("live")
+    upto = Window.partitionBy("repo", "row").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), base).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("inside", F.coalesce(F.max(F.when(base, F.col("end"))).over(upto) > F.col("start"), F.lit(False)))
+    known = each.where(base | (~F.col("example") & ~F.col("inside"))).groupBy("repo", "row").agg(F.array_sort(F.collect_set(F.struct(
+        "start", "kind", "end", "n_repos", "n_owners", "example"))).alias("spans"))
     known = known.select(F.col("repo").alias("_r"), F.col("row").alias("_w"), F.col("spans").alias("_s"))
-    out = found.join(known, found["repo"].eqNullSafe(F.col("_r")) & (found["row"] == F.col("_w")), "left")
+    rows = rows.drop("text")
+    out = rows.join(known, rows["repo"].eqNullSafe(F.col("_r")) & (rows["row"] == F.col("_w")), "left")
     empty = F.array().cast(known.schema["_s"].dataType)
     return out.select(F.col("repo").alias(repo), F.coalesce("_s", empty).alias("spans"))
 
