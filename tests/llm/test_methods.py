@@ -95,3 +95,24 @@ def test_a_short_item_leaves_the_winnowing_of_long_ones(spark):
         decontam.written = real
     assert seen["prints"].count() < 15  # the long item's minima and the short item; its 30 words aren't among them
     assert out[200] == (30, ["1"]) and out[201] == (1, ["2"]) and all(out[i] == (0, []) for i in range(100))
+
+
+def test_a_text_with_very_many_matches(spark):
+    """100,000 matches in one text: places come from one running sum."""
+    from moneta.llm.secret_scan import scan_secrets
+    n = 100_000
+    text = " ".join(f"{i:016x}" for i in range(n)) + " Aa0Aa0Aa0Aa0Aa0Aa0Aa0"
+    df = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (2, "x " + f"{5:016x}", "t")], "doc_id long, text string, source string")
+    out = scan_secrets(df).select("doc_id", F.size("spans").alias("n"), F.col("spans")[0]["start"].alias("a"),
+                                  F.element_at("spans", -1)["end"].alias("z")).collect()
+    assert sorted((r["doc_id"], r["n"], r["a"], r["z"]) for r in out) == [(1, n + 1, 0, len(text))] * 2 + [(2, 1, 2, 18)]
+
+
+def test_live_spans_beside_and_inside_base_spans(spark):
+    from moneta.llm.secret_scan import scan_secrets
+    inside = 'token = "Zx9abcdefghIJKL0123Q"'
+    text = f'{inside} Yy8abcdefghIJKL0123Q é {inside}'
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    spans = scan_secrets(df).first()["spans"]
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [
+        (0, 0, len(inside) - 1), (3, len(inside) + 1, len(inside) + 21), (0, len(text) - len(inside), len(text) - 1)]
