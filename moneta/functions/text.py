@@ -67,20 +67,16 @@ KEYWORD_RULES: dict[str, list[str]] = {
 
 # Character classes spelled out so the JVM and the SQL oracle (RE2) agree:
 # letters, numbers and underscore are word characters.
-NON_WORD = r"[^\p{L}\p{N}_\s]"
-DIGITS = r"\p{Nd}+"
-SPACES = r"\s+"
+# The rules "non-word -> space", "digit run -> space" and "collapse whitespace" in one class: white
+# space is no word character and \p{N} is \p{Nd}, \p{Nl} and \p{No}.
+GAPS = r"[^\p{L}\p{Nl}\p{No}_]+"
 
 
 def normalize_text(c) -> Column:
     """lower; non-word characters -> space; digit runs -> space; collapse
     whitespace; trim.  Accented letters stay (no accent folding)."""
     c = F.col(c) if isinstance(c, str) else c
-    t = F.lower(c)
-    t = F.regexp_replace(t, NON_WORD, " ")
-    t = F.regexp_replace(t, DIGITS, " ")
-    t = F.regexp_replace(t, SPACES, " ")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(F.lower(c), GAPS, " "))
 
 
 def keyword_counts(text: Column) -> list[Column]:

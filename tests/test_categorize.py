@@ -75,3 +75,45 @@ def test_categorize_reads_the_merchant(spark):
     r = {x.doc_id: x for x in cz.categorize(d, None, merchant="merchant").collect()}
     assert r[1].category == "alimentação" and r[1].confidence == 1.0 and r[1].method == "rules"
     assert r[2].category == "outros"
+
+
+def _plain_vocabulary(texts, max_features):
+    from collections import Counter
+    tf, df = Counter(), Counter()
+    for t in texts:
+        w = [x for x in t.split(" ") if len(x) >= 2]
+        terms = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        tf.update(terms)
+        df.update(set(terms))
+    return sorted((t for t in tf if df[t] >= 2), key=lambda t: (-tf[t], t.encode()))[:max_features], tf, df
+
+
+@pytest.mark.parametrize("second_words", [50_000, 0])
+@pytest.mark.parametrize("max_features", [3, 12, 1000])
+def test_vocabulary_of_pruned_bigrams_is_the_whole_one(spark, monkeypatch, second_words, max_features):
+    monkeypatch.setattr(cz, "SECOND_WORDS", second_words)
+    texts = ["ab cd ab cd x ab zz", "ab cd ef", "gh ab cd gh", "éf gh éf gh", "zz yy", "zz yy ab", "", "once once once twice"]
+    d = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    want, tf, df = _plain_vocabulary(texts, max_features)
+    got = cz.fit_vocabulary(d, d.agg(F.count(F.lit(1)).alias("_N")), max_features=max_features).collect()
+    assert {(r.term, r.df, r.tf_total) for r in got} == {(t, df[t], tf[t]) for t in want}
+
+
+def test_rows_with_equal_ids_are_one_document(spark):
+    rows = [(1, "gato preto gato", "a"), (2, "carro azul", "b"), (2, "azul carro azul", "a"), (3, "gato azul", "b"),
+            (None, "gato preto", "a"), (None, "carro preto", None), (4, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    vocab = spark.createDataFrame([(t,) for t in ("azul", "carro azul", "gato", "preto", "preto gato")], "term string")
+    got = sorted(((r.doc_id, r.label, list(zip(r._t, r._n))) for r in cz.term_counts(d, vocab, keep=["label"]).collect()), key=repr)
+    both = [(0, 3), (1, 2)]  # azul 3, carro azul 2
+    assert got == sorted([(1, "a", [(2, 2), (3, 1), (4, 1)]), (2, "b", both), (2, "a", both), (3, "b", [(0, 1), (2, 1)]),
+                          (None, "a", [(2, 1), (3, 1)]), (None, None, [(3, 1)]), (4, "a", [])], key=repr)
+    m = cz.nb_train(d)
+    by = {(r.doc_id, r.predicted, round(r.confidence, 9)) for r in cz.nb_predict(m, d).filter("doc_id is null").collect()}
+    assert len(by) == 1  # rows without an id get the priors alone
+
+
+def test_terms_are_counted_before_any_shuffle(spark):
+    d = spark.createDataFrame([(1, "gato preto gato", "a"), (2, "gato preto", "b")], "doc_id long, text string, label string")
+    plan = cz.nb_predict(cz.nb_train(d), d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
