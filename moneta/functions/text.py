@@ -1,6 +1,11 @@
 """Text expressions: normalisation and the keyword rules."""
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,32 +84,49 @@ def normalize_text(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), GAPS, " "))
 
 
-def keyword_counts(text: Column) -> list[Column]:
-    """Per category, the number of its keywords that occur in ``text`` as a
-    substring (presence, not occurrences).  Plain ``contains`` tests: no join,
-    no Python, all inside whole-stage codegen."""
-    out = []
-    for kws in KEYWORD_RULES.values():
-        s = None
-        for kw in kws:
-            hit = F.when(text.contains(kw), F.lit(1)).otherwise(F.lit(0))
-            s = hit if s is None else s + hit
-        out.append(s)
-    return out
+def _category_hits(text: pa.Array) -> np.ndarray:
+    """(rows, categories): does the text contain one of the category's keywords?  One pass of an
+    automaton over a batch's bytes for each category, whatever the number of keywords."""
+    text = text.cast(pa.binary())
+    return np.stack([pc.fill_null(pc.match_substring_regex(text, "|".join(map(re.escape, kws))), False).to_numpy(zero_copy_only=False)
+                     for kws in KEYWORD_RULES.values()], axis=1)
+
+
+def keyword_counts(text: Column) -> Column:
+    """Per category, in order, the number of its keywords that occur in ``text`` as a
+    substring (presence, not occurrences).  Single keywords are looked up only in the
+    texts that contain one of the category's."""
+    @F.arrow_udf("array<int>")
+    def count(t: pa.Array) -> pa.Array:
+        hits = _category_hits(t)
+        n, raw = hits.astype(np.int32), t.cast(pa.binary())
+        for c, kws in enumerate(KEYWORD_RULES.values()):
+            of, at = [k.encode() for k in kws], np.flatnonzero(hits[:, c])
+            n[at, c] = [sum(k in b for k in of) for b in (raw[int(i)].as_py() for i in at)]
+        ends = pa.array(np.arange(len(n) + 1) * n.shape[1], pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(n.ravel()))
+    return count(text)
 
 
 def suggest_categories(t: Column, limit: int = 5) -> Column:
     """Categories with a keyword containing the text or contained in it, in
     dictionary order, first ``limit``; none -> [outros].  ``t`` must already be
-    lower-cased (pass a column computed once, not an expression: the tests below
-    reference it hundreds of times).  Built from codegen-friendly string
-    functions only (no lambda)."""
-    names = []
-    for name, kws in KEYWORD_RULES.items():
-        hit = None
-        for kw in kws:
-            h = F.lit(kw).contains(t) | t.contains(kw)
-            hit = h if hit is None else hit | h
-        names.append(F.when(hit, F.lit(name)))
-    found = F.concat_ws(",", *names)
-    return F.when(found == "", F.array(F.lit("outros"))).otherwise(F.slice(F.split(found, ","), 1, limit))
+    lower-cased.  Only a text no longer than the longest keyword can lie inside one."""
+    names = pa.array([*KEYWORD_RULES, "outros"])
+    rules = [[k.encode() for k in kws] for kws in KEYWORD_RULES.values()]
+    longest = max(len(k) for kws in rules for k in kws)
+
+    @F.arrow_udf("array<string>")
+    def suggest(t: pa.Array) -> pa.Array:
+        hits = _category_hits(t)
+        raw = t.cast(pa.binary())
+        short = np.flatnonzero(pc.fill_null(pc.less_equal(pc.binary_length(raw), longest), False).to_numpy(zero_copy_only=False))
+        parts = pc.dictionary_encode(raw.take(pa.array(short)))
+        inside = [[any(p in k for k in kws) for kws in rules] for p in parts.dictionary.to_pylist()]
+        if inside:
+            hits[short] |= np.array(inside)[parts.indices.to_numpy(zero_copy_only=False)]
+        first = hits & (np.cumsum(hits, axis=1) <= limit)
+        row, place = np.nonzero(np.column_stack([first, ~hits.any(axis=1)]))
+        ends = pa.array(np.searchsorted(row, np.arange(len(hits) + 1)), pa.int32())
+        return pa.ListArray.from_arrays(ends, names.take(pa.array(place)))
+    return suggest(t)

@@ -35,11 +35,8 @@ def categorize_rules(df: DataFrame, text: Column | str = "description", merchant
         t = F.concat_ws(" ", F.coalesce(t, F.lit("")), F.coalesce(m, F.lit("")))
     norm = normalize_text(F.coalesce(t, F.lit("")))
     names = list(KEYWORD_RULES)
-    tmp = spread(df).withColumn("_norm", norm)
-    counts = keyword_counts(F.col("_norm"))
-    for i, c in enumerate(counts):
-        tmp = tmp.withColumn(f"_kc{i}", c)
-    cols = [F.col(f"_kc{i}") for i in range(len(names))]
+    tmp = spread(df).withColumn("_kc", keyword_counts(norm))
+    cols = [F.get("_kc", F.lit(i)) for i in range(len(names))]
     best = F.greatest(*cols)
     cat = None
     for name, c in zip(names, cols):
@@ -48,15 +45,12 @@ def categorize_rules(df: DataFrame, text: Column | str = "description", merchant
            .withColumn(f"{prefix}_confidence",
                        F.when(best > 0, F.least(best / 3.0, F.lit(1.0))).otherwise(F.lit(0.3)))
            .withColumn(f"{prefix}_matches", best))
-    return out.drop("_norm", *[f"_kc{i}" for i in range(len(names))])
+    return out.drop("_kc")
 
 
 def category_suggestions(df: DataFrame, text: str = "text", limit: int = 5) -> DataFrame:
-    """Suggestions for a partial text (lower-cased only, no other cleaning).  The
-    lowered text is its own projection: Catalyst keeps it (it is referenced many
-    times and not cheap), so it is computed once per row."""
-    return (spread(df).withColumn("_lt", F.lower(F.col(text)))
-            .withColumn("suggestions", suggest_categories(F.col("_lt"), limit)).drop("_lt"))
+    """Suggestions for a partial text (lower-cased only, no other cleaning)."""
+    return spread(df).withColumn("suggestions", suggest_categories(F.lower(F.col(text)), limit))
 
 
 # ----------------------------------------------------------- naive Bayes

@@ -117,3 +117,28 @@ def test_terms_are_counted_before_any_shuffle(spark):
     d = spark.createDataFrame([(1, "gato preto gato", "a"), (2, "gato preto", "b")], "doc_id long, text string, label string")
     plan = cz.nb_predict(cz.nb_train(d), d)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_keywords_are_searched_once_for_each_category(spark):
+    from moneta.functions.text import KEYWORD_RULES
+    texts = ["uber", "ub", "", None, "zzz", "o mercado livre e o supermercado extra pago por pix no bar", "c&a", "cxa", "pro-labore",
+             "plano de saude unimed amil", "x" * 40 + "zé delivery", "ã", "a b", "net", "99 táxi", "dia a dia", "a"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sug = cz.category_suggestions(d)
+    got = {r.id: r.suggestions for r in sug.collect()}
+    for i, t in enumerate(texts):
+        found = [n for n, kws in KEYWORD_RULES.items() if t is not None and any(k in t or t in k for k in kws)]
+        assert got[i] == (found[:5] or ["outros"]), t
+    rules = cz.categorize_rules(d, "text")
+    for r in rules.collect():
+        t = cz_norm(texts[r.id])
+        n = {name: sum(k in t for k in kws) for name, kws in KEYWORD_RULES.items()}
+        assert r.rule_matches == max(n.values())
+        assert r.rule_category == (max(n, key=n.get) if max(n.values()) else "outros")
+    for df in (sug, rules):  # the plan names no keyword: the texts are not read again for each of them
+        assert "supermercado" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def cz_norm(t):
+    import re
+    return re.sub(r"(?:[^\w]|\d)+", " ", (t or "").lower()).strip()
