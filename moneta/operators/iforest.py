@@ -8,9 +8,9 @@
 * Scoring, one model (``keys=()``): the forest has at most trees * (2 psi - 1)
   nodes (51,100 for the defaults), a proven bound, so it is shipped to the
   tasks and ``mapInPandas`` walks all trees at once, vectorised with numpy.
-* One model per key: a key's trees draw from a hash sample of its rows; a cogroup on
-  (key, salt) regrows the key's forest from that sample and scores the salt's rows.
-  Keys of every size go this way; the salt count only sets how many tasks share a key.
+* One model per key: a key's trees draw from a hash sample of its rows; a cogroup
+  regrows the key's forest from that sample and scores the group's rows.  A group is one salt of a
+  large key or many small keys.
 
 score = 2 ** (-E[h(x)] / c(psi)); ``score_samples = -score`` (low = anomalous);
 decision = score_samples - offset, offset = the contamination quantile of the
@@ -60,78 +60,45 @@ def grow_forest(X: np.ndarray, samples: np.ndarray, rng: np.random.Generator,
     feature is constant.  Returns flat node arrays; tree t's root is node t.
     Leaf ``value`` = depth + c(rows in leaf)."""
     n_trees, psi = samples.shape
-    d = X.shape[1]
-    vals = X[samples.ravel()]
-    node = np.repeat(np.arange(n_trees), psi)         # current node of every sampled row
-    feature = [np.full(n_trees, -1, dtype=np.int64)]
-    threshold = [np.zeros(n_trees)]
-    left = [np.full(n_trees, -1, dtype=np.int64)]
-    right = [np.full(n_trees, -1, dtype=np.int64)]
-    value = [np.zeros(n_trees)]
+    size = n_trees * (2 * psi - 1)  # a tree's nodes at most
+    feature, left, right = (np.full(size, -1, dtype=np.int64) for _ in range(3))
+    threshold, value = np.zeros(size), np.zeros(size)
     n_nodes = n_trees
-    level_nodes = np.arange(n_trees)
-    live = np.ones(node.size, dtype=bool)
+    vals = X[samples.ravel()].T.copy()                # the rows of all live nodes, node by node
+    node = np.repeat(np.arange(n_trees), psi)         # their nodes, ascending
     for depth in range(max_depth + 1):
-        if level_nodes.size == 0:
+        if node.size == 0:
             break
-        rows = np.flatnonzero(live)
-        order = rows[np.argsort(node[rows], kind="stable")]
-        nd = node[order]
-        starts = np.flatnonzero(np.r_[True, nd[1:] != nd[:-1]])
-        ids = nd[starts]
-        sizes = np.diff(np.r_[starts, nd.size])
-        v = vals[order]
-        lo = np.minimum.reduceat(v, starts, axis=0)
-        hi = np.maximum.reduceat(v, starts, axis=0)
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        ids = node[starts]
+        sizes = np.diff(starts, append=node.size)
+        lo = np.minimum.reduceat(vals, starts, axis=1).T
+        hi = np.maximum.reduceat(vals, starts, axis=1).T
         valid = hi > lo
         n_valid = valid.sum(axis=1)
         split = (depth < max_depth) & (sizes > 1) & (n_valid > 0)
-        feat_all = np.concatenate(feature)
-        thr_all = np.concatenate(threshold)
-        val_all = np.concatenate(value)
-        lft_all = np.concatenate(left)
-        rgt_all = np.concatenate(right)
-        leaf_ids = ids[~split]
-        val_all[leaf_ids] = depth + c_factor(sizes[~split])
+        value[ids[~split]] = depth + c_factor(sizes[~split])
         sp = np.flatnonzero(split)
-        if sp.size:
-            r = rng.random(sp.size)
-            pick = np.minimum((r * n_valid[sp]).astype(np.int64), n_valid[sp] - 1)
-            csum = np.cumsum(valid[sp], axis=1)
-            q = np.argmax(csum > pick[:, None], axis=1)
-            a, b = lo[sp, q], hi[sp, q]
-            t = a + rng.random(sp.size) * (b - a)
-            sid = ids[sp]
-            feat_all[sid] = q
-            thr_all[sid] = t
-            new_left = n_nodes + 2 * np.arange(sp.size)
-            lft_all[sid] = new_left
-            rgt_all[sid] = new_left + 1
-            # route the rows of split nodes
-            pos = np.full(n_nodes, -1, dtype=np.int64)
-            pos[sid] = np.arange(sp.size)
-            k = pos[node[rows]]
-            moving = rows[k >= 0]
-            kk = k[k >= 0]
-            go_left = vals[moving, q[kk]] <= t[kk]
-            node[moving] = np.where(go_left, new_left[kk], new_left[kk] + 1)
-            n_new = 2 * sp.size
-            feat_all = np.r_[feat_all, np.full(n_new, -1, dtype=np.int64)]
-            thr_all = np.r_[thr_all, np.zeros(n_new)]
-            val_all = np.r_[val_all, np.zeros(n_new)]
-            lft_all = np.r_[lft_all, np.full(n_new, -1, dtype=np.int64)]
-            rgt_all = np.r_[rgt_all, np.full(n_new, -1, dtype=np.int64)]
-            n_nodes += n_new
-            level_nodes = np.arange(n_nodes - n_new, n_nodes)
-        else:
-            level_nodes = np.zeros(0, dtype=np.int64)
-        # rows that ended in a leaf stop moving
-        is_leaf_node = np.zeros(n_nodes, dtype=bool)
-        is_leaf_node[leaf_ids] = True
-        live &= ~is_leaf_node[node]
-        feature, threshold, value, left, right = [feat_all], [thr_all], [val_all], [lft_all], [rgt_all]
-    return {"feature": feature[0], "threshold": threshold[0], "left": left[0], "right": right[0],
-            "value": value[0]}
+        if sp.size == 0:
+            break
+        r = rng.random(sp.size)
+        pick = np.minimum((r * n_valid[sp]).astype(np.int64), n_valid[sp] - 1)
+        q = np.argmax(np.cumsum(valid[sp], axis=1) > pick[:, None], axis=1)
+        a, b = lo[sp, q], hi[sp, q]
+        t = a + rng.random(sp.size) * (b - a)
+        sid = ids[sp]
+        feature[sid], threshold[sid] = q, t
+        left[sid] = n_nodes + 2 * np.arange(sp.size)
+        right[sid] = left[sid] + 1
+        # rows of split nodes go on, rows that ended in a leaf stop
+        on = np.flatnonzero(np.repeat(split, sizes))
+        k = np.repeat(np.arange(sp.size), sizes[sp])
+        child = 2 * k + ~(vals[q[k], on] <= t[k])
+        order = np.argsort(child, kind="stable")
+        vals, node = vals[:, on[order]], n_nodes + child[order]
+        n_nodes += 2 * sp.size
+    return {"feature": feature[:n_nodes], "threshold": threshold[:n_nodes], "left": left[:n_nodes],
+            "right": right[:n_nodes], "value": value[:n_nodes]}
 
 
 def _max_depth(psi: int) -> int:
@@ -282,51 +249,67 @@ def fit_score_by_key(feats: DataFrame, zcols: Sequence[str], keys: Sequence[str]
                      id_col: str = "id", n_trees: int = P.ANOMALY_N_ESTIMATORS, psi: int = 256,
                      seed: int = P.ANOMALY_RANDOM_STATE, contamination: float = P.ANOMALY_CONTAMINATION,
                      rows_per_task: int = 200_000) -> DataFrame:
-    """One model per key, the same way for keys of every size.  Returns (keys, id,
+    """One model per key, the same for keys of every size.  Returns (keys, id,
     score_samples, decision, is_anomaly); keys with fewer than 10 rows get nulls (not fitted).
 
     A key's trees draw from its ``n_trees * psi`` rows of smallest id hash (as many as all
-    trees together can hold).  The key's rows are dealt to groups of about ``rows_per_task``;
-    each group regrows the key's forest from that sample, which gives the same trees
-    everywhere, and scores its rows.  So no task holds a whole hot key and no model is
-    shuffled; ``rows_per_task`` changes the work's layout, not the result."""
+    trees together can hold).  A key of more than ``rows_per_task`` rows is dealt to groups of about
+    that size; each group regrows the key's forest from that sample, which gives the same trees
+    everywhere, and scores its rows.  Smaller keys share groups of about ``rows_per_task / 100`` rows, where the
+    sample is picked from the key's own rows, so that a group's fixed cost is paid once for many keys.  No task
+    holds a whole hot key and no model is shuffled; ``rows_per_task`` changes the work's layout, not the result."""
     keys, zcols = list(keys), list(zcols)
     counts = feats.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     j = feats.select(*keys, id_col, *zcols).join(counts, keys)
-    fitted = j.filter(F.col("_n") >= P.ANOMALY_MIN_FIT_ROWS)
+    large = F.col("_n") > rows_per_task
     key_fields = feats.select(*keys, id_col).schema.fields
     schema = T.StructType(key_fields + [T.StructField("score_samples", T.DoubleType())])
 
     pool_rows = n_trees * psi
     u = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) / F.lit(2.0 ** 63)
     n_salts = F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int")
+    shared = counts.agg(F.ceil(F.coalesce(F.sum(F.when(~large, F.col("_n"))), F.lit(0)) / (rows_per_task / 100)).alias("_groups"))
+    h = F.xxhash64(*keys)
+    fitted = (attach_one_row(j.filter(F.col("_n") >= P.ANOMALY_MIN_FIT_ROWS), shared).withColumn("_u", u)
+              .withColumn("_group", F.when(large, -1 - F.pmod(h, F.lit(1 << 40))).otherwise(F.pmod(h, F.greatest("_groups", F.lit(1)))))
+              .withColumn("_pool", F.col("_u") * F.col("_n") < 2 * pool_rows).withColumn("_large", large))
     w = Window.partitionBy(*keys).orderBy("_u", id_col)
-    pool = (fitted.withColumn("_u", u).filter(F.col("_u") * F.col("_n") < 2 * pool_rows)
-            .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= pool_rows)
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))))
-    pk, pz, pid = [f"p_{k}" for k in keys], [f"p_{z}" for z in zcols], f"p_{id_col}"
-    pool = pool.select(*[F.col(k).alias(p) for k, p in zip([*keys, *zcols, id_col, "_salt"], [*pk, *pz, pid, "p_salt"])],
-                       F.col("_u").alias("p_u"))
-    rows = fitted.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), n_salts).cast("int")).drop("_n")
+    pool = (fitted.filter("_large and _pool").withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= pool_rows)
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+            .select(*[F.col(c).alias(f"p_{c}") for c in [*keys, id_col, *zcols, "_u", "_group", "_salt"]]))
+    rows = (fitted.withColumn("_salt", F.when(large, F.pmod(F.xxhash64(F.col(id_col)), n_salts)).otherwise(0).cast("int"))
+            .select(*keys, id_col, *zcols, "_u", "_pool", "_large", "_group", "_salt"))
 
     def score(part: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
         if part.empty:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
-        sample = sample.sort_values(["p_u", pid])
-        X, Z = sample[pz].to_numpy(dtype=float), part[zcols].to_numpy(dtype=float)
-        p = min(psi, len(X))
-        rng = _tree_rng(seed, n_trees, int(pd.util.hash_pandas_object(sample[pk].iloc[:1], index=False).iloc[0]))
-        drawn = np.stack([np.sort(rng.choice(len(X), size=p, replace=False)) for _ in range(n_trees)])
-        tr = grow_forest(X, drawn, rng, _max_depth(p))
-        ff = FlatForest(tr["feature"], tr["threshold"], tr["left"], tr["right"], tr["value"],
-                        np.arange(n_trees, dtype=np.int64), p)
-        out = part[[*keys, id_col]].copy()
-        out["score_samples"] = np.concatenate([ff.score_samples(Z[at:at + 10_000]) for at in range(0, len(Z), 10_000)])
-        return out
+        small = part.loc[part["_pool"] & ~part["_large"], [*keys, id_col, *zcols, "_u"]]
+        sample = pd.concat([sample.rename(columns=lambda c: c[2:])[small.columns], small]).sort_values(["_u", id_col])
+        key = pd.concat([part[keys], sample[keys]]).groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        of_row, of_sample = key[:len(part)], key[len(part):]
+        by_row, by_sample = np.argsort(of_row, kind="stable"), np.argsort(of_sample, kind="stable")
+        ends = np.arange(int(key.max()) + 2)
+        rows_at, sample_at = np.searchsorted(of_row[by_row], ends), np.searchsorted(of_sample[by_sample], ends)
+        Z, X_all = part[zcols].to_numpy(dtype=float), sample[zcols].to_numpy(dtype=float)
+        heads = sample[keys].iloc[by_sample[sample_at[:-1]]]
+        hashes = pd.util.hash_pandas_object(heads, index=False).to_numpy()
+        scores = np.empty(len(part))
+        for k, key_hash in enumerate(hashes):
+            at = by_row[rows_at[k]:rows_at[k + 1]]
+            X = X_all[by_sample[sample_at[k]:sample_at[k + 1]][:pool_rows]]
+            p = min(psi, len(X))
+            rng = _tree_rng(seed, n_trees, int(key_hash))
+            drawn = np.stack([np.sort(rng.choice(len(X), size=p, replace=False)) for _ in range(n_trees)])
+            tr = grow_forest(X, drawn, rng, _max_depth(p))
+            ff = FlatForest(tr["feature"], tr["threshold"], tr["left"], tr["right"], tr["value"],
+                            np.arange(n_trees, dtype=np.int64), p)
+            for lo in range(0, len(at), 10_000):
+                scores[at[lo:lo + 10_000]] = ff.score_samples(Z[at[lo:lo + 10_000]])
+        return part[[*keys, id_col]].assign(score_samples=scores)
 
     checkpoint_dir(feats.sparkSession)
-    scored = (spread_by(rows, *keys, "_salt").groupBy(*keys, "_salt")
-              .cogroup(spread_by(pool, *pk, "p_salt").groupBy(*pk, "p_salt"))
+    scored = (spread_by(rows, "_group", "_salt").groupBy("_group", "_salt")
+              .cogroup(spread_by(pool, "p__group", "p__salt").groupBy("p__group", "p__salt"))
               .applyInPandas(score, schema).checkpoint(eager=True))
     offs = exact_quantiles(scored, "score_samples", (contamination,), keys).withColumnRenamed("q0", "_off")
     done = (scored.join(offs, keys).withColumn("decision", F.col("score_samples") - F.col("_off"))

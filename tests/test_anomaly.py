@@ -97,3 +97,19 @@ def test_model_scores_another_batch(spark):
     assert ar.detect_anomalies(tx.limit(5), model=model).count() == 5  # a small batch needs no fit
     assert ar.fit_anomaly_model(tx.limit(5)) is None
     assert ar.detect_anomalies(tx.limit(5)).select("method").distinct().collect()[0][0] == "heuristic"
+
+
+def test_small_keys_share_a_group(spark):
+    """A group's fixed cost is paid for many keys, and a key's scores don't depend on who shares its group."""
+    g = np.random.default_rng(3)
+    rows = [(u, u * 1000 + i, *map(float, g.normal(size=8))) for u in range(40) for i in range(9 + u % 4)]
+    feats = spark.createDataFrame(rows, "user_id long, id long, " + ", ".join(f"{z} double" for z in ar.ZCOLS))
+
+    def run(f, **kw):
+        return {(r.user_id, r.id): r.score_samples for r in iforest.fit_score_by_key(f, ar.ZCOLS, n_trees=10, **kw).collect()}
+
+    together = run(feats)
+    assert len(together) == len(rows) and sum(v is None for v in together.values()) == 90  # ten users of nine rows
+    alone = run(feats.filter("user_id = 7"))
+    assert all(together[k] == v for k, v in alone.items()) and len(alone) == 12
+    assert together == run(feats, rows_per_task=10)  # keys of more rows are dealt to salts
