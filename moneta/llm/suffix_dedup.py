@@ -48,7 +48,7 @@ from moneta.llm.common import written
 from moneta.llm.wordhash import least, mix, signed, stream
 
 #: A text's hashes are made in blocks of so many bytes; bytes of the strings that a task sorts at a time.
-BLOCK, CHUNK = 1 << 20, 1 << 17
+BLOCK, CHUNK = 1 << 20, 1 << 16
 _TABLES = (stream(201, 256), stream(202, 256))
 _FACTORS = (stream(203, 1)[0] | np.uint64(1), stream(204, 1)[0] | np.uint64(1))
 

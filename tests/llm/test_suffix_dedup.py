@@ -5,8 +5,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from moneta.llm import collection_bwt
 from moneta.llm import suffix_dedup as sd
 from moneta.llm.collection_bwt import build, repeated
 
@@ -45,6 +47,60 @@ def test_repeated_substrings_with_weights():
         assert [g.tolist() for g in got] == [[i for i in range(len(s) - 3) if count[s[i:i + 4]] > 1] for s in strings]
 
 
+@pytest.mark.parametrize("width", [2, 3, 5, 8])
+def test_wide_symbols_equal_sorted_suffixes(width):
+    rng = random.Random(width)
+    for letters in (b"ab", b"abcdefgh", bytes(range(256)), b"a", b"\0\xff"):
+        for _ in range(20):
+            strings = [bytes(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(rng.randint(1, 7))]
+            parts = [s[o:] for s in strings for o in range(width)]
+            parts = [p[:len(p) // width * width] for p in parts]
+            symbols, shared, owner, size = build(strings, width)
+            want = sorted(((p[len(p) - k * width:], i) for i, p in enumerate(parts) for k in range(len(p) // width + 1)))
+            assert [(parts[o][len(parts[o]) - n * width:], o) for o, n in zip(owner.tolist(), size.tolist())] == want
+            assert shared.tolist() == [0] + [common(a[0], b[0]) // width for a, b in zip(want, want[1:])]
+            number = {g: k for k, g in enumerate(sorted({p[i:i + width] for p in parts for i in range(0, len(p), width)}), 1)}
+            front = [len(parts[o]) - (n + 1) * width for o, n in zip(owner.tolist(), size.tolist())]
+            assert symbols.tolist() == [number[parts[o][f:f + width]] if f >= 0 else 0 for o, f in zip(owner.tolist(), front)]
+
+
+def counted(strings, weights, length):
+    count: Counter = Counter()
+    for s, w in zip(strings, weights):
+        for i in range(len(s) - length + 1):
+            count[s[i:i + length]] += w
+    return [[i for i in range(len(s) - length + 1) if count[s[i:i + length]] > 1] for s in strings]
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 6, 7, 8, 9, 16, 20])
+def test_repeated_substrings_of_any_length(length):
+    rng = random.Random(length)
+    for _ in range(40):
+        strings = list({bytes(rng.choices(b"ab\0", k=rng.randint(0, length + 9))) for _ in range(4)})
+        strings += [s[rng.randint(0, 3):] + b"b" for s in strings]
+        weights = [rng.randint(1, 2) for _ in strings]
+        assert [g.tolist() for g in repeated(strings, weights, length)] == counted(strings, weights, length)
+
+
+def test_repeated_substrings_of_very_different_strings():
+    rng = random.Random(3)
+    strings = [rng.randbytes(300) for _ in range(250)]  # more than 65,535 different grams of eight and of four bytes
+    strings += [s[rng.randint(1, 99):] for s in strings[:30]]
+    got = [g.tolist() for g in repeated(strings, [1] * len(strings), 200)]
+    assert got == counted(strings, [1] * len(strings), 200) and sum(map(len, got)) > 1000
+
+
+def test_rounds_go_by_eight_bytes(monkeypatch):
+    sorts = []
+    sort = np.argsort
+    monkeypatch.setattr(collection_bwt.np, "argsort", lambda *a, **k: sorts.append(len(a[0])) or sort(*a, **k))
+    rng = random.Random(4)
+    strings = [bytes(rng.choices(b"abcdefgh ", k=320)) for _ in range(20)]
+    strings += [s[5:] for s in strings]
+    assert [len(g) for g in repeated(strings, [1] * 40, 200)] == [116] * 40
+    assert len(sorts) <= 45  # 320 / 8 rounds, not one for each byte
+
+
 def plain(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     count = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
